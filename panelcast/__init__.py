@@ -1 +1,8 @@
 """Spark jobs for forecasting many time series in closed form, and for preparing text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: functions sent to them carry its code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
