@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +39,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text (null: empty), under fixed names; further columns can't clash with an operator's own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def per_text(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], fields: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Map every text, Arrow batch by batch: ``make()`` runs once a task and gives the function from the
+    batch's texts to the new columns named in ``fields``. ``doc_id`` (and ``more``) pass through as they are, nulls included."""
+    import pyarrow as pa
+
+    keep = ["doc_id", *more]
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    out_schema = f"{head}, {fields}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            got = f(b.column(b.schema.get_field_index("text")).to_pylist())
+            cols = {c: b.column(b.schema.get_field_index(c)) for c in keep}
+            yield pa.RecordBatch.from_pydict(cols | {k: v if isinstance(v, pa.Array) else pa.array(v, type=types.get(k)) for k, v in got.items()})
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    names = {f.split()[0] for f in re.split(r",\s*(?![^<]*>)", fields)}
+    types = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(out_schema)) if f.name in names}
+    return docs.mapInArrow(run, out_schema)

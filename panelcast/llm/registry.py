@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from panelcast.llm import quality
+from panelcast.llm import chat, quality, secrets, sharding
 
 QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_chat_format": chat.op9_chat_format,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES = {
     "op6_quality_rules": quality.OP6_SQL,
+    "op9_chat_format": chat.OP9_SQL,
 }
