@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from panelcast.llm import chat, quality, secrets, sharding
+from panelcast.llm import chat, packing, quality, secrets, sharding
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_format": chat.op9_chat_format,
