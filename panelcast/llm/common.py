@@ -41,9 +41,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def per_text(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], fields: str, more: tuple[str, ...] = ()) -> DataFrame:
+def per_text(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], fields: str, more: tuple[str, ...] = (), inputs: tuple[str, ...] = ("text",)) -> DataFrame:
     """Map every text, Arrow batch by batch: ``make()`` runs once a task and gives the function from the
-    batch's texts to the new columns named in ``fields``. ``doc_id`` (and ``more``) pass through as they are, nulls included."""
+    batch's texts (of several ``inputs``: a list of each) to the new columns named in ``fields``. ``doc_id`` (and ``more``) pass through as they are, nulls included."""
     import pyarrow as pa
 
     keep = ["doc_id", *more]
@@ -53,7 +53,8 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            got = f(b.column(b.schema.get_field_index("text")).to_pylist())
+            given = [b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs]
+            got = f(given[0] if len(given) == 1 else given)
             cols = {c: b.column(b.schema.get_field_index(c)) for c in keep}
             yield pa.RecordBatch.from_pydict(cols | {k: v if isinstance(v, pa.Array) else pa.array(v, type=types.get(k)) for k, v in got.items()})
 

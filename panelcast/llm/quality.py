@@ -43,7 +43,7 @@ def _repeat_words(hashes: str) -> str:
     A window's key mixes its three 64-bit word hashes. Sorting the keys shows those that repeat; their
     places are then found by membership (few repeated keys) or by sorting keys with places (many).
     """
-    keys = f"transform(slice({hashes}, 1, size({hashes}) - 2), (x, i) -> x ^ shiftleft({hashes}[i + 1], 1) ^ shiftleft({hashes}[i + 2], 2))"
+    keys = "transform(slice(_w, 1, size(_w) - 2), (x, i) -> x ^ shiftleft(_w[i + 1], 1) ^ shiftleft(_w[i + 2], 2))"
     twice = _let("sort_array(_k)", "_s", "array_distinct(filter(_s, (v, i) -> v = get(_s, i + 1)))")
     few = "filter(transform(_k, (v, i) -> IF(array_contains(_d, v), i, NULL)), i -> i IS NOT NULL)"
     many = _let(
@@ -53,7 +53,7 @@ def _repeat_words(hashes: str) -> str:
     )
     covered = "aggregate(transform(_p, (p, i) -> least(3, coalesce(get(_p, i + 1) - p, 3))), 0L, (a, x) -> a + x)"
     counted = _let(f"IF(size(_d) <= 64, {few}, {many})", "_p", covered)
-    return f"IF(size({hashes}) < 3, 0L, {_let(keys, '_k', _let(twice, '_d', f'IF(size(_d) = 0, 0L, {counted})'))})"
+    return _let(hashes, "_w", f"IF(size(_w) < 3, 0L, {_let(keys, '_k', _let(twice, '_d', f'IF(size(_d) = 0, 0L, {counted})'))})")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +108,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def keep_good(docs: DataFrame, text_col: str = "text", rules=THRESHOLDS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text passes. No join: rows are carried through the projection as one struct."""
     rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    return judge(rows, "_row", "text", rules).where("kept").select("doc_id.*")
+    judged = judge(rows, "_row", "text", rules).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))  # else the filter is pushed below the measures and computes them twice
+    return judged.where("kept").select("doc_id.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

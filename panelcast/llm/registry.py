@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from panelcast.llm import chat, packing, quality, secrets, sharding
+from panelcast.llm import chat, decontaminate, lines, packing, quality, secrets, sharding, substrings
 
 QUERIES = {
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_suffix_dedup": substrings.op5_suffix_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_format": chat.op9_chat_format,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES = {
+    "op3_line_dedup": lines.OP3_SQL,
     "op6_quality_rules": quality.OP6_SQL,
+    "op7_decontamination": decontaminate.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
