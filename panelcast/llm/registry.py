@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from panelcast.llm import chat, decontaminate, lines, packing, quality, secrets, sharding, substrings
+from panelcast.llm import chat, decontaminate, lines, neardup, packing, quality, secrets, sharding, substrings
 
 QUERIES = {
+    "op1_near_dedup": neardup.op1_near_dedup,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_suffix_dedup": substrings.op5_suffix_dedup,
