@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from panelcast.llm import chat, decontaminate, lines, neardup, packing, quality, secrets, sharding, substrings
+from panelcast.llm import chat, decontaminate, lines, neardup, packing, quality, secrets, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_suffix_dedup": substrings.op5_suffix_dedup,
