@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from panelcast.jobs import model_jobs, panel_jobs
+
+ALL = {**panel_jobs.JOBS, **model_jobs.JOBS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_JOBS)
+    return {k: job for k, (job, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: text for k, (_, text) in ALL.items() if text}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return model_jobs.JOBS["f2_step_scores"][0](spark, sf_dir)
