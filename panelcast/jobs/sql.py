@@ -71,10 +71,12 @@ forecast AS (
 CELLS = [("sales", "Linear", 1, "batch", 1.6), ("sales", "Linear", 1, "dsof", 1.1), ("sales", "Spectral", 1, "batch", 2.5), ("sales", "Spectral", 1, "dsof", 0.9), ("sales", "Linear", 2, "batch", 1.7), ("sales", "Linear", 2, "dsof", 1.2), ("other", "Linear", 1, "batch", 0.4)]
 
 ROWS = f"""{Z},
-h2 AS (SELECT unnest([1, 2]) AS r),
+near AS (
+  SELECT series_id, t, value AS x, lead(value, 1) OVER k AS y1, lead(value, 2) OVER k AS y2, lag(value, 6) OVER k AS s1, lag(value, 5) OVER k AS s2
+  FROM z WINDOW k AS (PARTITION BY series_id ORDER BY t)),
 due AS (
-  SELECT a.series_id, a.t, h2.r, a.value AS x, b.value AS y, c.value AS s FROM z a CROSS JOIN h2
-  JOIN z b ON b.series_id = a.series_id AND b.t = a.t + h2.r JOIN z c ON c.series_id = a.series_id AND c.t = a.t + h2.r - 7, cut WHERE a.t >= te),
+  SELECT 1 AS r, x, y1 AS y, s1 AS s FROM near, cut WHERE t >= te AND y1 IS NOT NULL
+  UNION ALL SELECT 2, x, y2, s2 FROM near, cut WHERE t >= te AND y2 IS NOT NULL),
 each AS (
   SELECT r, 'persistence' AS model, x - y AS err FROM due UNION ALL SELECT r, 'seasonal', s - y FROM due
   UNION ALL SELECT r, 'mean', -y FROM due),
