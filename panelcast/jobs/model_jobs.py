@@ -193,7 +193,7 @@ def a7(spark, d):
     files.write_results(rows.where("clip_spikes = 0").drop("file"), path)
     files.write_results(rows.where("clip_spikes > 0").drop("file"), other, wrapped=True)
     back = files.read_results(spark, path, other)
-    return rounded(back.select("dataset", "pred_len", "model", "mse", "mae", "n", "clip_spikes"), "mse", "mae", digits=5)
+    return rounded(back.select("dataset", "pred_len", "model", "mse", "mae", F.coalesce("n", F.lit(0)).alias("n"), "clip_spikes"), "mse", "mae", digits=5)
 
 
 def a9(spark, d):
@@ -375,7 +375,7 @@ SELECT 'raw' AS kind, {_score} FROM forecast UNION ALL SELECT 'clipped', {_score
     "f10_autocorrelation": (lambda s, d: rounded(V.autocorrelation(scaled(s, d)[0], 21), "acf", digits=5), f"WITH {S.Z}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z), k AS (SELECT unnest(range(0, 22)) AS lag), s AS (SELECT a.series_id, lag, sum(a.x * b.x) AS s FROM x a CROSS JOIN k JOIN x b ON b.series_id = a.series_id AND b.t = a.t + lag GROUP BY ALL) SELECT s.series_id, s.lag::INTEGER AS lag, round(s.s / o.s, 5) AS acf FROM s JOIN s o ON o.series_id = s.series_id AND o.lag = 0"),
     "f11_periodogram": (lambda s, d: rounded(V.periodogram(scaled(s, d)[0].where("t < 700")).where("k IN (1, 50, 100)"), "power", digits=3), f"WITH {S.Z}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z WHERE t < 700), k AS (SELECT unnest([1, 50, 100]) AS k) SELECT series_id, k::BIGINT AS k, round(power(sum(x * cos(2 * pi() * k * t / 700)), 2) + power(sum(x * sin(2 * pi() * k * t / 700)), 2), 3) AS power FROM x, k GROUP BY series_id, k"),
     "f12_error_histogram": (f12, f"WITH {S.PERSIST} SELECT CASE WHEN m >= 5 THEN 51 ELSE floor(m / 5::DOUBLE * 50) + 1 END::BIGINT AS bin, count(*) AS n FROM (SELECT round(abs(err), 9) AS m FROM forecast) GROUP BY 1"),
-    "a7_a8_result_files": (a7, f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, round(mse, 5) AS mse, round(mae, 5) AS mae, n, clip_spikes FROM result"),
+    "a7_a8_result_files": (a7, f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, round(mse, 5) AS mse, round(mae, 5) AS mae, coalesce(n, 0) AS n, clip_spikes FROM result"),
     "a9_a10_published_cells": (a9, f"WITH {S.ROWS} SELECT dataset, method, h, mode, mse FROM cells WHERE dataset IN (SELECT dataset FROM result)"),
     "g1_latest_rows": (lambda s, d: rounded(G.latest_rows(our_rows(s, d)), "mse", "mae", digits=5), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, round(mse, 5) AS mse, round(mae, 5) AS mae, n, clip_spikes, file FROM ours"),
     "g2_untested_rows": (lambda s, d: G.untested(our_rows(s, d)).select("pred_len", "model", "file"), f"WITH {S.ROWS} SELECT pred_len::INTEGER AS pred_len, model, file FROM result WHERE n IS NULL"),

@@ -86,7 +86,8 @@ def damping(rows: DataFrame) -> DataFrame:
 
 def horizon_sweep(rows: DataFrame, pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Per row: error, cells beaten and resampling interval, side by side."""
-    return rows.join(beats(pairs), ["dataset", "pred_len", "model"], "left").join(seeds.select("dataset", "pred_len", "model", "mse_p5", "mse_p95"), ["dataset", "pred_len", "model"], "left").select("dataset", "pred_len", "model", "mse", "beaten", "mse_p5", "mse_p95")
+    own = rows.select("dataset", "pred_len", "model", "mse")
+    return own.join(beats(pairs), ["dataset", "pred_len", "model"], "left").join(seeds.select("dataset", "pred_len", "model", "mse_p5", "mse_p95"), ["dataset", "pred_len", "model"], "left").select("dataset", "pred_len", "model", "mse", "beaten", "mse_p5", "mse_p95")
 
 
 def whiskers(rows: DataFrame, seeds: DataFrame) -> DataFrame:
