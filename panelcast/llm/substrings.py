@@ -9,7 +9,9 @@ form a run. Refinement then goes over runs, not places:
 
 1. q-byte buckets: runs whose bucket no other place shares (most) hold no repeat and leave.
 2. Whole-run buckets: runs equal in all their bytes repeat each other wholly. They go on as one.
-3. What is left is refined to buckets of ``length`` bytes, place by place.
+3. Blocks of ``BLOCK`` places, counted from the least q bytes: a block whose common bytes (``length`` less a
+   block) nothing shares holds no repeat; blocks equal in all their bytes repeat each other wholly.
+4. What is left, the blocks where a repeat begins or ends, is refined to buckets of ``length`` bytes, place by place.
 
 Every step is a grouping by fixed-size keys with partial sums and an equi-join back, so a group of any
 size is never gathered. Texts longer than ``SEGMENT`` are cut into overlapping segments, which
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import per_text, table, texts, written
+from panelcast.llm.common import table, texts, written
 
 LENGTH = 400
 Q = 128
+BLOCK = 8
 SEGMENT = 1 << 20
 BROADCAST_ROWS = 400_000
 
@@ -141,6 +144,50 @@ def all_runs(rows: DataFrame, q: int, length: int, segment: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key long, lo long, hi long, bucket long, whole long, twice boolean")
 
 
+def blocks(rows: DataFrame, q: int, length: int, segment: int, block: int) -> DataFrame:
+    """(key, lo, hi, bucket, block, core, whole, settled) of every block of the runs listed in ``runs``: ``core`` stands for
+    the bytes common to all places of the block, ``whole`` for all its bytes (null if the run has only a part of its places).
+
+    A run whose least q bytes may occur twice has no fixed place to count from: it and all of its bucket are one block without ``whole``.
+    """
+    width = length - q + 1
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            cuts = ((r | {"key": k}, raw[r["lo"] : r["hi"] + length]) for k, t, rs in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True) for raw in [t.encode("utf-8", "surrogatepass")] for r in rs)
+            for keys, parts in _filled(cuts, length, segment, length - 1):
+                sizes = np.array([len(p) for p in parts])
+                offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                raw = np.concatenate(parts)
+                at_q, ids = buckets(raw, q, length)
+                _, cores = buckets(raw, q, length - block + 1)
+                of = lambda name, kind, keys=keys: np.array([k[0][name] for k in keys], dtype=kind)
+                bucket, fixed = of("bucket", np.int64), ~of("loose", bool)
+                view = np.lib.stride_tricks.sliding_window_view(at_q, width)
+                first = np.zeros(len(parts), dtype=np.int64)
+                for i in range(0, len(parts), 4096):
+                    first[i : i + 4096] = (view[offsets[i : i + 4096]] == bucket.view(np.uint64)[i : i + 4096, None]).argmax(1)
+                shift = np.where(fixed, width - 1 - first, 0)  # the run's first place, counted from the earliest that could hold the least q bytes
+                n = sizes - length + 1
+                a, z = np.where(fixed, shift // block, 0), np.where(fixed, (shift + n - 1) // block, 0)
+                part = np.repeat(np.arange(len(parts)), z - a + 1)
+                k = np.arange(len(part)) - np.repeat(np.cumsum(z - a + 1) - (z - a + 1), z - a + 1) + a[part]
+                start = k * block - shift[part]  # of the block, from the run's first place; may lie before it
+                lo = np.where(fixed[part], np.maximum(start, 0), 0)
+                hi = np.where(fixed[part], np.minimum(start + block, n[part]) - 1, n[part] - 1)
+                full = fixed[part] & (start >= 0) & (start + block <= n[part])
+                core = np.where(fixed[part], cores[np.where(fixed[part], offsets[part] + start + block - 1, 0)].view(np.int64), 0)
+                at = offsets[part] + np.where(full, start, 0)
+                whole = refined(ids[at], ids[at + np.where(full, block - 1, 0)]).view(np.int64)
+                base = (of("lo", np.int64) + np.array([s for _, s in keys], dtype=np.int64))[part]
+                yield pa.RecordBatch.from_pydict({"key": of("key", np.int64)[part], "lo": base + lo, "hi": base + hi, "bucket": bucket[part], "block": k, "core": core, "whole": pa.array(whole, mask=~full), "settled": of("settled", bool)[part]})
+
+    return rows.select("key", "text", "runs").mapInArrow(run, "key long, lo long, hi long, bucket long, block long, core long, whole long, settled boolean")
+
+
 def places(rows: DataFrame, q: int, length: int, segment: int) -> DataFrame:
     """(key, at, bucket, string, settled) of every place in the runs listed in ``runs`` of each row."""
 
@@ -167,49 +214,83 @@ def _only(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge"), "key", how)
 
 
-def repeated_places(rows: DataFrame, q: int = Q, length: int = LENGTH, segment: int = SEGMENT) -> DataFrame:
+def _with_runs(rows: DataFrame, open_: DataFrame, *fields: str) -> DataFrame:
+    """The texts that have open stretches, with these as an array."""
+    todo = written(open_.groupBy("key").agg(F.collect_set(F.struct(*fields)).alias("runs")), "open")
+    return _only(rows, todo.select("key"), "left_semi").join(todo, "key")
+
+
+def _judged(rows: DataFrame, group: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Split rows that share ``group`` by ``whole``: the settled (key, lo, hi), and what is still open: rows that no other equals, and one of each set of equal ones."""
+    alike = rows.where("whole IS NOT NULL").groupBy(*group, "whole").agg(F.count("*").alias("_n"), F.min(F.struct("key", "lo")).alias("_first")).where("_n > 1")
+    joined = rows.join(written(alike, f"{name}-alike"), [*group, "whole"], "left")
+    twice = F.col("_n").isNotNull()
+    marked = written(joined.select(*rows.columns, twice.alias("_twice"), F.coalesce(F.struct("key", "lo") == F.col("_first"), F.lit(False)).alias("_stands")), name)
+    open_ = marked.where("NOT _twice OR _stands").withColumn("settled", F.col("settled") | F.col("_twice"))
+    return marked.where("_twice AND NOT settled").select("key", "lo", "hi"), open_.drop("_twice", "_stands")
+
+
+def repeated_places(rows: DataFrame, q: int = Q, length: int = LENGTH, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
     """(key, lo, hi): stretches of places whose string starts elsewhere too."""
+    stretch = ("key", "lo", "hi")
     found = written(all_runs(rows, q, length, segment), "runs")
-    shared = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.max("twice").alias("t"))
-    shared = shared.where("n > 1 OR t").select("bucket", F.expr("a = b AND NOT t").alias("alike"))
-    kept = written(found.join(shared, "bucket"), "shared-runs")
-    mixed = kept.where("NOT alike")
-    classes = mixed.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("first"))
-    judged = written(mixed.join(classes, ["bucket", "whole"]).select("key", "lo", "hi", "bucket", (F.col("n") > 1).alias("settled"), (F.struct("key", "lo") == F.col("first")).alias("stands")), "judged-runs")
-    todo = judged.where("NOT settled OR stands").groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "bucket", "settled")).alias("runs"))
-    todo = written(todo, "open-runs")
-    at = written(places(_only(rows, todo.select("key"), "left_semi").join(todo, "key"), q, length, segment), "places")
-    twice = at.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string")
+    shared = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.max("twice").alias("loose"))
+    # Tables that are joined back are written first: both sides of the join are then dealt by it, and a hot key can be split.
+    shared = written(shared.where("n > 1 OR loose").select("bucket", F.expr("a = b AND NOT loose").alias("alike"), "loose"), "shared")
+    kept = written(found.join(shared, "bucket").withColumn("settled", F.lit(False)), "shared-runs")
+    out = kept.where("alike").select(*stretch)
+    settled, open_ = _judged(kept.where("NOT alike").drop("alike", "twice"), ["bucket"], "judged-runs")
+    out = out.unionByName(settled)
+
+    cut = written(blocks(_with_runs(rows, open_, "lo", "hi", "bucket", "loose", "settled"), q, length, segment, block), "blocks")
+    group = ["bucket", "block", "core"]
+    cores = cut.groupBy(*group).agg(F.count("*").alias("n"), F.count("whole").alias("w"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    # A part of a run's places, without ``whole``, may repeat itself only where its bucket is loose (core 0).
+    cores = written(cores.where("n > 1 OR core = 0").select(*group, F.expr("n > 1 AND w = n AND a = b").alias("alike")), "cores")
+    kept = written(cut.join(cores, group), "shared-blocks")
+    out = out.unionByName(kept.where("alike AND NOT settled").select(*stretch))
+    settled, open_ = _judged(kept.where("NOT alike").drop("alike"), group, "judged-blocks")
+    out = out.unionByName(settled)
+
+    at = written(places(_with_runs(rows, open_, "lo", "hi", "bucket", "settled"), q, length, segment), "places")
+    twice = written(at.groupBy("bucket", "string").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "string"), "twice")
     single = at.where("NOT settled").join(twice, ["bucket", "string"]).select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return kept.where("alike").select("key", "lo", "hi").unionByName(judged.where("settled").select("key", "lo", "hi")).unionByName(single)
+    return out.unionByName(single)
 
 
-def cut_bytes(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of ``raw``, and the maximal removed runs, from stretches of repeated places."""
-    merged: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi + length)
-        else:
-            merged.append([lo, hi + length])
-    ends = [0, *(x for m in merged for x in m), len(raw)]
-    return b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)), [(a, b) for a, b in merged]
+def merged(packed, length: int):
+    """Maximal removed byte ranges (starts, ends) from stretches of repeated places, each packed as first place * 2^20 + places after it."""
+    import numpy as np
 
+    packed = np.sort(packed)
+    lo = packed >> 20
+    end = np.maximum.accumulate(lo + (packed & (1 << 20) - 1) + length)
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > end[:-1]]))
+    return lo[new], end[np.concatenate([new[1:] - 1, [len(lo) - 1]])]
 
-def dedup_substrings(docs: DataFrame, q: int = Q, length: int = LENGTH, segment: int = SEGMENT) -> DataFrame:
+
+def dedup_substrings(docs: DataFrame, q: int = Q, length: int = LENGTH, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_bytes, kept (bytes), spans (removed byte ranges, ends exclusive)."""
     rows = texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = written(repeated_places(rows, q, length, segment).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "spans")
+    packed = F.shiftleft("lo", 20) + (F.col("hi") - F.col("lo"))  # a stretch is shorter than a segment
+    spans = written(repeated_places(rows, q, length, segment, block).groupBy("key").agg(F.collect_set(packed).alias("runs")), "spans")
     keys = spans.select("key")
 
-    def make():
-        def run(batch):
-            got = [cut_bytes(t.encode("utf-8", "surrogatepass"), [(r["lo"], r["hi"]) for r in rs], length) for t, rs in zip(*batch, strict=True)]
-            return {"kept": [k for k, _ in got], "spans": [[{"start": a, "end": b} for a, b in s] for _, s in got]}
-
-        return run
+    def run(batches):
+        import pyarrow as pa
 
-    changed = per_text(_only(rows, keys, "left_semi").join(spans, "key").withColumn("n_bytes", F.octet_length("text").cast("long")), make, "kept binary, spans array<struct<start:bigint,end:bigint>>", ("n_bytes",), ("text", "runs"))
+        for b in batches:
+            kept, cuts = [], []
+            for text, r in zip(b.column("text"), b.column("runs"), strict=True):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                starts, ends = (x.tolist() for x in merged(r.values.to_numpy(), length))
+                kept.append(b"".join(raw[i:j] for i, j in zip([0, *ends], [*starts, len(raw)], strict=True)))
+                cuts.append([{"start": i, "end": j} for i, j in zip(starts, ends, strict=True)])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "kept": pa.array(kept, pa.binary()), "spans": pa.array(cuts, kind)})
+
+    joined = _only(rows, keys, "left_semi").join(spans, "key").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "runs")
+    changed = joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
     whole = _only(rows, keys, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "UTF-8").alias("kept"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
     return changed.unionByName(whole)
 
