@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import per_text, table
+from panelcast.llm.common import per_text, table, written
 
 WINDOW = 2
 MIN_WORDS = 5
@@ -59,6 +59,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     prints = fingerprints(docs, window)
     place = F.struct("doc_id", "key", "at")
     first = prints.groupBy("hash").agg(F.min(F.struct(place.alias("place"), "context")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    first = written(first, "first-places")  # a table of its own, so that the join's two sides are dealt by it and a hot hash can be split
     later = prints.join(first, "hash").where(~place.eqNullSafe(F.col("first.place")))
 
     def extent(step: int):
