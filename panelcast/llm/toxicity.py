@@ -25,6 +25,7 @@ WORD = r"[^\W\d_]+"
 MIN_TERM, MAX_TERM = 3, 40
 PRECISION, MIN_CONTEXTS, CONTEXT_SHARE = 0.9, 3, 0.005
 MAX_TERMS = 5000
+BROADCAST_ROWS = 400_000
 FIT_ROWS = 20_000
 NEAR = 5
 THRESHOLD = 0.3
@@ -87,8 +88,8 @@ def allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-def _word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, n_toxic, n_clean, n_contexts): labelled documents that hold a word, and how many different words it follows in toxic ones."""
+def _toxic_words(toxic: DataFrame) -> DataFrame:
+    """(word, n_toxic, n_contexts): toxic documents that hold a word, and how many different words it follows at its first place in them."""
 
     def make():
         find = re.compile(WORD).findall
@@ -107,38 +108,73 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
 
         return run
 
-    each = per_text(labelled, make, "words array<struct<w:string,c:string>>", ("toxic",)).select("toxic", F.explode("words").alias("x"))
-    toxic = F.col("toxic") == 1
-    return each.groupBy(F.col("x.w").alias("word")).agg(
-        F.sum(toxic.cast("int")).alias("n_toxic"),
-        F.sum((~toxic).cast("int")).alias("n_clean"),
-        F.approx_count_distinct(F.when(toxic, F.col("x.c")), 0.1).alias("n_contexts"),
-    )
+    each = per_text(toxic, make, "words array<struct<w:string,c:string>>").select(F.explode("words").alias("x"))
+    pairs = each.groupBy(F.col("x.w").alias("word"), F.xxhash64("x.c").alias("c")).agg(F.count("*").alias("n"))
+    return pairs.groupBy("word").agg(F.sum("n").alias("n_toxic"), F.count("*").alias("n_contexts"))
+
+
+def _per_task_words(texts_: DataFrame, start, schema: str) -> DataFrame:
+    """``start()`` gives a task's (see, end): see(distinct words of a text), end() -> columns of its few output rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        find = re.compile(WORD).findall
+        see, end = start()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                see(set(find(t.lower())))
+        yield pa.RecordBatch.from_pydict(end())
+
+    return texts_.select("text").mapInArrow(run, schema)
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[list[str], set[str]]:
-    """Terms (at most ``MAX_TERMS``, by toxic documents) and the clean words within their edits, which are no misspellings."""
+    """Terms (at most ``MAX_TERMS``, by toxic documents) and the clean words within their edits, which are no misspellings.
+
+    Words of toxic documents are counted first. Those frequent enough to be terms number at most a document's mean distinct words over
+    ``CONTEXT_SHARE``, however many documents there are, so they can go to every task, which counts them in clean documents.
+    """
+    spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.join(own, "doc_id")
-    # Clean documents matter only for words that toxic ones hold, but which those are is known only after counting.
-    counts = written(_word_counts(labelled), "word-counts")
-    n_toxic = own.agg(F.sum((F.col("toxic") == 1).cast("int"))).first()[0] or 0
+    own = written(own, "labels")
+    n_toxic = own.where("toxic = 1").count()
     least = max(MIN_CONTEXTS, CONTEXT_SHARE * n_toxic)
-    found = counts.where((F.col("n_toxic") >= PRECISION * (F.col("n_toxic") + F.col("n_clean"))) & (F.col("n_contexts") >= least))
-    terms = sorted(r["word"] for r in found.orderBy(F.desc("n_toxic"), "word").limit(MAX_TERMS).collect())
+    few = own.count() <= BROADCAST_ROWS  # 12 bytes each; beyond that both sides are shuffled
+    of = lambda ids: docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+    frequent = _toxic_words(of(own.where("toxic = 1").select("doc_id"))).where(F.col("n_contexts") >= least)
+    toxic = {r["word"]: r["n_toxic"] for r in frequent.select("word", "n_toxic").collect()}
+    clean_docs = of(own.where("toxic <> 1").select("doc_id"))
+    held = spark.sparkContext.broadcast(frozenset(toxic))
+
+    def counting():
+        from collections import Counter
+
+        n: Counter = Counter()
+        words = held.value
+        return (lambda seen: n.update(seen & words)), (lambda: {"word": list(n), "n": list(n.values())})
+
+    counts = _per_task_words(clean_docs, counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect() if toxic else []
+    clean = {r["word"]: r["n"] for r in counts}
+    good = [w for w, n in toxic.items() if n >= PRECISION * (n + clean.get(w, 0))]
+    terms = sorted(sorted(good, key=lambda w: (-toxic[w], w))[:MAX_TERMS])
     if not terms:
         return [], set()
 
-    def near(batches):
-        import pyarrow as pa
+    def nearing():
+        trie, met, near = Trie(terms), set(), set()
 
-        trie = Trie(terms)
-        for b in batches:
-            words = [w for w in b.column("word").to_pylist() if w not in trie.terms and trie.near(w)]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string())})
+        def see(words):
+            new = words - met
+            if len(met) > 1_000_000:
+                met.clear()
+            met.update(new)
+            near.update(w for w in new if w not in trie.terms and trie.near(w))
+
+        return see, lambda: {"word": sorted(near)}
 
-    clean = counts.where("n_clean > 0").select("word").mapInArrow(near, "word string")
-    return terms, {r["word"] for r in clean.collect()}  # at most the words within two edits of the terms
+    found = _per_task_words(clean_docs, nearing, "word string").distinct()
+    return terms, {r["word"] for r in found.collect()}  # at most the words within two edits of the terms
 
 
 def hit_counts(text: str, words: list[str], spans, kinds: dict[int, bool]) -> list[float]:
