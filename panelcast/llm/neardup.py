@@ -8,12 +8,12 @@ weigh alike, and a feature's collisions (a few shingles of a document in a milli
 
 1. Equal texts are one node. ICWS gives each node 48 samples; 4 together are a band key. Two texts of weighted
    Jaccard similarity 0.8 share one of the 12 bands with probability 0.998, at 0.85 with 0.9998.
-2. Nodes that share a bucket are compared by their 48 samples in blocks of bounded size, and a
-   spanning forest of the most similar pairs goes on: at most one pair a node, never all pairs.
-3. Each pair is verified by its exact weighted Jaccard similarity.
+2. Nodes that share a bucket are compared by their 48 samples in blocks of bounded size. Spanning forests of the most
+   similar pairs go on first, then all pairs that verified links have not joined.
+3. Each pair is verified by its exact weighted Jaccard similarity; only pairs that pass join.
 4. Classes are the connected components.
 
-A bucket of more than ``BLOCK`` nodes is dealt into blocks, whose forests' roots meet in a next round. Texts without
+A bucket of more than ``BLOCK`` nodes is dealt into parts, and each two parts that are not of one class meet in a task. Texts without
 words are near-duplicates of equal texts only, null texts of empty ones; repeated rows share a class; null ids stay null;
 an empty table gives an empty result; further columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
@@ -214,29 +214,43 @@ def signatures(rows: DataFrame, weight_of, bands: int = BANDS, per: int = ROWS)
     return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, samples binary, buckets array<long>")
 
 
-def forest(samples, least: float):
-    """Pairs (i, j) of a spanning forest of the graph of rows that agree in ``least`` of their samples or more, most similar first, and each row's root."""
+def forest(samples, label, least: float):
+    """Pairs (i, j) of a spanning forest over the classes of ``label``, most similar first, of rows that agree in ``least`` of their samples or more; and whether such pairs of two classes are left out."""
     import numpy as np
 
-    n, k = samples.shape
-    root = np.arange(n)
+    n = len(samples)
     if n == 2:
-        same = (samples[0] == samples[1]).mean() >= least
-        return ([(0, 1)] if same else []), np.array([0, 0 if same else 1])
-    # Prim's rule: the row most similar to the tree joins it; memory stays linear in the rows.
+        return [(0, 1)] if label[0] != label[1] and (samples[0] == samples[1]).mean() >= least else [], False
+    # Prim's rule: the row most similar to the tree joins it, and its class with it; memory stays linear in the rows.
     pairs, best, link, out = [], np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-    at, out[0] = 0, False
+    at, out[0], met = 0, False, 0
     for _ in range(n - 1):
         agree = (samples == samples[at]).mean(axis=1)
+        other = label != label[at]
+        met += int((out & other & (agree >= least)).sum())
+        agree[~other] = 2.0
         better = out & (agree > best)
         best[better], link[better] = agree[better], at
         nxt = int(np.where(out, best, -2.0).argmax())
-        if best[nxt] >= least:
+        if best[nxt] >= least and best[nxt] < 2:
             pairs.append((int(link[nxt]), nxt))
-            root[nxt] = root[link[nxt]]
         out[nxt] = False
         at = nxt
-    return pairs, root
+    return pairs, met > len(pairs)
+
+
+def unjoined(samples, label, low: float, high: float, least: float):
+    """All pairs (i, j) of two classes that agree in ``low`` of their samples or more but less than ``high``; and whether pairs from ``least`` to ``low`` are left."""
+    import numpy as np
+
+    pairs, more = [], False
+    for i in range(len(samples) - 1):
+        agree = (samples[i + 1 :] == samples[i]).mean(axis=1)
+        other = label[i + 1 :] != label[i]
+        j = np.flatnonzero(other & (agree >= low) & (agree < high)) + i + 1
+        pairs.extend(zip([i] * len(j), j.tolist(), strict=True))
+        more = more or bool((other & (agree >= least) & (agree < low)).any())
+    return pairs, more
 
 
 def _blocks(batches, columns):
@@ -259,47 +273,6 @@ def _blocks(batches, columns):
         yield held
 
 
-def candidates(nodes: DataFrame, k: int, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of nodes to verify. Each round handles blocks of bounded size; roots of split buckets go to the next."""
-    member = nodes.select("node", F.explode("buckets").alias("bucket"))
-    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # a table, so that the join can split a hot bucket
-    todo = written(member.join(sizes, "bucket"), "members")
-    pairs = None
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for group, node, bucket, n, sample in _blocks(batches, ("group", "node", "bucket", "n", "samples")):
-            if len(node) > 1:
-                matrix = np.frombuffer(b"".join(sample), dtype=np.uint32).reshape(len(node), k)
-                found, root = forest(matrix, least)
-            else:
-                found, root = [], np.zeros(1, dtype=np.int64)
-            if found:
-                i, j = np.array(found).T
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "bucket": np.zeros(len(i), dtype=np.int64), "root": np.zeros(len(i), dtype=bool)})
-            if n[0] > block:  # the bucket has more blocks
-                r = np.unique(root)
-                yield pa.RecordBatch.from_pydict({"a": node[r], "b": node[r], "bucket": bucket[r], "root": np.ones(len(r), dtype=bool)})
-
-    left = None
-    while True:
-        dealt = todo.withColumn("group", F.xxhash64("bucket", F.when(F.col("n") > block, F.pmod(F.xxhash64("node", F.lit(left or 0)), F.ceil(F.col("n") / (block / 2)))).otherwise(0)))
-        rows = dealt.join(nodes.select("node", "samples"), "node").repartition("group").sortWithinPartitions("group", "node")
-        got = written(rows.select("group", "node", "bucket", "n", "samples").mapInArrow(run, "a long, b long, bucket long, root boolean"), "pairs")
-        found = got.where("NOT root").select("a", "b")
-        pairs = found if pairs is None else pairs.union(found)
-        roots = got.where("root").select(F.col("a").alias("node"), "bucket")
-        again = written(roots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "again")
-        todo = written(roots.join(again, "bucket").select("bucket", "node", "n"), "roots")
-        now = todo.count()
-        if not now or now == left:  # nothing split is left, or no two blocks of a bucket met
-            break
-        left = now
-    return pairs.distinct()
-
-
 def similarity(a, b, weights) -> float:
     """Exact weighted Jaccard similarity of two (shingles, counts)."""
     import numpy as np
@@ -331,6 +304,74 @@ def verified(pairs: DataFrame, rows: DataFrame, weight_of, threshold: float) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def candidates(rows: DataFrame, k: int, step: tuple[float, float] | None, least: float) -> DataFrame:
+    """(a, b, group, more): of rows (group, node, label, samples) the pairs of nodes to verify, and a row for each group with more of them. ``step`` None: a forest; else all unjoined pairs in that range."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for group, node, label, sample in _blocks(batches, ("group", "node", "label", "samples")):
+            if len(node) < 2:
+                continue
+            matrix = np.frombuffer(b"".join(sample), dtype=np.uint32).reshape(len(node), k)
+            found, more = unjoined(matrix, label, *step, least) if step else forest(matrix, label, least)
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "group": group[i], "more": np.zeros(len(i), dtype=bool)})
+            if more:
+                yield pa.RecordBatch.from_pydict({"a": node[:1], "b": node[:1], "group": group[:1], "more": np.ones(1, dtype=bool)})
+
+    dealt = rows.select("group", "node", "label", "samples").repartition("group").sortWithinPartitions("group", "node")
+    return dealt.mapInArrow(run, "a long, b long, group long, more boolean")
+
+
+def linked(nodes: DataFrame, k: int, least: float, threshold: float, block: int, verify) -> DataFrame | None:
+    """(node, label) of the classes: components of the pairs that share a bucket, agree in ``least`` of their samples and are passed by ``verify``.
+
+    Only verified links join. The first two rounds propose forests; the others all pairs of two classes still unjoined, from the most
+    similar down, so that at the end each pair is joined by verified links or has failed itself. From the second round on, each two
+    parts of a split bucket meet, unless both lie in one class.
+    """
+    member = nodes.select("node", F.explode("buckets").alias("bucket"))
+    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # a table, so that the join can split a hot bucket
+    parts = F.when(F.col("n") > block, F.ceil(F.col("n") / (block / 2))).otherwise(1)
+    member = written(member.join(sizes, "bucket").select("bucket", "node", parts.alias("parts"), F.pmod(F.xxhash64("node", "bucket"), parts).alias("part")), "members")
+    high, low = threshold + 0.05, max(least, threshold - 0.05)
+    todo = tested = links = labels = None
+    for step in (None, None, (high, 2.0), (low, high), (least, low)):
+        if todo is None:
+            now = member.select(F.xxhash64("bucket", "part").alias("group"), "node", F.col("node").alias("label"))
+        else:
+            live = todo.join(spans, ["bucket", "part"]).groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")  # noqa: F821
+            now = written(todo.join(live, "group", "left_semi"), "tasks").join(own, ["bucket", "part"]).select("group", "node", "label")  # noqa: F821
+        got = written(candidates(now.join(nodes.select("node", "samples"), "node"), k, step, least), "pairs")
+        found = got.where("NOT more").select("a", "b").distinct()
+        found = written(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = found if tested is None else tested.union(found)
+        passed = written(verify(found).select("a", "b"), "links")
+        if passed.head(1):
+            links = passed if links is None else links.union(passed)
+            labels = written(components(links), "labels")
+        more = got.where("more").select("group")
+        if todo is None:
+            split = member.where("parts > 1").select("bucket", "part").distinct()
+            alone = member.where("parts = 1").select(F.xxhash64("bucket", "part").alias("group"), "bucket", "part").distinct().join(more, "group", "left_semi")
+        own = member if labels is None else member.join(labels, "node", "left")
+        own = own.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
+        spans = written(own.groupBy("bucket", "part").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spans")
+        if todo is None:
+            x, y = (split.join(spans, ["bucket", "part"]).select("bucket", *[F.col(c).alias(c + i) for c in ("part", "low", "high")]) for i in "xy")
+            meet = x.join(y, "bucket").where("partx < party AND least(lowx, lowy) < greatest(highx, highy)")
+            meet = meet.select(F.xxhash64("bucket", "partx", "party").alias("group"), "bucket", F.explode(F.array("partx", "party")).alias("part"))
+            todo = written(alone.union(meet), "todo")
+        else:
+            todo = written(todo.join(more, "group", "left_semi"), "todo")
+        if not todo.head(1):
+            break
+    return labels
+
+
 def classes(rows: DataFrame, threshold: float = THRESHOLD, features: int = FEATURES, bands: int = BANDS, per: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, node, label) of every row of (doc_id, node, text): rows of one label are one class."""
     df, n_docs = document_frequencies(rows, features)
@@ -339,9 +380,10 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD, features: int = FEATU
     signed = written(signatures(rows, weight_of, bands, per), "signatures")
     nodes = written(signed.groupBy("node").agg(F.first("samples").alias("samples"), F.first("buckets").alias("buckets")), "nodes")
     least = max(0.0, threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5)
-    pairs = written(candidates(nodes, k, least, block), "candidates")
-    links = components(written(verified(pairs, rows, weight_of, threshold), "links"))
-    return signed.select("doc_id", "node").join(links, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    labels = linked(nodes, k, least, threshold, block, lambda pairs: verified(pairs, rows, weight_of, threshold))
+    found = signed.select("doc_id", "node")
+    found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left")
+    return found.select("doc_id", "node", F.coalesce("label", "node").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

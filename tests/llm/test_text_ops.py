@@ -190,6 +190,21 @@ def test_near_duplicates_equal_brute_force(spark):
         assert sorted(sorted(g) for g in got.groupby("class_id").doc_id.apply(list)) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [1000, 200], ids=["one-block", "split-bucket"])
+def test_copies_of_one_original_stay_together(spark, block):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    original = [word() for _ in range(300)]
+    rows = [(0, " ".join(original))]
+    for i in range(800):
+        copy = list(original)
+        for at in rng.sample(range(4, 296), 4):
+            copy[at] = word()
+        rows.append((i + 1, " ".join(copy)))
+    got = neardup.near_duplicates(odd_docs(spark, rows), block=block).toPandas()
+    assert set(got.class_id) == {0}
+
+
 def test_consistent_sampling_estimates_similarity():
     rng = np.random.default_rng(0)
     sample = neardup.sampler(4000)
