@@ -23,8 +23,7 @@ from panelcast.llm.common import per_text, table, texts, written
 
 WORD = r"[^\W\d_]+"
 MIN_TERM, MAX_TERM = 3, 40
-PRECISION, MIN_CONTEXTS, CONTEXT_SHARE = 0.9, 3, 0.005
-MAX_TERMS = 5000
+PRECISION, MIN_CONTEXTS, DOCUMENT_SHARE = 0.9, 3, 0.005
 BROADCAST_ROWS = 400_000
 FIT_ROWS = 20_000
 NEAR = 5
@@ -130,19 +129,18 @@ def _per_task_words(texts_: DataFrame, start, schema: str) -> DataFrame:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[list[str], set[str]]:
-    """Terms (at most ``MAX_TERMS``, by toxic documents) and the clean words within their edits, which are no misspellings.
+    """Terms and the clean words within their edits, which are no misspellings.
 
-    Words of toxic documents are counted first. Those frequent enough to be terms number at most a document's mean distinct words over
-    ``CONTEXT_SHARE``, however many documents there are, so they can go to every task, which counts them in clean documents.
+    Words of toxic documents are counted first. Terms stand in a ``DOCUMENT_SHARE`` of them, so they number at most a document's mean distinct words over
+    that share, however many documents there are, so they can go to every task, which counts them in clean documents.
     """
     spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = written(own, "labels")
     n_toxic = own.where("toxic = 1").count()
-    least = max(MIN_CONTEXTS, CONTEXT_SHARE * n_toxic)
     few = own.count() <= BROADCAST_ROWS  # 12 bytes each; beyond that both sides are shuffled
     of = lambda ids: docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
-    frequent = _toxic_words(of(own.where("toxic = 1").select("doc_id"))).where(F.col("n_contexts") >= least)
+    frequent = _toxic_words(of(own.where("toxic = 1").select("doc_id"))).where((F.col("n_contexts") >= MIN_CONTEXTS) & (F.col("n_toxic") >= DOCUMENT_SHARE * n_toxic))
     toxic = {r["word"]: r["n_toxic"] for r in frequent.select("word", "n_toxic").collect()}
     clean_docs = of(own.where("toxic <> 1").select("doc_id"))
     held = spark.sparkContext.broadcast(frozenset(toxic))
@@ -157,7 +155,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[list[str], set[st
     counts = _per_task_words(clean_docs, counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect() if toxic else []
     clean = {r["word"]: r["n"] for r in counts}
     good = [w for w, n in toxic.items() if n >= PRECISION * (n + clean.get(w, 0))]
-    terms = sorted(sorted(good, key=lambda w: (-toxic[w], w))[:MAX_TERMS])
+    terms = sorted(good)
     if not terms:
         return [], set()
 

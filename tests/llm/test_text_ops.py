@@ -265,6 +265,14 @@ def test_windows_tell_quotation():
     assert toxicity.hit_counts(plain, words, spans, {7: False}) == [1, 0, 0, 0]
 
 
+def test_lexicon_does_not_shrink_with_the_corpus(spark):
+    toxic = [(i, f"w{'abcdefghij'[i // 10 % 10] * 3} {'zorgulent' if i % 10 == 0 else 'plain'} end", 1) for i in range(3600)]
+    clean = [(i, f"w{'abcdefghij'[i % 10] * 3} plain end", 0) for i in range(3600, 3900)]
+    rows = spark.createDataFrame(toxic + clean, "doc_id long, text string, toxic int")
+    terms, _ = toxicity.learn_lexicon(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert "zorgulent" in terms  # follows 10 different words, in a tenth of about 2,700 toxic documents
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op2_toxicity(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
