@@ -17,6 +17,11 @@ Every step is a grouping by fixed-size keys with partial sums and an equi-join b
 size is never gathered. Texts longer than ``SEGMENT`` are cut into overlapping segments, which
 changes the runs but not the result. Null and short texts lose nothing; repeated rows repeat each other; a null id stays null;
 an empty table gives an empty result; further columns are ignored.
+
+``length`` bytes may be more than a short passage has, so ``shared_passages`` counts for each document, without removing them, the
+passages of words that it shares: buckets of ``GRAM`` words are refined as above from those of one word, and every stretch of ``PASSAGE``
+words is represented by its least bucket. Any stretch that repeats is counted (but one that repeats only within the words it shares a least
+bucket with, as in a text of one word over and over), and nothing that shares less than ``GRAM`` words.
 """
 
 from __future__ import annotations
@@ -27,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import table, texts, written
+from panelcast.llm.neardup import hasher
 
 LENGTH = 400
 Q = 128
 BLOCK = 8
 SEGMENT = 1 << 20
+PASSAGE, GRAM = 50, 32
 BROADCAST_ROWS = 400_000
 
 
@@ -269,9 +276,53 @@ def merged(packed, length: int):
     return lo[new], end[np.concatenate([new[1:] - 1, [len(lo) - 1]])]
 
 
-def dedup_substrings(docs: DataFrame, q: int = Q, length: int = LENGTH, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_bytes, kept (bytes), spans (removed byte ranges, ends exclusive)."""
-    rows = texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+def shared_passages(rows: DataFrame, passage: int = PASSAGE, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
+    """(key, n_passages) of the texts that share any: their runs of stretches with one least bucket that another run has as well."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        words, width = hasher(), passage - gram + 1
+
+        def found(keys, parts):
+            sizes = np.array([len(p) for p in parts])
+            offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            ids, size = np.concatenate(parts), 1
+            while size < gram:
+                step = min(size, gram - size)
+                ids = refined(ids[:-step], ids[step:])
+                size += step
+            least = sliding_min(ids, width)
+            cut = np.ones(len(least), dtype=bool)
+            cut[1:] = least[1:] != least[:-1]
+            cut[offsets] = True
+            edge = np.zeros(len(least) + 1, dtype=np.int64)
+            edge[offsets] += 1
+            np.add.at(edge, offsets + sizes - passage + 1, -1)
+            at = np.flatnonzero(cut & (np.cumsum(edge[:-1]) > 0))
+            key = np.array(keys, dtype=np.int64)[np.searchsorted(offsets, at, side="right") - 1]
+            return pa.RecordBatch.from_pydict({"key": key, "bucket": least[at].view(np.int64)})
+
+        keys, parts, total = [], [], 0
+        for b in batches:
+            for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if len(t) >= 2 * passage - 1 and len(h := words(t)) >= passage:
+                    keys.append(k)
+                    parts.append(h)
+                    total += len(h)
+                    if total >= segment:
+                        yield found(keys, parts)
+                        keys, parts, total = [], [], 0
+        if parts:
+            yield found(keys, parts)
+
+    prints = written(rows.select("key", "text").mapInArrow(run, "key long, bucket long"), "passages")
+    twice = written(prints.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared-passages")
+    return prints.join(twice, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n_passages"))
+
+
+def _deduped(rows: DataFrame, q: int, length: int, segment: int, block: int) -> DataFrame:
     packed = F.shiftleft("lo", 20) + (F.col("hi") - F.col("lo"))  # a stretch is shorter than a segment
     spans = written(repeated_places(rows, q, length, segment, block).groupBy("key").agg(F.collect_set(packed).alias("runs")), "spans")
     keys = spans.select("key")
@@ -287,14 +338,28 @@ def dedup_substrings(docs: DataFrame, q: int = Q, length: int = LENGTH, segment:
                 kept.append(b"".join(raw[i:j] for i, j in zip([0, *ends], [*starts, len(raw)], strict=True)))
                 cuts.append([{"start": i, "end": j} for i, j in zip(starts, ends, strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes"), "kept": pa.array(kept, pa.binary()), "spans": pa.array(cuts, kind)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "key": b.column("key"), "n_bytes": b.column("n_bytes"), "kept": pa.array(kept, pa.binary()), "spans": pa.array(cuts, kind)})
 
-    joined = _only(rows, keys, "left_semi").join(spans, "key").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "runs")
-    changed = joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
-    whole = _only(rows, keys, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "UTF-8").alias("kept"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+    joined = _only(rows, keys, "left_semi").join(spans, "key").select("doc_id", "key", n_bytes, "text", "runs")
+    changed = joined.mapInArrow(run, "doc_id long, key long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    whole = _only(rows, keys, "left_anti").select("doc_id", "key", n_bytes, F.encode("text", "UTF-8").alias("kept"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
     return changed.unionByName(whole)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def dedup_substrings(docs: DataFrame, q: int = Q, length: int = LENGTH, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_bytes, kept (bytes), spans (removed byte ranges, ends exclusive)."""
+    return _deduped(_keyed(docs), q, length, segment, block).drop("key")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rows = _keyed(table(spark, sf_dir, "documents"))
+    out = _deduped(rows, Q, LENGTH, SEGMENT, BLOCK)
+    digest = out.select("doc_id", "key", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passages = written(shared_passages(rows), "passage-counts")
+    digest = digest.join(F.broadcast(passages) if passages.count() <= BROADCAST_ROWS else passages.hint("merge"), "key", "left")
+    return digest.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))

@@ -320,3 +320,21 @@ def test_pipeline_stages_take_effect(spark):
     assert p.run(spark, SF).count() > 0
 
 
+
+
+def test_shared_passages_are_guaranteed(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [[word() for _ in range(n)] for n in (50, 51, 64, 90, 31)]
+    rows = []
+    for i in range(60):
+        body = [word() for _ in range(rng.randint(0, 200))]
+        if i < 25:
+            at = rng.randint(0, len(body))
+            body[at:at] = shared[i % 5]
+        rows.append((i, " ".join(body)))
+    keyed = substrings._keyed(odd_docs(spark, [*rows, (90, None), (91, "")]))
+    keys = {r["key"]: r["doc_id"] for r in keyed.collect()}
+    for segment in (1 << 20, 300):
+        got = {keys[r["key"]] for r in substrings.shared_passages(keyed, segment=segment).collect()}
+        assert got == {i for i in range(25) if i % 5 < 4}
