@@ -44,21 +44,38 @@ class Trie:
 
     def __init__(self, terms):
         self.root: dict = {}
-        self.longest = max(map(len, terms), default=0)
         self.terms = set(terms)
+        self.pieces = self._pieces()
         for t in terms:
             node = self.root
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
 
+    def _pieces(self) -> dict[int, list[tuple[int, int, set[str]]]]:
+        """Word length -> slices of a word and the strings one of which must stand in one of them.
+
+        A term of k edits is cut into k + 1 pieces, one of which the edits leave whole: the first at its place, the last at its
+        distance from the end, or a middle one with an edit on either side.
+        """
+        found: dict[int, dict[tuple[int, int], set[str]]] = {}
+        for t in self.terms:
+            k, n = allowed(t), len(t)
+            for m in range(n - k, n + k + 1):
+                for i in range(k + 1):
+                    a, b = n * i // (k + 1), n * (i + 1) // (k + 1)
+                    for d in (0,) if i == 0 else (m - n,) if i == k else (d for d in (-1, 0, 1) if abs(m - n - d) <= 1):
+                        if 0 <= a + d and b + d <= m:
+                            found.setdefault(m, {}).setdefault((a + d, b + d), set()).add(t[a:b])
+        return {m: [(a, b, strings) for (a, b), strings in slices.items()] for m, slices in found.items()}
+
     def near(self, word: str) -> str | None:
         """A term within its allowed edits of the word (the fewest edits, then the first in order), or None.
 
         The automaton's states are bit sets, one for each number of edits: bit i says that i letters of the word are read.
         """
         m = len(word)
-        if m > self.longest + 2 or m < 4:
+        if m < 4 or not any(word[a:b] in strings for a, b, strings in self.pieces.get(m, ())):
             return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -195,8 +212,9 @@ def hits(docs: DataFrame, terms: list[str], clean: set[str]) -> DataFrame:
         import math
 
         trie = Trie(terms)
-        finditer, known = re.compile(WORD).finditer, {}
-        find = re.compile(WORD).findall
+        finditer, find = re.compile(WORD).finditer, re.compile(WORD).findall
+        known: dict[str, int] = {}
+        other: set[str] = set()
 
         def kind(w: str) -> int:
             """0: no term, 1: a term, 2: near one."""
@@ -210,14 +228,14 @@ def hits(docs: DataFrame, terms: list[str], clean: set[str]) -> DataFrame:
                 low = text.lower()
                 words = find(low)
                 kinds = {}
-                for w in set(words):
-                    k = known.get(w)
-                    if k is None:
-                        if len(known) > 1_000_000:
-                            known.clear()
-                        k = known[w] = kind(w) if terms else 0
+                if len(other) > 1_000_000:
+                    other.clear()
+                for w in set(words) - other if terms else ():
+                    k = known.get(w) or kind(w)
                     if k:
-                        kinds[w] = k
+                        kinds[w] = known[w] = k
+                    else:
+                        other.add(w)
                 if not kinds:
                     rows.append((0.0,) * 5)
                     continue
