@@ -1,16 +1,19 @@
 """Line dedup by winnowing over line hashes.
 
-A document is its sequence of lines with a word, each trimmed and hashed. In every window of ``window`` such lines the
-least hash (the last of equal ones) is a fingerprint, so any repeated run of that many lines has one in both copies, and
-neighbouring fingerprints of a run are less than a window apart. Each fingerprint is joined to its first place
-in the corpus, in order of id and line; the match is extended both ways as far as the lines agree, up to a
-window, which reaches the next fingerprint of the run; all later copies of the run are deleted if
-the run has at least ``min_words`` words. Shorter runs that hold a fingerprint are deleted likewise.
-
-A hot line costs one row per map task and fingerprint in the search for first places; the join back
-is an ordinary equi-join that adaptive execution can split, and no group is gathered. Null and empty texts have no lines and are returned empty;
-rows equal in id and text count as one row and are treated alike; a null id sorts first; an empty
-table gives an empty result; further columns are ignored by ``dedup_lines`` and kept by ``drop_repeated``.
+A document is its sequence of lines with a word, each trimmed and hashed. A line is deleted if it lies in a later copy of a run: a stretch of
+``window`` lines or more, or one line of ``long_words`` words or more, that also stands at an earlier place, in order of id and line. A document
+of fewer lines than a window is one window. What is deleted in one stretch must have ``min_words`` words, else it stays.
+
+1. Winnowing: in every window the least hash (the last of equal ones) is a fingerprint, so both copies of a run have the same ones; long
+   lines are fingerprints of their own. Fingerprints that stand at one place only leave here.
+2. Positions of the others are joined by their extension: the match is extended both ways over the windows in which the line is the
+   fingerprint. The windows of a run follow one another, so their union is the whole run.
+3. Each extension's first place stays; at every later place its lines are deleted.
+
+A hot line costs one row per map task and extension in the search for first places; the joins back
+are ordinary equi-joins that adaptive execution can split, and no group is gathered. Null and empty texts have no lines and are returned empty;
+texts of any length are one row each; of equal lines at one place (rows equal in id and text, which count as one row and are treated alike) none is later; a null id
+sorts first; an empty table gives an empty result; further columns, whatever their names, are ignored by ``dedup_lines`` and kept by ``drop_repeated``.
 """
 
 from __future__ import annotations
@@ -22,62 +25,65 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import per_text, table, written
 
-WINDOW = 2
+WINDOW = 3
 MIN_WORDS = 5
+LONG_WORDS = 10
+BROADCAST_ROWS = 400_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def winnowed(hashes: list[int], window: int) -> list[int]:
-    """Places of the least hash of every window, the last of equal ones; one window if there are fewer lines."""
-    n = len(hashes)
-    return sorted({min(range(a, min(n, a + window)), key=lambda i: (hashes[i], -i)) for a in range(max(1, n - window + 1) if n else 0)})
+def winnowed(hashes: list[int], window: int) -> dict[int, list[tuple[int, int]]]:
+    """Fingerprint -> the windows (first line, line after the last) whose least hash it is, the last of equal ones; one window if there are fewer lines."""
+    n, out = len(hashes), {}
+    for a in range(max(1, n - window + 1) if n else 0):
+        z = min(n, a + window)
+        out.setdefault(min(range(a, z), key=lambda i: (hashes[i], -i)), []).append((a, z))
+    return out
 
 
-def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, hash, at, context): the fingerprint's place among the lines and the hashes of the lines around it, 0 past the ends."""
+def fingerprints(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, key, hash, at, spans): a fingerprint, its place among the lines and its extensions, each with its first and last line and a hash of all its lines."""
 
     def make():
         import hashlib
 
+        def number(raw: bytes) -> int:
+            return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
         def run(batch):
             out = []
             for text in batch:
-                h = [int(hashlib.md5(s.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16) for x in text.split("\n") if (s := x.strip(SPACES))]
-                wide = [0] * window + h + [0] * window
-                out.append([{"hash": h[i], "at": i, "context": wide[i : i + 2 * window + 1]} for i in winnowed(h, window)])
+                kept = [s for x in text.split("\n") if (s := x.strip(SPACES))]
+                h = [number(s.encode("utf-8", "surrogatepass")) for s in kept]
+                spans = winnowed(h, window)
+                for i, s in enumerate(kept):
+                    if s.count(" ") + 1 >= long_words or len(WORD.findall(s)) >= long_words:
+                        spans.setdefault(i, []).append((i, i + 1))
+                row = []
+                for i, found in spans.items():
+                    each = {(a, z): number(b"".join(v.to_bytes(8, "little", signed=True) for v in h[a:z])) if z > a + 1 else h[a] for a, z in found}
+                    row.append({"hash": h[i], "at": i, "spans": [{"a": a, "b": z - 1, "run": v} for (a, z), v in each.items()]})
+                out.append(row)
             return {"f": out}
 
         return run
 
-    found = per_text(docs, make, "f array<struct<hash:bigint,at:int,context:array<bigint>>>", ("key",))
+    found = per_text(docs, make, "f array<struct<hash:bigint,at:int,spans:array<struct<a:int,b:int,run:bigint>>>>", ("key",))
     return found.select("doc_id", "key", F.explode("f").alias("f")).select("doc_id", "key", "f.*")
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, runs): per document the stretches of lines, first and last, that agree with an earlier place."""
-    prints = fingerprints(docs, window)
-    place = F.struct("doc_id", "key", "at")
-    first = prints.groupBy("hash").agg(F.min(F.struct(place.alias("place"), "context")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    first = written(first, "first-places")  # a table of its own, so that the join's two sides are dealt by it and a hot hash can be split
-    later = prints.join(first, "hash").where(~place.eqNullSafe(F.col("first.place")))
-
-    def extent(step: int):
-        same = F.lit(True)
-        out = F.lit(0)
-        for k in range(1, window + 1):
-            i = window + step * k
-            same &= (F.col("context")[i] == F.col("first.context")[i]) & (F.col("context")[i] != 0)
-            out += same.cast("int")
-        return out
-
-    spans = later.select("key", F.struct((F.col("at") - extent(-1)).alias("a"), (F.col("at") + extent(1)).alias("b")).alias("run"))
-    return spans.groupBy("key").agg(F.collect_set("run").alias("runs"))  # at most a document's lines
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return plain.withColumn("key", F.xxhash64("doc_id", "text"))
+def repeated_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """(key, runs): per document the stretches of lines, first and last, that also stand at an earlier place."""
+    prints = written(fingerprints(docs, window, long_words), "fingerprints")
+    # Tables that are joined back are written first: both sides of the join are then dealt by it, and a hot line can be split.
+    shared = written(prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared-lines")
+    spans = prints.join(shared, "hash", "left_semi").select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", "s.*")
+    spans = written(spans, "extensions")
+    place = F.struct("doc_id", "key", "a")
+    first = spans.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    later = spans.join(written(first, "first-places"), "run").where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"))  # at most twice as many as a document's lines
 
 
 def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, int, int]:
@@ -99,31 +105,44 @@ def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[st
     return "\n".join(x for i, x in enumerate(rows) if i not in drop), len(place), len(drop)
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """Per document: doc_id, text (what is left), n_lines, n_removed."""
-    return _cut(_keyed(docs), window, min_words).select("doc_id", "text", "n_lines", "n_removed")
+    return _cut(docs.select("doc_id", "text"), window, min_words, long_words).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_lines", "n_removed")
 
 
-def _cut(rows: DataFrame, window: int, min_words: int, more: tuple[str, ...] = ()) -> DataFrame:
-    def make():
+def _cut(docs: DataFrame, window: int, min_words: int, long_words: int) -> DataFrame:
+    """doc_id (long), text, n_lines, n_removed and ``rest``, all columns of ``docs``. Only texts with runs are shuffled to them."""
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"), F.struct("*").alias("rest"))
+    runs = written(repeated_runs(docs.select(doc_id, text, F.xxhash64(F.col("doc_id").cast("long"), text).alias("key")), window, long_words), "runs")
+    keys = runs.select("key")
+    keys = F.broadcast(keys) if runs.count() <= BROADCAST_ROWS else keys.hint("merge")  # 8 bytes each
+
+    def lined():
+        def run(batch):
+            return {"n_lines": [sum(1 for x in t.split("\n") if x.strip(SPACES)) for t in batch]}
+
+        return run
+
+    def cut():
         def run(batch):
-            got = [cut_text(t, [(r["a"], r["b"]) for r in j or ()], min_words) for t, j in zip(*batch, strict=True)]
-            return {"_text": [g[0] for g in got], "n_lines": [g[1] for g in got], "n_removed": [g[2] for g in got]}
+            got = [cut_text(t, [(r["a"], r["b"]) for r in j], min_words) for t, j in zip(*batch, strict=True)]
+            return {"cut": [g[0] for g in got], "n_lines": [g[1] for g in got], "n_removed": [g[2] for g in got]}
 
         return run
 
-    joined = rows.join(repeated_runs(rows.select("doc_id", "text", "key"), window), "key", "left")
-    cut = per_text(joined, make, "_text string, n_lines long, n_removed long", more, ("text", "runs"))
-    return cut.withColumnRenamed("_text", "text")
+    plain = lambda df, *more: df.select(F.col("rest.doc_id").cast("long").alias("doc_id"), F.coalesce("rest.text", F.lit("")).alias("text"), "rest", *more)
+    changed = per_text(plain(rows.join(keys, "key", "left_semi").join(runs, "key"), "runs"), cut, "cut string, n_lines long, n_removed long", ("rest",), ("text", "runs"))
+    whole = per_text(plain(rows.join(keys, "key", "left_anti")), lined, "n_lines long", ("rest",))
+    whole = whole.select("doc_id", F.col("rest.text").alias("text"), "n_lines", F.lit(0).cast("long").alias("n_removed"), "rest")
+    return changed.select("doc_id", F.col("cut").alias("text"), "n_lines", "n_removed", "rest").unionByName(whole)
 
 
-def drop_repeated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with all its columns; the text has lost its later repeated runs, and n_chars, where there is one, its length."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("text").isNull().alias("_null"), *rest).alias("_rest")).withColumn("key", F.xxhash64("doc_id", "text"))
-    cut = _cut(carried, window, min_words, ("_rest",))
-    text = F.when(~F.col("_rest._null"), F.col("text"))
-    return cut.select(*[text.alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
+def drop_repeated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """``docs`` with all its columns; the text has lost its later repeated runs (a null one stays null), and n_chars, where there is one, is its length."""
+    cut = _cut(docs, window, min_words, long_words)
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
+    return cut.select(*[(made[c] if c in made else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,18 +152,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 r AS (SELECT doc_id, rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-l AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS p,
-             ('0x' || substr(md5(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13)))), 1, 15))::BIGINT AS h,
+l AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS p, count(*) OVER (PARTITION BY rid) AS n_lines,
+             trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS h,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
       FROM r WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-c AS (SELECT *, lag(h) OVER w AS l1, lag(h, 2) OVER w AS l2, lead(h) OVER w AS r1, lead(h, 2) OVER w AS r2
-      FROM l WINDOW w AS (PARTITION BY rid ORDER BY p)),
-f AS (SELECT * FROM c WHERE (l1 IS NULL AND r1 IS NULL) OR h <= l1 OR h < r1),
-o AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM f),
-x AS (SELECT b.rid, b.p - CASE WHEN b.l1 = a.l1 THEN CASE WHEN b.l2 = a.l2 THEN 2 ELSE 1 END ELSE 0 END AS lo,
-             b.p + CASE WHEN b.r1 = a.r1 THEN CASE WHEN b.r2 = a.r2 THEN 2 ELSE 1 END ELSE 0 END AS hi
-      FROM o a JOIN o b ON a.h = b.h AND a.k = 1 AND b.k > 1),
-g AS (SELECT DISTINCT rid, unnest(range(lo, hi + 1)) AS p FROM x),
+w AS (SELECT doc_id, rid, p AS a, least(p + 2, n_lines) AS b, run
+      FROM (SELECT *, concat_ws(chr(10), h, lead(h) OVER v, lead(h, 2) OVER v) AS run FROM l WINDOW v AS (PARTITION BY rid ORDER BY p))
+      WHERE p = 1 OR p + 2 <= n_lines
+      UNION SELECT doc_id, rid, p, p, h FROM l WHERE n >= 10),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS k FROM w),
+g AS (SELECT DISTINCT rid, unnest(range(a, b + 1)) AS p FROM o WHERE k > 1),
 s AS (SELECT l.rid, l.p, l.i, l.n, l.p - row_number() OVER (PARTITION BY l.rid ORDER BY l.p) AS island FROM g JOIN l USING (rid, p)),
 gone AS (SELECT rid, i FROM (SELECT *, sum(n) OVER (PARTITION BY rid, island) AS total FROM s) WHERE total >= 5),
 kept AS (SELECT r.rid, string_agg(r.line, chr(10) ORDER BY r.i) AS text FROM r ANTI JOIN gone USING (rid, i) GROUP BY r.rid)
