@@ -1,10 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, DataFrame functions only.
 
 A test item is found in a document that holds at least ``threshold`` of its distinct five-word shingles, however long
-the document is. Items are partitioned by size (powers of two of their shingle counts). An item's
-sketch is its ``k`` least MinHash values, where ``k`` is one more than the shingles that an item of the partition's upper
-size may miss: a document that passes must hold one of them, so the search loses nothing. Documents probe the sketches with
-all their shingles; each candidate pair is then verified by exact shingle containment.
+the document is. The MinHash value of a shingle is its 64-bit key. Items are partitioned by size (powers of two of their shingle
+counts). An item's sketch is its ``k`` least MinHash values, where ``k`` is one more than the shingles that an item of the
+partition's upper size may miss: a document that passes must hold one of them, so the search loses nothing. A document's sketch is all
+its MinHash values up to the largest one in any item's sketch; the two meet on equal values, and
+each candidate pair is then verified by exact shingle containment. Sketches of a fixed number of values would not do for documents: a
+short item's Jaccard similarity with a long document is far below what bands can find.
 
 Words are maximal runs of letters and digits of the lower-cased text. Items and documents of under
 five words have no shingle and match nothing, as do null texts. Rows equal in id and text count once;
@@ -47,8 +49,7 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sized = items.where(F.size("shingles") > 0).withColumn("partition", F.floor(F.log2(F.size("shingles"))))
     upper = F.pow(F.lit(2), F.col("partition") + 1) - 1
     k = (F.floor(upper * (1 - threshold) + 1e-9) + 1).cast("int")
-    ordered = F.sort_array(F.transform("shingles", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s"))))
-    return sized.select("item_key", F.explode(F.transform(F.slice(ordered, F.lit(1), k), lambda x: x["s"])).alias("shingle"))
+    return sized.select("item_key", F.explode(F.slice(F.sort_array("shingles"), F.lit(1), k)).alias("shingle"))
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -60,8 +61,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     """doc_key, doc_id, item_id, n_shingles (of the item), n_shared, containment of each pair at or over the threshold."""
     items = written(with_shingles(keyed(benchmark, "item_id", "item_key").distinct()).withColumn("shingles", F.array_distinct("shingles")), "items")
     rows = keyed(docs, "doc_id", "doc_key")
-    probe = with_shingles(rows.drop("doc_id")).select("doc_key", F.explode_outer("shingles").alias("shingle"))  # outer: else Spark filters on the array first and so computes it twice
-    found = written(probe.join(bounded(written(sketches(items, threshold), "sketches")), "shingle").select("doc_key", "item_key").distinct(), "candidates")
+    sketch = written(sketches(items, threshold), "sketches")
+    largest = F.lit(sketch.agg(F.max("shingle")).first()[0]).cast("long")
+    low = F.filter("shingles", lambda s: s <= largest)
+    probe = with_shingles(rows.drop("doc_id")).select("doc_key", F.explode_outer(low).alias("shingle"))  # outer: else Spark filters on the array first and so computes it twice
+    found = written(probe.join(bounded(sketch), "shingle").select("doc_key", "item_key").distinct(), "candidates")
     chosen = rows.join(bounded(written(found.select("doc_key").distinct(), "keys")), "doc_key", "left_semi").distinct()
     pairs = with_shingles(chosen).join(found, "doc_key").join(items.withColumnRenamed("shingles", "_item"), "item_key")
     counted = pairs.select("doc_key", "doc_id", "item_id", F.size("_item").cast("long").alias("n_shingles"), F.size(F.array_intersect("_item", "shingles")).cast("long").alias("n_shared"))
