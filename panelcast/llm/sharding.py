@@ -12,11 +12,12 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import table, texts
+from panelcast.llm.common import shared_dir, table, texts
 
 N_SLOTS = 8192
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, n_rows long"
@@ -77,12 +78,12 @@ def rebalance(rows: list[tuple], n_shards: int) -> list[tuple]:
 
 def store_map(spark: SparkSession, rows: list[tuple], path: str) -> None:
     """Append one version of the map to the table at ``path``."""
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)  # at most n_slots rows
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """One version of the map, the newest if none is named."""
-    maps = spark.read.parquet(path)
+    maps = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
         version = maps.agg(F.max("version")).first()[0]
     return maps.where(F.col("version") == version)
@@ -100,12 +101,14 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(starts), "virtual_slot").select(*rows.columns, "shard", (F.col("_start") + rank).cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard, slot of every row, by a new map."""
+def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard, slot of every row by version 1 of a new map, stored at ``path`` (by default a new folder among the shared ones) and read from there."""
     spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/panelcast/slot-map-{uuid.uuid4().hex}"
     rows = slotted(docs, n_slots)
     sizes = [tuple(r) for r in slot_sizes(rows).collect()]  # at most n_slots rows
-    return assign(rows, spark.createDataFrame(build_map(sizes, n_shards), MAP_SCHEMA))
+    store_map(spark, build_map(sizes, n_shards), path)
+    return assign(rows, load_map(spark, path, 1))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
