@@ -3,20 +3,24 @@
 A document is its token ids and a closing id 0; only those longer than a sequence are cut, the first
 piece being the shorter. How pieces share sequences depends on lengths alone, so the driver plans over the counts of
 at most ``size`` lengths, however many documents there are: a best-fit-decreasing plan is the first incumbent, and
-branch and bound fills the bin of the largest piece left with undominated fillings, fullest first, each as often as the counts allow,
-pruning where the waste so far and the lower bound of the rest can't beat the incumbent. The search
-looks at ``nodes`` nodes at most and then keeps its incumbent. Executors then place every piece: its rank among
-those of its length selects the filling, and with it the sequence and the place.
+branch and bound fills the bin of the largest piece left with undominated fillings of any number of pieces, fullest first: each as often
+as the counts allow, then once. It prunes where the waste so far and the lower bound of the rest can't beat the incumbent, and ends at
+the bound. A dive down to a whole plan takes a node a length at most; beyond that the search looks at ``nodes``
+nodes, and at ``steps`` partial fillings a node, and then keeps its incumbent. With both None it is exact. Executors then place
+every piece: its rank among those of its length selects the filling, and with it the sequence and the place.
 
 A null or empty text is one piece of length 1 (the closing id); a null id stays null; repeated rows
-are packed each; an empty table gives an empty result; further columns are ignored. Token ids are
-those of the ``byte_bpe_50k`` vocabulary; control strings in texts are ordinary text.
+are packed each; pieces of one length are ranked by id, piece and checksum, equal ones in any order; a text of any length is cut into
+as many pieces as it needs; an empty table gives an empty result; further columns are ignored. Token ids are
+those of the ``byte_bpe_50k`` vocabulary; its own added tokens in texts are their ids, as its tokenizer has it.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,19 +28,19 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import per_text, table, texts, written
 
 SIZE = 2048
-NODES = 400
-WIDTH = 8
+NODES = 2000
+STEPS = 400
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """Ranks of the vocabulary and its word pattern."""
+def tokenizer_files() -> tuple[str, str, str]:
+    """Ranks of the vocabulary, its word pattern, and the tokenizer's own file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(ranks_path: str, pattern: str):
-    """text -> ids, without special tokens. The ranks are the same vocabulary as byte_bpe_50k.json and give the same ids, several times faster."""
+def encoder(ranks_path: str, pattern: str, tokenizer_path: str):
+    """text -> ids, without special tokens of its own. The ranks are the same vocabulary as the tokenizer's and give the same ids, several times faster."""
     import base64
 
     import numpy as np
@@ -44,18 +48,20 @@ def encoder(ranks_path: str, pattern: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: enc.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+    with open(tokenizer_path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    enc = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks={k: v for k, v in ranks.items() if v not in added.values()}, special_tokens=added)
+    return lambda text: enc.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
 
-def pieces(docs: DataFrame, size: int = SIZE, with_ids: bool = False, files: tuple[str, str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE, with_ids: bool = False, files: tuple[str, str, str] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian 32-bit, if wanted) of every piece."""
-    path, pattern = files or tokenizer_files()
+    files = files or tokenizer_files()
 
     def make():
         import numpy as np
 
-        encode = encoder(path, pattern)
+        encode = encoder(*files)
 
         def run(batch):
             out = []
@@ -76,6 +82,8 @@ def lower_bound(counts: dict[int, int], size: int) -> int:
     """Sequences that any packing needs: by total length, and by pieces that can't share with the larger ones."""
     total = sum(x * n for x, n in counts.items())
     best = -(-total // size)
+    if not counts:
+        return 0
     lengths = sorted(counts, reverse=True)
     for k in [x for x in lengths if 2 * x <= size][:1] + [x for x in lengths if 2 * x <= size][-1:]:
         big = sum(n for x, n in counts.items() if x > size - k)
@@ -112,58 +120,86 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
     return [(tuple(lengths), m) for groups in open_.values() for lengths, m in groups]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, ...]]:
-    """Undominated ways, fullest first, to fill ``room`` beside the largest piece with up to three pieces.
-
-    For a choice of the larger pieces only the largest last one is kept: any shorter one is dominated by it.
-    """
+def dominated(fill: tuple[int, ...], left: dict[int, int], up: list[int], slack: int) -> bool:
+    """Whether one unused piece can take the place of one or two of the filling's, being no smaller: the other filling leaves less behind."""
     import bisect
 
-    up = lengths[::-1]
+    small = sorted(set(fill))
+    pairs = {a + b for i, a in enumerate(fill) for b in fill[i + 1 :]}
+    for total, least in [(e, e + 1) for e in small] + [(e, e) for e in pairs]:
+        for s in up[bisect.bisect_left(up, least) : bisect.bisect_right(up, total + slack)]:
+            if left[s] > fill.count(s):
+                return True
+    return False
 
-    def largest(most: int, used: tuple[int, ...]) -> int | None:
-        i = bisect.bisect_right(up, most) - 1
-        while i >= 0 and counts[up[i]] <= used.count(up[i]):
-            i -= 1
-        return up[i] if i >= 0 else None
-
-    one = largest(room, ())
-    if one is None:
-        return [()]
-    found = {(one,)}
-    for b in up[max(0, bisect.bisect_right(up, room) - 64) : bisect.bisect_right(up, room)]:
-        if (c := largest(min(b, room - b), (b,))) is not None:
-            found.add((b, c))
-            if (d := largest(min(c, room - b - c), (b, c))) is not None:
-                found.add((b, c, d))
-    return sorted(found, key=lambda s: (-sum(s), len(s)))[:WIDTH]
 
+def fillings(left: dict[int, int], room: int, steps: int | None = STEPS) -> list[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` with any number of the pieces ``left``, fullest first; of the first ``steps`` partial ones looked at, larger pieces first."""
+    import bisect
 
-def plan(counts: dict[int, int], size: int = SIZE, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    up = sorted(x for x in left if x <= room)
+    found: set[tuple[int, ...]] = set()
+
+    def extend(fill: tuple[int, ...], used: int, most: int) -> bool:
+        """Whether the search goes on."""
+        nonlocal steps
+        if steps is not None:
+            steps -= 1
+        fits = False
+        for i in range(bisect.bisect_right(up, min(most, room - used)) - 1, -1, -1):
+            x = up[i]
+            if left[x] > fill.count(x):
+                fits = True
+                if not extend((*fill, x), used + x, x):
+                    return False
+        if not fits and (least := next((x for x in up if left[x] > fill.count(x)), room)) + used <= room and least > most:
+            return True  # a larger piece still fits: that filling is found with it placed first
+        if not fits:
+            if not dominated(fill, left, up, room - used):
+                found.add(fill)
+            if used == room and steps is not None and len(found) >= 8:
+                return False  # as good as can be
+        return steps is None or steps > 0
+
+    extend((), 0, room)
+    return sorted(found, key=lambda f: (-sum(f), len(f))) or [()]
+
+
+def plan(counts: dict[int, int], size: int = SIZE, nodes: int | None = NODES, steps: int | None = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how often each is used, covering ``counts`` (length -> pieces) exactly."""
     counts = {x: n for x, n in counts.items() if n > 0}
     if not counts:
         return []
     incumbent = best_fit(counts, size)
     best, bound = sum(m for _, m in incumbent), lower_bound(counts, size)
-    stack: list[tuple[dict[int, int], list, int]] = [(counts, [], 0)]
-    while stack and best > bound and nodes > 0:
-        left, done, used = stack.pop()
-        nodes -= 1
-        if not left:
-            if used < best:
-                incumbent, best = done, used
+
+    def branches(left: dict[int, int]) -> Iterator[tuple]:
+        top = max(left)
+        patterns = [(top, *f) for f in fillings(left | {top: left[top] - 1}, size - top, steps)]
+        most = [min(left[x] // p.count(x) for x in set(p)) for p in patterns]
+        for p, m in [*zip(patterns, most, strict=True), *((p, 1) for p, m in zip(patterns, most, strict=True) if m > 1)]:
+            child = {x: n - m * p.count(x) for x, n in left.items()}
+            yield p, m, {x: n for x, n in child.items() if n}
+
+    limit = math.inf if nodes is None else nodes + len(counts)
+    stack, path, used = [branches(counts)], [], 0
+    while stack and best > bound and limit > 0:
+        branch = next(stack[-1], None)
+        if branch is None:
+            stack.pop()
+            used -= path.pop()[1] if path else 0
             continue
-        if used + lower_bound(left, size) >= best:  # the waste of a better packing is already spent
+        pattern, m, left = branch
+        limit -= 1
+        if used + m + lower_bound(left, size) >= best:  # the waste of a better packing is already spent
             continue
-        lengths = sorted(left, reverse=True)
-        top = lengths[0]
-        rest = left | {top: left[top] - 1}
-        for fill in reversed(fillings(rest, lengths, size - top)):
-            pattern = (top, *fill)
-            m = min(left[x] // pattern.count(x) for x in set(pattern))
-            child = {x: n - m * pattern.count(x) for x, n in left.items()}
-            stack.append(({x: n for x, n in child.items() if n}, [*done, (pattern, m)], used + m))
+        path.append((pattern, m))
+        used += m
+        if left:
+            stack.append(branches(left))
+        else:
+            incumbent, best = list(path), used
+            used -= path.pop()[1]
     return incumbent
 
 
@@ -215,11 +251,11 @@ def place(cut: DataFrame, rows: list[tuple], n_pieces: int) -> DataFrame:
     return ranked.select(*kept, "_rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, size: int = SIZE, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, nodes: int | None = NODES, steps: int | None = STEPS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     cut = written(pieces(docs, size), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
-    return place(cut, layout(plan(counts, size, nodes)), sum(counts.values()))
+    return place(cut, layout(plan(counts, size, nodes, steps)), sum(counts.values()))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
