@@ -2,9 +2,9 @@
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters of the lower-cased text; a shingle is
 five of them (a text of one to four words is one shingle of all of them). A shingle weighs its count in the text times its
-inverse document frequency, taken over ``2**20`` hashed features of all documents, as Spark's own HashingTF and IDF do. Its
-curve is flat up to a ``COMMON`` share of the documents and falls to ``FLOOR``: rare shingles, which identify a text,
-weigh alike, and a feature's collisions (a few shingles of a document in a million features) never reach the flat part's end.
+inverse document frequency, taken over ``2**20`` hashed features of all documents, as Spark's own HashingTF and IDF do: log(N / df) / log(N),
+smoothed to run from 1 (one document) to ``FLOOR`` (all documents), so that what a group of very many copies shares still
+outweighs the few words that one of them has changed.
 
 1. Equal texts are one node. ICWS gives each node 48 samples; 4 together are a band key. Two texts of weighted
    Jaccard similarity 0.8 share one of the 12 bands with probability 0.998, at 0.85 with 0.9998.
@@ -13,7 +13,8 @@ weigh alike, and a feature's collisions (a few shingles of a document in a milli
 3. Each pair is verified by its exact weighted Jaccard similarity; only pairs that pass join.
 4. Classes are the connected components.
 
-A bucket of more than ``BLOCK`` nodes is dealt into parts, and each two parts that are not of one class meet in a task. Texts without
+A bucket of more than ``BLOCK`` nodes is dealt into parts, and each two parts that are not of one class meet in a task. Texts of any
+length are hashed in segments of a MB. Of equal similarities any pair may go first, as classes don't depend on it. Texts without
 words are near-duplicates of equal texts only, null texts of empty ones; repeated rows share a class; null ids stay null;
 an empty table gives an empty result; further columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
@@ -32,7 +33,7 @@ WORDS = 5
 THRESHOLD = 0.8
 FEATURES = 1 << 20
 SLICE = 1 << 10
-COMMON, FLOOR = 0.05, 0.5
+FLOOR = 0.7
 BANDS, ROWS = 12, 4
 BLOCK = 1000
 BROADCAST_ROWS = 400_000
@@ -111,8 +112,8 @@ def idf(df, n_docs: int):
     """Weight of features from the documents that hold them."""
     import numpy as np
 
-    share = np.maximum(df, 1) / max(n_docs, 1)
-    return np.clip(np.log(share) / np.log(COMMON), FLOOR, 1.0).astype(np.float32)
+    n = max(n_docs, 2)
+    return (FLOOR + (1 - FLOOR) * np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.float32)
 
 
 def document_frequencies(rows: DataFrame, features: int = FEATURES):
@@ -389,23 +390,23 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD, features: int = FEATU
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class) and class_size."""
     found = written(classes(texts(docs).withColumn("node", F.xxhash64("text")), **options), "classes")
-    by = found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    by = written(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")  # a table, so that the join can split a hot class
     return found.join(by, "label").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns: one of each class, that of the least id (of equal ids, the least text hash; of equal rows, any)."""
+    """The rows of ``docs``, all columns: one of each class, that of the least id (of equal ids, the least text hash; of rows equal in both, any)."""
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     found = written(classes(texts(docs).withColumn("node", F.xxhash64("text")), **options), "classes")
     rows = found.groupBy("label", "doc_id", "node").agg(F.count("*").alias("n"))
     first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "node", "n")).alias("f")).select(F.xxhash64("f.doc_id", "f.node").alias("_key"), "f.n")
     first = written(first, "kept")
     small = first.count() <= BROADCAST_ROWS
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), node))
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), node).alias("_key"))  # one struct: no column's name can clash
     pick = lambda keys: keyed.join(F.broadcast(keys) if small else keys.hint("merge"), "_key", "left_semi")
     once = pick(first.where("n = 1").select("_key"))
-    again = pick(first.where("n > 1").select("_key")).dropDuplicates(["_key"])  # rows repeated whole
-    return once.unionByName(again).select(*docs.columns)
+    again = pick(first.where("n > 1").select("_key")).dropDuplicates(["_key"])  # rows of one id and text
+    return once.unionByName(again).select("_row.*")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
