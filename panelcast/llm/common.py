@@ -14,13 +14,15 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a new local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session on one machine (tests) gets a new one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-panelcast-", dir="/tmp")
+        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-panelcast-")
     return _fallback[app]
 
 
