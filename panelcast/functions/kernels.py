@@ -7,24 +7,23 @@ import math
 import numpy as np
 
 
-def phi_block(values: np.ndarray, lookback: int, cadence: int, t0: int = 0, most: int = 8) -> np.ndarray:
-    """Feature rows of consecutive values whose first step is t0: six statistics, lags, spectrum, phase. Rows with a short history hold NaN."""
-    n, b = len(values), min(most, max(lookback - 1, 1))
-    wide = np.concatenate([np.full(lookback - 1, np.nan), values])
-    win = np.lib.stride_tricks.sliding_window_view(wide, lookback)
-    t = t0 + np.arange(n)
-    step = np.abs(np.diff(win, axis=1))
-    with np.errstate(all="ignore"):
-        import warnings
-
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore", RuntimeWarning)
-            stats = [np.nanmean(win, 1), np.nanstd(win, 1), np.nanmin(win, 1), np.nanmax(win, 1), np.nanmean(step, 1) if lookback > 1 else np.full(n, np.nan)]
-    trend = np.concatenate([[np.nan], np.diff(values)])
-    mag = np.abs(np.fft.fft(np.nan_to_num(win), axis=1))[:, 1 : b + 1]
-    mag = mag / (mag.sum(1, keepdims=True) + 1e-9)
-    angle = 2 * math.pi / cadence * (t % cadence)
-    return np.column_stack([*stats, trend, win, mag, np.sin(angle), np.cos(angle)])
+def window_features(values: np.ndarray, lookback: int, cadence: int, first: int = 0, bins: int = 8) -> np.ndarray:
+    """Rows of features, in the order of ``feature_rows``, for the steps with a whole window: from step ``first + lookback - 1`` of values that start at step ``first``."""
+    windows = np.lib.stride_tricks.sliding_window_view(values, lookback)
+    moves = np.diff(windows, axis=1)
+    power = np.abs(np.fft.fft(windows)[:, 1 : bins + 1])
+    turn = 2 * math.pi / cadence * np.mod(first + lookback - 1 + np.arange(len(windows)), cadence)
+    level = (windows.mean(1), windows.std(1), windows.min(1), windows.max(1), np.abs(moves).mean(1), moves[:, -1])
+    return np.column_stack((*level, windows, power / (power.sum(1)[:, None] + 1e-9), np.sin(turn), np.cos(turn)))
+
+
+def recurred(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """h_t = lambda h_{t-1} + x_t from h = 0 over the rows of x (steps x modes)."""
+    h, out = np.zeros(len(lam), dtype=complex), np.empty(x.shape, dtype=complex)
+    for i, v in enumerate(x):
+        h = lam * h + v
+        out[i] = h
+    return out
 
 
 def relative_ridge(a: np.ndarray, b: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +42,25 @@ def rls_step(inv: np.ndarray, w: np.ndarray, phi: np.ndarray, y: np.ndarray, gam
     return (inv + inv.T) / 2, w
 
 
+def online_pass(values: np.ndarray, phi: np.ndarray, ahead: np.ndarray, w: np.ndarray, inv: np.ndarray, first: int, last: int):
+    """Steps first..last - 1 of one series: every readout r of ``ahead`` is updated with (phi[t - r], values[t]), then forecasts from phi[t].
+
+    All readouts move at once: w is (readouts, F), inv (readouts, F, F). Returns the forecasts (steps, readouts) and the last w and inv.
+    """
+    w, inv, out = w.copy(), inv.copy(), np.empty((max(0, last - first), len(ahead)))
+    for t in range(first, last):
+        then = t - ahead
+        past = phi[np.maximum(then, 0)]
+        v = np.matmul(inv, past[:, :, None])[:, :, 0]
+        scale = np.where(then >= 0, 1 / (1 + (past * v).sum(1)), 0.0)
+        w += v * (scale * (values[t] - (past * w).sum(1)))[:, None]
+        inv -= v[:, :, None] * (v * scale[:, None])[:, None, :]
+        if t % 64 == 0:
+            inv = (inv + inv.swapaxes(1, 2)) / 2
+        out[t - first] = w @ phi[t]
+    return out, w, (inv + inv.swapaxes(1, 2)) / 2
+
+
 def orthonormal(a: np.ndarray) -> np.ndarray:
     """Gram-Schmidt, twice over each column."""
     q = np.array(a, dtype=float)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.jobs import model_jobs, panel_jobs
+from panelcast.jobs import full_jobs, model_jobs, panel_jobs, stream_jobs
 
-ALL = {**panel_jobs.JOBS, **model_jobs.JOBS}
+ALL = {**panel_jobs.JOBS, **model_jobs.JOBS, **full_jobs.JOBS, **stream_jobs.JOBS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,9 +18,10 @@ from panelcast.operators import online as O
 from panelcast.operators import protocol as B
 from panelcast.operators import retrieval as H
 from panelcast.sources import files
-from panelcast.sources.storage import shared_path, stored, table
+from panelcast.sources.storage import kept, shared_path, stored, table
 
 HORIZON, LAM = 3, 1e-3
+TOWARDS = [[2.0, 0.5], [-0.25, 1.0]]  # G of a finalised block
 
 
 def two(spark, d):
@@ -161,8 +162,11 @@ def f12(spark, d):
 
 def our_rows(spark, d):
     """Result rows of three simple forecasts: as they are, halved as corrected rows, and as untested rows of a later file."""
+    return kept(spark, f"results of {d}", lambda: _our_rows(spark, d))
+
+
+def _our_rows(spark, d):
     z, (_, te, n) = scaled(spark, d)
-    z = stored(z, "z")
     p = V.errors(V.persistence(z, te, n, 2), z)
     s = V.errors(V.seasonal(z, te, n, 7, 2), z)
     zero = V.errors(V.persistence(z, te, n, 2).withColumn("yhat", F.lit(0.0)), z)
@@ -172,15 +176,27 @@ def our_rows(spark, d):
     for factor, clip, counted, file in ((1.0, 0.0, True, "a"), (0.5, 3.0, True, "b"), (3.0, 0.0, False, "c")):
         one = sums.select(F.lit("sales").alias("dataset"), "pred_len", "model", (F.col("mse") * factor).alias("mse"), (F.col("mae") * factor).alias("mae"), (F.col("n") if counted else F.lit(None).cast("long")).alias("n"), F.lit(clip).alias("clip_spikes"), F.lit(file).alias("file"))
         out = one if out is None else out.unionByName(one)
-    return stored(out, "results")
+    return out
+
 
+def cells(spark, d):
+    """Cells to hold our rows against: other seasonal forecasts on all test origins (batch) and on the later half (dsof), and one of a second dataset."""
 
-def cells(spark):
-    return spark.createDataFrame(S.CELLS, "dataset string, method string, h int, mode string, mse double")
+    def make():
+        z, (_, te, n) = scaled(spark, d)
+        out = z.where(F.col("t") >= te).agg(F.round(F.avg(F.col("value") ** 2), 5).alias("mse")).select(F.lit("stock").alias("dataset"), F.lit("Mean").alias("method"), F.lit(1).alias("h"), F.lit("batch").alias("mode"), "mse")
+        for name, cadence in S.CADENCES.items():
+            errs = V.errors(V.seasonal(z, te, n, cadence, 2), z)
+            for mode, first in (("batch", te), ("dsof", te + (n - te) // 2)):
+                one = errs.where(F.col("t") >= first).groupBy(F.col("r").alias("h")).agg(F.round(F.avg(F.col("err") ** 2), 5).alias("mse"))
+                out = out.unionByName(one.select(F.lit("sales").alias("dataset"), F.lit(name).alias("method"), "h", F.lit(mode).alias("mode"), "mse"))
+        return out
+
+    return kept(spark, f"cells of {d}", make)
 
 
 def pairs(spark, d):
-    return G.against_published(G.latest_rows(our_rows(spark, d)).where(~G.corrected()), cells(spark))
+    return G.against_published(G.latest_rows(our_rows(spark, d)).where(~G.corrected()), cells(spark, d))
 
 
 def with_se(rows):
@@ -197,7 +213,7 @@ def a7(spark, d):
 
 
 def a9(spark, d):
-    nested = cells(spark).groupBy("dataset", "method", "h").pivot("mode", ["batch", "dsof"]).agg(F.first("mse"))
+    nested = cells(spark, d).groupBy("dataset", "method", "h").pivot("mode", ["batch", "dsof"]).agg(F.first("mse"))
     one = nested.groupBy("dataset", "method").agg(F.map_from_entries(F.collect_list(F.struct(F.col("h").cast("string"), F.struct("batch", "dsof")))).alias("hs"))
     top = one.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("method", "hs"))).alias("m")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("dataset", "m")))).alias("json"))
     present = our_rows(spark, d).select("dataset").distinct()
@@ -206,40 +222,42 @@ def a9(spark, d):
 
 def vectors(spark, d):
     e = table(spark, d, "embeddings")
-    cut = lambda a: F.transform(F.slice("embedding", a, 4), lambda x: x.cast("double"))
-    return e.select(F.col("vec_id").alias("id"), cut(1).alias("x"), cut(5).alias("y"), F.when(F.col("vec_id") % 5 != 0, 1.0).otherwise(0.0).alias("mask"))
+    cut = lambda a: F.transform(F.slice("embedding", a, S.DIMS), lambda x: x.cast("double"))
+    return e.select(F.col("vec_id").alias("id"), cut(1).alias("x"), cut(S.DIMS + 1).alias("y"), F.when(F.col("vec_id") % 5 != 0, 1.0).otherwise(0.0).alias("mask"))
 
 
-def blocks(spark, d):
-    return L.finalise(L.block_sums(vectors(spark, d), 2), 2)
+def blocks(spark, d, g=None):
+    return L.finalise(L.block_sums(vectors(spark, d), 2), 2, g=g)
 
 
 def d9(spark, d):
-    """Blocks of 1 x 1 and rank 1: the correction in closed form."""
-    b = spark.createDataFrame([(0,), (1,)], "block_id int")
-    stats = vectors(spark, d).agg(*[F.avg(F.get("x", i)).alias(f"x{i}") for i in range(4)], *[F.avg(F.get("y", i)).alias(f"y{i}") for i in range(4)])
-    pick = lambda name, i, j: F.array(F.when(F.col("block_id") == 0, F.col(f"{name}{i}")).otherwise(F.col(f"{name}{j}")))
-    rows = b.join(F.broadcast(stats)).select("block_id", F.array(F.col("block_id") + 1.5).alias("a_inv"), pick("x", 0, 1).alias("w"), pick("x", 2, 3).alias("u"), pick("y", 0, 1).alias("v"), pick("y", 2, 3).alias("p"), pick("x", 1, 0).alias("q"))
+    """A block of 1 x 1 for every dimension, of the vectors' means and second moments, and a correction of rank 1."""
+    each = vectors(spark, d).select("id", F.posexplode(F.arrays_zip("x", "y")).alias("block_id", "v")).select("block_id", "v.x", "v.y")
+    m = each.groupBy("block_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("x") * F.col("y")).alias("xy"))
+    rows = m.select("block_id", *[F.array(v).alias(n) for n, v in (("a_inv", 1 / (F.col("xx") + 0.02)), ("w", F.col("xy")), ("u", F.col("x")), ("v", F.col("y")), ("p", F.col("xx")), ("q", F.col("x") + F.col("y")))])
     return wide(L.woodbury_correction(rows, 1, 1), "w", "w")
 
 
-def retrieve(spark, d, steps, bank_rows=None):
+def retrieve(spark, d, steps, block_rows=None):
+    """Every vector against a bank of all of them."""
     v = vectors(spark, d)
-    bank = v.where("id < 20").select(F.col("x").alias("key"), F.col("x").alias("value"))
-    got = H.refine(v, bank, 2.0, steps) if bank_rows is None else H._by_slices(v.select("id", "x"), bank, 2.0, 4)
-    return wide(got, "out", "o1", "o2", "o3", "o4")
+    bank = v.select(F.col("x").alias("key"), F.col("x").alias("value"))
+    got = H.refine(v, bank, 2.0, steps) if block_rows is None else H._by_slices(v.select("id", "x"), bank, 2.0, block_rows)
+    return rounded(got.select("id", F.posexplode("out").alias("i", "v")), "v")
 
 
 def e6(spark, d, svd=False):
+    """One step from two unit vectors: equal entries, and entries of alternating sign."""
     import numpy as np
 
-    u, v = np.eye(4)[:, :1], np.eye(4)[:, 1:2]
+    u = np.full((S.DIMS, 1), S.DIMS**-0.5)
+    v = u * np.array([[(-1.0) ** i] for i in range(S.DIMS)])
     got = (H.svd_gha_step if svd else H.gha_step)(vectors(spark, d), u, v, 0.5)
-    return rounded(spark.createDataFrame([(i, float(got[0][i, 0]), float(got[1][i, 0])) for i in range(4)], "i int, u double, v double"), "u", "v")
+    return rounded(spark.createDataFrame([(i, float(got[0][i, 0]), float(got[1][i, 0])) for i in range(S.DIMS)], "i int, u double, v double"), "u", "v")
 
 
 def e8(spark, d):
-    rows = vectors(spark, d).where("id < 50").select(F.col("id").alias("row"), F.slice("x", 1, 2).alias("v"))
+    rows = vectors(spark, d).select(F.col("id").alias("row"), F.slice("x", 1, 2).alias("v"))
     return wide(H.gram_schmidt(rows, 2), "v", "q1", "q2")
 
 
@@ -263,17 +281,22 @@ def e1(spark, d):
 
 
 _score = "round(avg(err * err), 5) AS mse, round(avg(abs(err)), 5) AS mae, count(*) AS n"
-_soft = lambda src, dst: f"""{dst}s AS (SELECT r.id, k.id AS k, 2.0::DOUBLE * list_dot_product(r.x, k.x) AS s, k.x AS val FROM {src} r, vec k WHERE k.id < 20),
+_soft = lambda src, dst: f"""{dst}s AS (SELECT r.id, 2.0::DOUBLE * list_dot_product(r.x, k.x) AS s, k.x AS val FROM {src} r, vec k),
 {dst}e AS (SELECT id, val, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM {dst}s),
-{dst} AS (SELECT id, [sum(e * val[1]) / sum(e), sum(e * val[2]) / sum(e), sum(e * val[3]) / sum(e), sum(e * val[4]) / sum(e)] AS x FROM {dst}e GROUP BY id)"""
-_out4 = "SELECT id, round(x[1], 6) AS o1, round(x[2], 6) AS o2, round(x[3], 6) AS o3, round(x[4], 6) AS o4 FROM"
-_sum4 = lambda expr: "[" + ", ".join(f"sum(mask * {expr(i)})" for i in range(1, 5)) + "]"
-
-
-def _gha(ux: str, vy: str) -> str:
-    return f"""g AS (SELECT {_sum4(lambda i: f"x[{i}] * {ux}")} AS a, {_sum4(lambda i: f"y[{i}] * {vy}")} AS b, sum(mask) AS n FROM vec),
-s AS (SELECT unnest([1, 2, 3, 4]) AS i, a, b, n FROM g),
-c AS (SELECT i - 1 AS i, CASE WHEN i = 1 THEN 1 ELSE 0 END + 0.5::DOUBLE * a[i] / n AS u, CASE WHEN i = 2 THEN 1 ELSE 0 END + 0.5::DOUBLE * b[i] / n AS v FROM s)
+{dst} AS (SELECT id, [{", ".join(f"sum(e * val[{i + 1}]) / sum(e)" for i in range(S.DIMS))}] AS x FROM {dst}e GROUP BY id)"""
+_entries = "SELECT id, (i - 1)::INTEGER AS i, round(x[i], 6) AS v FROM (SELECT id, x, unnest(range(1, len(x) + 1)) AS i FROM {})"
+_sum = lambda column, by: f"[{', '.join(f'sum(mask * {column}[{i + 1}] * {by})' for i in range(S.DIMS))}]"
+
+
+def _gha(of_x: str, of_y: str) -> str:
+    """One step from u (equal entries) and v (alternating signs): pulled along sums of x times ``of_x`` and of y times ``of_y``."""
+    step = lambda a, e: f"{e} + 0.5::DOUBLE * (a.{a} - {e} * sum(a.{a} * {e}) OVER ())"
+    return f"""p AS (SELECT *, list_sum(x) / sqrt({S.DIMS}) AS xu, list_sum(list_transform(y, lambda e, k: e * (-1) ** (k - 1))) / sqrt({S.DIMS}) AS yv,
+       list_sum(y) / sqrt({S.DIMS}) AS yu, list_sum(list_transform(x, lambda e, k: e * (-1) ** (k - 1))) / sqrt({S.DIMS}) AS xv FROM vec),
+g AS (SELECT {_sum('x', of_x)} AS a, {_sum('y', of_y)} AS b, sum(mask) AS n FROM p),
+s AS (SELECT unnest(range({S.DIMS})) AS i, unnest(a) / n AS pu, unnest(b) / n AS pv FROM g),
+a AS (SELECT *, 1 / sqrt({S.DIMS}) AS eu, (-1) ** i / sqrt({S.DIMS}) AS ev FROM s),
+c AS (SELECT i, {step('pu', 'eu')} AS u, {step('pv', 'ev')} AS v FROM a)
 SELECT i::INTEGER AS i, round(u / sqrt(sum(u * u) OVER ()), 6) AS u, round(v / sqrt(sum(v * v) OVER ()), 6) AS v FROM c"""
 
 
@@ -296,8 +319,8 @@ JOBS = {
         lambda s, d: L.block_sums(vectors(s, d), 2).select("block_id", F.col("m"), *[F.round(F.get("a", i), 5).alias(f"a{i}") for i in range(4)], *[F.round(F.get("b", i), 5).alias(f"b{i}") for i in range(4)]),
         f"WITH {S.VECTORS} SELECT b::INTEGER AS block_id, m, " + ", ".join(f"round(max({c}) FILTER (WHERE i = {i // 2 + 1} AND j = {i % 2 + 1}), 5) AS {n}{i}" for c, n in (("a", "a"), ("c", "b")) for i in range(4)) + " FROM raw, mass GROUP BY b, m",
     ),
-    "d2_finalise": (lambda s, d: blocks(s, d).select("block_id", *[F.round(F.get(c, i), 6).alias(f"{c}{i}") for c in "ab" for i in range(4)]), f"WITH {S.VECTORS} " + _model2.format("round(p, 6) AS a0, round(q, 6) AS a1, round(q, 6) AS a2, round(s, 6) AS a3, round(c11, 6) AS b0, round(c12, 6) AS b1, round(c21, 6) AS b2, round(c22, 6) AS b3")),
-    "d3_regularise": (lambda s, d: L.regularise(blocks(s, d), 2, 0.1, 0.2).select("block_id", *[F.round(F.get(c, i), 6).alias(f"{c}{i}") for c in "ab" for i in range(4)]), f"WITH {S.VECTORS} " + _model2.format("round(p + 0.3, 6) AS a0, round(q, 6) AS a1, round(q, 6) AS a2, round(s + 0.3, 6) AS a3, round(c11 + 0.1, 6) AS b0, round(c12, 6) AS b1, round(c21, 6) AS b2, round(c22 + 0.1, 6) AS b3")),
+    "d2_finalise": (lambda s, d: blocks(s, d, TOWARDS).select("block_id", *[F.round(F.get(c, i), 6).alias(f"{c}{i}") for c in "ab" for i in range(4)]), f"WITH {S.VECTORS} " + _model2.format("round(p, 6) AS a0, round(q, 6) AS a1, round(q, 6) AS a2, round(s, 6) AS a3, round(c11 + 0.01, 6) AS b0, round(c12 + 0.005, 6) AS b1, round(c21 - 0.0025, 6) AS b2, round(c22, 6) AS b3")),
+    "d3_regularise": (lambda s, d: L.regularise(blocks(s, d), 2, 0.1, 0.2, TOWARDS).select("block_id", *[F.round(F.get(c, i), 6).alias(f"{c}{i}") for c in "ab" for i in range(4)]), f"WITH {S.VECTORS} " + _model2.format("round(p + 0.3, 6) AS a0, round(q, 6) AS a1, round(q, 6) AS a2, round(s + 0.3, 6) AS a3, round(c11 + 0.2, 6) AS b0, round(c12 + 0.05, 6) AS b1, round(c21 - 0.025, 6) AS b2, round(c22 + 0.1, 6) AS b3")),
     "d4_positive_definite": (lambda s, d: L.positive_definite(blocks(s, d), 2), f"WITH {S.VECTORS} " + _model2.format("(p + s) / 2 - sqrt((p - s) * (p - s) / 4 + q * q) > 1e-6 AS is_pd")),
     "d5_condition": (lambda s, d: rounded(L.condition_numbers(blocks(s, d), 2), "condition"), f"WITH {S.VECTORS} " + _model2.format("round(((p + s) / 2 + sqrt((p - s) * (p - s) / 4 + q * q)) / ((p + s) / 2 - sqrt((p - s) * (p - s) / 4 + q * q) + 1e-12::DOUBLE), 6) AS condition")),
     "d6_block_solve": (lambda s, d: wide(L.solve_blocks(blocks(s, d), 2), "w", "w0", "w1", "w2", "w3"), f"WITH {S.VECTORS} " + _model2.format("round((c11 * s - c21 * q) / (p * s - q * q), 6) AS w0, round((c12 * s - c22 * q) / (p * s - q * q), 6) AS w1, round((p * c21 - q * c11) / (p * s - q * q), 6) AS w2, round((p * c22 - q * c12) / (p * s - q * q), 6) AS w3")),
@@ -308,8 +331,9 @@ JOBS = {
     ),
     "d9_woodbury": (
         d9,
-        f"""WITH {S.VECTORS}, m AS (SELECT {", ".join(f"avg(x[{i + 1}]) AS x{i}, avg(y[{i + 1}]) AS y{i}" for i in range(4))} FROM vec),
-b AS (SELECT 0 AS id, 1.5::DOUBLE AS a, x0 AS w, x2 AS u, y0 AS v, y2 AS p, x1 AS q FROM m UNION ALL SELECT 1, 2.5, x1, x3, y1, y3, x0 FROM m),
+        f"""WITH {S.VECTORS}, e AS (SELECT unnest(range({S.DIMS})) AS id, unnest(x) AS x, unnest(y) AS y FROM vec),
+m AS (SELECT id, avg(x) AS x, avg(y) AS y, avg(x * x) AS xx, avg(x * y) AS xy FROM e GROUP BY id),
+b AS (SELECT id, 1 / (xx + 0.02::DOUBLE) AS a, xy AS w, x AS u, y AS v, xx AS p, x + y AS q FROM m),
 c AS (SELECT 1 + sum(v * a * u) AS c, sum(v * a * p) AS cp FROM b)
 SELECT id::INTEGER AS block_id, round(w - a * u / c * v * w + (a * p - a * u / c * cp) * q, 6) AS w FROM b, c""",
     ),
@@ -338,11 +362,11 @@ SELECT id, round(1 - 0.5::DOUBLE / g, 6) AS i11, round(-0.5::DOUBLE * x / g, 6)
     "e4_resumed_forecast": (e4, f"WITH {S.ONLINE} SELECT series_id, t, r::INTEGER AS r, round(yhat, 6) AS yhat FROM forecast"),
     "e4_forecast_by_chunk": (e4_chunks, f"WITH {S.ONLINE} SELECT series_id, t, r::INTEGER AS r, round(yhat, 6) AS yhat FROM forecast"),
     "e5_model_variants": (e5, f"WITH {S.STATIC} SELECT 'static' AS model, {_score} FROM forecast UNION ALL SELECT * FROM (WITH {S.ONLINE} SELECT 'rls' AS model, {_score} FROM forecast)"),
-    "e6_gha_step": (e6, f"WITH {S.VECTORS}, {_gha('x[1]', 'y[2]')}"),
-    "e7_svd_gha_step": (lambda s, d: e6(s, d, True), f"WITH {S.VECTORS}, {_gha('y[2]', 'x[1]')}"),
+    "e6_gha_step": (e6, f"WITH {S.VECTORS}, {_gha('xu', 'yv')}"),
+    "e7_svd_gha_step": (lambda s, d: e6(s, d, True), f"WITH {S.VECTORS}, {_gha('yv', 'xu')}"),
     "e8_gram_schmidt": (
         e8,
-        f"""WITH {S.VECTORS}, a AS (SELECT id, x[1] / sqrt(sum(x[1] * x[1]) OVER ()) AS q1, x[2] AS b FROM vec WHERE id < 50), c AS (SELECT id, q1, b - q1 * sum(q1 * b) OVER () AS r FROM a)
+        f"""WITH {S.VECTORS}, a AS (SELECT id, x[1] / sqrt(sum(x[1] * x[1]) OVER ()) AS q1, x[2] AS b FROM vec), c AS (SELECT id, q1, b - q1 * sum(q1 * b) OVER () AS r FROM a)
 SELECT id AS row, round(q1, 6) AS q1, round(r / sqrt(sum(r * r) OVER ()), 6) AS q2 FROM c""",
     ),
     "e9_free_run": (
@@ -373,25 +397,25 @@ SELECT 'raw' AS kind, {_score} FROM forecast UNION ALL SELECT 'clipped', {_score
     ),
     "f9_outlier_energy": (f9, f"WITH {S.PERSIST}, q AS (SELECT quantile_cont(err * err, 0.995::DOUBLE) AS cut99 FROM forecast) SELECT round(sum(CASE WHEN err * err > cut99 THEN err * err ELSE 0 END) / sum(err * err), 5) AS energy, round(count(*) FILTER (WHERE err * err > cut99) / count(*)::DOUBLE, 5) AS points FROM forecast, q"),
     "f10_autocorrelation": (lambda s, d: rounded(V.autocorrelation(scaled(s, d)[0], 21), "acf", digits=5), f"WITH {S.Z}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z), k AS (SELECT unnest(range(0, 22)) AS lag), s AS (SELECT a.series_id, lag, sum(a.x * b.x) AS s FROM x a CROSS JOIN k JOIN x b ON b.series_id = a.series_id AND b.t = a.t + lag GROUP BY ALL) SELECT s.series_id, s.lag::INTEGER AS lag, round(s.s / o.s, 5) AS acf FROM s JOIN s o ON o.series_id = s.series_id AND o.lag = 0"),
-    "f11_periodogram": (lambda s, d: rounded(V.periodogram(scaled(s, d)[0].where("t < 700")).where("k IN (1, 50, 100)"), "power", digits=3), f"WITH {S.Z}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z WHERE t < 700), k AS (SELECT unnest([1, 50, 100]) AS k) SELECT series_id, k::BIGINT AS k, round(power(sum(x * cos(2 * pi() * k * t / 700)), 2) + power(sum(x * sin(2 * pi() * k * t / 700)), 2), 3) AS power FROM x, k GROUP BY series_id, k"),
+    "f11_periodogram": (lambda s, d: rounded(V.periodogram(scaled(s, d)[0]), "power", digits=3), f"WITH {S.Z}, {S.BORDERS.replace('size', 'whole').replace('cut', 'ends')}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z), wide AS (SELECT t, list(x ORDER BY series_id) AS xs, list(series_id ORDER BY series_id) AS ids FROM x GROUP BY t), k AS (SELECT unnest(range(0, n // 2 + 1)) AS k, n FROM ends), w AS (SELECT t, xs, ids, k, cos(2 * pi() * (k * t % n) / n) AS c, sin(2 * pi() * (k * t % n) / n) AS s FROM wide, k), e AS (SELECT k, unnest(ids) AS series_id, unnest(xs) AS x, c, s FROM w) SELECT series_id, k::BIGINT AS k, round(power(sum(x * c), 2) + power(sum(x * s), 2), 3) AS power FROM e GROUP BY series_id, k"),
     "f12_error_histogram": (f12, f"WITH {S.PERSIST} SELECT CASE WHEN m >= 5 THEN 51 ELSE floor(m / 5::DOUBLE * 50) + 1 END::BIGINT AS bin, count(*) AS n FROM (SELECT round(abs(err), 9) AS m FROM forecast) GROUP BY 1"),
     "a7_a8_result_files": (a7, f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, round(mse, 5) AS mse, round(mae, 5) AS mae, coalesce(n, 0) AS n, clip_spikes FROM result"),
     "a9_a10_published_cells": (a9, f"WITH {S.ROWS} SELECT dataset, method, h, mode, mse FROM cells WHERE dataset IN (SELECT dataset FROM result)"),
     "g1_latest_rows": (lambda s, d: rounded(G.latest_rows(our_rows(s, d)), "mse", "mae", digits=5), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, round(mse, 5) AS mse, round(mae, 5) AS mae, n, clip_spikes, file FROM ours"),
     "g2_untested_rows": (lambda s, d: G.untested(our_rows(s, d)).select("pred_len", "model", "file"), f"WITH {S.ROWS} SELECT pred_len::INTEGER AS pred_len, model, file FROM result WHERE n IS NULL"),
     "g3_against_published": (lambda s, d: rounded(pairs(s, d).select("dataset", "pred_len", "model", "method", "mode", "mse", "published"), "mse", digits=5), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, method, mode, round(mse, 5) AS mse, published FROM against"),
-    "g4_best_published": (lambda s, d: G.best_published(cells(s).join(our_rows(s, d).select("dataset").distinct(), "dataset", "left_semi")), f"WITH {S.ROWS} SELECT dataset, h, method, mode, mse FROM (SELECT *, row_number() OVER (PARTITION BY dataset, h ORDER BY mse, method, mode) AS k FROM cells WHERE dataset = 'sales') WHERE k = 1"),
+    "g4_best_published": (lambda s, d: G.best_published(cells(s, d).join(our_rows(s, d).select("dataset").distinct(), "dataset", "left_semi")), f"WITH {S.ROWS} SELECT dataset, h, method, mode, mse FROM (SELECT *, row_number() OVER (PARTITION BY dataset, h ORDER BY mse, method, mode) AS k FROM cells WHERE dataset = 'sales') WHERE k = 1"),
     "g5_beats": (lambda s, d: G.beats(pairs(s, d)), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, count(*) FILTER (WHERE mse < published AND abs(mse - published) >= 1e-9) AS beaten, count(*) FILTER (WHERE abs(mse - published) < 1e-9) AS tied, count(*) AS total FROM against GROUP BY ALL"),
-    "g6_ranks": (lambda s, d: rounded(G.rank_summary(G.ranked(G.latest_rows(our_rows(s, d)).where(~G.corrected()), cells(s))), "mean_rank"), f"WITH {S.ROWS}, k AS (SELECT pred_len, model, count(*) FILTER (WHERE published < mse) + 1 AS rank FROM against GROUP BY ALL) SELECT model, round(avg(rank), 6) AS mean_rank, count(*) FILTER (WHERE rank = 1) AS n_first, count(*) FILTER (WHERE rank = 2) AS n_second, count(*) AS n FROM k GROUP BY model"),
+    "g6_ranks": (lambda s, d: rounded(G.rank_summary(G.ranked(G.latest_rows(our_rows(s, d)).where(~G.corrected()), cells(s, d))), "mean_rank"), f"WITH {S.ROWS}, k AS (SELECT pred_len, model, count(*) FILTER (WHERE published < mse) + 1 AS rank FROM against GROUP BY ALL) SELECT model, round(avg(rank), 6) AS mean_rank, count(*) FILTER (WHERE rank = 1) AS n_first, count(*) FILTER (WHERE rank = 2) AS n_second, count(*) AS n FROM k GROUP BY model"),
     "g7_corrected_rows": (lambda s, d: G.latest_rows(our_rows(s, d)).select("pred_len", "model", G.corrected().alias("corrected")), f"WITH {S.ROWS} SELECT pred_len::INTEGER AS pred_len, model, clip_spikes > 0 AS corrected FROM ours"),
     "g8_best_model": (lambda s, d: rounded(G.best_model(G.latest_rows(our_rows(s, d)).where(~G.corrected()), ["seasonal", "persistence", "mean"]), "mse", digits=5), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, min_by(model, mse) AS model, round(min(mse), 5) AS mse FROM ours WHERE clip_spikes = 0 GROUP BY 1, 2"),
     "g9_relative_difference": (lambda s, d: rounded(G.relative_difference(pairs(s, d)), "batch", "dsof", digits=4), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, method, round(max((mse - published) / published * 100) FILTER (WHERE mode = 'batch'), 4) AS batch, round(max((mse - published) / published * 100) FILTER (WHERE mode = 'dsof'), 4) AS dsof FROM against GROUP BY ALL"),
     "g10_model_delta": (lambda s, d: rounded(G.model_delta(with_se(our_rows(s, d)).where(~G.corrected()), "persistence", "mean"), "delta", "delta_se", digits=4), f"WITH {S.ROWS}, k AS (SELECT * FROM result WHERE n IS NOT NULL AND clip_spikes = 0) SELECT a.dataset, a.pred_len::INTEGER AS pred_len, round((b.mse - a.mse) / a.mse * 100, 4) AS delta, round(sqrt(a.mse * a.mse + b.mse * b.mse) / 10 / a.mse * 100, 4) AS delta_se FROM k a JOIN k b USING (dataset, pred_len) WHERE a.model = 'persistence' AND b.model = 'mean'"),
     "g11_damping": (lambda s, d: rounded(G.damping(our_rows(s, d).where("n IS NOT NULL")), "raw", "clipped", "ratio", digits=5), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, round(max(mse) FILTER (WHERE clip_spikes = 0), 5) AS raw, round(max(mse) FILTER (WHERE clip_spikes > 0), 5) AS clipped, round(max(mse) FILTER (WHERE clip_spikes = 0) / max(mse) FILTER (WHERE clip_spikes > 0), 5) AS ratio FROM result WHERE n IS NOT NULL GROUP BY ALL"),
-    "g12_horizon_sweep": (lambda s, d: rounded(G.horizon_sweep((r := with_se(our_rows(s, d)).where(~G.corrected())), G.against_published(r, cells(s)), r), "mse", "mse_p5", "mse_p95", digits=5), f"WITH {S.ROWS}, k AS (SELECT * FROM result WHERE n IS NOT NULL AND clip_spikes = 0), c AS (SELECT k.pred_len, k.model, count(*) FILTER (WHERE k.mse < c.mse) AS beaten FROM k JOIN cells c ON c.dataset = k.dataset AND c.h = k.pred_len GROUP BY ALL) SELECT dataset, k.pred_len::INTEGER AS pred_len, k.model, round(mse, 5) AS mse, beaten, round(mse * 0.9, 5) AS mse_p5, round(mse * 1.2, 5) AS mse_p95 FROM k LEFT JOIN c USING (pred_len, model)"),
+    "g12_horizon_sweep": (lambda s, d: rounded(G.horizon_sweep((r := with_se(our_rows(s, d)).where(~G.corrected())), G.against_published(r, cells(s, d)), r), "mse", "mse_p5", "mse_p95", digits=5), f"WITH {S.ROWS}, k AS (SELECT * FROM result WHERE n IS NOT NULL AND clip_spikes = 0), c AS (SELECT k.pred_len, k.model, count(*) FILTER (WHERE k.mse < c.mse) AS beaten FROM k JOIN cells c ON c.dataset = k.dataset AND c.h = k.pred_len GROUP BY ALL) SELECT dataset, k.pred_len::INTEGER AS pred_len, k.model, round(mse, 5) AS mse, beaten, round(mse * 0.9, 5) AS mse_p5, round(mse * 1.2, 5) AS mse_p95 FROM k LEFT JOIN c USING (pred_len, model)"),
     "g13_whiskers": (lambda s, d: rounded(G.whiskers((r := with_se(our_rows(s, d))).drop("mse_p5", "mse_p95"), r), "down", "up", digits=5), f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, clip_spikes AS clip, round(mse - mse * 0.9, 5) AS down, round(mse * 1.2 - mse, 5) AS up FROM result WHERE n IS NOT NULL"),
-    "g14_mode_pairs": (lambda s, d: G.mode_pairs(cells(s).join(our_rows(s, d).select("dataset").distinct(), "dataset", "left_semi")), f"WITH {S.ROWS} SELECT dataset, h, method, max(mse) FILTER (WHERE mode = 'batch') AS batch, max(mse) FILTER (WHERE mode = 'dsof') AS dsof FROM cells WHERE dataset = 'sales' GROUP BY ALL"),
-    "h1_softmax_retrieval": (lambda s, d: retrieve(s, d, 1), f"WITH {S.VECTORS}, {_soft('vec', 'r1')} {_out4} r1"),
-    "h1_retrieval_by_slices": (lambda s, d: retrieve(s, d, 1, 4), f"WITH {S.VECTORS}, {_soft('vec', 'r1')} {_out4} r1"),
-    "h2_refinement": (lambda s, d: retrieve(s, d, 2), f"WITH {S.VECTORS}, {_soft('vec', 'r1')}, {_soft('r1', 'r2')} {_out4} r2"),
+    "g14_mode_pairs": (lambda s, d: G.mode_pairs(cells(s, d).join(our_rows(s, d).select("dataset").distinct(), "dataset", "left_semi")), f"WITH {S.ROWS} SELECT dataset, h, method, max(mse) FILTER (WHERE mode = 'batch') AS batch, max(mse) FILTER (WHERE mode = 'dsof') AS dsof FROM cells WHERE dataset = 'sales' GROUP BY ALL"),
+    "h1_softmax_retrieval": (lambda s, d: retrieve(s, d, 1), f"WITH {S.VECTORS}, {_soft('vec', 'r1')} {_entries.format('r1')}"),
+    "h1_retrieval_by_slices": (lambda s, d: retrieve(s, d, 1, 200), f"WITH {S.VECTORS}, {_soft('vec', 'r1')} {_entries.format('r1')}"),
+    "h2_refinement": (lambda s, d: retrieve(s, d, 2), f"WITH {S.VECTORS}, {_soft('vec', 'r1')}, {_soft('r1', 'r2')} {_entries.format('r2')}"),
 }

@@ -11,7 +11,7 @@ from panelcast.jobs import sql as S
 from panelcast.operators import features as X
 from panelcast.operators import protocol as B
 from panelcast.sources import files, panels
-from panelcast.sources.storage import shared_path, stored
+from panelcast.sources.storage import kept, shared_path
 
 LOOKBACK, CADENCE = 7, 7
 BANK = [(0.5, 0.3, 1.0), (0.8, 1.1, 0.5)]
@@ -22,7 +22,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def sales(spark: SparkSession, d: str) -> DataFrame:
-    return stored(panels.nation_daily(spark, d), "sales")
+    """The daily panel per nation, built once a session."""
+    return kept(spark, f"sales of {d}", lambda: panels.nation_daily(spark, d))
 
 
 def cuts(panel: DataFrame) -> tuple[int, int, int]:
@@ -109,37 +110,47 @@ def c9(spark, d):
 
 def c10(spark, d, chunk=None):
     z, _ = scaled(spark, d)
-    short = z.where("t < 60")
-    got = X.oscillators(short, BANK) if chunk is None else X.oscillators_by_chunk(short, BANK, chunk)
+    got = X.oscillators(z, BANK) if chunk is None else X.oscillators_by_chunk(z, BANK, chunk)
     return got.select("series_id", "t", F.posexplode("context").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
 def c12(spark, d):
     z, _ = scaled(spark, d)
-    short = z.where("t < 60")
-    base = short.withColumn("phi", F.array(F.lit(1.0), F.col("value")))
-    return flat_phi(X.with_context(base, X.oscillators(short, BANK)))
+    base = z.withColumn("phi", F.array(F.lit(1.0), F.col("value")))
+    return flat_phi(X.with_context(base, X.oscillators(z, BANK)))
+
+
+#: Modes (radius, angle) and their input weights, one row a mode.
+MODES, INPUTS = [(0.5, 0.3), (0.8, 1.1), (0.7, 2.0)], [[1.0, 0.5], [-0.25, 1.0], [0.3, 0.3]]
+
+
+def c11(spark, d, chunk=None):
+    """Inputs: the value and the phase's cosine."""
+    z, _ = scaled(spark, d)
+    x = z.select("series_id", "t", F.array("value", X.phase(F.col("t"), CADENCE)[1]).alias("x"))
+    out = X.linear_recurrence(x, MODES, INPUTS, chunk)
+    return out.select("series_id", "t", F.posexplode("out").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
 def c15(spark, d):
     z, _ = scaled(spark, d)
-    return flat_phi(X.delay_embedding(z.where("t < 200"), 2, 2))
+    return flat_phi(X.delay_embedding(z, 2, 2))
 
 
 def c16(spark, d):
     z, _ = scaled(spark, d)
-    e = X.delay_embedding(z.where("t < 200"), 1)
+    e = X.delay_embedding(z, 1)
     return flat_phi(e.withColumn("phi", X.quadratic_lift(F.col("phi"))))
 
 
 def c17(spark, d):
     z, _ = scaled(spark, d)
-    return flat_phi(X.lag_vector(z.where("t < 100"), 5).withColumn("phi", X.padded(F.col("lags"), 4)))
+    return flat_phi(X.lag_vector(z, 5).withColumn("phi", X.padded(F.col("lags"), 4)))
 
 
 def c18(spark, d):
     z, _ = scaled(spark, d)
-    rows = X.lag_vector(z.where("t < 100"), 6).withColumn("v", X.padded(F.col("lags"), 4)).select("series_id", "t", "v")
+    rows = X.lag_vector(z, 6).withColumn("v", X.padded(F.col("lags"), 4)).select("series_id", "t", "v")
     return X.to_blocks(rows, "v", 4).select("series_id", "t", "block_id", F.posexplode("v").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
@@ -176,10 +187,18 @@ def _flat(source: str, column: str = "phi", digits: int = 6) -> str:
 _named = "SELECT series_id, t, " + ", ".join(f"round(phi[{i + 1}], 4) AS {n}" for i, n in enumerate(NAMES)) + " FROM phi"
 
 
-def _osc(where: str) -> str:
-    terms = [f"{b}::DOUBLE * power({r}::DOUBLE, a.t - b.t) * {f}({w}::DOUBLE * (a.t - b.t)) * b.value" for f in ("cos", "sin") for r, w, b in BANK]
-    return f"""osc AS (SELECT a.series_id, a.t, max(a.value) AS value, [{", ".join(f"sum({x})" for x in terms)}] AS c FROM z a JOIN z b ON a.series_id = b.series_id AND b.t <= a.t
-WHERE {where} GROUP BY a.series_id, a.t)"""
+#: Past inputs, newest first, as far as 0.8 to that power matters in the digits compared.
+_past = "WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS 149 PRECEDING)"
+
+
+def _sum(column: str, r: float, angle: float, f: str) -> str:
+    return f"list_sum(list_transform({column}, lambda v, k: power({r}::DOUBLE, k - 1) * {f}({angle}::DOUBLE * (k - 1)) * v))"
+
+
+_osc = f"""back AS (SELECT series_id, t, value, list_reverse(list(value) OVER w) AS l FROM z {_past}),
+osc AS (SELECT series_id, t, value, [{", ".join(f"{b}::DOUBLE * {_sum('l', r, a, f)}" for f in ("cos", "sin") for r, a, b in BANK)}] AS c FROM back)"""
+_rec = f"""back AS (SELECT series_id, t, list_reverse(list(value) OVER w) AS l, list_reverse(list(cos(2 * pi() / 7 * (t % 7))) OVER w) AS m FROM z {_past}),
+rec AS (SELECT series_id, t, [{", ".join(f"{b[0]}::DOUBLE * {_sum('l', r, a, 'cos')} + {b[1]}::DOUBLE * {_sum('m', r, a, 'cos')}" for (r, a), b in zip(MODES, INPUTS, strict=True))}] AS c FROM back)"""
 
 
 JOBS = {
@@ -233,14 +252,16 @@ FROM (SELECT DISTINCT series_id FROM f) s CROSS JOIN w LEFT JOIN f ON f.series_i
     "c7_features": (lambda s, d: named_phi(X.feature_rows(scaled(s, d)[0], LOOKBACK, CADENCE, 3)), f"WITH {S.Z}, {_spec(3)} {_named}"),
     "c8_feature_slice": (c8, f"WITH {S.Z}, {_spec(3)} {_named} WHERE t >= 100 AND t < 150"),
     "c9_fill_leading": (c9, f"WITH {S.HOURLY} SELECT series_id, t, CASE WHEN t < 5 THEN max(value) FILTER (WHERE t = 5) OVER (PARTITION BY series_id) WHEN t = 9 THEN NULL ELSE value END AS value FROM hourly"),
-    "c10_oscillators": (c10, f"WITH {S.Z}, {_osc('a.t < 60')} {_flat('osc', 'c')}"),
-    "c11_oscillators_by_chunk": (lambda s, d: c10(s, d, 16), f"WITH {S.Z}, {_osc('a.t < 60')} {_flat('osc', 'c')}"),
-    "c12_with_context": (c12, f"WITH {S.Z}, {_osc('a.t < 60')}, q AS (SELECT series_id, t, list_concat([1.0::DOUBLE, value], c) AS phi FROM osc) {_flat('q')}"),
+    "c10_oscillators": (c10, f"WITH {S.Z}, {_osc} {_flat('osc', 'c')}"),
+    "c10_oscillators_by_chunk": (lambda s, d: c10(s, d, 300), f"WITH {S.Z}, {_osc} {_flat('osc', 'c')}"),
+    "c11_linear_recurrence": (c11, f"WITH {S.Z}, {_rec} {_flat('rec', 'c')}"),
+    "c11_oscillators_by_chunk": (lambda s, d: c11(s, d, 300), f"WITH {S.Z}, {_rec} {_flat('rec', 'c')}"),
+    "c12_with_context": (c12, f"WITH {S.Z}, {_osc}, q AS (SELECT series_id, t, list_concat([1.0::DOUBLE, value], c) AS phi FROM osc) {_flat('q')}"),
     "c13_targets": (lambda s, d: X.targets(scaled(s, d)[0], 3).select("series_id", "t", F.posexplode("y").alias("i", "v")).withColumn("v", F.round("v", 6)), f"WITH {S.Z}, y AS (SELECT series_id, t, [lead(value, 1) OVER w, lead(value, 2) OVER w, lead(value, 3) OVER w] AS y FROM z WINDOW w AS (PARTITION BY series_id ORDER BY t)) {_flat('y', 'y')}"),
-    "c14_by_horizon": (lambda s, d: rounded(X.by_horizon(scaled(s, d)[0], 3), "value", "target"), f"WITH {S.FIT} SELECT series_id, t, round(x, 6) AS value, r, round(y, 6) AS target FROM pairs"),
-    "c15_delay_embedding": (c15, f"WITH {S.Z}, e AS (SELECT series_id, t, CASE WHEN t < 4 THEN [0.0::DOUBLE, 0, 0, 0] ELSE [1.0::DOUBLE, value, lag(value, 2) OVER w, lag(value, 4) OVER w] END AS phi FROM z WHERE t < 200 WINDOW w AS (PARTITION BY series_id ORDER BY t)) {_flat('e')}"),
-    "c16_quadratic_lift": (c16, f"WITH {S.Z}, e AS (SELECT series_id, t, value AS a, lag(value) OVER w AS b FROM z WHERE t < 200 WINDOW w AS (PARTITION BY series_id ORDER BY t)), q AS (SELECT series_id, t, CASE WHEN t < 1 THEN [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0] ELSE [1.0::DOUBLE, a, b, 1, a, b, a * a, a * b, b * b] END AS phi FROM e) {_flat('q')}"),
-    "c17_padded": (c17, f"WITH {S.Z}, q AS (SELECT series_id, t, [" + ", ".join(f"coalesce(lag(value, {k}) OVER w, 0)" for k in (4, 3, 2, 1, 0)) + f", 0, 0, 0] AS phi FROM z WHERE t < 100 WINDOW w AS (PARTITION BY series_id ORDER BY t)) {_flat('q')}"),
-    "c18_blocks": (c18, f"WITH {S.Z}, q AS (SELECT series_id, t, [" + ", ".join(f"coalesce(lag(value, {k}) OVER w, 0)" for k in (5, 4, 3, 2, 1, 0)) + ", 0, 0] AS phi FROM z WHERE t < 100 WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, t, ((i - 1) // 4)::INTEGER AS block_id, ((i - 1) % 4)::INTEGER AS i, round(phi[i], 6) AS v FROM (SELECT series_id, t, phi, unnest(range(1, 9)) AS i FROM q)"),
+    "c14_by_horizon": (lambda s, d: rounded(X.by_horizon(scaled(s, d)[0], 3), "value", "target"), f"WITH {S.Z}, {S.PAIRS} SELECT series_id, t, round(x, 6) AS value, r, round(y, 6) AS target FROM pairs"),
+    "c15_delay_embedding": (c15, f"WITH {S.Z}, e AS (SELECT series_id, t, CASE WHEN t < 4 THEN [0.0::DOUBLE, 0, 0, 0] ELSE [1.0::DOUBLE, value, lag(value, 2) OVER w, lag(value, 4) OVER w] END AS phi FROM z WINDOW w AS (PARTITION BY series_id ORDER BY t)) {_flat('e')}"),
+    "c16_quadratic_lift": (c16, f"WITH {S.Z}, e AS (SELECT series_id, t, value AS a, lag(value) OVER w AS b FROM z WINDOW w AS (PARTITION BY series_id ORDER BY t)), q AS (SELECT series_id, t, CASE WHEN t < 1 THEN [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0] ELSE [1.0::DOUBLE, a, b, 1, a, b, a * a, a * b, b * b] END AS phi FROM e) {_flat('q')}"),
+    "c17_padded": (c17, f"WITH {S.Z}, q AS (SELECT series_id, t, [" + ", ".join(f"coalesce(lag(value, {k}) OVER w, 0)" for k in (4, 3, 2, 1, 0)) + f", 0, 0, 0] AS phi FROM z WINDOW w AS (PARTITION BY series_id ORDER BY t)) {_flat('q')}"),
+    "c18_blocks": (c18, f"WITH {S.Z}, q AS (SELECT series_id, t, [" + ", ".join(f"coalesce(lag(value, {k}) OVER w, 0)" for k in (5, 4, 3, 2, 1, 0)) + ", 0, 0] AS phi FROM z WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, t, ((i - 1) // 4)::INTEGER AS block_id, ((i - 1) % 4)::INTEGER AS i, round(phi[i], 6) AS v FROM (SELECT series_id, t, phi, unnest(range(1, 9)) AS i FROM q)"),
     "x3_time_chunks": (x3, f"WITH {S.Z} SELECT series_id, (t // 100)::BIGINT AS chunk, t, round(value, 6) AS value, false AS halo FROM z UNION ALL SELECT series_id, (t // 100 + 1)::BIGINT, t, round(value, 6), true FROM z WHERE t % 100 >= 94"),
 }

@@ -29,12 +29,15 @@ z AS (
 
 Z = f"{PANEL},\n{BORDERS},\n{STATS}"
 
+#: Values 1..3 steps ahead, as windows.
+PAIRS = """ahead AS (
+  SELECT series_id, t, value AS x, [lead(value, 1) OVER w, lead(value, 2) OVER w, lead(value, 3) OVER w] AS ys
+  FROM z WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+pairs AS (SELECT * FROM (SELECT series_id, t, unnest([1, 2, 3]) AS r, x, unnest(ys) AS y FROM ahead) WHERE y IS NOT NULL)"""
+
 #: Ridge of z[t + r] on [1, z[t]] over the train origins, r = 1..3, relative penalty 1e-3, by Cramer's rule.
 FIT = f"""{Z},
-h AS (SELECT unnest([1, 2, 3]) AS r),
-pairs AS (
-  SELECT a.series_id, a.t, h.r, a.value AS x, b.value AS y
-  FROM z a CROSS JOIN h JOIN z b ON b.series_id = a.series_id AND b.t = a.t + h.r),
+{PAIRS},
 sums AS (
   SELECT series_id, r, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy
   FROM pairs, cut WHERE t + r < tr GROUP BY ALL),
@@ -67,8 +70,9 @@ forecast AS (
   SELECT a.series_id, a.t, 1 AS r, a.value AS yhat, a.value - b.value AS err
   FROM z a JOIN z b ON b.series_id = a.series_id AND b.t = a.t + 1, cut WHERE a.t >= te)"""
 
-#: Result rows of four simple forecasts on the panel, and a fixed list of published cells.
-CELLS = [("sales", "Linear", 1, "batch", 1.6), ("sales", "Linear", 1, "dsof", 1.1), ("sales", "Spectral", 1, "batch", 2.5), ("sales", "Spectral", 1, "dsof", 0.9), ("sales", "Linear", 2, "batch", 1.7), ("sales", "Linear", 2, "dsof", 1.2), ("other", "Linear", 1, "batch", 0.4)]
+#: Result rows of three simple forecasts on the panel, and cells to hold them against: seasonal forecasts one and two steps ahead by
+#: cadences other than ours, scored over all test origins (batch) and over the later half (dsof), and one of a second dataset.
+CADENCES = {"Monthly": 30, "Yearly": 364}
 
 ROWS = f"""{Z},
 near AS (
@@ -89,16 +93,24 @@ ours AS (
   SELECT dataset, pred_len, model, mse, mae, n, clip_spikes, file FROM (
     SELECT *, row_number() OVER (PARTITION BY dataset, pred_len, model, clip_spikes ORDER BY (n IS NOT NULL) DESC, file DESC) AS k FROM result)
   WHERE k = 1),
-cells(dataset, method, h, mode, mse) AS (VALUES {", ".join(f"('{d}', '{m}', {h}, '{k}', {v}::DOUBLE)" for d, m, h, k, v in CELLS)}),
+past AS (
+  SELECT t, {", ".join(f"lag(value, {c - h}) OVER k - lead(value, {h}) OVER k AS {m}{h}" for m, c in CADENCES.items() for h in (1, 2))}
+  FROM z WINDOW k AS (PARTITION BY series_id ORDER BY t)),
+scored AS ({" UNION ALL ".join(f"SELECT '{m}' AS method, {h} AS h, t, {m}{h} AS err FROM past, cut WHERE t >= te AND t + {h} < n" for m in CADENCES for h in (1, 2))}),
+cells AS (
+  SELECT 'sales' AS dataset, method, h, 'batch' AS mode, round(avg(err * err), 5) AS mse FROM scored GROUP BY method, h
+  UNION ALL SELECT 'sales', method, h, 'dsof', round(avg(err * err), 5) FROM scored, cut WHERE t >= te + (n - te) // 2 GROUP BY method, h
+  UNION ALL SELECT 'stock', 'Mean', 1, 'batch', round(avg(value * value), 5) FROM z, cut WHERE t >= te),
 against AS (
   SELECT o.*, c.method, c.mode, c.mse AS published FROM ours o JOIN cells c ON c.dataset = o.dataset AND c.h = o.pred_len WHERE o.clip_spikes = 0)"""
 
-#: Vectors of 4 dimensions: x the first four of an embedding, y its next four, mask 0 for every fifth.
+#: Vectors: x the first half of an embedding (32 dimensions), y its second half, mask 0 for every fifth.
+DIMS = 32
+
 VECTORS = """vec AS (
-  SELECT vec_id AS id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS x,
-         [embedding[5]::DOUBLE, embedding[6]::DOUBLE, embedding[7]::DOUBLE, embedding[8]::DOUBLE] AS y,
+  SELECT vec_id AS id, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y,
          CASE WHEN vec_id % 5 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mask FROM embeddings),
-ij AS (SELECT b, i, j FROM (SELECT unnest([0, 1]) AS b) CROSS JOIN (SELECT unnest([1, 2]) AS i) CROSS JOIN (SELECT unnest([1, 2]) AS j)),
+ij AS (SELECT b, i, j FROM (SELECT unnest(range(0, 16)) AS b) CROSS JOIN (SELECT unnest([1, 2]) AS i) CROSS JOIN (SELECT unnest([1, 2]) AS j)),
 mass AS (SELECT sum(mask) AS m FROM vec),
 raw AS (
   SELECT b, i, j, sum(mask * x[2 * b + i] * x[2 * b + j]) AS a, sum(mask * x[2 * b + i] * y[2 * b + j]) AS c,

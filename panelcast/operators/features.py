@@ -62,6 +62,25 @@ def feature_rows(panel: DataFrame, lookback: int, cadence: int, most: int = 8) -
     return whole.select("series_id", "t", "value", F.concat(six, "lags", "bins", F.array(s, c)).alias("phi"))
 
 
+def feature_blocks(panel: DataFrame, lookback: int, cadence: int, most: int = 8, chunk: int = 4096) -> DataFrame:
+    """``feature_rows`` of the steps with a whole window, for long lookbacks: NumPy on time chunks with a halo of ``lookback - 1`` rows."""
+    import pandas as pd
+
+    from panelcast.functions import kernels
+    from panelcast.sources.panels import with_halo
+
+    bins = bins_of(lookback, most)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t")
+        if len(g) < lookback:
+            return pd.DataFrame({"series_id": pd.Series([], dtype=object), "t": pd.Series([], dtype="int64"), "value": pd.Series([], dtype="float64"), "phi": pd.Series([], dtype=object)})
+        phi = kernels.window_features(g["value"].to_numpy(dtype=float), lookback, cadence, int(g["t"].iloc[0]), bins)
+        return g[["series_id", "t", "value"]].iloc[lookback - 1 :].assign(phi=list(phi))
+
+    return with_halo(panel, chunk, lookback).groupBy("series_id", "chunk").applyInPandas(run, "series_id string, t long, value double, phi array<double>")
+
+
 def feature_names(lookback: int, most: int = 8) -> list[str]:
     return ["mean", "std", "min", "max", "avgdiff", "trend", *(f"x_lag{i}" for i in range(lookback)), *(f"fft{i}" for i in range(bins_of(lookback, most))), "phase_sin", "phase_cos"]
 
@@ -85,45 +104,35 @@ def by_horizon(panel: DataFrame, horizon: int) -> DataFrame:
     return out.where("target IS NOT NULL").withColumn("r", F.col("r") + 1)
 
 
-def oscillators(panel: DataFrame, bank: list[tuple[float, float, float]]) -> DataFrame:
-    """Add ``context``: h_t = lambda h_{t-1} + b x_t from h = 0 for every (radius, angle, b) of the bank: real parts, then imaginary parts.
+def _recurrence(rows: DataFrame, modes: list[tuple[float, float]], inputs, chunk: int | None, imaginary: bool) -> DataFrame:
+    """(series_id, t, out) of (series_id, t, x ARRAY): a series in order, or, with ``chunk``, chunks of it in parallel.
 
-    A recurrence over a series in order; NumPy runs all modes at once, in the task that holds the series.
+    Chunks run from 0; their last states are combined in order (one row a chunk), and lambda^(k+1) times the carried state is
+    added inside each.
     """
     import numpy as np
     import pandas as pd
 
-    lam = np.array([r * np.exp(1j * a) for r, a, _ in bank])
-    gain = np.array([b for _, _, b in bank])
+    from panelcast.functions import kernels
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        h, out = np.zeros(len(lam), dtype=complex), []
-        for x in g["value"].to_numpy():
-            h = lam * h + gain * x
-            out.append(np.concatenate([h.real, h.imag]))
-        return g.assign(context=out)
+    lam = np.array([r * np.exp(1j * a) for r, a in modes])
+    gain, m = np.array(inputs, dtype=float).T, len(modes)
+    parted = rows.select("series_id", F.floor(F.col("t") / (chunk or 1)).cast("long").alias("chunk") if chunk else F.lit(0).cast("long").alias("chunk"), "t", "x")
 
-    return panel.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, t long, value double, context array<double>")
+    def local(g: pd.DataFrame):
+        return kernels.recurred(np.array(g["x"].tolist(), dtype=float) @ gain, lam)
 
+    def flat(h):
+        return list(np.concatenate([h.real, h.imag], axis=1) if imaginary else h.real)
 
-def oscillators_by_chunk(panel: DataFrame, bank: list[tuple[float, float, float]], chunk: int) -> DataFrame:
-    """The same as ``oscillators`` for long series: chunks run in parallel from 0, their last states are
-    combined in order (a table of one row a chunk), and lambda^(k+1) times the carried state is added inside each chunk."""
-    import numpy as np
-    import pandas as pd
+    schema = "series_id string, t long, out array<double>"
+    if chunk is None:
 
-    lam = np.array([r * np.exp(1j * a) for r, a, _ in bank])
-    gain = np.array([b for _, _, b in bank])
-    m = len(bank)
-    parted = panel.select("series_id", "t", "value", F.floor(F.col("t") / chunk).cast("long").alias("chunk"))
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("t")
+            return pd.DataFrame({"series_id": g["series_id"], "t": g["t"], "out": flat(local(g))})
 
-    def local(g: pd.DataFrame) -> np.ndarray:
-        h, out = np.zeros(m, dtype=complex), []
-        for x in g["value"].to_numpy():
-            h = lam * h + gain * x
-            out.append(h)
-        return np.array(out)
+        return parted.groupBy("series_id").applyInPandas(run, schema)
 
     def ends(g: pd.DataFrame) -> pd.DataFrame:
         h = local(g.sort_values("t"))[-1]
@@ -143,12 +152,31 @@ def oscillators_by_chunk(panel: DataFrame, bank: list[tuple[float, float, float]
     def finish(g: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
         if not len(g):
-            return g.assign(context=[])[["series_id", "t", "value", "context"]]
+            return pd.DataFrame({"series_id": g["series_id"], "t": g["t"], "out": pd.Series([], dtype=object)})
         v = np.array(c["h"].iloc[0])
         h = local(g) + lam ** (np.arange(len(g))[:, None] + 1) * (v[:m] + 1j * v[m:])
-        return g.assign(context=list(np.concatenate([h.real, h.imag], axis=1)))[["series_id", "t", "value", "context"]]
+        return pd.DataFrame({"series_id": g["series_id"], "t": g["t"], "out": flat(h)})
+
+    return parted.groupBy("series_id", "chunk").cogroup(carried.groupBy("series_id", "chunk")).applyInPandas(finish, schema)
+
+
+def linear_recurrence(rows: DataFrame, modes: list[tuple[float, float]], inputs: list[list[float]], chunk: int | None = None) -> DataFrame:
+    """(series_id, t, out): the real part of h_t = lambda h_{t-1} + B x_t for modes of (radius, angle); ``inputs`` is B, a row a mode, and ``rows`` hold arrays x."""
+    return _recurrence(rows, modes, inputs, chunk, False)
+
 
-    return parted.groupBy("series_id", "chunk").cogroup(carried.groupBy("series_id", "chunk")).applyInPandas(finish, "series_id string, t long, value double, context array<double>")
+def oscillators(panel: DataFrame, bank: list[tuple[float, float, float]], chunk: int | None = None) -> DataFrame:
+    """(series_id, t, context): h_t = lambda h_{t-1} + b x_t from h = 0 for every (radius, angle, b) of the bank: real parts, then imaginary parts.
+
+    A recurrence over a series in order; NumPy runs all modes at once, in the task that holds the series.
+    """
+    x = panel.select("series_id", "t", F.array("value").alias("x"))
+    return _recurrence(x, [(r, a) for r, a, _ in bank], [[b] for _, _, b in bank], chunk, True).withColumnRenamed("out", "context")
+
+
+def oscillators_by_chunk(panel: DataFrame, bank: list[tuple[float, float, float]], chunk: int) -> DataFrame:
+    """The same for long series, in parallel chunks."""
+    return oscillators(panel, bank, chunk)
 
 
 def with_context(features: DataFrame, context: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = ("dataset", "pred_len", "model", "clip_spikes")
 TIE = 1e-9
 
 
@@ -18,10 +17,6 @@ def latest_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def tested(rows: DataFrame) -> DataFrame:
-    return rows.where("n > 0")
-
-
 def untested(rows: DataFrame) -> DataFrame:
     return rows.where("n IS NULL OR n <= 0")
 

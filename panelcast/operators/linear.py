@@ -1,7 +1,7 @@
 """Normal equations, ridge solves and their application.
 
-``features`` tables are (series_id, t, value, phi). Gram sums are made in Arrow batches by NumPy, one row per series
-and batch, and merged by grouping, so a long series is summed in parts.
+``features`` tables are (series_id, t, value, phi). Gram sums are made in Arrow batches by NumPy, added up within a task, and
+merged across tasks in two steps, so a long series is summed in parts.
 """
 
 from __future__ import annotations
@@ -11,14 +11,53 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import kernels
 
+SALTS = 32
+HELD_BYTES = 1 << 27
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def sum_arrays(column: str) -> Column:
-    """An aggregate: the element-wise sum of equally long arrays, for few rows a group."""
-    return F.aggregate(F.slice(F.collect_list(column), 2, 2**30), F.element_at(F.collect_list(column), 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+def added(parts: DataFrame, keys: tuple[str, ...], arrays: tuple[str, ...], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the element-wise sums of equally long arrays and the sums of numbers.
+
+    Rows are added up as they stream by, in ``SALTS`` parts of each key first and then in one, so a task holds one sum at a time
+    and no key's rows meet in one task unsummed, however many there are.
+    """
+    import pandas as pd
+
+    def adding(by: list[str]):
+        names = [*by, *arrays, *numbers]
+
+        def run(batches):
+            import numpy as np
+
+            at, total = None, None
+            for g in batches:
+                done = []
+                for row in zip(*(g[c].tolist() for c in names), strict=True):
+                    key = row[: len(by)]
+                    now = [np.asarray(v, dtype=float) if i < len(arrays) else v for i, v in enumerate(row[len(by) :])]
+                    if total is not None and key == at:
+                        total = [x + y for x, y in zip(total, now, strict=True)]
+                        continue
+                    if total is not None:
+                        done.append((*at, *total))
+                    at, total = key, now
+                if done:
+                    yield pd.DataFrame(done, columns=names)
+            if total is not None:
+                yield pd.DataFrame([(*at, *total)], columns=names)
+
+        return run
+
+    salted = parts.select(*keys, *arrays, *numbers, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
+    for by in ([*keys, "_salt"], list(keys)):
+        dealt = salted.repartition(*by).sortWithinPartitions(*by) if by else salted.repartition(1)
+        head = ", ".join(f"{c} {salted.schema[c].dataType.simpleString()}" for c in (*by, *arrays, *numbers))
+        salted = dealt.mapInPandas(adding(by), head)
+    return salted
 
 
 def train_pairs(features: DataFrame, train_end: int, horizon: int, lookback: int) -> DataFrame:
@@ -41,23 +80,35 @@ def gram(pairs: DataFrame, horizon: int, keys: tuple[str, ...] = ("series_id",))
         import numpy as np
         import pandas as pd
 
+        held: dict = {}
+
+        def out():
+            rows = [(*key, r + 1, (whole - lost[r]).ravel(), b[:, r], int(n[r])) for key, (whole, lost, b, n) in held.items() for r in range(horizon)]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*names, "r", "a", "b", "n"])
+
         for batch in batches:
             for key, g in batch.groupby(names, sort=False):
                 phi = np.array(g["phi"].tolist(), dtype=float)
-                y = np.array([[np.nan if v is None else v for v in row] for row in g["y"]], dtype=float)
-                whole = phi.T @ phi
-                out = []
-                for r in range(horizon):
-                    miss = np.isnan(y[:, r])
-                    lost = phi[miss]
-                    a = whole - lost.T @ lost if miss.any() else whole
-                    out.append((*key, r + 1, a.ravel(), phi.T @ np.where(miss, 0.0, y[:, r]), int((~miss).sum())))
-                yield pd.DataFrame(out, columns=[*names, "r", "a", "b", "n"]).astype({k: object for k, v in zip(names, key, strict=True) if isinstance(v, str)})
+                y = np.array(g["y"].tolist(), dtype=float)
+                missing = np.isnan(y)
+                f = phi.shape[1]
+                if key not in held:
+                    held[key] = [np.zeros((f, f)), np.zeros((horizon, f, f)), np.zeros((f, horizon)), np.zeros(horizon)]
+                sums = held[key]
+                sums[0] += phi.T @ phi
+                for r in np.flatnonzero(missing.any(0)):
+                    sums[1][r] += phi[missing[:, r]].T @ phi[missing[:, r]]
+                sums[2] += phi.T @ np.where(missing, 0.0, y)
+                sums[3] += (~missing).sum(0)
+                if len(held) * (horizon + 1) * f * f * 8 > HELD_BYTES:
+                    yield out()
+        if held:
+            yield out()
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema)
     parts = pairs.select(*names, "phi", "y").mapInPandas(run, f"{head}, r int, a array<double>, b array<double>, n long")
-    summed = parts.groupBy(*names, "r").agg(sum_arrays("a").alias("a"), sum_arrays("b").alias("b"), F.sum("n").alias("n"))
-    return summed.where("n > 0")
+    return added(parts, (*names, "r"), ("a", "b"), ("n",)).where("n > 0")
 
 
 def solve_relative(sums: DataFrame, lam: float, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
@@ -93,11 +144,28 @@ def fit_mean_ridge(pairs: DataFrame, horizon: int, lam: float = 1e-3, gamma: flo
     return gram(pairs, horizon).mapInPandas(run, "series_id string, r int, w array<double>")
 
 
-def forecast(features: DataFrame, model: DataFrame, first: int, steps: int) -> DataFrame:
-    """(series_id, t, r, yhat) from origins ``first`` to the last whose target lies before ``steps``."""
-    origins = features.where(F.col("t") >= first).select("series_id", "t", "phi")
-    out = origins.join(model.select("series_id", "r", "w"), "series_id").where(F.col("t") + F.col("r") < steps)
-    return out.select("series_id", "t", "r", dot("phi", "w").alias("yhat"))
+def forecast(features: DataFrame, model: DataFrame, first: int, steps: int, chunk: int = 4096) -> DataFrame:
+    """(series_id, t, r, yhat) from origins ``first`` to the last whose target lies before ``steps``.
+
+    One matrix product per series and ``chunk`` origins with the weights of all r: neither phi nor the weights are copied for each other's rows.
+    """
+    import pandas as pd
+
+    n_chunks = max(1, -(-(steps - first) // chunk))
+    origins = features.where((F.col("t") >= first) & (F.col("t") < steps - 1)).select("series_id", F.floor((F.col("t") - first) / chunk).cast("long").alias("chunk"), "t", "phi")
+    heads = model.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<long>")).alias("chunk"), "r", "w")
+
+    def run(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if not len(g) or not len(m):
+            return pd.DataFrame({"series_id": pd.Series([], dtype=object), "t": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="int32"), "yhat": pd.Series([], dtype="float64")})
+        t, r = g["t"].to_numpy(), m["r"].to_numpy()
+        yhat = np.array(g["phi"].tolist(), dtype=float) @ np.array(m["w"].tolist(), dtype=float).T
+        i, j = np.nonzero(t[:, None] + r[None, :] < steps)
+        return pd.DataFrame({"series_id": g["series_id"].iloc[0], "t": t[i], "r": r[j], "yhat": yhat[i, j]})
+
+    return origins.groupBy("series_id", "chunk").cogroup(heads.groupBy("series_id", "chunk")).applyInPandas(run, "series_id string, t long, r int, yhat double")
 
 
 def block_sums(rows: DataFrame, block: int) -> DataFrame:
@@ -107,26 +175,32 @@ def block_sums(rows: DataFrame, block: int) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        total = None
         for g in batches:
             x, y = (np.array(g[c].tolist(), dtype=float).reshape(len(g), -1, block) for c in ("x", "y"))
             m = g["mask"].to_numpy(dtype=float)
-            a, b = np.einsum("n,nki,nkj->kij", m, x, x), np.einsum("n,nki,nkj->kij", m, x, y)
-            yield pd.DataFrame({"block_id": range(len(a)), "a": [v.ravel() for v in a], "b": [v.ravel() for v in b], "m": m.sum()})
+            now = [np.einsum("n,nki,nkj->kij", m, x, x), np.einsum("n,nki,nkj->kij", m, x, y), m.sum()]
+            total = now if total is None else [p + q for p, q in zip(total, now, strict=True)]
+        if total is not None:
+            a, b, m = total
+            yield pd.DataFrame({"block_id": range(len(a)), "a": [v.ravel() for v in a], "b": [v.ravel() for v in b], "m": m})
 
     parts = rows.select("x", "y", "mask").mapInPandas(run, "block_id int, a array<double>, b array<double>, m double")
-    return parts.groupBy("block_id").agg(sum_arrays("a").alias("a"), sum_arrays("b").alias("b"), F.sum("m").alias("m"))
+    return added(parts, ("block_id",), ("a", "b"), ("m",))
 
 
-def finalise(sums: DataFrame, block: int, gamma: float = 0.01, lam: float = 0.01) -> DataFrame:
-    """A / max(M, 1) + (gamma + lam) I and B / max(M, 1) + gamma G, with G the identity."""
+def finalise(sums: DataFrame, block: int, gamma: float = 0.01, lam: float = 0.01, g: list[list[float]] | None = None) -> DataFrame:
+    """A / max(M, 1) + (gamma + lam) I and B / max(M, 1) + gamma G, with G the identity unless given."""
     m = F.greatest("m", F.lit(1.0))
     diagonal = lambda i: F.when(i % (block + 1) == 0, 1.0).otherwise(0.0)
-    return sums.select("block_id", "m", F.transform("a", lambda v, i: v / m + (gamma + lam) * diagonal(i)).alias("a"), F.transform("b", lambda v, i: v / m + gamma * diagonal(i)).alias("b"))
+    towards = F.lit([float(v) for row in g for v in row]) if g else None
+    aim = lambda i: diagonal(i) if towards is None else F.get(towards, i)
+    return sums.select("block_id", "m", F.transform("a", lambda v, i: v / m + (gamma + lam) * diagonal(i)).alias("a"), F.transform("b", lambda v, i: v / m + gamma * aim(i)).alias("b"))
 
 
-def regularise(blocks: DataFrame, block: int, gamma: float, lam: float) -> DataFrame:
+def regularise(blocks: DataFrame, block: int, gamma: float, lam: float, g: list[list[float]] | None = None) -> DataFrame:
     """The same for matrices that are averages already."""
-    return finalise(blocks.withColumn("m", F.lit(1.0)), block, gamma, lam)
+    return finalise(blocks.withColumn("m", F.lit(1.0)), block, gamma, lam, g)
 
 
 def _per_block(blocks: DataFrame, block: int, f, field: str) -> DataFrame:
@@ -177,7 +251,7 @@ def backward_projection(rows: DataFrame, block: int, gamma: float, lam: float) -
 
 
 def apply_blocks(rows: DataFrame, weights: DataFrame, block: int) -> DataFrame:
-    """(id, block_id, out): each row's block times the block's weights (few rows: one a block)."""
+    """(id, block_id, out): each row's block times the block's weights, which are broadcast: one row a block of a vector's dimensions, whatever the rows."""
     cut = F.transform(F.sequence(F.lit(0), (F.size("x") / block).cast("int") - 1), lambda k: F.slice("x", k * block + 1, F.lit(block)))
     each = rows.select("id", F.posexplode(cut).alias("block_id", "x")).join(F.broadcast(weights.select("block_id", "w")), "block_id")
     column = lambda j: F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.get("w", i * block + j))
@@ -187,36 +261,38 @@ def apply_blocks(rows: DataFrame, weights: DataFrame, block: int) -> DataFrame:
 def woodbury_correction(blocks: DataFrame, block: int, rank: int) -> DataFrame:
     """Low-rank correction across blocks of (block_id, a_inv, w, u, v, p, q), matrices row-major: w - Z C^-1 V'w + (Z_P - Z C_P) Q'.
 
-    Pass 1 sums the rank x rank terms over blocks; the core (one row) then goes to every block.
+    Pass 1 sums the rank x rank terms over blocks; the core (one row of 2 rank^2 numbers) then goes to every task.
     """
     import pandas as pd
 
     def parts(g):
         import numpy as np
 
-        a, w = (np.array(g[c]).reshape(block, block) for c in ("a_inv", "w"))
-        u, v, p, q = (np.array(g[c]).reshape(block, rank) for c in ("u", "v", "p", "q"))
+        a, w = (np.array(g[c].tolist(), dtype=float).reshape(-1, block, block) for c in ("a_inv", "w"))
+        u, v, p, q = (np.array(g[c].tolist(), dtype=float).reshape(-1, block, rank) for c in ("u", "v", "p", "q"))
         return a @ u, a @ p, w, v, q
 
     def first(batches):
-        for b in batches:
-            rows = [parts(g) for _, g in b.iterrows()]
-            yield pd.DataFrame({"c": [(v.T @ z).ravel() for z, _, _, v, _ in rows], "cp": [(v.T @ zp).ravel() for _, zp, _, v, _ in rows]})
+        import numpy as np
+
+        for g in batches:
+            z, zp, _, v, _ = parts(g)
+            yield pd.DataFrame({"c": [np.einsum("nbi,nbj->ij", v, z).ravel()], "cp": [np.einsum("nbi,nbj->ij", v, zp).ravel()]})
 
-    core = blocks.mapInPandas(first, "c array<double>, cp array<double>").agg(sum_arrays("c").alias("c"), sum_arrays("cp").alias("cp"))
+    got = added(blocks.mapInPandas(first, "c array<double>, cp array<double>"), (), ("c", "cp")).first()
+    core = (got["c"], got["cp"]) if got else ([0.0] * rank**2, [0.0] * rank**2)
 
     def second(batches):
         import numpy as np
 
-        for b in batches:
-            out = []
-            for _, g in b.iterrows():
-                z, zp, w, v, q = parts(g)
-                c, cp = np.eye(rank) + np.array(g["c"]).reshape(rank, rank), np.array(g["cp"]).reshape(rank, rank)
-                out.append((w - z @ np.linalg.solve(c, v.T @ w) + (zp - z @ np.linalg.solve(c, cp)) @ q.T).ravel())
-            yield pd.DataFrame({"block_id": b["block_id"], "w": out})
+        c, cp = np.eye(rank) + np.array(core[0]).reshape(rank, rank), np.array(core[1]).reshape(rank, rank)
+        for g in batches:
+            z, zp, w, v, q = parts(g)
+            turned = np.swapaxes(v, 1, 2) @ w
+            out = w - z @ np.linalg.solve(c, np.swapaxes(turned, 0, 1).reshape(rank, -1)).reshape(rank, len(g), block).swapaxes(0, 1) + (zp - z @ np.linalg.solve(c, cp)) @ np.swapaxes(q, 1, 2)
+            yield pd.DataFrame({"block_id": g["block_id"], "w": list(out.reshape(len(g), -1))})
 
-    return blocks.join(F.broadcast(core)).mapInPandas(second, "block_id int, w array<double>")
+    return blocks.mapInPandas(second, "block_id int, w array<double>")
 
 
 def fit_shared(rows: DataFrame, lam: float = 1e-6) -> DataFrame:
@@ -226,11 +302,14 @@ def fit_shared(rows: DataFrame, lam: float = 1e-6) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        a = b = None
         for g in batches:
             x, y = (np.array(g[c].tolist(), dtype=float) for c in ("phi", "y"))
-            yield pd.DataFrame({"a": [(x.T @ x).ravel()], "b": [(x.T @ y).ravel()]})
+            a, b = (x.T @ x, x.T @ y) if a is None else (a + x.T @ x, b + x.T @ y)
+        if a is not None:
+            yield pd.DataFrame({"a": [a.ravel()], "b": [b.ravel()]})
 
-    sums = rows.select("phi", "y").mapInPandas(run, "a array<double>, b array<double>").agg(sum_arrays("a").alias("a"), sum_arrays("b").alias("b"))
+    sums = added(rows.select("phi", "y").mapInPandas(run, "a array<double>, b array<double>"), (), ("a", "b"))
 
     def solve(batches):
         import numpy as np

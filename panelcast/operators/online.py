@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions import kernels
+HELD = 1024  # rows before the first step that a pass is given: more than any step ahead
 
 
 def delayed_pairs(features: DataFrame, horizon: int) -> DataFrame:
@@ -24,37 +24,49 @@ def no_forecasts():
     return pd.DataFrame({"series_id": pd.Series([], dtype=object), "t": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="int32"), "yhat": pd.Series([], dtype="float64")})
 
 
-def run_online(values, phi, model: list[tuple], first: int, steps: int):
-    """One series in order: per step r, update with (phi(t - r), x[t]), then predict x[t + r] from phi(t). model: (r, w, inv). Returns forecasts and the last state."""
+def stacked(model):
+    """Rows (r, w, a_inv) of a series' model -> arrays r, w (r, F) and a_inv (r, F, F)."""
     import numpy as np
 
-    out, states = [], []
-    for r, w, inv in model:
-        w, inv = np.array(w), np.array(inv).reshape(len(w), len(w))
-        for t in range(first, min(steps, len(values))):
-            if t - r >= 0:
-                inv, w = kernels.rls_step(inv, w, phi[t - r], values[t])
-            if t + r < steps:
-                out.append((t, r, float(phi[t] @ w)))
-        states.append((r, w, inv))
-    return out, states
+    w = np.array(model["w"].tolist(), dtype=float)
+    return model["r"].to_numpy(dtype=int), w, np.array(model["a_inv"].tolist(), dtype=float).reshape(len(w), w.shape[1], w.shape[1])
+
+
+def long_forecasts(series_id, first: int, r, yhat, steps: int):
+    """Forecasts (origins, r) -> rows (series_id, t, r, yhat) whose target lies before ``steps``."""
+    import numpy as np
+    import pandas as pd
+
+    i, j = np.nonzero(first + np.arange(len(yhat))[:, None] + r[None, :] < steps)
+    return pd.DataFrame({"series_id": pd.Series([series_id] * len(i), dtype=object), "t": first + i, "r": r[j], "yhat": yhat[i, j]})
+
+
+def _run(g, m, first: int, last: int):
+    """One series' (or chunk's) pass over the steps first..last - 1; its rows may start later than step 0. Returns r, forecasts, w, a_inv."""
+    import numpy as np
+
+    from panelcast.functions import kernels
+
+    g = g.sort_values("t")
+    t0 = int(g["t"].iloc[0])
+    r, w, inv = stacked(m)
+    if r.max() > HELD:
+        raise ValueError(f"steps ahead may be {HELD} at most")
+    phi = np.array(g["phi"].tolist(), dtype=float)
+    return (r, *kernels.online_pass(g["value"].to_numpy(dtype=float), phi, r, w, inv, first - t0, min(last, t0 + len(g)) - t0))
 
 
 def online_forecast(features: DataFrame, model: DataFrame, first: int, steps: int) -> DataFrame:
-    """(series_id, t, r, yhat) of update-then-forecast from ``first``; series and steps run in parallel."""
+    """(series_id, t, r, yhat) of update-then-forecast from ``first``; series run in parallel, all r of one at once."""
     import pandas as pd
 
     def run(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         if not len(g) or not len(m):
             return no_forecasts()
-        g = g.sort_values("t")
-        phi = np.array([[np.nan if v is None else v for v in row] for row in g["phi"]], dtype=float)
-        got, _ = run_online(g["value"].to_numpy(), phi, list(zip(m["r"], m["w"], m["a_inv"], strict=True)), first, steps)
-        return pd.DataFrame(got, columns=["t", "r", "yhat"]).assign(series_id=g["series_id"].iloc[0]).astype({"series_id": object})[["series_id", "t", "r", "yhat"]]
+        r, yhat, _, _ = _run(g, m, first, steps)
+        return long_forecasts(g["series_id"].iloc[0], first, r, yhat, steps)
 
-    rows = features.select("series_id", "t", "value", "phi")
+    rows = features.where(F.col("t") >= first - HELD).select("series_id", "t", "value", "phi")
     return rows.groupBy("series_id").cogroup(model.groupBy("series_id")).applyInPandas(run, "series_id string, t long, r int, yhat double")
 
 
@@ -63,14 +75,12 @@ def online_state(features: DataFrame, model: DataFrame, first: int, last: int) -
     import pandas as pd
 
     def run(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        g = g.sort_values("t")
-        phi = np.array(g["phi"].tolist(), dtype=float)
-        _, states = run_online(g["value"].to_numpy(), phi, list(zip(m["r"], m["w"], m["a_inv"], strict=True)), first, last)
-        return pd.DataFrame({"series_id": m["series_id"], "r": [r for r, _, _ in states], "w": [w for _, w, _ in states], "a_inv": [i.ravel() for _, _, i in states]})
+        if not len(g) or not len(m):
+            return m[["series_id", "r", "w", "a_inv"]]
+        r, _, w, inv = _run(g, m, first, last)
+        return pd.DataFrame({"series_id": m["series_id"].iloc[0], "r": r, "w": list(w), "a_inv": list(inv.reshape(len(r), -1))})
 
-    rows = features.select("series_id", "t", "value", "phi")
+    rows = features.where(F.col("t") >= first - HELD).select("series_id", "t", "value", "phi")
     return rows.groupBy("series_id").cogroup(model.groupBy("series_id")).applyInPandas(run, "series_id string, r int, w array<double>, a_inv array<double>")
 
 
@@ -78,60 +88,98 @@ def online_by_chunk(features: DataFrame, sums: DataFrame, lam: float, horizon: i
     """The same forecasts for few long series: with unit weights RLS equals ridge on all rows so far, so Gram
     sums per time chunk are added up in order, solved once at each chunk's start, and the chunks then run in parallel.
 
-    sums: the unregularised train sums (series_id, r, a, b).
+    sums: the unregularised train sums (series_id, r, a, b). A chunk's rows are copied once into the next, as its halo of ``horizon`` rows.
     """
     import pandas as pd
 
-    from panelcast.operators.linear import gram
+    n_chunks = max(1, -(-(steps - first) // chunk))
+    of = lambda t: F.floor((t - first) / chunk).cast("long")
+    t = F.col("t")
+    both = F.array_distinct(F.array(of(t), of(t + horizon)))
+    near = features.where(t >= first - horizon).select("series_id", "t", "value", "phi", F.explode(both).alias("chunk")).where((F.col("chunk") >= 0) & (F.col("chunk") < n_chunks))
+
+    def gains(g: pd.DataFrame) -> pd.DataFrame:
+        """The chunk's own sums per r: targets inside it, features r steps before."""
+        import numpy as np
 
-    pairs = delayed_pairs(features, horizon).where((F.col("t") >= first) & (F.col("t") < steps)).withColumn("chunk", F.floor((F.col("t") - first) / chunk).cast("long"))
-    each = pairs.select("series_id", "chunk", F.col("r").alias("step"), F.col("phi_then").alias("phi"), F.array("observed").alias("y"))
-    parts = gram(each, 1, ("series_id", "chunk", "step")).select("series_id", "chunk", F.col("step").cast("int").alias("r"), "a", "b")
-    n_chunks = -(-(steps - first) // chunk)
+        g = g.sort_values("t")
+        t0, a = int(g["t"].iloc[0]), first + int(g["chunk"].iloc[0]) * chunk
+        phi, x = np.array(g["phi"].tolist(), dtype=float), g["value"].to_numpy(dtype=float)
+        out = []
+        for r in range(1, horizon + 1):
+            at = np.arange(max(a, t0 + r), min(a + chunk, t0 + len(g))) - t0
+            p = phi[at - r]
+            out.append((r, (p.T @ p).ravel(), p.T @ x[at]))
+        return pd.DataFrame(out, columns=["r", "a", "b"]).assign(series_id=g["series_id"].iloc[0], chunk=int(g["chunk"].iloc[0]))[["series_id", "chunk", "r", "a", "b"]]
+
+    parts = near.groupBy("series_id", "chunk").applyInPandas(gains, "series_id string, chunk long, r int, a array<double>, b array<double>")
 
     def starts(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        out = []
-        for _, row in s.iterrows():
-            b = np.array(row["b"])
+        out, by = [], {(c, r): (np.array(a), np.array(b)) for c, r, a, b in zip(g["chunk"], g["r"], g["a"], g["b"], strict=True)}
+        for name, r, a, b in zip(s["series_id"], s["r"], s["a"], s["b"], strict=True):
+            b = np.array(b)
             f = len(b)
-            a = np.array(row["a"]).reshape(f, f)
+            a = np.array(a).reshape(f, f)
             a = a + lam * np.trace(a) / f * np.eye(f)
-            mine = g[g["r"] == row["r"]].set_index("chunk") if len(g) else g
             for c in range(n_chunks):
                 inv = np.linalg.inv(a)
-                out.append((row["series_id"], c, row["r"], np.linalg.solve(a, b), ((inv + inv.T) / 2).ravel()))
-                if len(mine) and c in mine.index:
-                    a, b = a + np.array(mine.loc[c, "a"]).reshape(f, f), b + np.array(mine.loc[c, "b"])
+                out.append((name, c, r, np.linalg.solve(a, b), ((inv + inv.T) / 2).ravel()))
+                if (c, r) in by:
+                    a, b = a + by[c, r][0].reshape(f, f), b + by[c, r][1]
         return pd.DataFrame(out, columns=["series_id", "chunk", "r", "w", "a_inv"]).astype({"series_id": object})
 
     model = parts.groupBy("series_id").cogroup(sums.groupBy("series_id")).applyInPandas(starts, "series_id string, chunk long, r int, w array<double>, a_inv array<double>")
-    c = F.floor((F.col("t") - first) / chunk)
-    near = features.where(F.col("t") >= first - horizon).select("series_id", "t", "value", "phi", F.explode(F.array_distinct(F.array(c, F.floor((F.col("t") + horizon - first) / chunk)).cast("array<long>"))).alias("chunk")).where((F.col("chunk") >= 0) & (F.col("chunk") < n_chunks))
 
     def run(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         if not len(g) or not len(m):
             return no_forecasts()
-        g = g.sort_values("t")
-        t0, a = int(g["t"].iloc[0]), first + int(m["chunk"].iloc[0]) * chunk
-        phi = np.array([[np.nan if v is None else v for v in row] for row in g["phi"]], dtype=float)
-        model = list(zip(m["r"], m["w"], m["a_inv"], strict=True))
-        got = []
-        for r, w, inv in model:
-            w, inv = np.array(w), np.array(inv).reshape(len(w), len(w))
-            for t in range(a, min(a + chunk, steps)):
-                if t - r >= t0:
-                    inv, w = kernels.rls_step(inv, w, phi[t - r - t0], g["value"].iloc[t - t0])
-                if t + r < steps:
-                    got.append((t, r, float(phi[t - t0] @ w)))
-        return pd.DataFrame(got, columns=["t", "r", "yhat"]).assign(series_id=g["series_id"].iloc[0]).astype({"series_id": object})[["series_id", "t", "r", "yhat"]]
+        a = first + int(m["chunk"].iloc[0]) * chunk
+        r, yhat, _, _ = _run(g, m, a, min(a + chunk, steps))
+        return long_forecasts(g["series_id"].iloc[0], a, r, yhat, steps)
 
     return near.groupBy("series_id", "chunk").cogroup(model.groupBy("series_id", "chunk")).applyInPandas(run, "series_id string, t long, r int, yhat double")
 
 
+def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, online: bool = True, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """(series_id, t, r, yhat): fit on the train rows and forecast from ``first``, for panels of many series.
+
+    Only a series' values travel; features (with the oscillators of ``bank``, if given), the fit and the pass are made where the
+    series is. ``online`` updates before each forecast; without it the fitted weights stay. For few very long series use
+    ``feature_blocks``, ``fit_ridge`` and ``forecast`` or ``online_by_chunk``, which cut them into chunks.
+    """
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        from panelcast.functions import kernels
+
+        x = g.sort_values("t")["value"].to_numpy(dtype=float)
+        if len(x) < max(lookback, first + 2):
+            return no_forecasts()
+        phi = kernels.window_features(x, lookback, cadence, 0, bins)  # row i is step i + lookback - 1
+        if bank:
+            lam_ = np.array([r * np.exp(1j * a) for r, a, _ in bank])
+            h = kernels.recurred(x[:, None] * np.array([b for _, _, b in bank]), lam_)[lookback - 1 :]
+            phi = np.concatenate([phi, h.real, h.imag], axis=1)
+        ahead = np.arange(1, horizon + 1)
+        w, inv = [], []
+        for r in ahead:
+            n = train_end - r - lookback + 1
+            got = kernels.relative_ridge(phi[:n].T @ phi[:n], phi[:n].T @ x[lookback - 1 + r : lookback - 1 + r + n], lam)
+            w.append(got[0])
+            inv.append(got[1])
+        if online:
+            yhat = kernels.online_pass(x[lookback - 1 :], phi, ahead, np.array(w), np.array(inv), first - lookback + 1, steps - lookback)[0]
+        else:
+            yhat = phi[first - lookback + 1 : steps - lookback] @ np.array(w).T
+        return long_forecasts(g["series_id"].iloc[0], first, ahead, yhat, steps)
+
+    return panel.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, t long, r int, yhat double")
+
+
 def free_run(panel: DataFrame, weights: DataFrame, order: int, start: int, n: int) -> DataFrame:
     """(series_id, t, yhat): n steps from ``start``, each prediction fed back into the delay embedding [1, x_t, ...]. weights: (series_id, w)."""
     import pandas as pd

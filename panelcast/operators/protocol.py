@@ -99,7 +99,3 @@ def fill_leading(panel: DataFrame) -> DataFrame:
     """Missing rows before the first value of a series take that value; others stay missing."""
     first = panel.where("value IS NOT NULL").groupBy("series_id").agg(F.min_by("value", "t").alias("_v"), F.min("t").alias("_t"))
     return panel.join(first, "series_id", "left").select("series_id", "t", F.when(F.col("t") < F.col("_t"), F.col("_v")).otherwise(F.col("value")).alias("value"))
-
-
-def by_time() -> object:
-    return Window.partitionBy("series_id").orderBy("t")

@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import kernels
 
-BANK_ROWS = 100_000
+BANK_BYTES = 1 << 26
+BLOCK_BYTES = 1 << 24
 
 
 def refine(queries: DataFrame, bank: DataFrame, beta: float = 0.1, steps: int = 1) -> DataFrame:
     """(id, out): ``steps`` times softmax(beta r K') V over bank (key, value).
 
-    A bank of counted, few rows goes to every task and all steps run inside the batch; a larger one is met in slices of rows,
+    A bank of few counted bytes goes to every task and all steps run inside the batch; a larger one is met in blocks of rows,
     whose maxima and sums merge exactly (log-sum-exp), one grouping a step.
     """
     import pandas as pd
 
-    if bank.count() > BANK_ROWS:
+    if (bank.agg(F.sum(F.size("key") + F.size("value"))).first()[0] or 0) * 8 > BANK_BYTES:
         for _ in range(steps):
             queries = _by_slices(queries, bank, beta).withColumnRenamed("out", "x")
         return queries.withColumnRenamed("x", "out")
     import numpy as np
 
-    held = bank.select("key", "value").collect()  # at most BANK_ROWS
+    held = bank.select("key", "value").collect()  # at most BANK_BYTES
     spread = queries.sparkSession.sparkContext.broadcast((np.array([r["key"] for r in held], dtype=float), np.array([r["value"] for r in held], dtype=float)))
 
     def run(batches):
@@ -38,59 +39,75 @@ def refine(queries: DataFrame, bank: DataFrame, beta: float = 0.1, steps: int =
     return queries.select("id", "x").mapInPandas(run, "id long, out array<double>")
 
 
-def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, slices: int = 64) -> DataFrame:
-    """One step over a bank of any size: every query meets every slice of the bank, and leaves a maximum, a sum and a weighted vector."""
+def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, rows: int | None = None) -> DataFrame:
+    """One step over a bank of any size: blocks of queries meet blocks of the bank, both of counted rows, and each query leaves a maximum, a sum and a weighted vector a block."""
     import numpy as np
     import pandas as pd
 
-    parts = bank.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(slices)))
-    spread = queries.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")).alias("s"))
+    first = bank.first()
+    rows = rows or max(1, BLOCK_BYTES // (8 * max(1, len(first["key"]) + len(first["value"])) if first else 1))
+    n_queries, n_bank = (max(1, -(-df.count() // rows)) for df in (queries, bank))
+    deal = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.lit(n))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    # A block of queries is copied once a block of the bank, and the other way round: rows of both, not pairs of rows, travel.
+    spread = queries.select("id", "x", deal(n_queries, "id").cast("long").alias("q")).select("id", "x", "q", numbers(n_bank).alias("s"))
+    parts = bank.select("key", "value", deal(n_bank, "key", "value").cast("long").alias("s")).select("key", "value", "s", numbers(n_queries).alias("q"))
 
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
-            return pd.DataFrame({"id": [], "m": [], "z": [], "v": []})
-        s = beta * np.array(q["x"].tolist(), dtype=float) @ np.array(b["key"].tolist(), dtype=float).T
-        m = s.max(1)
-        e = np.exp(s - m[:, None])
-        return pd.DataFrame({"id": q["id"], "m": m, "z": e.sum(1), "v": list(e @ np.array(b["value"].tolist(), dtype=float))})
-
-    got = spread.groupBy("s").cogroup(parts.groupBy("s")).applyInPandas(run, "id long, m double, z double, v array<double>")
-    all_ = got.groupBy("id").agg(F.collect_list(F.struct("m", "z", "v")).alias("p"))  # one entry a slice
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "m": pd.Series([], dtype=float), "z": pd.Series([], dtype=float), "v": pd.Series([], dtype=object)})
+        keys, values = (np.array(b[c].tolist(), dtype=float) for c in ("key", "value"))
+        out = []
+        for i in range(0, len(q), 1024):
+            s = beta * np.array(q["x"].iloc[i : i + 1024].tolist(), dtype=float) @ keys.T
+            m = s.max(1)
+            e = np.exp(s - m[:, None])
+            out.append(pd.DataFrame({"id": q["id"].iloc[i : i + 1024], "m": m, "z": e.sum(1), "v": list(e @ values)}))
+        return pd.concat(out)
+
+    got = spread.groupBy("q", "s").cogroup(parts.groupBy("q", "s")).applyInPandas(run, "id long, m double, z double, v array<double>")
+    all_ = got.groupBy("id").agg(F.collect_list(F.struct("m", "z", "v")).alias("p"))  # one entry a block of the bank
     top = F.array_max(F.transform("p", lambda x: x["m"]))
     z = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["z"] * F.exp(x["m"] - F.col("top")))
     v = F.aggregate("p", F.transform(F.get("p", 0)["v"], lambda x: F.lit(0.0)), lambda a, x: F.zip_with(a, x["v"], lambda i, j: i + j * F.exp(x["m"] - F.col("top"))))
     return all_.withColumn("top", top).select("id", v.alias("v"), z.alias("z")).select("id", F.transform("v", lambda x: x / F.col("z")).alias("out"))
 
 
+def stepped(u, pull, lr: float):
+    """The basis moved along ``pull`` less the part of it that lies in the basis already, and orthonormalised."""
+    return kernels.orthonormal(u + lr * (pull - u @ (u.T @ pull)))
+
+
 def gha_step(rows: DataFrame, u, v, lr: float):
     """One masked Oja step of the x and y subspaces (dims x rank) over (x, y, mask): sums of x (x'u) come from the tasks, the small update and re-orthonormalising are the driver's."""
-    import numpy as np
-
     gx, gy, n = _cross(rows, lambda x, y: (x.T @ (x @ u), y.T @ (y @ v)), u.shape, v.shape)
-    return kernels.orthonormal(u + lr * gx / max(n, 1.0)), kernels.orthonormal(v + lr * gy / max(n, 1.0))
+    return stepped(u, gx / max(n, 1.0), lr), stepped(v, gy / max(n, 1.0), lr)
 
 
 def svd_gha_step(rows: DataFrame, p, q, lr: float):
     """One masked step of the cross-covariance's singular subspaces."""
     gx, gy, n = _cross(rows, lambda x, y: (x.T @ (y @ q), y.T @ (x @ p)), p.shape, q.shape)
-    return kernels.orthonormal(p + lr * gx / max(n, 1.0)), kernels.orthonormal(q + lr * gy / max(n, 1.0))
+    return stepped(p, gx / max(n, 1.0), lr), stepped(q, gy / max(n, 1.0), lr)
 
 
 def _cross(rows: DataFrame, f, sx, sy):
     import numpy as np
     import pandas as pd
 
-    from panelcast.operators.linear import sum_arrays
+    from panelcast.operators.linear import added
 
     def run(batches):
+        total = None
         for g in batches:
             m = g["mask"].to_numpy(dtype=float)
             x, y = (np.array(g[c].tolist(), dtype=float) * m[:, None] for c in ("x", "y"))
-            a, b = f(x, y)
-            yield pd.DataFrame({"a": [a.ravel()], "b": [b.ravel()], "n": [float(m.sum())]})
+            now = [*f(x, y), float(m.sum())]
+            total = now if total is None else [a + b for a, b in zip(total, now, strict=True)]
+        if total is not None:
+            yield pd.DataFrame({"a": [total[0].ravel()], "b": [total[1].ravel()], "n": [total[2]]})
 
-    r = rows.select("x", "y", "mask").mapInPandas(run, "a array<double>, b array<double>, n double").agg(sum_arrays("a").alias("a"), sum_arrays("b").alias("b"), F.sum("n").alias("n")).first()
-    if r["n"] is None:
+    r = added(rows.select("x", "y", "mask").mapInPandas(run, "a array<double>, b array<double>, n double"), (), ("a", "b"), ("n",)).first()
+    if r is None:
         return np.zeros(sx), np.zeros(sy), 0.0
     return np.array(r["a"]).reshape(sx), np.array(r["b"]).reshape(sy), r["n"]
 

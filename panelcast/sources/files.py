@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.sources.storage import stored
+
 RESULTS = "dataset string, pred_len int, model string, mse double, mae double, n long, by_step map<string, array<double>>, clip_spikes double"
 CELLS = "map<string, map<string, map<string, struct<batch: double, dsof: double>>>>"
 
@@ -31,14 +33,15 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def indexed(df: DataFrame) -> DataFrame:
-    """Add t, the 0-based place of each row in file order, without gathering rows: an offset per partition plus the place in it."""
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
+    """Add t, the 0-based place of each row in file order, without gathering rows: an offset per partition (two numbers each come to the driver) plus the place in it."""
+    tagged = stored(df.withColumn("_id", F.monotonically_increasing_id()), "tagged")  # written, so that both reads below see the same places
     part = F.shiftright("_id", 33)
-    sizes = tagged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    others = sizes.select(F.col("_p").alias("_q"), F.col("_n").alias("_m"))
-    starts = sizes.join(others, F.col("_q") < F.col("_p"), "left").groupBy("_p").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_start"))  # one row a file partition
+    starts, n = {}, 0
+    for p, c in sorted(tuple(r) for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        starts[p], n = n, n + c
+    rows = df.sparkSession.createDataFrame(list(starts.items()), "_p long, _start long")
     local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn("t", F.col("_start") + local).drop("_p", "_id", "_start")
+    return tagged.withColumn("_p", part).join(F.broadcast(rows), "_p").withColumn("t", F.col("_start") + local).drop("_p", "_id", "_start")
 
 
 def to_long(wide: DataFrame) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.sources.storage import table
+from panelcast.sources.storage import stored, table
 
 
 def dense_panel(facts: DataFrame, step: str = "day") -> DataFrame:
     """From (series_id, at, amount) rows: the sum per series and step (to 4 decimals), 0 where there is none, with t counted from the first step of all."""
     unit = F.date_trunc(step, F.col("at").cast("timestamp"))
-    sums = facts.groupBy("series_id", unit.alias("at")).agg(F.round(F.sum("amount"), 4).alias("value"))
-    span = sums.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # one row
-    series = sums.select("series_id").distinct()
-    grid = series.join(F.broadcast(span)).select("series_id", F.posexplode(F.expr(f"sequence(lo, hi, interval 1 {step})")).alias("t", "at"))
+    sums = stored(facts.groupBy("series_id", unit.alias("at")).agg(F.round(F.sum("amount"), 4).alias("value")), "sums")  # read three times below
+    span = sums.agg(F.unix_micros(F.min("at")).alias("lo"), F.unix_micros(F.max("at")).alias("hi")).first()  # one row
+    series = sums.select("series_id").distinct().withColumns({c: F.timestamp_micros(F.lit(span[c]).cast("long")) for c in ("lo", "hi")})
+    grid = series.select("series_id", F.posexplode(F.expr(f"sequence(lo, hi, interval 1 {step})")).alias("t", "at"))
     return grid.join(sums, ["series_id", "at"], "left").select("series_id", F.col("t").cast("long"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -31,18 +31,18 @@ def event_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_panel(e.select(F.col("event_type").alias("series_id"), F.col("ts").alias("at"), F.col("value").alias("amount")), "hour")
 
 
-def flag_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity per return flag and line status and day: few long series."""
-    l = table(spark, sf_dir, "lineitem")
-    return dense_panel(l.select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("series_id"), F.col("l_shipdate").alias("at"), F.col("l_quantity").alias("amount")))
-
-
 def supplier_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue per supplier and week: many series."""
     l = table(spark, sf_dir, "lineitem")
     return dense_panel(l.select(F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("at"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount")), "week")
 
 
+def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue per supplier and day: many long series."""
+    l = table(spark, sf_dir, "lineitem")
+    return dense_panel(l.select(F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").alias("at"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount")))
+
+
 def steps(panel: DataFrame) -> int:
     """The number of steps T; panels are dense, so it is the last t plus one."""
     return (panel.agg(F.max("t")).first()[0] or -1) + 1

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_kept: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share: ``spark.checkpoint.dir`` of the session, or a new local one where it is unset (tests)."""
+    """A new path in the folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session on one machine (tests) gets a folder of its own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
-        base = _fallback.setdefault(app, _fallback.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-panelcast-", dir="/tmp"))
+        if app not in _fallback:
+            _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-panelcast-")
+        base = _fallback[app]
     return f"{base}/panelcast/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,5 +33,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table that the session's jobs share, made at first use; ``name`` says from what."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        _kept[key] = stored(make(), "kept")
+    return _kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
