@@ -161,7 +161,7 @@ def test_subspace_tracking_finds_the_leading_directions(spark):
     rows = spark.createDataFrame([(r.tolist(), r.tolist(), 1.0) for r in x], "x array<double>, y array<double>, mask double").cache()
     u = K.orthonormal(rng.normal(size=(12, 3)))
     v = u.copy()
-    for _ in range(8):
-        u, v = retrieval.gha_step(rows, u, v, 5.0)
+    for _ in range(10):
+        u, v = retrieval.gha_step(rows, u, v, 0.2)
     lead = np.linalg.svd(x, full_matrices=False)[2][:3]
     assert np.linalg.svd(lead @ u)[1].min() > 0.99
