@@ -8,12 +8,14 @@ outweighs the few words that one of them has changed.
 
 1. Equal texts are one node. ICWS gives each node 48 samples; 4 together are a band key. Two texts of weighted
    Jaccard similarity 0.8 share one of the 12 bands with probability 0.998, at 0.85 with 0.9998.
-2. Nodes that share a bucket are compared by their 48 samples in blocks of bounded size. Spanning forests of the most
-   similar pairs go on first, then all pairs that verified links have not joined.
-3. Each pair is verified by its exact weighted Jaccard similarity; only pairs that pass join.
-4. Classes are the connected components.
-
-A bucket of more than ``BLOCK`` nodes is dealt into parts, and each two parts that are not of one class meet in a task. Texts of any
+2. The nodes of a bucket, with their shingles, meet in one task. Each pair whose samples agree enough (four standard errors below the
+   threshold) is verified there by its exact weighted Jaccard similarity, in the first band that it shares, unless verified links
+   have joined it already; the node nearest to the bucket's most common samples goes first, so that copies of one text join at once. Only links leave the
+   task, so what leaves is no more than its rows.
+3. Classes are the connected components of the verified links.
+
+A bucket of more than ``BLOCK`` nodes, or ``GROUP_BYTES`` of shingles, is dealt into parts: each meets itself, then the first nodes of all parts, and then the
+nodes outside the bucket's largest class, in parts too, meet every part. So no pair is left out and no task holds more than two parts. Texts of any
 length are hashed in segments of a MB. Of equal similarities any pair may go first, as classes don't depend on it. Texts without
 words are near-duplicates of equal texts only, null texts of empty ones; repeated rows share a class; null ids stay null;
 an empty table gives an empty result; further columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
@@ -21,9 +23,7 @@ an empty table gives an empty result; further columns are ignored by ``near_dupl
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import table, texts, written
@@ -36,6 +36,8 @@ SLICE = 1 << 10
 FLOOR = 0.7
 BANDS, ROWS = 12, 4
 BLOCK = 1000
+GROUP_BYTES = 1 << 25
+HUBS = 64
 BROADCAST_ROWS = 400_000
 SEGMENT = 1 << 20
 
@@ -188,7 +190,7 @@ def sampler(k: int):
 
 
 def signatures(rows: DataFrame, weight_of, bands: int = BANDS, per: int = ROWS) -> DataFrame:
-    """(doc_id, node, samples, buckets): a text's node, its samples (32 bits each) and its band keys (none without words)."""
+    """(doc_id, node, samples, buckets, keys, n): a text's node, its samples (32 bits each), its band keys (none without words; twice, as an array and as bytes) and its number of different shingles."""
 
     def run(batches):
         import numpy as np
@@ -197,9 +199,10 @@ def signatures(rows: DataFrame, weight_of, bands: int = BANDS, per: int = ROWS)
         words, sample, weights = hasher(), sampler(bands * per), weight_of.value
         salt = np.arange(1, bands + 1, dtype=np.uint64)
         for b in batches:
-            sig, keys = [], []
+            sig, keys, size = [], [], []
             for t in b.column("text").to_pylist():
                 s, n = shingled(words(t))
+                size.append(len(s))
                 if not len(s):
                     sig.append(b"")
                     keys.append([])
@@ -210,57 +213,18 @@ def signatures(rows: DataFrame, weight_of, bands: int = BANDS, per: int = ROWS)
                 for c in got.reshape(bands, per).T:
                     key = mixed(key * np.uint64(3) + c)
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "node": b.column("node"), "samples": pa.array(sig, pa.binary()), "buckets": pa.array(keys, pa.list_(pa.int64()))})
-
-    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, samples binary, buckets array<long>")
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "node": b.column("node"), "samples": pa.array(sig, pa.binary()), "buckets": pa.array(keys, pa.list_(pa.int64())), "keys": pa.array([np.asarray(key).tobytes() for key in keys], pa.binary()), "n": pa.array(size, pa.int64())})
 
+    return rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, samples binary, buckets array<long>, keys binary, n long")
 
-def forest(samples, label, least: float):
-    """Pairs (i, j) of a spanning forest over the classes of ``label``, most similar first, of rows that agree in ``least`` of their samples or more; and whether such pairs of two classes are left out."""
-    import numpy as np
 
-    n = len(samples)
-    if n == 2:
-        return [(0, 1)] if label[0] != label[1] and (samples[0] == samples[1]).mean() >= least else [], False
-    # Prim's rule: the row most similar to the tree joins it, and its class with it; memory stays linear in the rows.
-    pairs, best, link, out = [], np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-    at, out[0], met = 0, False, 0
-    for _ in range(n - 1):
-        agree = (samples == samples[at]).mean(axis=1)
-        other = label != label[at]
-        met += int((out & other & (agree >= least)).sum())
-        agree[~other] = 2.0
-        better = out & (agree > best)
-        best[better], link[better] = agree[better], at
-        nxt = int(np.where(out, best, -2.0).argmax())
-        if best[nxt] >= least and best[nxt] < 2:
-            pairs.append((int(link[nxt]), nxt))
-        out[nxt] = False
-        at = nxt
-    return pairs, met > len(pairs)
-
-
-def unjoined(samples, label, low: float, high: float, least: float):
-    """All pairs (i, j) of two classes that agree in ``low`` of their samples or more but less than ``high``; and whether pairs from ``least`` to ``low`` are left."""
-    import numpy as np
-
-    pairs, more = [], False
-    for i in range(len(samples) - 1):
-        agree = (samples[i + 1 :] == samples[i]).mean(axis=1)
-        other = label[i + 1 :] != label[i]
-        j = np.flatnonzero(other & (agree >= low) & (agree < high)) + i + 1
-        pairs.extend(zip([i] * len(j), j.tolist(), strict=True))
-        more = more or bool((other & (agree >= least) & (agree < low)).any())
-    return pairs, more
-
-
-def _blocks(batches, columns):
-    """Arrow batches of sorted rows -> one tuple of arrays per value of the first column; a group may span batches."""
+def _groups(batches, columns):
+    """Arrow batches of rows sorted by the first column -> one list of arrays per value of it; a group may span batches."""
     import numpy as np
 
     held = None
     for b in batches:
-        now = [np.asarray(b.column(c).to_pylist(), dtype=object) if c == "samples" else b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        now = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
         if held is not None:
             now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
         if not len(now[0]):
@@ -286,91 +250,131 @@ def similarity(a, b, weights) -> float:
     return float(both / (total - both)) if total else 0.0
 
 
-def verified(pairs: DataFrame, rows: DataFrame, weight_of, threshold: float) -> DataFrame:
-    """The pairs at or over the threshold, with their similarity. Texts travel to the pairs, each node's once a side."""
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    near = rows.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need.hint("merge"), "node", "left_semi")
-    text = written(near.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
+def shingle_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles, counts) of the listed nodes, each once: 64-bit keys and 32-bit counts."""
+    near = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes.hint("merge"), "node", "left_semi")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        words, weights = hasher(), weight_of.value
-        last = functools.lru_cache(16)(lambda t: shingled(words(t)))
+        words = hasher()
         for b in batches:
-            sims = [similarity(last(x), last(y), weights) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "similarity": pa.array(sims, pa.float64())})
+            got = [shingled(words(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "shingles": pa.array([s.tobytes() for s, _ in got], pa.binary()), "counts": pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())})
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    return near.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles binary, counts binary")
 
 
-def candidates(rows: DataFrame, k: int, step: tuple[float, float] | None, least: float) -> DataFrame:
-    """(a, b, group, more): of rows (group, node, label, samples) the pairs of nodes to verify, and a row for each group with more of them. ``step`` None: a forest; else all unjoined pairs in that range."""
+def joined(label, side, samples, same_band, sets, least: float, threshold: float):
+    """(links, first): pairs (i, j) of rows that exact similarity joins into classes, and the row nearest to the most common samples.
+
+    ``label``: classes known before. ``side``: rows of 1 meet rows of 2, rows of 0 each other. ``same_band(i)``: the rows whose pair with i belongs
+    here. ``sets``: (shingles, weights) of each row.
+    """
+    import numpy as np
+
+    n = len(label)
+    common = np.empty(samples.shape[1], dtype=samples.dtype)
+    for c in range(samples.shape[1]):
+        values, times = np.unique(samples[:, c], return_counts=True)
+        common[c] = values[times.argmax()]
+    order = np.argsort(-(samples == common).sum(1), kind="stable")
+    lengths = np.array([len(s) for s, _ in sets])
+    ends = np.cumsum(lengths)
+    _, place = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets])
+    total = np.add.reduceat(weight, ends - lengths)
+    dense, root, links = np.zeros(place.max() + 1), label.copy(), []
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    for i in order[side[order] < 2]:
+        due = (root != root[i]) & same_band(i) & ((side == 2) if side[i] == 1 else (side == 0) & (rank > rank[i]))
+        due[due] = (samples[due] == samples[i]).mean(1) >= least
+        at = np.flatnonzero(due)
+        if not len(at):
+            continue
+        mine = slice(ends[i] - lengths[i], ends[i])
+        dense[place[mine]] = weight[mine]
+        starts = np.concatenate([[0], np.cumsum(lengths[at])[:-1]])
+        entry = np.arange(lengths[at].sum()) + np.repeat(ends[at] - lengths[at] - starts, lengths[at])
+        both = np.add.reduceat(np.minimum(dense[place[entry]], weight[entry]), starts)
+        dense[place[mine]] = 0.0
+        for j in at[both / (total[i] + total[at] - both) >= threshold - 1e-9]:
+            if root[j] != root[i]:
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+    return links, int(order[0])
+
+
+def found_links(tasks: DataFrame, data: DataFrame, k: int, weight_of, least: float, threshold: float) -> DataFrame:
+    """(group, a, b): links that the pairs of each task (group, band, node, label, side) add; a row with a = b names the group's first node."""
+    columns = ("group", "band", "node", "label", "side", "samples", "keys", "shingles", "counts")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for group, node, label, sample in _blocks(batches, ("group", "node", "label", "samples")):
+        weights = weight_of.value
+        mask = np.uint64(len(weights) - 1)
+        for group, band, node, label, side, samples, keys, shingles, counts in _groups(batches, columns):
             if len(node) < 2:
                 continue
-            matrix = np.frombuffer(b"".join(sample), dtype=np.uint32).reshape(len(node), k)
-            found, more = unjoined(matrix, label, *step, least) if step else forest(matrix, label, least)
-            if found:
-                i, j = np.array(found).T
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "group": group[i], "more": np.zeros(len(i), dtype=bool)})
-            if more:
-                yield pa.RecordBatch.from_pydict({"a": node[:1], "b": node[:1], "group": group[:1], "more": np.ones(1, dtype=bool)})
-
-    dealt = rows.select("group", "node", "label", "samples").repartition("group").sortWithinPartitions("group", "node")
-    return dealt.mapInArrow(run, "a long, b long, group long, more boolean")
-
-
-def linked(nodes: DataFrame, k: int, least: float, threshold: float, block: int, verify) -> DataFrame | None:
-    """(node, label) of the classes: components of the pairs that share a bucket, agree in ``least`` of their samples and are passed by ``verify``.
-
-    Only verified links join. The first two rounds propose forests; the others all pairs of two classes still unjoined, from the most
-    similar down, so that at the end each pair is joined by verified links or has failed itself. From the second round on, each two
-    parts of a split bucket meet, unless both lie in one class.
-    """
-    member = nodes.select("node", F.explode("buckets").alias("bucket"))
-    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # a table, so that the join can split a hot bucket
-    parts = F.when(F.col("n") > block, F.ceil(F.col("n") / (block / 2))).otherwise(1)
-    member = written(member.join(sizes, "bucket").select("bucket", "node", parts.alias("parts"), F.pmod(F.xxhash64("node", "bucket"), parts).alias("part")), "members")
-    high, low = threshold + 0.05, max(least, threshold - 0.05)
-    todo = tested = links = labels = None
-    for step in (None, None, (high, 2.0), (low, high), (least, low)):
-        if todo is None:
-            now = member.select(F.xxhash64("bucket", "part").alias("group"), "node", F.col("node").alias("label"))
-        else:
-            live = todo.join(spans, ["bucket", "part"]).groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")  # noqa: F821
-            now = written(todo.join(live, "group", "left_semi"), "tasks").join(own, ["bucket", "part"]).select("group", "node", "label")  # noqa: F821
-        got = written(candidates(now.join(nodes.select("node", "samples"), "node"), k, step, least), "pairs")
-        found = got.where("NOT more").select("a", "b").distinct()
-        found = written(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = found if tested is None else tested.union(found)
-        passed = written(verify(found).select("a", "b"), "links")
-        if passed.head(1):
-            links = passed if links is None else links.union(passed)
-            labels = written(components(links), "labels")
-        more = got.where("more").select("group")
-        if todo is None:
-            split = member.where("parts > 1").select("bucket", "part").distinct()
-            alone = member.where("parts = 1").select(F.xxhash64("bucket", "part").alias("group"), "bucket", "part").distinct().join(more, "group", "left_semi")
-        own = member if labels is None else member.join(labels, "node", "left")
-        own = own.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        spans = written(own.groupBy("bucket", "part").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spans")
-        if todo is None:
-            x, y = (split.join(spans, ["bucket", "part"]).select("bucket", *[F.col(c).alias(c + i) for c in ("part", "low", "high")]) for i in "xy")
-            meet = x.join(y, "bucket").where("partx < party AND least(lowx, lowy) < greatest(highx, highy)")
-            meet = meet.select(F.xxhash64("bucket", "partx", "party").alias("group"), "bucket", F.explode(F.array("partx", "party")).alias("part"))
-            todo = written(alone.union(meet), "todo")
-        else:
-            todo = written(todo.join(more, "group", "left_semi"), "todo")
-        if not todo.head(1):
-            break
-    return labels
+            keys = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(len(node), -1)
+            here = int(band[0])
+            # A pair belongs to the first band that it shares.
+            same_band = lambda i, keys=keys, here=here, node=node: (keys[:, here] == keys[i, here]) & ~(keys[:, :here] == keys[i, :here]).any(1) & (node != node[i])
+            sets = []
+            for s, c in zip(shingles, counts, strict=True):
+                s = np.frombuffer(s, dtype=np.uint64)
+                sets.append((s, np.frombuffer(c, dtype=np.uint32) * weights[s & mask].astype(np.float64)))
+            links, first = joined(label, side, np.frombuffer(b"".join(samples), dtype=np.uint32).reshape(len(node), k), same_band, sets, least, threshold)
+            i, j = np.array([*links, (first, first)]).T
+            yield pa.RecordBatch.from_pydict({"group": group[i], "a": node[i], "b": node[j]})
+
+    rows = tasks.join(data, "node").select(*columns)
+    return rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "group long, a long, b long")
+
+
+def linked(nodes: DataFrame, rows: DataFrame, k: int, weight_of, least: float, threshold: float, block: int) -> DataFrame | None:
+    """(node, label) of the classes: components of the verified links among nodes that share a bucket."""
+    member = nodes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
+    sizes = written(member.groupBy("bucket").agg(F.count("*").alias("nodes"), F.sum("n").alias("total")).where("nodes > 1"), "sizes")  # a table, so that the join can split a hot bucket
+    dealt = F.greatest(F.when(F.col("nodes") > block, F.ceil(F.col("nodes") / (block / 2))).otherwise(1), F.ceil(F.col("total") * 12 / GROUP_BYTES))
+    member = member.join(sizes, "bucket").select("bucket", "band", "node", dealt.alias("parts"), F.pmod(F.xxhash64("node", "bucket"), dealt).alias("part"))
+    member = written(member.withColumn("group", F.xxhash64("bucket", "part")), "members")
+    keys = nodes.join(shingle_sets(rows, written(member.select("node").distinct(), "needed")), "node")
+    data = written(keys.select("node", "samples", "keys", "shingles", "counts"), "shingles")
+    task = lambda df: found_links(df, data, k, weight_of, least, threshold)
+
+    got = written(task(member.select("group", "band", "node", F.col("node").alias("label"), F.lit(0).alias("side"))), "links")
+    links = got.where("a <> b").select("a", "b")
+    split = member.where("parts > 1")
+    if split.head(1):
+        hubs = split.select("bucket", "group").distinct().join(got.where("a = b").select("group", F.col("a").alias("node")), "group").select("bucket", "node").distinct()
+        few = hubs.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(f"at <= {HUBS}").drop("at")
+        where = split.select("bucket", "band", "group").distinct()
+        links = written(links.union(_meeting(split, few.join(where, "bucket"), _labels(links), task)), "links")
+        own = written(split.join(_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "own")
+        largest = own.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
+        largest = written(largest.where("m.n < n").select("bucket", F.col("m.label").alias("most"), F.ceil((F.col("n") - F.col("m.n")) * 2 / block).alias("minors")), "largest")
+        minor = own.join(largest, "bucket").where("label <> most").select("bucket", "node", "minors", F.pmod(F.xxhash64("bucket", "node"), F.col("minors")).alias("minor"))
+        minor = minor.join(where, "bucket").select("bucket", "band", "node", F.xxhash64("group", "minor").alias("group"))
+        every = split.join(largest, "bucket").withColumn("minor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)))
+        every = every.select("bucket", "band", "node", F.xxhash64("group", "minor").alias("group"))
+        links = links.union(written(_meeting(every, minor, own.select("node", "label").distinct(), task), "links"))
+    return components(links) if links.head(1) else None
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return written(components(links), "labels")
+
+
+def _meeting(rows: DataFrame, others: DataFrame, labels: DataFrame, task) -> DataFrame:
+    """Links (a, b) between ``others`` and ``rows`` of the same group (both: group, band, node)."""
+    sides = [df.select("group", "band", "node", F.lit(side).alias("side")) for df, side in ((others, 1), (rows, 2))]
+    known = sides[0].union(sides[1]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return task(known.select("group", "band", "node", "label", "side")).where("a <> b").select("a", "b")
 
 
 def classes(rows: DataFrame, threshold: float = THRESHOLD, features: int = FEATURES, bands: int = BANDS, per: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -379,9 +383,9 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD, features: int = FEATU
     weight_of = rows.sparkSession.sparkContext.broadcast(idf(df, n_docs))  # ``features`` numbers
     k = bands * per
     signed = written(signatures(rows, weight_of, bands, per), "signatures")
-    nodes = written(signed.groupBy("node").agg(F.first("samples").alias("samples"), F.first("buckets").alias("buckets")), "nodes")
+    nodes = written(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("samples", "buckets", "keys", "n")]), "nodes")
     least = max(0.0, threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5)
-    labels = linked(nodes, k, least, threshold, block, lambda pairs: verified(pairs, rows, weight_of, threshold))
+    labels = linked(nodes, rows, k, weight_of, least, threshold, block)
     found = signed.select("doc_id", "node")
     found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left")
     return found.select("doc_id", "node", F.coalesce("label", "node").alias("label"))
