@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelcast.jobs.panel_jobs import BANK, CADENCE, cuts, rounded, scaled
@@ -11,7 +12,7 @@ from panelcast.operators import linear as L
 from panelcast.operators import online as O
 from panelcast.operators import protocol as B
 from panelcast.sources import panels
-from panelcast.sources.storage import kept
+from panelcast.sources.storage import kept, table
 
 #: Features: 6 statistics, 96 lags, 8 bins and 2 of the phase are 112.
 LOOKBACK, BINS, LAM = 96, 8, 1e-3
@@ -60,4 +61,17 @@ def e5(spark, d):
     return rounded(out, "mse", "mae", digits=5)
 
 
-JOBS = {"d11_full_fit": (d11, None), "d14_full_forecast": (d14, None), "e2_full_sweep": (e2, None), "e5_all_variants": (e5, None)}
+def e9(spark, d):
+    """A region's nations as signals of one series: one model on the lifted embedding for all regions, and five steps fed back."""
+    z, (tr, te, _) = scaled(spark, d)
+    n, r = (table(spark, d, x) for x in ("nation", "region"))
+    of = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("series_id"), "r_name")  # as many rows as nations
+    signals = z.join(F.broadcast(of), "series_id").groupBy(F.col("r_name").alias("series_id"), "t").agg(F.sort_array(F.collect_list(F.struct("series_id", "value"))).alias("s"))
+    rows = signals.select("series_id", "t", F.transform("s", lambda x: x["value"]).alias("u"))
+    lifted = X.delay_signals(rows, 1).withColumn("phi", X.quadratic_lift(F.col("phi"))).withColumn("y", F.lead("u").over(Window.partitionBy("series_id").orderBy("t")))
+    w = L.fit_shared(lifted.where(F.col("t") < tr - 1).select("phi", "y"), 1e-3).first()["w"]
+    out = O.free_run_signals(rows, w, 1, 1, te, 5)
+    return out.select("series_id", "t", F.posexplode("yhat").alias("i", "v")).withColumn("v", F.round("v", 6))
+
+
+JOBS = {"e9_free_run_signals": (e9, None), "d11_full_fit": (d11, None), "d14_full_forecast": (d14, None), "e2_full_sweep": (e2, None), "e5_all_variants": (e5, None)}

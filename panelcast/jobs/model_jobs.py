@@ -382,7 +382,7 @@ SELECT series_id, t, round(yhat, 6) AS yhat FROM run""",
     "f3_error_chunks": (lambda s, d: rounded(chunks_of(s, d)[0], "sq", "ab", digits=5), f"WITH {_chunks} SELECT chunk_id, r::INTEGER AS r, round(sq, 5) AS sq, round(ab, 5) AS ab, n FROM chunk"),
     "f4_bootstrap": (
         f4,
-        f"WITH {_boot} SELECT " + ", ".join(f"round(stddev_samp({m}), 5) AS {m}_se, round(quantile_cont({m}, 0.05::DOUBLE), 5) AS {m}_p5, round(quantile_cont({m}, 0.95::DOUBLE), 5) AS {m}_p95" for m in ("mse", "mae")) + ", 200 AS nboot, 4 AS block, (SELECT k FROM k)::INTEGER AS nchunks, (SELECT k <= 4 FROM k) AS degenerate FROM stat",
+        f"WITH {_boot} SELECT (SELECT round(sum(sq) / sum(n), 5) FROM chunk) AS mse, (SELECT round(sum(ab) / sum(n), 5) FROM chunk) AS mae, " + ", ".join(f"round(stddev_samp({m}), 5) AS {m}_se, round(quantile_cont({m}, 0.05::DOUBLE), 5) AS {m}_p5, round(quantile_cont({m}, 0.95::DOUBLE), 5) AS {m}_p95" for m in ("mse", "mae")) + ", 200 AS nboot, 4 AS block, (SELECT k FROM k)::INTEGER AS nchunks, (SELECT k <= 4 FROM k) AS degenerate FROM stat",
     ),
     "f5_seed_summary": (f5, f"WITH {S.PERSIST}, v AS (SELECT series_id, avg(err * err) AS v FROM forecast GROUP BY 1) SELECT right(series_id, 1) AS task, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std, count(v) AS n FROM v GROUP BY 1"),
     "f6_nmse": (f6, f"WITH {S.PERSIST} SELECT series_id, round(avg(err * err) / greatest(var_pop(yhat - err), 1e-12), 5) AS nmse FROM forecast GROUP BY 1"),

@@ -45,7 +45,7 @@ def error_chunks(errs: DataFrame, first: int, length: int = CHUNK) -> DataFrame:
 
 
 def bootstrap(chunks: DataFrame, n_chunks: int, nboot: int = 200, block: int = 4, seed: int = 0) -> DataFrame:
-    """One row: the errors' standard errors and 5 % and 95 % points over block resamples of the chunks.
+    """One row: the errors over all chunks, and their standard errors and 5 % and 95 % points over block resamples of the chunks.
 
     Draw (rep, draw) starts at md5(seed|rep|draw) modulo the possible starts; a resample's statistic is a ratio of sums. With as many
     chunks as a block holds there is one resample only, which ``degenerate`` tells.
@@ -60,7 +60,8 @@ def bootstrap(chunks: DataFrame, n_chunks: int, nboot: int = 200, block: int = 4
     out = []
     for m in ("mse", "mae"):
         out += [F.stddev_samp(m).alias(f"{m}_se"), F.percentile(m, 0.05).alias(f"{m}_p5"), F.percentile(m, 0.95).alias(f"{m}_p95")]
-    return stats.agg(*out).withColumns({"nboot": F.lit(nboot), "block": F.lit(block), "nchunks": F.lit(n_chunks), "degenerate": F.lit(n_chunks <= block)})
+    whole = chunks.agg((F.sum("sq") / F.sum("n")).alias("mse"), (F.sum("ab") / F.sum("n")).alias("mae"))  # one row
+    return stats.agg(*out).join(F.broadcast(whole)).withColumns({"nboot": F.lit(nboot), "block": F.lit(block), "nchunks": F.lit(n_chunks), "degenerate": F.lit(n_chunks <= block)})
 
 
 def seed_summary(runs: DataFrame, by: str, value: str) -> DataFrame:

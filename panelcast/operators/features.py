@@ -190,6 +190,12 @@ def delay_embedding(panel: DataFrame, order: int, lag: int = 1) -> DataFrame:
     return panel.withColumn("phi", F.when(F.col("t") < order * lag, F.array_repeat(F.lit(0.0), order + 2)).otherwise(values))
 
 
+def delay_signals(rows: DataFrame, order: int, lag: int = 1) -> DataFrame:
+    """The same for (series_id, t, u ARRAY) of several signals a step; the first ``order * lag`` steps are left out."""
+    past = [F.lag("u", i * lag).over(_w()) for i in range(1, order + 1)]
+    return rows.withColumn("phi", F.concat(F.array(F.lit(1.0)), "u", *past)).where(F.col("phi").isNotNull())
+
+
 def quadratic_lift(phi: Column) -> Column:
     """The entries, then the products of every two, row by row from the diagonal."""
     return F.concat(phi, F.flatten(F.transform(phi, lambda x, i: F.transform(F.slice(phi, i + 1, F.size(phi) - i), lambda y: x * y))))

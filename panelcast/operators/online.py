@@ -196,3 +196,24 @@ def free_run(panel: DataFrame, weights: DataFrame, order: int, start: int, n: in
 
     history = panel.where((F.col("t") < start) & (F.col("t") >= start - order - 1)).select("series_id", "t", "value")
     return history.groupBy("series_id").cogroup(weights.groupBy("series_id")).applyInPandas(run, "series_id string, t long, yhat double")
+
+
+def free_run_signals(rows: DataFrame, w: list[float], order: int, lag: int, start: int, n: int) -> DataFrame:
+    """(series_id, t, yhat ARRAY): the same for several signals a step, (series_id, t, u ARRAY), on the lifted ``delay_signals`` embedding with
+    weights that all series share (row-major, a column a signal)."""
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        past = list(np.array(g.sort_values("t")["u"].tolist(), dtype=float))
+        out, weights = [], np.array(w).reshape(-1, len(past[0]))
+        for _ in range(n):
+            phi = np.concatenate([[1.0], *past[: -order * lag - 2 : -lag]])
+            i, j = np.triu_indices(len(phi))
+            past.append(np.concatenate([phi, phi[i] * phi[j]]) @ weights)
+            out.append(past[-1])
+        return pd.DataFrame({"series_id": g["series_id"].iloc[0], "t": np.arange(start, start + n), "yhat": out})
+
+    history = rows.where((F.col("t") < start) & (F.col("t") >= start - order * lag - 1)).select("series_id", "t", "u")
+    return history.groupBy("series_id").applyInPandas(run, "series_id string, t long, yhat array<double>")

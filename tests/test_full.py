@@ -110,3 +110,24 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     out = run_appended(windowed_panel(read_stream(spark, path, schema, 1), "1 hour", "1 hour"), "windows")
     got = {(r["series_id"], r["h"]): r["value"] for r in out.select("series_id", F.hour("at").alias("h"), "value").collect()}
     assert got == {("a", 10): 3.0, ("b", 10): 5.0, ("a", 13): 5.0}  # 10:20 came after its window had closed; 17:00 is still open
+
+
+def test_signals_run_freely(spark):
+    rng = np.random.default_rng(11)
+    u = rng.normal(size=(60, 3)) / 3
+    rows = spark.createDataFrame([("s", t, v.tolist()) for t, v in enumerate(u)], "series_id string, t long, u array<double>")
+
+    def lifted(past):
+        phi = np.concatenate([[1.0], past[-1], past[-3]])
+        return np.concatenate([phi, [phi[i] * phi[j] for i in range(len(phi)) for j in range(i, len(phi))]])
+
+    emb = features.delay_signals(rows, 1, 2).withColumn("phi", features.quadratic_lift(F.col("phi"))).orderBy("t").collect()
+    assert [r["t"] for r in emb] == list(range(2, 60))
+    for r in emb:
+        np.testing.assert_allclose(r["phi"], lifted(u[: r["t"] + 1]), atol=1e-12)
+    w = rng.normal(size=(len(emb[0]["phi"]), 3)) / 20
+    past = list(u[:50])
+    for _ in range(4):
+        past.append(lifted(past) @ w)
+    got = online.free_run_signals(rows, w.ravel().tolist(), 1, 2, 50, 4).orderBy("t").collect()
+    np.testing.assert_allclose([r["yhat"] for r in got], past[50:], atol=1e-12)
