@@ -6,7 +6,8 @@ and ``<|`` is written ``<\\|``, so no control string of the template can occur t
 written ``\\n``. A conversation that does not end in a reply gets one more example, with nothing trainable,
 for the turns after its last reply, so the output holds every turn. Null roles and texts count as empty; a null conversation id
 is an id of its own; turns of equal number are ordered by role and text; an empty table gives an empty
-result; further columns are ignored. One conversation is one row here, as each example holds its context whole.
+result; further columns are ignored; equal turns are all kept. One conversation is one row here, as each example holds its context whole: texts may be of
+any length, but the examples' total is quadratic in a conversation's replies, as the method has it.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ each candidate pair is then verified by exact shingle containment. Sketches of a
 short item's Jaccard similarity with a long document is far below what bands can find.
 
 Words are maximal runs of letters and digits of the lower-cased text. Items and documents of under
-five words have no shingle and match nothing, as do null texts. Rows equal in id and text count once;
+five words have no shingle and match nothing, as do null texts; of long texts every shingle counts. Of an item's equal
+shingles one counts; a document may hold several items, each is a row. Rows equal in id and text count once;
 null ids stay null; an empty table on either side gives an empty result; further columns are ignored.
 The sketches and the candidates' keys are broadcast only where their counted rows lie under
 ``BROADCAST_ROWS`` (16 bytes each), else both sides are shuffled.

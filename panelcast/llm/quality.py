@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 Words are maximal runs of characters other than the six ASCII white-space characters. All
-measures are exact and cover the whole text. A null or empty text has no words, so it fails
+measures are exact and cover the whole text, of any length; of equal lines and windows all but the first count as
+repeated lines, and all as repeated words. A null or empty text has no words, so it fails
 the base rule; repeated rows are judged each for itself; a null id stays null; an empty table
 gives an empty result; further columns of the input are ignored by ``measure`` and ``judge``
 and kept by ``keep_good``.

@@ -5,7 +5,7 @@ Kinds, in this order: ``assign``, ``access`` and ``hex`` are the base; ``github`
 CRC-32 in their last six base-62 digits agrees, ``iban`` if its remainder modulo 97 is 1. Runs of hex digits have
 no keyword, so one fixed pattern finds them. Places are code points, ends exclusive. Each text is
 scanned whole, as bytes, in the task that reads it: nothing is shuffled. Null and empty texts have
-no spans; a null id stays null; repeated rows are scanned each; further columns are ignored.
+no spans; spans that start together are ordered by kind; a null id stays null; repeated rows are scanned each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ The law is ``bytes``: shards are near equal in bytes, as slots are dealt, larges
 shard that has the least. A slot holds about one in ``n_slots`` of all rows whatever the source or
 text, since the id is hashed (a null id: the text's checksum), so no shard or window meets one hot
 key. The slot table has at most ``n_slots`` rows, which is the bound of all that is collected or
-broadcast. Null texts count as empty; repeated rows share a slot and get places of their own; an
+broadcast. Null texts count as empty; a text of any length is one row of its size; rows of a slot are ranked by id and checksum, equal
+ones in any order; of shards with equal bytes the first gets the slot; repeated rows share a slot and get places of their own; an
 empty table gives an empty result; further columns are ignored.
 """
 

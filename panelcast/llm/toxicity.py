@@ -8,7 +8,8 @@ more, two from 9; words that clean labelled documents hold are no misspellings.
 quotation marks or near a word of reporting it counts as quoted. A ridge-penalised logistic curve over the hits, fitted on at
 most ``FIT_ROWS`` labelled rows (those of least hash), gives the score; counts for the lexicon are over all of them.
 
-Null and empty texts have no hits and get the score of a text without any; a null id is never held out and never learned from;
+Null and empty texts have no hits and get the score of a text without any; a text of any length is scored whole, with one row of features; of two terms
+equally near to a word the first in order counts; a null id is never held out and never learned from; an id with several labels is toxic if one says so;
 repeated rows are scored each; without labels nothing is a term and all scores are low; an empty table gives an empty result; further columns are ignored.
 """
 
