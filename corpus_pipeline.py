@@ -2,7 +2,11 @@
 
 Each stage works on all that its predecessor kept, and its decisions take effect: rejected documents go, later repeated
 runs of lines leave the texts, one document of each near-duplicate class stays, documents that hold a benchmark item go, and what
-is left is packed. All stages but the last return the columns of ``documents``.
+is left is packed. All stages but the last return the columns of ``documents``, whatever their names and types.
+
+A null or empty text fails the quality rules, so it goes there. Rows of one id and text are equal copies, of which near-dedup keeps one; a null id
+sorts first, so its lines and its row stay. Texts of any length are treated whole. Where line dedup leaves nothing, the empty texts are
+one class. An empty table gives an empty result; an empty ``benchmark`` drops nothing.
 """
 
 from __future__ import annotations
