@@ -15,7 +15,7 @@ form a run. Refinement then goes over runs, not places:
 
 Every step is a grouping by fixed-size keys with partial sums and an equi-join back, so a group of any
 size is never gathered. Texts longer than ``SEGMENT`` are cut into overlapping segments, which
-changes the runs but not the result; where the least q bytes stand twice the first place counts. Null and short texts lose nothing; repeated rows repeat each other; a null id stays null;
+changes the runs but not the result; a run whose least q bytes may stand twice is refined place by place. Null and short texts lose nothing; repeated rows repeat each other; a null id stays null;
 an empty table gives an empty result; further columns are ignored.
 
 ``length`` bytes may be more than a short passage has, so ``shared_passages`` counts for each document, without removing them, the
