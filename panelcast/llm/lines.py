@@ -86,10 +86,11 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_
     return later.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"))  # at most twice as many as a document's lines
 
 
-def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[str, int, int]:
-    """The text without the runs of enough words, its lines with a word, and how many of them went."""
+def cut_text(text: str, runs: list[tuple[int, int]], min_words: int, most: float | None = None) -> tuple[str, int, int]:
+    """The text without the runs of enough words, its lines with a word, and how many of them went. Where more than a share ``most`` of its words would go, none do."""
     rows = text.split("\n")
     place = [i for i, x in enumerate(rows) if x.strip(SPACES)]
+    n_words = [len(WORD.findall(rows[i])) for i in place] if runs else []
     gone: set[int] = set()
     for a, b in runs:
         gone.update(range(a, b + 1))
@@ -97,20 +98,23 @@ def cut_text(text: str, runs: list[tuple[int, int]], min_words: int) -> tuple[st
     run: list[int] = []
     for i in [*sorted(gone), None]:
         if run and (i is None or i != run[-1] + 1):
-            if sum(len(WORD.findall(rows[place[k]])) for k in run) >= min_words:
-                drop.update(place[k] for k in run)
+            if sum(n_words[k] for k in run) >= min_words:
+                drop.update(run)
             run = []
         if i is not None:
             run.append(i)
-    return "\n".join(x for i, x in enumerate(rows) if i not in drop), len(place), len(drop)
+    if most is not None and sum(n_words[k] for k in drop) > most * sum(n_words):
+        drop = set()
+    lost = {place[k] for k in drop}
+    return "\n".join(x for i, x in enumerate(rows) if i not in lost), len(place), len(drop)
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """Per document: doc_id, text (what is left), n_lines, n_removed."""
-    return _cut(docs.select("doc_id", "text"), window, min_words, long_words).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_lines", "n_removed")
+    return _cut(docs.select("doc_id", "text"), window, min_words, long_words, None).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_lines", "n_removed")
 
 
-def _cut(docs: DataFrame, window: int, min_words: int, long_words: int) -> DataFrame:
+def _cut(docs: DataFrame, window: int, min_words: int, long_words: int, most: float | None) -> DataFrame:
     """doc_id (long), text, n_lines, n_removed and ``rest``, all columns of ``docs``. Only texts with runs are shuffled to them."""
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"), F.struct("*").alias("rest"))
@@ -126,7 +130,7 @@ def _cut(docs: DataFrame, window: int, min_words: int, long_words: int) -> DataF
 
     def cut():
         def run(batch):
-            got = [cut_text(t, [(r["a"], r["b"]) for r in j], min_words) for t, j in zip(*batch, strict=True)]
+            got = [cut_text(t, [(r["a"], r["b"]) for r in j], min_words, most) for t, j in zip(*batch, strict=True)]
             return {"cut": [g[0] for g in got], "n_lines": [g[1] for g in got], "n_removed": [g[2] for g in got]}
 
         return run
@@ -138,9 +142,12 @@ def _cut(docs: DataFrame, window: int, min_words: int, long_words: int) -> DataF
     return changed.select("doc_id", F.col("cut").alias("text"), "n_lines", "n_removed", "rest").unionByName(whole)
 
 
-def drop_repeated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """``docs`` with all its columns; the text has lost its later repeated runs (a null one stays null), and n_chars, where there is one, is its length."""
-    cut = _cut(docs, window, min_words, long_words)
+def drop_repeated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, most: float | None = None) -> DataFrame:
+    """``docs`` with all its columns; the text has lost its later repeated runs (a null one stays null), and n_chars, where there is one, is its length.
+
+    With ``most``, a document that would lose more than this share of its words is a copy as a whole and keeps its text, for
+    near-dedup to decide about."""
+    cut = _cut(docs, window, min_words, long_words, most)
     made = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
     return cut.select(*[(made[c] if c in made else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 

@@ -39,6 +39,16 @@ def test_lines_of_a_run_that_is_not_first_go(spark):
     assert got[8] == ("F f", 1, 0)  # repeats document 7, but has fewer than five words
 
 
+def test_copies_are_left_to_near_dedup(spark):
+    first = "one a b c d e f g h i j\ntwo a b c d e f g h i j\nthree a b c d e f g h i j"
+    docs = [(1, first), (2, first + "\nnew words"), (3, first[:23] + "\nquite other words stand here and there, more of them than of the line above, so it goes")]
+    for most, want in ((None, [3, 3, 1]), (0.5, [0, 0, 1]), (1.0, [3, 3, 1])):
+        docs_ = odd_docs(spark, [(0, first), *docs[1:], (9, first)])
+        got = {r["doc_id"]: r["text"] for r in lines.drop_repeated(docs_, most=most).collect()}
+        cut = [t.count("\n") - got[d].count("\n") for d, t in ((9, first), *docs[1:])]
+        assert [3 if c and not got[d] else c for c, d in zip(cut, (9, 2, 3), strict=True)] == want
+
+
 def test_secrets_equal_plain_patterns(spark):
     kinds = [
         ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6),
