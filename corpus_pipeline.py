@@ -5,8 +5,7 @@ runs of lines leave the texts, one document of each near-duplicate class stays,
 is left is packed. All stages but the last return the columns of ``documents``, whatever their names and types.
 
 A null or empty text fails the quality rules, so it goes there. Rows of one id and text are equal copies, of which near-dedup keeps one; a null id
-sorts first, so its lines and its row stay. Texts of any length are treated whole. Where line dedup leaves nothing, the empty texts are
-one class. An empty table gives an empty result; an empty ``benchmark`` drops nothing.
+sorts first, so its lines and its row stay. Texts of any length are treated whole. An empty table gives an empty result; an empty ``benchmark`` drops nothing.
 """
 
 from __future__ import annotations
@@ -17,12 +16,16 @@ from panelcast.llm import decontaminate, lines, neardup, packing, quality
 from panelcast.llm.common import table, written
 
 
+#: A document of which line dedup would take more than this share of the words is a copy as a whole: it stays whole there, and near-dedup decides.
+COPY_SHARE = 0.5
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.drop_repeated(docs)
+    return lines.drop_repeated(docs, most=COPY_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
