@@ -11,7 +11,7 @@ def window_features(values: np.ndarray, lookback: int, cadence: int, first: int
     """Rows of features, in the order of ``feature_rows``, for the steps with a whole window: from step ``first + lookback - 1`` of values that start at step ``first``."""
     windows = np.lib.stride_tricks.sliding_window_view(values, lookback)
     moves = np.diff(windows, axis=1)
-    power = np.abs(np.fft.fft(windows)[:, 1 : bins + 1])
+    power = np.abs((np.fft.rfft if bins <= lookback // 2 else np.fft.fft)(windows)[:, 1 : bins + 1])
     turn = 2 * math.pi / cadence * np.mod(first + lookback - 1 + np.arange(len(windows)), cadence)
     level = (windows.mean(1), windows.std(1), windows.min(1), windows.max(1), np.abs(moves).mean(1), moves[:, -1])
     return np.column_stack((*level, windows, power / (power.sum(1)[:, None] + 1e-9), np.sin(turn), np.cos(turn)))
@@ -27,10 +27,11 @@ def recurred(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
 
 
 def relative_ridge(a: np.ndarray, b: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
-    """Solve (A + lam trace(A)/F I) w = b; also the inverse."""
+    """Solve (A + lam trace(A)/F I) w = b; also the inverse, from one factorisation."""
     f = len(a)
-    inv = np.linalg.inv(a + lam * np.trace(a) / f * np.eye(f))
-    return np.linalg.solve(a + lam * np.trace(a) / f * np.eye(f), b), (inv + inv.T) / 2
+    both = np.linalg.solve(a + lam * np.trace(a) / f * np.eye(f), np.column_stack((b, np.eye(f))))
+    inv = both[:, -f:]
+    return both[:, :-f].reshape(b.shape), (inv + inv.T) / 2
 
 
 def rls_step(inv: np.ndarray, w: np.ndarray, phi: np.ndarray, y: np.ndarray, gamma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +43,37 @@ def rls_step(inv: np.ndarray, w: np.ndarray, phi: np.ndarray, y: np.ndarray, gam
     return (inv + inv.T) / 2, w
 
 
+WIDE = 32
+
+
+def _wide_pass(values: np.ndarray, phi: np.ndarray, r: int, w: np.ndarray, inv: np.ndarray, first: int, last: int):
+    """``online_pass`` of one readout."""
+    inv, change, out = inv.copy(), np.empty_like(inv), np.empty(max(0, last - first))
+    for t in range(first, last):
+        if t >= r:
+            past = phi[t - r]
+            v = inv @ past
+            scale = 1 / (1 + past @ v)
+            w = w + v * (scale * (values[t] - past @ w))
+            np.multiply(v[:, None], v * scale, out=change)
+            inv -= change
+            if t % 64 == 0:
+                inv = (inv + inv.T) / 2
+        out[t - first] = phi[t] @ w
+    return out, w, (inv + inv.T) / 2
+
+
 def online_pass(values: np.ndarray, phi: np.ndarray, ahead: np.ndarray, w: np.ndarray, inv: np.ndarray, first: int, last: int):
     """Steps first..last - 1 of one series: every readout r of ``ahead`` is updated with (phi[t - r], values[t]), then forecasts from phi[t].
 
-    All readouts move at once: w is (readouts, F), inv (readouts, F, F). Returns the forecasts (steps, readouts) and the last w and inv.
+    w is (readouts, F), inv (readouts, F, F). Narrow readouts move all at once, wide ones (whose inverse is the work) one after
+    the other. Returns the forecasts (steps, readouts) and the last w and inv.
     """
     w, inv, out = w.copy(), inv.copy(), np.empty((max(0, last - first), len(ahead)))
+    if w.shape[1] >= WIDE:
+        for k, r in enumerate(ahead):
+            out[:, k], w[k], inv[k] = _wide_pass(values, phi, int(r), w[k], inv[k], first, last)
+        return out, w, inv
     for t in range(first, last):
         then = t - ahead
         past = phi[np.maximum(then, 0)]

@@ -12,7 +12,7 @@ from panelcast.operators import linear as L
 from panelcast.operators import online as O
 from panelcast.operators import protocol as B
 from panelcast.sources import panels
-from panelcast.sources.storage import kept, table
+from panelcast.sources.storage import kept, stored, table
 
 #: Features: 6 statistics, 96 lags, 8 bins and 2 of the phase are 112.
 LOOKBACK, BINS, LAM = 96, 8, 1e-3
@@ -30,19 +30,21 @@ def daily(spark, d):
     return p, cuts(p)
 
 
-def wide_fit(spark, d):
+def d11(spark, d):
     z, (tr, _, _) = daily(spark, d)
-    return L.fit_ridge(X.feature_blocks(z.where(F.col("t") < tr), LOOKBACK, CADENCE, BINS), tr, 1, LOOKBACK, LAM)
+    return O.fit_series(z, tr, 1, LOOKBACK, CADENCE, BINS, LAM).select("series_id", "r", F.posexplode("w").alias("i", "w")).withColumn("w", F.round("w", 6))
 
 
-def d11(spark, d):
-    return wide_fit(spark, d).select("series_id", "r", F.posexplode("w").alias("i", "w")).withColumn("w", F.round("w", 6))
+def d14(spark, d):
+    z, (tr, te, n) = daily(spark, d)
+    return rounded(O.sweep(z, tr, te, n, 1, LOOKBACK, CADENCE, BINS, LAM, False), "yhat")
 
 
-def d14(spark, d):
-    z, (_, te, n) = daily(spark, d)
-    features = X.feature_blocks(z.where(F.col("t") >= te - LOOKBACK + 1), LOOKBACK, CADENCE, BINS)
-    return rounded(L.forecast(features, wide_fit(spark, d), te, n), "yhat")
+def d14_chunks(spark, d):
+    """The same by chunks, for few long series: features as a table, sums merged across tasks, one product a chunk."""
+    z, (tr, te, n) = scaled(spark, d)
+    features = stored(X.feature_blocks(z, LOOKBACK, CADENCE, BINS, 500), "features")
+    return rounded(L.forecast(features, L.fit_ridge(features, tr, HORIZON, LOOKBACK, LAM), te, n, 500), "yhat")
 
 
 def e2(spark, d):
@@ -74,4 +76,4 @@ def e9(spark, d):
     return out.select("series_id", "t", F.posexplode("yhat").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
-JOBS = {"e9_free_run_signals": (e9, None), "d11_full_fit": (d11, None), "d14_full_forecast": (d14, None), "e2_full_sweep": (e2, None), "e5_all_variants": (e5, None)}
+JOBS = {"e9_free_run_signals": (e9, None), "d11_full_fit": (d11, None), "d14_full_forecast": (d14, None), "d14_full_forecast_by_chunk": (d14_chunks, None), "e2_full_sweep": (e2, None), "e5_all_variants": (e5, None)}

@@ -39,14 +39,13 @@ def spectrum(panel: DataFrame, lookback: int, most: int = 8) -> DataFrame:
     b = bins_of(lookback, most)
     turn = 2 * math.pi / lookback
 
-    def magnitude(k: int) -> Column:
-        # Plain sums over the window's entries, so the whole spectrum is generated code.
-        parts = [sum((F.get("_l", j) * F.lit(f(turn * k * j)) for j in range(lookback)), F.lit(0.0)) for f in (math.cos, math.sin)]
-        return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1])
-
-    raw = lag_vector(panel, lookback, 0.0, "_l").withColumn("_m", F.array(*[magnitude(k) for k in range(1, b + 1)]))
-    total = F.aggregate("_m", F.lit(0.0), lambda a, x: a + x) + F.lit(1e-9)
-    return raw.withColumn("_s", total).withColumn("bins", F.transform("_m", lambda x: x / F.col("_s"))).drop("_l", "_m", "_s")
+    def magnitudes(window: Column) -> Column:
+        part = lambda k, f: sum((F.get(window, j) * F.lit(f(turn * k * j)) for j in range(lookback)), F.lit(0.0))
+        return F.array(*[F.hypot(part(k, math.cos), part(k, math.sin)) for k in range(1, b + 1)])
+
+    # Transforms of one-element arrays bind the window, and the magnitudes, so that each is computed once a row.
+    bound = F.transform(F.transform(F.array("_l"), magnitudes), lambda m: F.transform(m, lambda x: x / (F.aggregate(m, F.lit(0.0), lambda a, y: a + y) + F.lit(1e-9))))
+    return lag_vector(panel, lookback, 0.0, "_l").withColumn("bins", bound[0]).drop("_l")
 
 
 def phase(t: Column, cadence: int) -> tuple[Column, Column]:

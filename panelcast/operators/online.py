@@ -142,6 +142,41 @@ def online_by_chunk(features: DataFrame, sums: DataFrame, lam: float, horizon: i
     return near.groupBy("series_id", "chunk").cogroup(model.groupBy("series_id", "chunk")).applyInPandas(run, "series_id string, t long, r int, yhat double")
 
 
+def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins: int, lam: float, bank):
+    """One series' features (row i is step i + lookback - 1), steps ahead, weights and inverses of the ridge on its train rows."""
+    import numpy as np
+
+    from panelcast.functions import kernels
+
+    phi = kernels.window_features(x, lookback, cadence, 0, bins)
+    if bank:
+        turns = np.array([r * np.exp(1j * a) for r, a, _ in bank])
+        h = kernels.recurred(x[:, None] * np.array([b for _, _, b in bank]), turns)[lookback - 1 :]
+        phi = np.concatenate([phi, h.real, h.imag], axis=1)
+    ahead, w, inv = np.arange(1, horizon + 1), [], []
+    for r in ahead:
+        n = train_end - r - lookback + 1
+        got = kernels.relative_ridge(phi[:n].T @ phi[:n], phi[:n].T @ x[lookback - 1 + r : lookback - 1 + r + n], lam)
+        w.append(got[0])
+        inv.append(got[1])
+    return phi, ahead, np.array(w), np.array(inv)
+
+
+def fit_series(panel: DataFrame, train_end: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """(series_id, r, w, a_inv): the fit of ``sweep`` alone, a model table to go on from; what ``fit_ridge`` gives on ``feature_blocks``."""
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values("t")["value"].to_numpy(dtype=float)
+        if len(x) < lookback + horizon + 1:
+            return pd.DataFrame({"series_id": pd.Series([], dtype=object), "r": pd.Series([], dtype="int32"), "w": pd.Series([], dtype=object), "a_inv": pd.Series([], dtype=object)})
+        _, ahead, w, inv = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
+        return pd.DataFrame({"series_id": g["series_id"].iloc[0], "r": ahead, "w": list(w), "a_inv": list(inv.reshape(len(inv), -1))})
+
+    train = panel.where(F.col("t") < train_end).select("series_id", "t", "value")
+    return train.groupBy("series_id").applyInPandas(run, "series_id string, r int, w array<double>, a_inv array<double>")
+
+
 def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, online: bool = True, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
     """(series_id, t, r, yhat): fit on the train rows and forecast from ``first``, for panels of many series.
 
@@ -152,29 +187,16 @@ def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int
     import pandas as pd
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         from panelcast.functions import kernels
 
         x = g.sort_values("t")["value"].to_numpy(dtype=float)
         if len(x) < max(lookback, first + 2):
             return no_forecasts()
-        phi = kernels.window_features(x, lookback, cadence, 0, bins)  # row i is step i + lookback - 1
-        if bank:
-            lam_ = np.array([r * np.exp(1j * a) for r, a, _ in bank])
-            h = kernels.recurred(x[:, None] * np.array([b for _, _, b in bank]), lam_)[lookback - 1 :]
-            phi = np.concatenate([phi, h.real, h.imag], axis=1)
-        ahead = np.arange(1, horizon + 1)
-        w, inv = [], []
-        for r in ahead:
-            n = train_end - r - lookback + 1
-            got = kernels.relative_ridge(phi[:n].T @ phi[:n], phi[:n].T @ x[lookback - 1 + r : lookback - 1 + r + n], lam)
-            w.append(got[0])
-            inv.append(got[1])
+        phi, ahead, w, inv = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
         if online:
-            yhat = kernels.online_pass(x[lookback - 1 :], phi, ahead, np.array(w), np.array(inv), first - lookback + 1, steps - lookback)[0]
+            yhat = kernels.online_pass(x[lookback - 1 :], phi, ahead, w, inv, first - lookback + 1, steps - lookback)[0]
         else:
-            yhat = phi[first - lookback + 1 : steps - lookback] @ np.array(w).T
+            yhat = phi[first - lookback + 1 : steps - lookback] @ w.T
         return long_forecasts(g["series_id"].iloc[0], first, ahead, yhat, steps)
 
     return panel.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, t long, r int, yhat double")

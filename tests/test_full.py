@@ -70,6 +70,11 @@ def test_chunked_path_is_the_sweep(spark, series):
     f = features.feature_blocks(p, L, CADENCE, BINS, chunk=37)
     sums = linear.gram(linear.train_pairs(f, 100, 2, L), 2)
     model = linear.solve_relative(sums, LAM)
+    whole = {(r["series_id"], r["r"]): r for r in online.fit_series(p, 100, 2, L, CADENCE, BINS, LAM).collect()}
+    for r in model.collect():
+        np.testing.assert_allclose(r["w"], whole[r["series_id"], r["r"]]["w"], atol=1e-7)
+        np.testing.assert_allclose(r["a_inv"], whole[r["series_id"], r["r"]]["a_inv"], rtol=1e-5, atol=1e-6)
+    assert len(whole) == 4
     close(as_dict(linear.forecast(f, model, 110, 160, chunk=20)), expected(series, 2, 100, 110, False, None))
     want = expected(series, 2, 100, 110, True, None)
     close(as_dict(online.online_forecast(f, model, 110, 160)), want)
