@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcast.llm import chat, decontaminate, lines, neardup, packing, quality, secrets, sharding, substrings, toxicity
+from panelcast.llm import chat, decontaminate, lines, neardup, packing, quality, resample, secrets, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_format": chat.op9_chat_format,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op13_resample": resample.op13_resample,
 }
 ORACLES = {
     "op3_line_dedup": lines.OP3_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op13_resample": resample.OP13_SQL,
 }
