@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcast.llm import chat, decontaminate, lines, neardup, packing, quality, resample, secrets, sharding, substrings, toxicity
+from panelcast.llm import chat, decontaminate, divergence, language, lines, neardup, packing, quality, resample, secrets, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_near_dedup": neardup.op1_near_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_format": chat.op9_chat_format,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_source_audit": divergence.op11_source_audit,
+    "op12_language_id": language.op12_language_id,
     "op13_resample": resample.op13_resample,
 }
 ORACLES = {
@@ -22,5 +24,6 @@ ORACLES = {
     "op6_quality_rules": quality.OP6_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op11_source_audit": divergence.OP11_SQL,
     "op13_resample": resample.OP13_SQL,
 }
