@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
-from panelcast.llm import chat, decontaminate, lines, neardup, packing, quality, secrets, sharding, substrings, toxicity  # noqa: E402
+from panelcast.llm import chat, decontaminate, divergence, language, lines, neardup, packing, quality, resample, secrets, sharding, substrings, toxicity  # noqa: E402
 from panelcast.llm.common import texts  # noqa: E402
 
 CLASH = "node label bucket key _key rest _rest _row _null runs cut shingles doc_key item_key spans hits score shard virtual_slot piece length _text".split()
@@ -195,3 +195,29 @@ def test_hits_equal_brute_force(spark):
                 quoted = set(before) & set(toxicity.QUOTES) and set(after) & set(toxicity.QUOTES) or set(words[a:b]) & toxicity.REPORTING
                 want[2 * (k == 2) + bool(quoted)] += 1
         assert [round(2.718281828459045**x - 1) for x in got[d]] == want, (d, text[-80:])
+
+
+def test_divergence(docs):
+    got = sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in divergence.audit(docs.selectExpr("*", "IF(doc_id = 5, 'a', NULL) AS lang", "string(doc_id % 2) AS source"), 2).collect())
+    if not docs.rows:
+        assert got == []
+        return
+    assert {g[:4] for g in got if g[2] == "pair"} == {("", a, "pair", b) for a in ("", "0", "1") for b in ("", "0", "1") if a != b}
+    assert {g[3] for g in got if g[2] == "term"} <= set(SIX.split())  # the long text's terms stand in one document
+
+
+@pytest.mark.parametrize("taught", ["odd", "none"])
+def test_language(docs, taught):
+    model = language.learn(docs.selectExpr("text", "IF(doc_id = 5, 'a', IF(doc_id = 3, 'b', NULL)) AS lang").where("true" if taught == "odd" else "false"))
+    got = sorted(((r["doc_id"], r["lang_pred"]) for r in language.identify(docs, model).collect()), key=repr)
+    known = dict(docs.rows) and taught == "odd"
+    want = [(1, "und"), (2, "und"), (4, "und"), *((x, "b" if known else "und") for x in (None, 3, 3)), (5, "a" if known else "und")]
+    assert got == sorted(want if docs.rows else [], key=repr)
+
+
+@pytest.mark.parametrize("items", ["odd", "empty"])
+def test_resampling(spark, docs, items):
+    target = with_clashes(spark, [(1, SIX), (2, None), (3, "")] if items == "odd" else [], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_features"], r["rank"]) for r in resample.resample(docs, target, (1, 1)).collect()), key=repr)
+    n = len(LONG.split())
+    assert got == sorted([(1, 0, 0, None), (2, 0, 0, None), (4, 0, 0, None), (None, 6, 15, None), (3, 6, 15, None), (3, 6, 15, None), (5, n, 3 * n - 3, 1)] if docs.rows else [], key=repr)
