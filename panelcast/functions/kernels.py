@@ -17,13 +17,28 @@ def window_features(values: np.ndarray, lookback: int, cadence: int, first: int
     return np.column_stack((*level, windows, power / (power.sum(1)[:, None] + 1e-9), np.sin(turn), np.cos(turn)))
 
 
-def recurred(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """h_t = lambda h_{t-1} + x_t from h = 0 over the rows of x (steps x modes)."""
-    h, out = np.zeros(len(lam), dtype=complex), np.empty(x.shape, dtype=complex)
-    for i, v in enumerate(x):
-        h = lam * h + v
-        out[i] = h
-    return out
+def recurred(x: np.ndarray, lam: np.ndarray, start: np.ndarray | None = None, block: int = 32) -> np.ndarray:
+    """h_t = lambda h_{t-1} + x_t over the rows of x (steps x modes), from h = ``start`` (0 if none).
+
+    Blocks of rows are multiplied by the triangle of powers of lambda all at once; the blocks' last states are the same recurrence
+    with lambda^block, a ``block``-th as long, and what each block gets from the one before is added to its rows.
+    """
+    n, m = x.shape
+    first = np.zeros(m, dtype=complex) if start is None else start
+    k = min(block, n)
+    if not n:
+        return np.empty((0, m), dtype=complex)
+    powers = lam ** np.arange(k + 1)[:, None]
+    back = np.subtract.outer(np.arange(k), np.arange(k))
+    triangle = np.where((back >= 0)[:, :, None], powers[np.maximum(back, 0)], 0)
+    padded = np.zeros((-(-n // k) * k, m), dtype=complex)
+    padded[:n] = x
+    own = np.einsum("ijm,bjm->bim", triangle, padded.reshape(-1, k, m))
+    before = np.empty((len(own), m), dtype=complex)
+    before[0] = first
+    if len(own) > 1:
+        before[1:] = recurred(own[:-1, -1], powers[k], first, block)
+    return (own + powers[1:] * before[:, None, :]).reshape(-1, m)[:n]
 
 
 def relative_ridge(a: np.ndarray, b: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
@@ -101,3 +116,88 @@ def softmax_step(r: np.ndarray, keys: np.ndarray, values: np.ndarray, beta: floa
     s = beta * (r @ keys.T)
     e = np.exp(s - s.max(1, keepdims=True))
     return (e / e.sum(1, keepdims=True)) @ values
+
+
+class OnlineSeries:
+    """A series learned as its values come: features of the last ``lookback`` values, a relative ridge fitted once ``train_end`` values are in,
+    and from step ``first`` on an update and a forecast a step. What it holds is of fixed size, whatever has passed:
+
+    ring: the last values; phis, preds: features and forecasts of the last ``horizon`` steps; h: the oscillators of ``bank``; a, b: until the fit the
+    sums phi phi' and phi y, afterwards the inverses and weights of every step ahead.
+    """
+
+    FIELDS = ("ring", "phis", "preds", "h", "a", "b")
+
+    def __init__(self, train_end: int, first: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, online: bool = True, bank=(), plain: bool = False):
+        """``plain``: phi is [1, x[t]] instead of the window features."""
+        if first - horizon < lookback - 1 or first < train_end:
+            raise ValueError("the first forecast must come after the fit, and its update must have features")
+        self.train_end, self.first, self.horizon, self.lookback, self.cadence, self.bins, self.lam, self.online, self.plain = train_end, first, horizon, lookback, cadence, bins, lam, online, plain
+        self.turns, self.gain = np.array([r * np.exp(1j * t) for r, t, _ in bank], dtype=complex), np.array([b for _, _, b in bank], dtype=float)
+        self.width = (2 if plain else 6 + lookback + bins + 2) + 2 * len(bank)
+
+    def start(self) -> dict:
+        f = self.width
+        return {"ring": np.empty(0), "phis": np.empty((0, f)), "preds": np.empty((0, self.horizon)), "h": np.zeros(len(self.turns), dtype=complex), "a": np.zeros((1, f, f)), "b": np.zeros((self.horizon, f))}
+
+    def packed(self, held: dict) -> list[bytes]:
+        return [np.ascontiguousarray(held[k]).tobytes() for k in self.FIELDS]
+
+    def unpacked(self, packed: list[bytes]) -> dict:
+        """The inverse of ``packed``; shapes follow from the sizes."""
+        f, h = self.width, self.horizon
+        shapes = {"ring": (-1,), "phis": (-1, f), "preds": (-1, h), "h": (-1,), "a": (-1, f, f), "b": (h, f)}
+        return {k: np.frombuffer(v, dtype=complex if k == "h" else float).reshape(shapes[k]).copy() for k, v in zip(self.FIELDS, packed, strict=True)}
+
+    def features(self, held: dict, t0: int, x: np.ndarray) -> tuple[int, np.ndarray]:
+        """The step of the first row and the features that values x from step t0 complete; the ring and the oscillators move on."""
+        values = np.concatenate([held["ring"], x])
+        begin = t0 - len(held["ring"])
+        made = np.empty((0, self.width))
+        if len(values) >= self.lookback:
+            windows = np.column_stack((np.ones(len(values)), values))[self.lookback - 1 :] if self.plain else window_features(values, self.lookback, self.cadence, begin, self.bins)
+            made = windows
+        if len(self.turns):
+            h = recurred(x[:, None] * self.gain, self.turns, held["h"])
+            held["h"] = h[-1] if len(h) else held["h"]
+            if len(made):
+                rest = h[len(h) - len(made) :]
+                made = np.concatenate([made, rest.real, rest.imag], axis=1)
+        held["ring"] = values[max(0, len(values) - self.lookback + 1) :]
+        return t0 + len(x) - len(made), made
+
+    def advance(self, held: dict, t0: int, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Take the values x of steps t0, t0 + 1, ...; ``held`` changes in place. Returns t, r, yhat, err of the forecasts whose targets are among them."""
+        end, ahead, lam = t0 + len(x), np.arange(1, self.horizon + 1), self.lam
+        begin, made = self.features(held, t0, x)
+        phi = np.concatenate([held["phis"], made])
+        p0 = begin - len(held["phis"])
+        value = lambda t: x[t - t0]
+        if t0 < self.train_end:
+            new = made[: max(0, self.train_end - 1 - begin)]  # origins whose next step is a train row
+            held["a"][0] += new.T @ new
+            for r in ahead:
+                t = np.arange(max(t0, p0 + r), min(end, self.train_end))
+                if len(t):
+                    held["b"][r - 1] += phi[t - r - p0].T @ value(t)
+            if end >= self.train_end:
+                fits = []
+                for r in ahead:
+                    lost = phi[max(0, self.train_end - r - p0) : max(0, self.train_end - 1 - p0)]
+                    fits.append(relative_ridge(held["a"][0] - lost.T @ lost, held["b"][r - 1], lam))
+                held["b"], held["a"] = (np.array([f[i] for f in fits]) for i in (0, 1))
+        made = np.full((len(phi) - len(held["phis"]), self.horizon), np.nan)
+        at = max(self.first, t0)
+        if at < end:
+            if self.online:
+                x_of = np.concatenate([np.full(begin - p0 + max(0, t0 - begin), np.nan), x[max(0, begin - t0) :]])
+                made[at - begin :], held["b"], held["a"] = online_pass(x_of, phi, ahead, held["b"], held["a"], at - p0, end - p0)
+            else:
+                made[at - begin :] = phi[at - p0 :] @ held["b"].T
+        yhat = np.concatenate([held["preds"], made])
+        origin = p0 + np.arange(len(phi))
+        target = origin[:, None] + ahead
+        i, j = np.nonzero((target >= t0) & (target < end) & (origin[:, None] >= self.first))
+        keep = slice(max(0, len(phi) - self.horizon), None)
+        held["phis"], held["preds"] = phi[keep].copy(), yhat[keep].copy()
+        return origin[i], ahead[j], yhat[i, j], yhat[i, j] - value(target[i, j])

@@ -14,9 +14,16 @@ HOURLY = """efact AS (
 espan AS (SELECT min(stamp)::TIMESTAMP AS lo, max(stamp)::TIMESTAMP AS hi FROM efact),
 hours AS (SELECT lo, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS stamp FROM espan),
 hourly AS (
-  SELECT s.series_id, date_diff('hour', lo, hours.stamp)::BIGINT AS t, coalesce(f.value, 0.0)::DOUBLE AS value
+  SELECT s.series_id, date_diff('hour', lo, hours.stamp)::BIGINT AS t, coalesce(f.value, 0.0)::DOUBLE AS value, hours.stamp
   FROM (SELECT DISTINCT series_id FROM efact) s CROSS JOIN hours LEFT JOIN efact f ON f.series_id = s.series_id AND f.stamp = hours.stamp)"""
 
+#: The hourly panel as far as a stream has closed it whose rows may be two hours late: all but the last two hours.
+CLOSED = f"""{HOURLY},
+closed AS (SELECT h.* FROM hourly h, espan WHERE stamp + INTERVAL 2 HOUR <= hi),
+size AS (SELECT max(t) + 1 AS n FROM hourly),
+cut AS (SELECT n, floor(n * 0.2::DOUBLE)::BIGINT AS tr, floor(n * 0.2::DOUBLE)::BIGINT + floor(n * 0.05::DOUBLE)::BIGINT AS te FROM size),
+z AS (SELECT series_id, t, value FROM closed)"""
+
 BORDERS = """size AS (SELECT max(t) + 1 AS n FROM panel),
 cut AS (SELECT n, floor(n * 0.2::DOUBLE)::BIGINT AS tr, floor(n * 0.2::DOUBLE)::BIGINT + floor(n * 0.05::DOUBLE)::BIGINT AS te FROM size)"""
 
@@ -50,20 +57,20 @@ forecast AS (
   SELECT p.series_id, p.t, p.r, w0 + w1 * p.x AS yhat, w0 + w1 * p.x - p.y AS err
   FROM pairs p JOIN model USING (series_id, r), cut WHERE p.t >= te)"""
 
-ONLINE = f"""{FIT},
+#: The same ridge with the rows seen so far from the test start on: a row's window ends at the pair whose target is its own step. No joins.
+ONLINE = f"""{Z},
+{PAIRS},
+used AS (
+  SELECT series_id, t, r, x, y, te, CASE WHEN t + r < tr THEN 1.0::DOUBLE ELSE 0 END AS k, CASE WHEN t + r < tr OR t + r >= te THEN 1.0::DOUBLE ELSE 0 END AS m
+  FROM pairs, cut),
 seen AS (
-  SELECT p.series_id, p.t + p.r AS t, p.r, count(*) OVER w AS n, sum(p.x) OVER w AS sx, sum(p.x * p.x) OVER w AS sxx,
-         sum(p.y) OVER w AS sy, sum(p.x * p.y) OVER w AS sxy
-  FROM pairs p, cut WHERE p.t + p.r >= te
-  WINDOW w AS (PARTITION BY p.series_id, p.r ORDER BY p.t ROWS UNBOUNDED PRECEDING)),
-so_far AS (
-  SELECT s.series_id, s.t, s.r, a11 + s.n AS a11, a12 + s.sx AS a12, a22 + s.sxx AS a22, m.sy + s.sy AS b1, m.sxy + s.sxy AS b2
-  FROM seen s JOIN model m USING (series_id, r)),
-forecast AS (
-  SELECT p.series_id, p.t, p.r,
-         (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) + (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) * p.x AS yhat,
-         (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) + (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) * p.x - p.y AS err
-  FROM pairs p JOIN so_far USING (series_id, t, r))"""
+  SELECT series_id, t, r, x, y, te, 1e-3::DOUBLE * sum(k + k * x * x) OVER (PARTITION BY series_id, r) / 2 AS pen, sum(m) OVER w AS n,
+         sum(m * x) OVER w AS sx, sum(m * x * x) OVER w AS sxx, sum(m * y) OVER w AS b1, sum(m * x * y) OVER w AS b2
+  FROM used WINDOW w AS (PARTITION BY series_id, r ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND r PRECEDING)),
+solved AS (
+  SELECT series_id, t, r, x, y, (b1 * (sxx + pen) - b2 * sx) / ((n + pen) * (sxx + pen) - sx * sx) AS w0,
+         ((n + pen) * b2 - sx * b1) / ((n + pen) * (sxx + pen) - sx * sx) AS w1 FROM seen WHERE t >= te),
+forecast AS (SELECT series_id, t, r, w0 + w1 * x AS yhat, w0 + w1 * x - y AS err FROM solved)"""
 
 PERSIST = f"""{Z},
 forecast AS (

@@ -90,6 +90,16 @@ def svd_gha_step(rows: DataFrame, p, q, lr: float):
     return stepped(p, gx / max(n, 1.0), lr), stepped(q, gy / max(n, 1.0), lr)
 
 
+def next_bases(bases: DataFrame, rows: DataFrame, lr: float, svd: bool = False) -> DataFrame:
+    """One step of both bases as a table (i, u ARRAY, v ARRAY), a row a dimension, over a micro-batch of (x, y, mask). Bases are small: a row a dimension of a vector, whatever the rows."""
+    import numpy as np
+
+    held = sorted((r["i"], r["u"], r["v"]) for r in bases.collect())
+    u, v = (np.array([r[k] for r in held], dtype=float) for k in (1, 2))
+    got = (svd_gha_step if svd else gha_step)(rows, u, v, lr)
+    return bases.sparkSession.createDataFrame([(i, *(g[k].tolist() for g in got)) for k, (i, _, _) in enumerate(held)], "i int, u array<double>, v array<double>").coalesce(1)
+
+
 def _cross(rows: DataFrame, f, sx, sy):
     import numpy as np
     import pandas as pd
