@@ -24,23 +24,48 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import table, written
 
 MIN_DOCS, TOP = 10, 10
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-TILE, BLOCK, LONGEST_POSTING, HELD_PAIRS = 4096, 128, 256, 1 << 20
+TILE, BLOCK, LONGEST_POSTING, HELD_PAIRS, HELD_TERMS = 1024, 128, 256, 1 << 20, 1 << 19
+#: What separates terms, byte by byte: all of ASCII but letters. Capitals become small letters; bytes beyond ASCII stay.
+BYTES = bytes(ord(chr(i).lower()) if chr(i).isalpha() and i < 128 else 32 if i < 128 else i for i in range(256))
 
 
-def terms(text: Column) -> Column:
-    """Runs of letters and of all beyond ASCII, with A-Z lower-cased."""
-    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), SEPARATORS), "")
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences and documents; one row with a null term stands for every group that occurs.
 
+    A task counts the terms of what it meets and passes them on when it holds ``HELD_TERMS`` or more.
+    """
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents; one row with a null term stands for every group that occurs."""
-    said = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], terms(F.coalesce("text", F.lit(""))).alias("w"))
-    every = F.transform("w", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    first = F.transform(F.array_distinct("w"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("n"), F.lit(0).alias("docs")))
-    each = said.select("lang", "source", F.explode(F.concat(every, first, none)).alias("e")).select("lang", "source", "e.*")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def out():
+            for (lang, source), (n, d) in held.items():
+                for at, terms in enumerate([[None]] + [list(n)[i : i + HELD_TERMS] for i in range(0, len(n), HELD_TERMS)]):
+                    size = len(terms)
+                    counts = [[c[t] for t in terms] if at else [0] for c in (n, d)]
+                    term = pa.array(terms, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * size, pa.string()), "source": pa.array([source] * size, pa.string()), "term": term, "n": pa.array(counts[0], pa.int64()), "docs": pa.array(counts[1], pa.int64())})
+            held.clear()
+
+        for b in batches:
+            lang, source = (b.column(i).to_pylist() for i in (0, 1))
+            for k, text in zip(zip(lang, source, strict=True), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                if k not in held:
+                    held[k] = Counter(), Counter()
+                words = text.translate(BYTES).split()
+                held[k][0].update(words)
+                held[k][1].update(set(words))
+            if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
+                yield from out()
+        yield from out()
+
+    said = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce("text", F.lit("")).alias("text"))
+    counted = said.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def smoothed(n: str, total: str, kept: str) -> Column:
