@@ -52,6 +52,13 @@ def e2(spark, d):
     return rounded(O.sweep(z, tr, te, n, 1, LOOKBACK, CADENCE, BINS, LAM), "yhat")
 
 
+def e4_chunks(spark, d):
+    """The online pass by chunks of time, at full width: no task holds a whole series, nor all sums of one."""
+    z, (tr, te, n) = scaled(spark, d)
+    features = stored(X.feature_blocks(z, LOOKBACK, CADENCE, BINS, 500), "features")
+    return rounded(O.online_by_chunk(features, tr, LAM, HORIZON, LOOKBACK, te, n, 250, 4), "yhat")
+
+
 def e5(spark, d):
     """Static and online, with and without the oscillators' context, over the panel per nation."""
     z, (tr, te, n) = scaled(spark, d)
@@ -76,4 +83,4 @@ def e9(spark, d):
     return out.select("series_id", "t", F.posexplode("yhat").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
-JOBS = {"e9_free_run_signals": (e9, None), "d11_full_fit": (d11, None), "d14_full_forecast": (d14, None), "d14_full_forecast_by_chunk": (d14_chunks, None), "e2_full_sweep": (e2, None), "e5_all_variants": (e5, None)}
+JOBS = {"e9_free_run_signals": (e9, None), "d11_full_fit": (d11, None), "d14_full_forecast": (d14, None), "d14_full_forecast_by_chunk": (d14_chunks, None), "e2_full_sweep": (e2, None), "e4_full_by_chunk": (e4_chunks, None), "e5_all_variants": (e5, None)}

@@ -14,9 +14,11 @@ from panelcast.operators import evaluate as V
 from panelcast.operators import features as X
 from panelcast.operators import leaderboard as G
 from panelcast.operators import linear as L
+from panelcast.operators import maintained as M
 from panelcast.operators import online as O
 from panelcast.operators import protocol as B
 from panelcast.operators import retrieval as H
+from panelcast.operators import spectra as P
 from panelcast.sources import files
 from panelcast.sources.storage import kept, shared_path, stored, table
 
@@ -66,6 +68,32 @@ def d10(spark, d):
     return g.select("series_id", "r", "n", *[F.round(F.get("a", i), 4).alias(x) for i, x in ((0, "a11"), (1, "a12"), (3, "a22"))], *[F.round(F.get("b", i), 4).alias(x) for i, x in ((0, "b1"), (1, "b2"))])
 
 
+def d10_kept(spark, d):
+    """Train rows that arrive in three parts, every seventh day taken out again, compaction in between, and a solve of what is left."""
+    rows, c = two(spark, d)
+    pairs = stored(L.train_pairs(rows, c[0], HORIZON, 1), "pairs")
+    part = F.col("t") * 3 / c[0]
+    sums, of = M.SumTable(spark, shared_path(spark, "sum-table")), lambda p: L.gram(p, HORIZON)
+    for k in range(3):
+        sums.record(of(pairs.where((part >= k) & (part < k + 1))), f"part-{k}")
+        if k == 1:
+            sums.compact()
+    sums.record(of(pairs.where("t % 7 = 3")), "sevenths", retract=True)
+    sums.record(of(pairs.where(part < 1)), "part-0")  # it is in the table already
+    return wide(L.solve_relative(sums.current(), LAM).drop("a_inv"), "w", "w0", "w1")
+
+
+def d1_kept(spark, d):
+    """Vectors in two parts, a quarter of them taken out again."""
+    v = vectors(spark, d)
+    sums = M.SumTable(spark, shared_path(spark, "sum-table"), ("block_id",), ("a", "b"), ("m",))
+    for k in range(2):
+        sums.record(L.block_sums(v.where(F.col("id") % 2 == k), 2), str(k))
+    sums.record(L.block_sums(v.where("id % 4 = 1"), 2), "quarter", retract=True)
+    sums.compact()
+    return wide(L.solve_blocks(L.finalise(sums.current(), 2), 2), "w", "w0", "w1", "w2", "w3")
+
+
 def d12(spark, d):
     rows, c = two(spark, d)
     pairs = L.train_pairs(rows, c[0], HORIZON, 1).withColumn("y", F.transform("y", lambda v: F.when(F.col("t") % 7 != 3, v)))
@@ -94,8 +122,7 @@ def e4(spark, d):
 
 def e4_chunks(spark, d):
     rows, (tr, te, n) = two(spark, d)
-    sums = L.gram(L.train_pairs(rows, tr, HORIZON, 1), HORIZON).select("series_id", "r", "a", "b")
-    return rounded(O.online_by_chunk(rows, sums, LAM, HORIZON, te, n, 300), "yhat")
+    return rounded(O.online_by_chunk(rows, tr, LAM, HORIZON, 1, te, n, 300, 4), "yhat")
 
 
 def e5(spark, d):
@@ -339,6 +366,8 @@ SELECT id::INTEGER AS block_id, round(w - a * u / c * v * w + (a * p - a * u / c
     ),
     "d10_gram": (d10, f"WITH {S.FIT} SELECT series_id, r::INTEGER AS r, n::BIGINT AS n, round(n, 4) AS a11, round(sx, 4) AS a12, round(sxx, 4) AS a22, round(sy, 4) AS b1, round(sxy, 4) AS b2 FROM sums"),
     "d11_ridge": (lambda s, d: wide(fitted(s, d)[2].drop("a_inv"), "w", "w0", "w1"), f"WITH {S.FIT} SELECT series_id, r::INTEGER AS r, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM model"),
+    "d10_maintained_sums": (d10_kept, f"WITH {S.FIT.replace('WHERE t + r < tr', 'WHERE t + r < tr AND t % 7 <> 3')} SELECT series_id, r::INTEGER AS r, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM model"),
+    "d1_maintained_sums": (d1_kept, f"WITH {S.VECTORS.replace('FROM embeddings', 'FROM embeddings WHERE vec_id % 4 <> 1')} SELECT b::INTEGER AS block_id, round((c11 * s - c21 * q) / (p * s - q * q), 6) AS w0, round((c12 * s - c22 * q) / (p * s - q * q), 6) AS w1, round((p * c21 - q * c11) / (p * s - q * q), 6) AS w2, round((p * c22 - q * c12) / (p * s - q * q), 6) AS w3 FROM two"),
     "d12_mean_ridge": (
         d12,
         f"""WITH {S.FIT}, k AS (SELECT series_id, r, avg(x) AS x, avg(x * x) + 0.01 AS xx, avg(y) AS y, avg(x * y) AS xy FROM pairs, cut WHERE t + r < tr AND t % 7 <> 3 GROUP BY ALL)
@@ -396,8 +425,8 @@ cf AS (SELECT a.value - b.value AS err FROM cz a JOIN cz b ON b.series_id = a.se
 SELECT 'raw' AS kind, {_score} FROM forecast UNION ALL SELECT 'clipped', {_score} FROM cf""",
     ),
     "f9_outlier_energy": (f9, f"WITH {S.PERSIST}, q AS (SELECT quantile_cont(err * err, 0.995::DOUBLE) AS cut99 FROM forecast) SELECT round(sum(CASE WHEN err * err > cut99 THEN err * err ELSE 0 END) / sum(err * err), 5) AS energy, round(count(*) FILTER (WHERE err * err > cut99) / count(*)::DOUBLE, 5) AS points FROM forecast, q"),
-    "f10_autocorrelation": (lambda s, d: rounded(V.autocorrelation(scaled(s, d)[0], 21), "acf", digits=5), f"WITH {S.Z}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z), k AS (SELECT unnest(range(0, 22)) AS lag), s AS (SELECT a.series_id, lag, sum(a.x * b.x) AS s FROM x a CROSS JOIN k JOIN x b ON b.series_id = a.series_id AND b.t = a.t + lag GROUP BY ALL) SELECT s.series_id, s.lag::INTEGER AS lag, round(s.s / o.s, 5) AS acf FROM s JOIN s o ON o.series_id = s.series_id AND o.lag = 0"),
-    "f11_periodogram": (lambda s, d: rounded(V.periodogram(scaled(s, d)[0]), "power", digits=3), f"WITH {S.Z}, {S.BORDERS.replace('size', 'whole').replace('cut', 'ends')}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z), wide AS (SELECT t, list(x ORDER BY series_id) AS xs, list(series_id ORDER BY series_id) AS ids FROM x GROUP BY t), k AS (SELECT unnest(range(0, n // 2 + 1)) AS k, n FROM ends), w AS (SELECT t, xs, ids, k, cos(2 * pi() * (k * t % n) / n) AS c, sin(2 * pi() * (k * t % n) / n) AS s FROM wide, k), e AS (SELECT k, unnest(ids) AS series_id, unnest(xs) AS x, c, s FROM w) SELECT series_id, k::BIGINT AS k, round(power(sum(x * c), 2) + power(sum(x * s), 2), 3) AS power FROM e GROUP BY series_id, k"),
+    "f10_autocorrelation": (lambda s, d: rounded(P.autocorrelation(scaled(s, d)[0], 21, 400), "acf", digits=5), f"WITH {S.Z}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z), k AS (SELECT unnest(range(0, 22)) AS lag), s AS (SELECT a.series_id, lag, sum(a.x * b.x) AS s FROM x a CROSS JOIN k JOIN x b ON b.series_id = a.series_id AND b.t = a.t + lag GROUP BY ALL) SELECT s.series_id, s.lag::INTEGER AS lag, round(s.s / o.s, 5) AS acf FROM s JOIN s o ON o.series_id = s.series_id AND o.lag = 0"),
+    "f11_periodogram": (lambda s, d: rounded(P.periodogram(scaled(s, d)[0], 400), "power", digits=3), f"WITH {S.Z}, {S.BORDERS.replace('size', 'whole').replace('cut', 'ends')}, x AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM z), wide AS (SELECT t, list(x ORDER BY series_id) AS xs, list(series_id ORDER BY series_id) AS ids FROM x GROUP BY t), k AS (SELECT unnest(range(0, n // 2 + 1)) AS k, n FROM ends), w AS (SELECT t, xs, ids, k, cos(2 * pi() * (k * t % n) / n) AS c, sin(2 * pi() * (k * t % n) / n) AS s FROM wide, k), e AS (SELECT k, unnest(ids) AS series_id, unnest(xs) AS x, c, s FROM w) SELECT series_id, k::BIGINT AS k, round(power(sum(x * c), 2) + power(sum(x * s), 2), 3) AS power FROM e GROUP BY series_id, k"),
     "f12_error_histogram": (f12, f"WITH {S.PERSIST} SELECT CASE WHEN m >= 5 THEN 51 ELSE floor(m / 5::DOUBLE * 50) + 1 END::BIGINT AS bin, count(*) AS n FROM (SELECT round(abs(err), 9) AS m FROM forecast) GROUP BY 1"),
     "a7_a8_result_files": (a7, f"WITH {S.ROWS} SELECT dataset, pred_len::INTEGER AS pred_len, model, round(mse, 5) AS mse, round(mae, 5) AS mae, coalesce(n, 0) AS n, clip_spikes FROM result"),
     "a9_a10_published_cells": (a9, f"WITH {S.ROWS} SELECT dataset, method, h, mode, mse FROM cells WHERE dataset IN (SELECT dataset FROM result)"),

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.quantiles import exact_quantiles
+from panelcast.sources.storage import stored
+
 CHUNK = 1536
 
 
@@ -93,34 +96,9 @@ def seasonal(panel: DataFrame, first: int, steps: int, cadence: int, horizon: in
     return due.join(past, ["series_id", "target"]).select("series_id", "t", "r", "yhat")
 
 
-def outlier_energy(errs: DataFrame, share: float = 0.995, exact: bool = True) -> DataFrame:
-    """The share of squared error, and of points, above a percentile. ``exact=False`` takes the approximate percentile, for very large tables."""
-    se = errs.select((F.col("err") * F.col("err")).alias("se"))
-    cut = se.agg((F.percentile("se", share) if exact else F.percentile_approx("se", share, 10_000)).alias("cut"))
+def outlier_energy(errs: DataFrame, share: float = 0.995) -> DataFrame:
+    """The share of squared error, and of points, above a percentile, which is exact and found by counting."""
+    se = stored(errs.select((F.col("err") * F.col("err")).alias("se")), "squares")
+    cut = exact_quantiles(se, "se", share).select(F.col("quantile").alias("cut"))  # one row
     over = F.col("se") > F.col("cut")
     return se.join(F.broadcast(cut)).agg((F.sum(F.when(over, F.col("se")).otherwise(0.0)) / F.sum("se")).alias("energy"), (F.count_if(over) / F.count("*")).alias("points"))
-
-
-def autocorrelation(panel: DataFrame, lags: int) -> DataFrame:
-    """(series_id, lag, acf): biased, over the centred series; later values come from one window of leads, so nothing is paired by a join."""
-    w = Window.partitionBy("series_id")
-    x = panel.withColumn("x", F.col("value") - F.avg("value").over(w))
-    ahead = F.array(*[F.lead("x", k).over(w.orderBy("t")) for k in range(lags + 1)])
-    each = x.select("series_id", "x", ahead.alias("a")).select("series_id", "x", F.posexplode("a").alias("lag", "y"))
-    sums = each.groupBy("series_id", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    zero = sums.where("lag = 0").select("series_id", F.col("s").alias("s0"))
-    return sums.join(zero, "series_id").select("series_id", "lag", (F.col("s") / F.col("s0")).alias("acf"))
-
-
-def periodogram(panel: DataFrame) -> DataFrame:
-    """(series_id, k, power) of the centred series by FFT; frequency k / T."""
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        x = g.sort_values("t")["value"].to_numpy()
-        p = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        return pd.DataFrame({"series_id": g["series_id"].iloc[0], "k": np.arange(len(p)), "power": p})
-
-    return panel.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, k long, power double")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import kernels
+from panelcast.sources.storage import stored
 
 SALTS = 32
 HELD_BYTES = 1 << 27
@@ -60,6 +61,48 @@ def added(parts: DataFrame, keys: tuple[str, ...], arrays: tuple[str, ...], numb
     return salted
 
 
+def prefix_sums(parts: DataFrame, keys: tuple[str, ...], at: str, arrays: tuple[str, ...], n: int, fan: int = 16) -> DataFrame:
+    """Each row's arrays replaced by their element-wise sums over the key's rows before it, in the order of ``at`` (0 to n - 1).
+
+    Rows are summed in runs of ``fan``, the runs' totals in turn, and so on; then what lies before a run is added to its rows. A task streams over one run
+    and holds one sum, so neither all rows of a key nor a chain of n steps meet in one task.
+    """
+    import pandas as pd
+
+    run = F.floor(F.col(at) / fan).cast("long")
+    rows = parts.select(*keys, F.col(at).cast("long").alias("_at"), run.alias("_run"), *arrays)
+    by = [*keys, "_run"]
+    names = [*by, "_at", *arrays]
+
+    def summing(batches):
+        import numpy as np
+
+        key, total = None, None
+        for g in batches:
+            out = []
+            for row in zip(*(g[c].tolist() for c in names), strict=True):
+                now = [np.asarray(v, dtype=float) for v in row[len(by) + 1 :]]
+                if row[: len(by)] != key:
+                    if key is not None:
+                        out.append((*key, None, *total))
+                    key, total = row[: len(by)], [v * 0 for v in now]
+                out.append((*row[: len(by) + 1], *total))
+                total = [x + y for x, y in zip(total, now, strict=True)]
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({"_at": "Int64"})
+        if key is not None:
+            yield pd.DataFrame([(*key, None, *total)], columns=names).astype({"_at": "Int64"})
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    within = rows.repartition(*by).sortWithinPartitions(*by, "_at").mapInPandas(summing, head)
+    if n <= fan:
+        return within.where("_at IS NOT NULL").select(*keys, F.col("_at").alias(at), *arrays)
+    within = stored(within, "runs")  # read twice: the rows and the runs' totals
+    before = prefix_sums(within.where("_at IS NULL"), keys, "_run", arrays, -(-n // fan), fan).select(*by, *[F.col(a).alias(f"_before_{a}") for a in arrays])
+    plus = [F.zip_with(a, f"_before_{a}", lambda x, y: x + y).alias(a) for a in arrays]
+    return within.where("_at IS NOT NULL").join(before, by).select(*keys, F.col("_at").alias(at), *plus)
+
+
 def train_pairs(features: DataFrame, train_end: int, horizon: int, lookback: int) -> DataFrame:
     """Features of the train origins with their targets; a target past the train end is null."""
     from panelcast.operators.features import targets
@@ -69,23 +112,26 @@ def train_pairs(features: DataFrame, train_end: int, horizon: int, lookback: int
     return rows.where((F.col("t") >= lookback - 1) & (F.col("t") < train_end - 1)).withColumn("y", y)
 
 
-def gram(pairs: DataFrame, horizon: int, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """(keys, r, a, b, n): per step r the sums phi phi' (row-major), phi y and the rows, over rows whose target is not null.
+def _gram_parts(pairs: DataFrame, horizon: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, kind, a, b, n) as tasks leave them. Kind 0: phi phi' over all rows, phi y and the rows a step, over rows with a target. What a step lacks of the first: kind -1, the
+    rows themselves (phi and which steps miss it) where a task has at most ``horizon`` of them, as the last rows of a series are; else kind r, a sum a step."""
+    import pandas as pd
 
-    The Gram sum is taken once a batch and corrected by the few rows whose target for r is missing, not once a step.
-    """
     names = list(keys)
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         held: dict = {}
 
         def out():
-            rows = [(*key, r + 1, (whole - lost[r]).ravel(), b[:, r], int(n[r])) for key, (whole, lost, b, n) in held.items() for r in range(horizon)]
+            rows = []
+            for key, (whole, b, n, few, lost) in held.items():
+                rows.append((*key, 0, whole.ravel(), b.ravel(), n))
+                rows += [(*key, -1, p, m.astype(float), []) for p, m in few]
+                rows += [(*key, r + 1, a.ravel(), [], []) for r, a in lost.items()]
             held.clear()
-            return pd.DataFrame(rows, columns=[*names, "r", "a", "b", "n"])
+            return pd.DataFrame(rows, columns=[*names, "kind", "a", "b", "n"])
 
         for batch in batches:
             for key, g in batch.groupby(names, sort=False):
@@ -94,21 +140,59 @@ def gram(pairs: DataFrame, horizon: int, keys: tuple[str, ...] = ("series_id",))
                 missing = np.isnan(y)
                 f = phi.shape[1]
                 if key not in held:
-                    held[key] = [np.zeros((f, f)), np.zeros((horizon, f, f)), np.zeros((f, horizon)), np.zeros(horizon)]
+                    held[key] = [np.zeros((f, f)), np.zeros((horizon, f)), np.zeros(horizon), [], {}]
                 sums = held[key]
                 sums[0] += phi.T @ phi
-                for r in np.flatnonzero(missing.any(0)):
-                    sums[1][r] += phi[missing[:, r]].T @ phi[missing[:, r]]
-                sums[2] += phi.T @ np.where(missing, 0.0, y)
-                sums[3] += (~missing).sum(0)
+                sums[1] += np.where(missing, 0.0, y).T @ phi
+                sums[2] += (~missing).sum(0)
+                part = missing.any(1)
+                sums[3] += list(zip(phi[part], missing[part], strict=True))
+                if len(sums[3]) > horizon or sums[4] and sums[3]:
+                    p, m = (np.array(x) for x in zip(*sums[3], strict=True))
+                    sums[3] = []
+                    for r in np.flatnonzero(m.any(0)):
+                        sums[4][r] = sums[4].get(r, 0.0) + p[m[:, r]].T @ p[m[:, r]]
                 if len(held) * (horizon + 1) * f * f * 8 > HELD_BYTES:
                     yield out()
         if held:
             yield out()
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema)
-    parts = pairs.select(*names, "phi", "y").mapInPandas(run, f"{head}, r int, a array<double>, b array<double>, n long")
-    return added(parts, (*names, "r"), ("a", "b"), ("n",)).where("n > 0")
+    return pairs.select(*names, "phi", "y").mapInPandas(run, f"{head}, kind int, a array<double>, b array<double>, n array<double>")
+
+
+def whole_sums(pairs: DataFrame, horizon: int, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """(keys, a, b, n): phi phi' over all rows, and over the rows with a target phi y (a row a step) and how many there are."""
+    return added(_gram_parts(pairs, horizon, keys).where("kind = 0"), keys, ("a", "b", "n"))
+
+
+def gram(pairs: DataFrame, horizon: int, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """(keys, r, a, b, n): per step r the sums phi phi' (row-major), phi y and the rows, over rows whose target is not null.
+
+    One sum phi phi' a key leaves the tasks and is merged; what a step lacks of it is taken off where the key's sums end up.
+    """
+    import pandas as pd
+
+    names = list(keys)
+
+    def expanded(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        whole = g[g["kind"] == 0].iloc[0]
+        b = np.array(whole["b"]).reshape(horizon, -1)
+        f, few = b.shape[1], g[g["kind"] == -1]
+        p, m = np.array(few["a"].tolist()).reshape(-1, f), np.array(few["b"].tolist()).reshape(-1, horizon) > 0
+        lost = dict(zip(g["kind"], g["a"], strict=True))
+        rows = []
+        for r in range(1, horizon + 1):
+            a = np.array(whole["a"]).reshape(f, f) - p[m[:, r - 1]].T @ p[m[:, r - 1]] - (np.array(lost[r]).reshape(f, f) if r in lost else 0.0)
+            rows.append((*(whole[k] for k in names), r, a.ravel(), b[r - 1], int(round(whole["n"][r - 1]))))
+        return pd.DataFrame(rows, columns=[*names, "r", "a", "b", "n"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema)
+    parts = stored(_gram_parts(pairs, horizon, keys), "sums")  # read twice: rows to add, rows to take off
+    sums = added(parts.where("kind >= 0"), (*names, "kind"), ("a", "b", "n")).unionByName(parts.where("kind < 0"))
+    return sums.groupBy(*names).applyInPandas(expanded, f"{head}, r int, a array<double>, b array<double>, n long").where("n > 0")
 
 
 def solve_relative(sums: DataFrame, lam: float, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:

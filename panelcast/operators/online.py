@@ -84,62 +84,71 @@ def online_state(features: DataFrame, model: DataFrame, first: int, last: int) -
     return rows.groupBy("series_id").cogroup(model.groupBy("series_id")).applyInPandas(run, "series_id string, r int, w array<double>, a_inv array<double>")
 
 
-def online_by_chunk(features: DataFrame, sums: DataFrame, lam: float, horizon: int, first: int, steps: int, chunk: int) -> DataFrame:
-    """The same forecasts for few long series: with unit weights RLS equals ridge on all rows so far, so Gram
-    sums per time chunk are added up in order, solved once at each chunk's start, and the chunks then run in parallel.
+def online_by_chunk(features: DataFrame, train_end: int, lam: float, horizon: int, lookback: int, first: int, steps: int, chunk: int, fan: int = 16) -> DataFrame:
+    """The same forecasts for few long series, fit included: with unit weights RLS equals ridge on all rows so far, so the Gram sums of
+    time chunks are added up by ``prefix_sums``, solved at each chunk's start, and the chunks run in parallel.
 
-    sums: the unregularised train sums (series_id, r, a, b). A chunk's rows are copied once into the next, as its halo of ``horizon`` rows.
+    One sum phi phi' a chunk travels, over the chunk's own steps. What the r-th step ahead has more or less of it are r rows: before the test start, before the chunk
+    and at the train end; a chunk gets those (``horizon`` rows of each), the last ``horizon`` rows of the chunk before as its halo.
     """
     import pandas as pd
 
+    from panelcast.operators.linear import prefix_sums, train_pairs, whole_sums
+    from panelcast.sources.storage import stored
+
     n_chunks = max(1, -(-(steps - first) // chunk))
-    of = lambda t: F.floor((t - first) / chunk).cast("long")
     t = F.col("t")
+    of = lambda t: F.floor((t - first) / chunk).cast("long")
     both = F.array_distinct(F.array(of(t), of(t + horizon)))
-    near = features.where(t >= first - horizon).select("series_id", "t", "value", "phi", F.explode(both).alias("chunk")).where((F.col("chunk") >= 0) & (F.col("chunk") < n_chunks))
+    rows = features.select("series_id", "t", "value", "phi")
+    near = rows.where(t >= first - horizon).select("*", F.explode(both).alias("chunk")).where((F.col("chunk") >= 0) & (F.col("chunk") < n_chunks))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<long>"))
+    edges = rows.where(((t >= train_end - horizon) & (t < train_end - 1)) | ((t >= first - horizon) & (t < first))).select("*", every.alias("chunk"))
 
-    def gains(g: pd.DataFrame) -> pd.DataFrame:
-        """The chunk's own sums per r: targets inside it, features r steps before."""
+    def own(g: pd.DataFrame) -> pd.DataFrame:
+        """The chunk's sums: phi phi' of its own steps, and phi y of the targets inside it, features r steps before."""
         import numpy as np
 
         g = g.sort_values("t")
         t0, a = int(g["t"].iloc[0]), first + int(g["chunk"].iloc[0]) * chunk
         phi, x = np.array(g["phi"].tolist(), dtype=float), g["value"].to_numpy(dtype=float)
-        out = []
+        p, b = phi[a - t0 :], []
         for r in range(1, horizon + 1):
-            at = np.arange(max(a, t0 + r), min(a + chunk, t0 + len(g))) - t0
-            p = phi[at - r]
-            out.append((r, (p.T @ p).ravel(), p.T @ x[at]))
-        return pd.DataFrame(out, columns=["r", "a", "b"]).assign(series_id=g["series_id"].iloc[0], chunk=int(g["chunk"].iloc[0]))[["series_id", "chunk", "r", "a", "b"]]
+            at = np.arange(max(a, t0 + r), t0 + len(g)) - t0
+            b.append(phi[at - r].T @ x[at])
+        return pd.DataFrame({"series_id": g["series_id"].iloc[0], "chunk": int(g["chunk"].iloc[0]), "a": [(p.T @ p).ravel()], "b": [np.concatenate(b)]})
 
-    parts = near.groupBy("series_id", "chunk").applyInPandas(gains, "series_id string, chunk long, r int, a array<double>, b array<double>")
+    sums = near.groupBy("series_id", "chunk").applyInPandas(own, "series_id string, chunk long, a array<double>, b array<double>")
+    train = stored(whole_sums(train_pairs(features, train_end, horizon, lookback), horizon), "train-sums").select("series_id", F.col("a").alias("train_a"), F.col("b").alias("train_b"))
+    starts = prefix_sums(sums, ("series_id",), "chunk", ("a", "b"), n_chunks, fan).join(train, "series_id")
+    both_rows = near.withColumn("edge", F.lit(False)).unionByName(edges.withColumn("edge", F.lit(True)))
 
-    def starts(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+    def run(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        out, by = [], {(c, r): (np.array(a), np.array(b)) for c, r, a, b in zip(g["chunk"], g["r"], g["a"], g["b"], strict=True)}
-        for name, r, a, b in zip(s["series_id"], s["r"], s["a"], s["b"], strict=True):
-            b = np.array(b)
-            f = len(b)
-            a = np.array(a).reshape(f, f)
-            a = a + lam * np.trace(a) / f * np.eye(f)
-            for c in range(n_chunks):
-                inv = np.linalg.inv(a)
-                out.append((name, c, r, np.linalg.solve(a, b), ((inv + inv.T) / 2).ravel()))
-                if (c, r) in by:
-                    a, b = a + by[c, r][0].reshape(f, f), b + by[c, r][1]
-        return pd.DataFrame(out, columns=["series_id", "chunk", "r", "w", "a_inv"]).astype({"series_id": object})
-
-    model = parts.groupBy("series_id").cogroup(sums.groupBy("series_id")).applyInPandas(starts, "series_id string, chunk long, r int, w array<double>, a_inv array<double>")
+        from panelcast.functions import kernels
 
-    def run(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(g) or not len(m):
             return no_forecasts()
-        a = first + int(m["chunk"].iloc[0]) * chunk
-        r, yhat, _, _ = _run(g, m, a, min(a + chunk, steps))
-        return long_forecasts(g["series_id"].iloc[0], a, r, yhat, steps)
-
-    return near.groupBy("series_id", "chunk").cogroup(model.groupBy("series_id", "chunk")).applyInPandas(run, "series_id string, t long, r int, yhat double")
+        edge, g = g[g["edge"]], g[~g["edge"]].sort_values("t")
+        at_edge = dict(zip(edge["t"], edge["phi"], strict=True))
+        phi, x, t0 = np.array(g["phi"].tolist(), dtype=float), g["value"].to_numpy(dtype=float), int(g["t"].iloc[0])
+        f, a = phi.shape[1], first + int(m["chunk"].iloc[0]) * chunk
+        outer = lambda ts, rows: (p := np.array([rows[k] for k in ts if k in rows], dtype=float).reshape(-1, f)).T @ p
+        here = {t0 + k: phi[k] for k in range(min(horizon, len(phi)))}  # the halo
+        train_a, now = (np.array(m[c].iloc[0]).reshape(f, f) for c in ("train_a", "a"))
+        b = np.array(m["train_b"].iloc[0]).reshape(horizon, f) + np.array(m["b"].iloc[0]).reshape(horizon, f)
+        ahead, w, inv = np.arange(1, horizon + 1), [], []
+        for r in ahead:
+            fit = train_a - outer(range(train_end - r, train_end - 1), at_edge)
+            fit += lam * np.trace(fit) / f * np.eye(f)
+            got = kernels.relative_ridge(fit + now + outer(range(first - r, first), at_edge) - outer(range(a - r, a), here), b[r - 1], 0.0)
+            w.append(got[0])
+            inv.append(got[1])
+        yhat, _, _ = kernels.online_pass(x, phi, ahead, np.array(w), np.array(inv), a - t0, min(a + chunk, steps, t0 + len(g)) - t0)
+        return long_forecasts(g["series_id"].iloc[0], a, ahead, yhat, steps)
+
+    return both_rows.groupBy("series_id", "chunk").cogroup(starts.groupBy("series_id", "chunk")).applyInPandas(run, "series_id string, t long, r int, yhat double")
 
 
 def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins: int, lam: float, bank):
@@ -154,9 +163,11 @@ def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins:
         h = kernels.recurred(x[:, None] * np.array([b for _, _, b in bank]), turns)[lookback - 1 :]
         phi = np.concatenate([phi, h.real, h.imag], axis=1)
     ahead, w, inv = np.arange(1, horizon + 1), [], []
+    most = train_end - lookback  # origins whose next step is a train row; a step further ahead lacks the last few
+    whole = phi[:most].T @ phi[:most]
     for r in ahead:
-        n = train_end - r - lookback + 1
-        got = kernels.relative_ridge(phi[:n].T @ phi[:n], phi[:n].T @ x[lookback - 1 + r : lookback - 1 + r + n], lam)
+        n = most + 1 - r
+        got = kernels.relative_ridge(whole - phi[n:most].T @ phi[n:most], phi[:n].T @ x[lookback - 1 + r : lookback - 1 + r + n], lam)
         w.append(got[0])
         inv.append(got[1])
     return phi, ahead, np.array(w), np.array(inv)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.quantiles import exact_quantiles
+
 CONSTANT = 1e-9
 
 
@@ -82,12 +84,13 @@ def burn_split(panel: DataFrame, n_train: int, gap: int) -> DataFrame:
 def range_conflict(z: DataFrame, train_end: int, test_start: int) -> DataFrame:
     """Per series: the largest value and magnitude and the 99th percentile of magnitude in train, and the largest magnitude in test."""
     train, test, m = F.col("t") < train_end, F.col("t") >= test_start, F.abs("value")
-    return z.groupBy("series_id").agg(
+    tops = z.groupBy("series_id").agg(
         F.max(F.when(train, F.col("value"))).alias("train_max"),
         F.max(F.when(train, m)).alias("train_max_abs"),
-        F.percentile(F.when(train, m), 0.99).alias("train_p99_abs"),
         F.max(F.when(test, m)).alias("test_max_abs"),
     )
+    p99 = exact_quantiles(z.where(train).select("series_id", m.alias("m")), "m", 0.99, ("series_id",))
+    return tops.join(p99, "series_id", "left").select("series_id", "train_max", "train_max_abs", F.col("quantile").alias("train_p99_abs"), "test_max_abs")
 
 
 def histogram(values: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -78,7 +78,8 @@ def test_chunked_path_is_the_sweep(spark, series):
     close(as_dict(linear.forecast(f, model, 110, 160, chunk=20)), expected(series, 2, 100, 110, False, None))
     want = expected(series, 2, 100, 110, True, None)
     close(as_dict(online.online_forecast(f, model, 110, 160)), want)
-    close(as_dict(online.online_by_chunk(f, sums.select("series_id", "r", "a", "b"), LAM, 2, 110, 160, 15)), want)
+    close(as_dict(online.online_by_chunk(f, 100, LAM, 2, L, 110, 160, 15)), want)
+    close(as_dict(online.online_by_chunk(f, 100, LAM, 2, L, 110, 160, 3, fan=2)), want)
 
 
 def arriving(spark, rows, path, cuts):

@@ -67,8 +67,7 @@ def test_online_forms_agree_and_do_not_look_ahead(spark):
     p = make(panel_of(spark, x))
     model = linear.fit_ridge(p, 60, 2, 1)
     whole = online.online_forecast(p, model, 70, 120).orderBy("series_id", "r", "t").toPandas()
-    sums = linear.gram(linear.train_pairs(p, 60, 2, 1), 2).select("series_id", "r", "a", "b")
-    parts = online.online_by_chunk(p, sums, 1e-3, 2, 70, 120, 20).orderBy("series_id", "r", "t").toPandas()
+    parts = online.online_by_chunk(p, 60, 1e-3, 2, 1, 70, 120, 20).orderBy("series_id", "r", "t").toPandas()
     np.testing.assert_allclose(whole.yhat, parts.yhat, atol=1e-8)
     state = online.online_state(p, model, 70, 95)
     rest = online.online_forecast(p, state, 95, 120).orderBy("series_id", "r", "t").toPandas()
