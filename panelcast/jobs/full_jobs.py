@@ -26,7 +26,7 @@ def daily(spark, d):
         p = panels.supplier_daily(spark, d)
         return B.zscore(p, cuts(p)[0])
 
-    p = kept(spark, f"suppliers of {d}", make)
+    p = kept(spark, d, "suppliers", make)
     return p, cuts(p)
 
 

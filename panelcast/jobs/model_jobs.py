@@ -188,8 +188,13 @@ def f12(spark, d):
 
 
 def our_rows(spark, d):
-    """Result rows of three simple forecasts: as they are, halved as corrected rows, and as untested rows of a later file."""
-    return kept(spark, f"results of {d}", lambda: _our_rows(spark, d))
+    """Result rows of three simple forecasts: as they are, halved as corrected rows, and as untested rows of a later file. Each kind is written as files of its own
+    (the middle one wrapped) and read back; ``file`` is where a row was read from."""
+    made = kept(spark, d, "results", lambda: _our_rows(spark, d))
+    base = shared_path(spark, "results")
+    for name in "abc":
+        files.write_results(made.where(F.col("file") == name).drop("file"), f"{base}/{name}", wrapped=name == "b")
+    return files.read_results(spark, [f"{base}/a", f"{base}/c"], f"{base}/b").withColumn("file", files.folder_of(F.col("origin"))).drop("origin", "by_step")
 
 
 def _our_rows(spark, d):
@@ -219,7 +224,7 @@ def cells(spark, d):
                 out = out.unionByName(one.select(F.lit("sales").alias("dataset"), F.lit(name).alias("method"), "h", F.lit(mode).alias("mode"), "mse"))
         return out
 
-    return kept(spark, f"cells of {d}", make)
+    return kept(spark, d, "cells", make)
 
 
 def pairs(spark, d):
@@ -265,6 +270,19 @@ def d9(spark, d):
     return wide(L.woodbury_correction(rows, 1, 1), "w", "w")
 
 
+def pruned(spark, d, beta):
+    """The same by blocks of near keys, of which a query leaves out those that can't matter; vectors arrive as a stream in two parts."""
+    from panelcast.streaming.runs import read_stream, run_partials
+
+    v = vectors(spark, d).select("id", "x")
+    bank = H.BallBank(v.select(F.col("x").alias("key"), F.col("x").alias("value")), 64)
+    path, folder, out = shared_path(spark, "vectors"), shared_path(spark, "retrieved"), None
+    for k in range(2):
+        v.where(F.col("id") % 2 == k).write.mode("append").parquet(path)
+        out = run_partials(read_stream(spark, path, v.schema), lambda batch: bank.refine(batch, beta, 1e-14), "retrieved", folder)
+    return rounded(out.select("id", F.posexplode("out").alias("i", "v")), "v", digits=5)
+
+
 def retrieve(spark, d, steps, block_rows=None):
     """Every vector against a bank of all of them."""
     v = vectors(spark, d)
@@ -308,7 +326,7 @@ def e1(spark, d):
 
 
 _score = "round(avg(err * err), 5) AS mse, round(avg(abs(err)), 5) AS mae, count(*) AS n"
-_soft = lambda src, dst: f"""{dst}s AS (SELECT r.id, 2.0::DOUBLE * list_dot_product(r.x, k.x) AS s, k.x AS val FROM {src} r, vec k),
+_soft = lambda src, dst, beta=2.0: f"""{dst}s AS (SELECT r.id, {beta}::DOUBLE * list_dot_product(r.x, k.x) AS s, k.x AS val FROM {src} r, vec k),
 {dst}e AS (SELECT id, val, exp(s - max(s) OVER (PARTITION BY id)) AS e FROM {dst}s),
 {dst} AS (SELECT id, [{", ".join(f"sum(e * val[{i + 1}]) / sum(e)" for i in range(S.DIMS))}] AS x FROM {dst}e GROUP BY id)"""
 _entries = "SELECT id, (i - 1)::INTEGER AS i, round(x[i], 6) AS v FROM (SELECT id, x, unnest(range(1, len(x) + 1)) AS i FROM {})"
@@ -446,5 +464,6 @@ SELECT 'raw' AS kind, {_score} FROM forecast UNION ALL SELECT 'clipped', {_score
     "g14_mode_pairs": (lambda s, d: G.mode_pairs(cells(s, d).join(our_rows(s, d).select("dataset").distinct(), "dataset", "left_semi")), f"WITH {S.ROWS} SELECT dataset, h, method, max(mse) FILTER (WHERE mode = 'batch') AS batch, max(mse) FILTER (WHERE mode = 'dsof') AS dsof FROM cells WHERE dataset = 'sales' GROUP BY ALL"),
     "h1_softmax_retrieval": (lambda s, d: retrieve(s, d, 1), f"WITH {S.VECTORS}, {_soft('vec', 'r1')} {_entries.format('r1')}"),
     "h1_retrieval_by_slices": (lambda s, d: retrieve(s, d, 1, 200), f"WITH {S.VECTORS}, {_soft('vec', 'r1')} {_entries.format('r1')}"),
+    "h1_stream_pruned": (lambda s, d: pruned(s, d, 40.0), f"WITH {S.VECTORS}, {_soft('vec', 'r1', 40.0)} {_entries.format('r1').replace('6)', '5)')}"),
     "h2_refinement": (lambda s, d: retrieve(s, d, 2), f"WITH {S.VECTORS}, {_soft('vec', 'r1')}, {_soft('r1', 'r2')} {_entries.format('r2')}"),
 }

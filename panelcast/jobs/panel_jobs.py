@@ -23,7 +23,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def sales(spark: SparkSession, d: str) -> DataFrame:
     """The daily panel per nation, built once a session."""
-    return kept(spark, f"sales of {d}", lambda: panels.nation_daily(spark, d))
+    return kept(spark, d, "sales", lambda: panels.nation_daily(spark, d))
 
 
 def cuts(panel: DataFrame) -> tuple[int, int, int]:

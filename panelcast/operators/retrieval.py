@@ -41,9 +41,6 @@ def refine(queries: DataFrame, bank: DataFrame, beta: float = 0.1, steps: int =
 
 def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, rows: int | None = None) -> DataFrame:
     """One step over a bank of any size: blocks of queries meet blocks of the bank, both of counted rows, and each query leaves a maximum, a sum and a weighted vector a block."""
-    import numpy as np
-    import pandas as pd
-
     first = bank.first()
     rows = rows or max(1, BLOCK_BYTES // (8 * max(1, len(first["key"]) + len(first["value"])) if first else 1))
     n_queries, n_bank = (max(1, -(-df.count() // rows)) for df in (queries, bank))
@@ -53,6 +50,17 @@ def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, rows: int | Non
     spread = queries.select("id", "x", deal(n_queries, "id").cast("long").alias("q")).select("id", "x", "q", numbers(n_bank).alias("s"))
     parts = bank.select("key", "value", deal(n_bank, "key", "value").cast("long").alias("s")).select("key", "value", "s", numbers(n_queries).alias("q"))
 
+    return _merged(spread.groupBy("q", "s").cogroup(parts.groupBy("q", "s")).applyInPandas(_block_softmax(beta), PARTIAL))
+
+
+PARTIAL = "id long, m double, z double, v array<double>"
+
+
+def _block_softmax(beta: float):
+    """The maximum, the sum and the weighted vector that a block of the bank (key, value) adds for each query (id, x) of a block."""
+    import numpy as np
+    import pandas as pd
+
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "m": pd.Series([], dtype=float), "z": pd.Series([], dtype=float), "v": pd.Series([], dtype=object)})
@@ -65,7 +73,11 @@ def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, rows: int | Non
             out.append(pd.DataFrame({"id": q["id"].iloc[i : i + 1024], "m": m, "z": e.sum(1), "v": list(e @ values)}))
         return pd.concat(out)
 
-    got = spread.groupBy("q", "s").cogroup(parts.groupBy("q", "s")).applyInPandas(run, "id long, m double, z double, v array<double>")
+    return run
+
+
+def _merged(got: DataFrame) -> DataFrame:
+    """(id, out) from ``PARTIAL`` rows, exactly (log-sum-exp)."""
     all_ = got.groupBy("id").agg(F.collect_list(F.struct("m", "z", "v")).alias("p"))  # one entry a block of the bank
     top = F.array_max(F.transform("p", lambda x: x["m"]))
     z = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["z"] * F.exp(x["m"] - F.col("top")))
@@ -73,6 +85,78 @@ def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, rows: int | Non
     return all_.withColumn("top", top).select("id", v.alias("v"), z.alias("z")).select("id", F.transform("v", lambda x: x / F.col("z")).alias("out"))
 
 
+class BallBank:
+    """A bank (key, value) dealt into blocks of near keys, each with its centre and radius, so that a query can leave out blocks that can't matter.
+
+    With centre c, radius h and n keys, a block's weight for a query r lies between n exp(beta r.c) (the mean of exponentials is no less than
+    the exponential of the mean) and n exp(beta (r.c + |r| h)). Blocks are left out, least bound first, while the bounds of those left out add up to at most ``error``
+    of what all weigh at least: so they hold at most that share of the weights, and the result moves by no more than ``error`` times the spread of the values.
+    """
+
+    def __init__(self, bank: DataFrame, blocks: int = 256):
+        """``blocks`` centres are keys of the bank (those of least hash); their number times the dimensions is what tasks are sent."""
+        import numpy as np
+        import pandas as pd
+
+        from panelcast.operators.linear import added
+        from panelcast.sources.storage import stored
+
+        pivots = np.array([r["key"] for r in bank.select("key").distinct().orderBy(F.xxhash64("key")).limit(blocks).collect()], dtype=float)
+        spread = bank.sparkSession.sparkContext.broadcast(pivots)
+
+        def nearest(batches):
+            p = spread.value
+            for g in batches:
+                k = np.array(g["key"].tolist(), dtype=float)
+                yield g.assign(block=((p * p).sum(1)[None, :] - 2 * k @ p.T).argmin(1).astype("int32"))
+
+        vector = "array<double>"
+        self.rows = stored(bank.select("key", "value").mapInPandas(nearest, f"key {vector}, value {vector}, block int"), "bank")
+        sums = added(self.rows.select("block", "key", F.lit(1).cast("long").alias("n")), ("block",), ("key",), ("n",))
+        centres = sums.select("block", "n", F.transform("key", lambda x: x / F.col("n")).alias("centre"))
+        off = F.sqrt(F.aggregate(F.zip_with("key", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        radii = self.rows.join(F.broadcast(centres), "block").groupBy("block").agg(F.max(off).alias("radius"))  # ``blocks`` rows
+        self.blocks: pd.DataFrame = centres.join(radii, "block").toPandas()
+
+    def needed(self, queries: DataFrame, beta: float, error: float) -> DataFrame:
+        """(id, x, block) for the blocks that each query has to meet."""
+        import numpy as np
+
+        sent = queries.sparkSession.sparkContext.broadcast((self.blocks["block"].to_numpy(), self.blocks["n"].to_numpy(dtype=float), np.array(self.blocks["centre"].tolist()), self.blocks["radius"].to_numpy()))
+
+        def run(batches):
+            import pandas as pd
+
+            block, n, centre, radius = sent.value
+            for g in batches:
+                x = np.array(g["x"].tolist(), dtype=float)
+                low = beta * x @ centre.T + np.log(n)
+                # A hair more than the radius, for the rounding of the sums above.
+                high = low + abs(beta) * np.linalg.norm(x, axis=1)[:, None] * radius * (1 + 1e-9)
+                top = high.max(1, keepdims=True)
+                least, most = np.exp(low - top).sum(1), np.exp(high - top)
+                order = np.argsort(most, axis=1)
+                out = np.cumsum(np.take_along_axis(most, order, 1), axis=1) <= error * least[:, None]
+                keep = np.ones_like(out)
+                np.put_along_axis(keep, order, ~out, 1)
+                i, j = np.nonzero(keep)
+                yield pd.DataFrame({"id": g["id"].to_numpy()[i], "x": g["x"].to_numpy()[i], "block": block[j]})
+
+        return queries.select("id", "x").mapInPandas(run, "id long, x array<double>, block int")
+
+    def refine(self, queries: DataFrame, beta: float, error: float = 1e-9, rows: int = 4096) -> DataFrame:
+        """(id, out): one step of ``refine``, with blocks left out as far as ``error`` allows. Blocks and the queries that need them meet in parts of about ``rows`` rows each."""
+        met = self.needed(queries, beta, error)
+        sizes = self.rows.sparkSession.createDataFrame(self.blocks[["block", "n"]]).select(F.col("block").cast("int"), F.ceil(F.col("n") / rows).cast("int").alias("parts"))
+        n_queries = max(1, -(-queries.count() // rows))
+        deal = lambda n, *columns: F.pmod(F.xxhash64(*columns), n).cast("int")
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        sent = met.join(F.broadcast(sizes), "block").select("id", "x", "block", deal(F.lit(n_queries), "id").alias("q"), numbers(F.col("parts")).alias("part"))  # sizes: a row a block
+        kept = self.rows.join(F.broadcast(sizes), "block").select("key", "value", "block", deal(F.col("parts"), "key", "value").alias("part"), numbers(F.lit(n_queries)).alias("q"))
+        by = ["block", "part", "q"]
+        return _merged(sent.groupBy(*by).cogroup(kept.groupBy(*by)).applyInPandas(_block_softmax(beta), PARTIAL))
+
+
 def stepped(u, pull, lr: float):
     """The basis moved along ``pull`` less the part of it that lies in the basis already, and orthonormalised."""
     return kernels.orthonormal(u + lr * (pull - u @ (u.T @ pull)))

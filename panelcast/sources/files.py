@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,14 +62,22 @@ def write_results(rows: DataFrame, path: str, wrapped: bool = False) -> None:
         rows.write.json(path)
 
 
-def read_results(spark: SparkSession, plain: str, wrapped: str) -> DataFrame:
-    """Result rows of both layouts in one table."""
-    a = spark.read.json(plain, schema=RESULTS)
-    row = a.schema.simpleString().removeprefix("struct")
-    b = spark.read.json(wrapped, schema=f"rows array<struct{row}>").select(F.explode("rows").alias("r")).select("r.*")
+def read_results(spark: SparkSession, plain: str | list[str], wrapped: str | list[str] | None = None) -> DataFrame:
+    """Result rows of both layouts in one table, each with ``origin``, the file it was read from."""
+    origin = F.col("_metadata.file_path").alias("origin")
+    a = spark.read.json(plain, schema=RESULTS).select("*", origin)
+    if wrapped is None:
+        return a
+    row = a.drop("origin").schema.simpleString().removeprefix("struct")
+    b = spark.read.json(wrapped, schema=f"rows array<struct{row}>").select(F.explode("rows").alias("r"), origin).select("r.*", "origin")
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def folder_of(origin: Column) -> Column:
+    """The name of the folder that a file lies in."""
+    return F.regexp_extract(origin, r"([^/]+)/[^/]+$", 1)
+
+
 def flatten_published(df: DataFrame, column: str = "json") -> DataFrame:
     """A column of nested JSON dataset -> method -> horizon -> {batch, dsof} as cells (dataset, method, h, mode, mse)."""
     d = df.select(F.explode(F.from_json(column, CELLS)).alias("dataset", "m")).select("dataset", F.explode("m").alias("method", "hs"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -33,12 +33,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stored table that the session's jobs share, made at first use; ``name`` says from what."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _kept:
-        _kept[key] = stored(make(), "kept")
-    return _kept[key]
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stored table that the session's jobs share, made at first use from the tables in ``sf_dir``; made anew once any file there is another, or has been written again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    now = fingerprint(spark, sf_dir)
+    if _kept.get(key, (None,))[0] != now:
+        _kept[key] = now, stored(make(), "kept")
+    return _kept[key][1]
+
+
+def fingerprint(spark: SparkSession, folder: str) -> tuple:
+    """Path, size and time of every file under a folder, asked of the file system it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import linear, maintained, quantiles, spectra
+from panelcast.operators import linear, maintained, quantiles, retrieval, spectra
+from panelcast.sources import storage
 from panelcast.sources.storage import shared_path
 
 
@@ -130,3 +131,34 @@ def test_sum_table_follows_its_rows(spark):
     sums.record(part(10, 20), "gone", retract=True)
     holds((0, 10), (20, 90))
     assert sums.generation() == 2
+
+
+@pytest.mark.parametrize("beta,error,least", [(30.0, 1e-3, 0.3), (30.0, 1e-12, 0.1), (0.1, 1e-9, 0.0)])
+def test_pruned_retrieval_keeps_its_error(spark, beta, error, least):
+    """Clustered keys: the share of blocks left out, and the distance from the whole softmax, which the stated error bounds."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(12, 6))
+    keys = np.repeat(centres, 20, 0) + rng.normal(size=(240, 6)) * 0.05
+    values = rng.normal(size=(240, 3))
+    x = centres[rng.integers(0, 12, size=40)] + rng.normal(size=(40, 6)) * 0.05
+    bank = spark.createDataFrame([(k.tolist(), v.tolist()) for k, v in zip(keys, values, strict=True)], "key array<double>, value array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    ball = retrieval.BallBank(bank, 24)
+    left_out = 1 - ball.needed(queries, beta, error).count() / (40 * len(ball.blocks))
+    assert left_out >= least
+    got = np.array([r["out"] for r in ball.refine(queries, beta, error, rows=13).orderBy("id").collect()])
+    s = beta * x @ keys.T
+    w = np.exp(s - s.max(1, keepdims=True))
+    want = w / w.sum(1, keepdims=True) @ values
+    spread = max(np.linalg.norm(a - b) for a in values for b in values)
+    assert np.linalg.norm(got - want, axis=1).max() <= error * spread + 1e-12
+
+
+def test_kept_tables_follow_their_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    make = lambda: spark.read.parquet(str(tmp_path / "t.parquet"))
+    assert storage.kept(spark, str(tmp_path), "t", make).count() == 3
+    first = storage.kept(spark, str(tmp_path), "t", make)
+    assert storage.kept(spark, str(tmp_path), "t", make) is first
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    assert storage.kept(spark, str(tmp_path), "t", make).count() == 5
