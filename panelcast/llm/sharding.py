@@ -39,14 +39,16 @@ def slot_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
 
-def build_map(sizes: list[tuple[int, int, int]], n_shards: int, version: int = 1) -> list[tuple]:
-    """Rows of the map from (slot, bytes, rows): largest slot first, each to the shard with the fewest bytes."""
-    heap = [(0, s) for s in range(n_shards)]
+def build_map(sizes: list[tuple[int, int, int]], n_shards: int, version: int = 1, n_slots: int = N_SLOTS) -> list[tuple]:
+    """Rows of the map from (slot, bytes, rows), a row for every one of the slots: largest slot first, each to the shard with the fewest bytes, then slots; so empty slots are dealt evenly."""
+    known = {slot: (size, n) for slot, size, n in sizes}
+    heap = [(0, 0, s) for s in range(n_shards)]
     out = []
-    for slot, size, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
+    for slot in sorted(range(n_slots), key=lambda x: (-known.get(x, (0, 0))[0], x)):
+        size, n = known.get(slot, (0, 0))
+        load, count, shard = heapq.heappop(heap)
         out.append((version, slot, shard, size, n))
-        heapq.heappush(heap, (load + size, shard))
+        heapq.heappush(heap, (load + size, count + 1, shard))
     return out
 
 
@@ -63,7 +65,7 @@ def rebalance(rows: list[tuple], n_shards: int) -> list[tuple]:
         heapq.heapify(heap)
         while heap and load[new] < share:
             _, old = heapq.heappop(heap)
-            fits = [x for x in by[old] if load[new] + x[0] <= share and load[old] - x[0] >= 0]
+            fits = [x for x in by[old] if x[0] > 0 and load[new] + x[0] <= share]
             if not fits:
                 continue
             moved = max(fits)
@@ -91,15 +93,18 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 
 
 def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """Add the shard and the place in it, gapless from 0.
+    """Add the shard and the place in it, gapless from 0, to any rows: the map says where slots go, not which rows there are.
 
-    A row's place is its rank in its virtual slot, one window over a small partition, after all rows of
-    the shard's earlier slots, a running sum over the map alone.
+    A row's place is its rank in its virtual slot, one window over a small partition, after all rows of the shard's earlier slots, a running sum over
+    the counts of the rows at hand (a row a slot). A row whose slot the map doesn't have is an error.
     """
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("_start"))
+    here = slot_map.select("virtual_slot", "shard").join(rows.groupBy("virtual_slot").agg(F.count("*").alias("_n")), "virtual_slot", "left")
+    starts = here.select("virtual_slot", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1
-    return rows.join(F.broadcast(starts), "virtual_slot").select(*rows.columns, "shard", (F.col("_start") + rank).cast("long").alias("slot"))
+    missing = F.raise_error(F.concat(F.lit("the map has no slot "), F.col("virtual_slot").cast("string"))).cast("int")
+    placed = rows.join(F.broadcast(starts), "virtual_slot", "left").withColumn("shard", F.when(F.col("shard").isNull(), missing).otherwise(F.col("shard")))
+    return placed.select(*rows.columns, "shard", (F.col("_start") + rank).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
@@ -108,7 +113,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS,
     path = path or f"{shared_dir(spark)}/panelcast/slot-map-{uuid.uuid4().hex}"
     rows = slotted(docs, n_slots)
     sizes = [tuple(r) for r in slot_sizes(rows).collect()]  # at most n_slots rows
-    store_map(spark, build_map(sizes, n_shards), path)
+    store_map(spark, build_map(sizes, n_shards, n_slots=n_slots), path)
     return assign(rows, load_map(spark, path, 1))
 
 

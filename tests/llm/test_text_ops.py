@@ -327,7 +327,7 @@ def test_sharding_law(spark):
     assert len(load) == 24 and load.max() / load.min() < 1.05
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
-    rows = sharding.build_map([(i, 10 + i % 7, 1) for i in range(500)], 4)
+    rows = sharding.build_map([(i, 10 + i % 7, 1) for i in range(500)], 4, n_slots=500)
     grown = sharding.rebalance(rows, 5)
     before, after = ({r[1]: r[2] for r in x} for x in (rows, grown))
     assert all(before[s] == after[s] or after[s] == 4 for s in before) and {r[0] for r in grown} == {2}
@@ -348,7 +348,7 @@ def test_sharding_equals_plain_python(spark):
 
 
 def test_map_versions(spark, tmp_path):
-    first = sharding.build_map([(i, 5, 1) for i in range(20)], 2)
+    first = sharding.build_map([(i, 5, 1) for i in range(20)], 2, n_slots=20)
     path = f"file://{tmp_path}/map"
     sharding.store_map(spark, first, path)
     sharding.store_map(spark, sharding.rebalance(first, 3), path)
@@ -388,3 +388,21 @@ def test_shared_passages_are_guaranteed(spark):
     for segment in (1 << 20, 300):
         got = {keys[r["key"]] for r in substrings.shared_passages(keyed, segment=segment).collect()}
         assert got == {i for i in range(25) if i % 5 < 4}
+
+
+def test_stored_map_takes_any_rows(spark, tmp_path):
+    """A map made from some rows and rebalanced places all others: none is lost, and places are gapless over the rows at hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = f"file://{tmp_path}/map"
+    sharding.shard_documents(docs.where("doc_id < 300"), 5, 4096, path)
+    first = [tuple(r) for r in sharding.load_map(spark, path, 1).select("version", "virtual_slot", "shard", "bytes", "n_rows").collect()]
+    assert sorted(r[1] for r in first) == list(range(4096))
+    sharding.store_map(spark, sharding.rebalance(first, 6), path)
+    got = sharding.assign(sharding.slotted(docs, 4096), sharding.load_map(spark, path)).toPandas()
+    assert len(got) == docs.count() and set(got.shard) == set(range(6))
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    counts = collections.Counter(r[2] for r in first)
+    assert max(counts.values()) < 2 * min(counts.values())  # slots without rows are dealt evenly too
+    with pytest.raises(Exception, match="the map has no slot"):
+        sharding.assign(sharding.slotted(docs, 8192), sharding.load_map(spark, path)).count()
