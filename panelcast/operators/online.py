@@ -24,6 +24,13 @@ def no_forecasts():
     return pd.DataFrame({"series_id": pd.Series([], dtype=object), "t": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="int32"), "yhat": pd.Series([], dtype="float64")})
 
 
+def unknown_forecasts(series_id, first: int, steps: int, horizon: int):
+    """Null forecasts for every origin and step ahead: what a series too short to fit gives, so that it is not lost without a word."""
+    import numpy as np
+
+    return long_forecasts(series_id, first, np.arange(1, horizon + 1), np.full((max(0, steps - first), horizon), np.nan), steps)
+
+
 def stacked(model):
     """Rows (r, w, a_inv) of a series' model -> arrays r, w (r, F) and a_inv (r, F, F)."""
     import numpy as np
@@ -152,11 +159,13 @@ def online_by_chunk(features: DataFrame, train_end: int, lam: float, horizon: in
 
 
 def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins: int, lam: float, bank):
-    """One series' features (row i is step i + lookback - 1), steps ahead, weights and inverses of the ridge on its train rows."""
+    """None for a series that ends before the train rows do; else one series' features (row i is step i + lookback - 1), steps ahead, weights and inverses of the ridge on its train rows."""
     import numpy as np
 
     from panelcast.functions import kernels
 
+    if len(x) < train_end:
+        return None
     phi = kernels.window_features(x, lookback, cadence, 0, bins)
     if bank:
         turns = np.array([r * np.exp(1j * a) for r, a, _ in bank])
@@ -173,15 +182,24 @@ def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins:
     return phi, ahead, np.array(w), np.array(inv)
 
 
+def _has_rows(train_end: int, horizon: int, lookback: int) -> None:
+    if train_end - horizon < lookback:
+        raise ValueError("the train rows hold no window with a target for every step ahead")
+
+
 def fit_series(panel: DataFrame, train_end: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
-    """(series_id, r, w, a_inv): the fit of ``sweep`` alone, a model table to go on from; what ``fit_ridge`` gives on ``feature_blocks``."""
+    """(series_id, r, w, a_inv): the fit of ``sweep`` alone, a model table to go on from; what ``fit_ridge`` gives on ``feature_blocks``. A series without all train rows has null weights."""
     import pandas as pd
 
+    _has_rows(train_end, horizon, lookback)
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("t")["value"].to_numpy(dtype=float)
-        if len(x) < lookback + horizon + 1:
-            return pd.DataFrame({"series_id": pd.Series([], dtype=object), "r": pd.Series([], dtype="int32"), "w": pd.Series([], dtype=object), "a_inv": pd.Series([], dtype=object)})
-        _, ahead, w, inv = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
+        got = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
+        if got is None:
+            none = pd.Series([None] * horizon, dtype=object)
+            return pd.DataFrame({"series_id": g["series_id"].iloc[0], "r": range(1, horizon + 1), "w": none, "a_inv": none})
+        _, ahead, w, inv = got
         return pd.DataFrame({"series_id": g["series_id"].iloc[0], "r": ahead, "w": list(w), "a_inv": list(inv.reshape(len(inv), -1))})
 
     train = panel.where(F.col("t") < train_end).select("series_id", "t", "value")
@@ -192,20 +210,24 @@ def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int
     """(series_id, t, r, yhat): fit on the train rows and forecast from ``first``, for panels of many series.
 
     Only a series' values travel; features (with the oscillators of ``bank``, if given), the fit and the pass are made where the
-    series is. ``online`` updates before each forecast; without it the fitted weights stay. For few very long series use
+    series is. ``online`` updates before each forecast; without it the fitted weights stay. A series without all train rows and a test row
+    gets null forecasts, one that ends early forecasts as far as it goes. For few very long series use
     ``feature_blocks``, ``fit_ridge`` and ``forecast`` or ``online_by_chunk``, which cut them into chunks.
     """
     import pandas as pd
 
+    _has_rows(train_end, horizon, lookback)
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         from panelcast.functions import kernels
 
         x = g.sort_values("t")["value"].to_numpy(dtype=float)
-        if len(x) < max(lookback, first + 2):
-            return no_forecasts()
-        phi, ahead, w, inv = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
+        got = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
+        if got is None or len(x) <= first:
+            return unknown_forecasts(g["series_id"].iloc[0], first, steps, horizon)
+        phi, ahead, w, inv = got
         if online:
-            yhat = kernels.online_pass(x[lookback - 1 :], phi, ahead, w, inv, first - lookback + 1, steps - lookback)[0]
+            yhat = kernels.online_pass(x[lookback - 1 :], phi, ahead, w, inv, first - lookback + 1, min(steps - lookback, len(phi)))[0]
         else:
             yhat = phi[first - lookback + 1 : steps - lookback] @ w.T
         return long_forecasts(g["series_id"].iloc[0], first, ahead, yhat, steps)

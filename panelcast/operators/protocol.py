@@ -46,6 +46,14 @@ def shape_report(panel: DataFrame, n_series: int, n_steps: int) -> DataFrame:
     return found.withColumn("matches", (F.col("n_series") == n_series) & (F.col("n_steps") == n_steps) & (F.col("n_rows") == n_series * n_steps))
 
 
+def of_shape(panel: DataFrame, n_series: int, n_steps: int) -> DataFrame:
+    """The panel, if it has the shape expected; else an error that says what it has."""
+    r = shape_report(panel, n_series, n_steps).first()  # one row
+    if not r["matches"]:
+        raise ValueError(f"expected {n_series} series of {n_steps} steps, found {r['n_series']} of {r['n_steps']} with {r['n_rows']} rows")
+    return panel
+
+
 def train_stats(panel: DataFrame, train_end: int) -> DataFrame:
     """mean, std (population; 1 for a constant series) and the largest magnitude of the train rows, per series."""
     x = F.when(F.col("t") < train_end, F.col("value"))

@@ -137,3 +137,16 @@ def test_signals_run_freely(spark):
         past.append(lifted(past) @ w)
     got = online.free_run_signals(rows, w.ravel().tolist(), 1, 2, 50, 4).orderBy("t").collect()
     np.testing.assert_allclose([r["yhat"] for r in got], past[50:], atol=1e-12)
+
+
+def test_short_series_are_not_lost(spark, series):
+    """Null weights and forecasts for a series that ends before its fit; one that ends early forecasts as far as it goes."""
+    cut = panel_of(spark, series).where("series_id <> 's0' OR t < 60").where("series_id <> 's1' OR t < 130")
+    w = {r["series_id"]: r["w"] for r in online.fit_series(cut, 100, 2, L, CADENCE, BINS, LAM).where("r = 1").collect()}
+    assert w["s0"] is None and w["s1"] is not None
+    got = online.sweep(cut, 100, 110, 160, 2, L, CADENCE, BINS, LAM).collect()
+    short = [r for r in got if r["series_id"] == "s0"]
+    assert len(short) == sum(160 - 110 - r for r in (1, 2)) and all(r["yhat"] is None for r in short)
+    assert max(r["t"] for r in got if r["series_id"] == "s1") == 129 and all(r["yhat"] is not None for r in got if r["series_id"] == "s1")
+    with pytest.raises(ValueError, match="no window"):
+        online.sweep(cut, L, 110, 160, 2, L, CADENCE, BINS, LAM).collect()

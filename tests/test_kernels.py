@@ -1,6 +1,7 @@
 """Identities of the dense helpers, and of the distributed paths against plain NumPy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelcast.functions import kernels as K
@@ -164,3 +165,12 @@ def test_subspace_tracking_finds_the_leading_directions(spark):
         u, v = retrieval.gha_step(rows, u, v, 0.2)
     lead = np.linalg.svd(x, full_matrices=False)[2][:3]
     assert np.linalg.svd(lead @ u)[1].min() > 0.99
+
+
+def test_shape_is_enforced(spark):
+    from panelcast.operators import protocol
+
+    p = panel_of(spark, np.zeros((5, 2)))
+    assert protocol.of_shape(p, 2, 5) is p
+    with pytest.raises(ValueError, match="expected 2 series of 6 steps, found 2 of 5 with 10 rows"):
+        protocol.of_shape(p, 2, 6)
