@@ -58,31 +58,35 @@ def rls_step(inv: np.ndarray, w: np.ndarray, phi: np.ndarray, y: np.ndarray, gam
     return (inv + inv.T) / 2, w
 
 
-WIDE = 32
+WIDE, TOGETHER = 32, 48
 
 
 def _wide_pass(values: np.ndarray, phi: np.ndarray, r: int, w: np.ndarray, inv: np.ndarray, first: int, last: int):
-    """``online_pass`` of one readout."""
-    inv, change, out = inv.copy(), np.empty_like(inv), np.empty(max(0, last - first))
-    for t in range(first, last):
-        if t >= r:
-            past = phi[t - r]
-            v = inv @ past
-            scale = 1 / (1 + past @ v)
-            w = w + v * (scale * (values[t] - past @ w))
-            np.multiply(v[:, None], v * scale, out=change)
-            inv -= change
-            if t % 64 == 0:
-                inv = (inv + inv.T) / 2
-        out[t - first] = phi[t] @ w
-    return out, w, (inv + inv.T) / 2
+    """``online_pass`` of one readout, ``TOGETHER`` steps at a time.
+
+    With P the block's past features, e the residuals of w and I + P inv P' = L L', the weights after the block's first k updates are w + (P inv)' L'^-1 L^-1 e
+    taken over k rows, and what L^-1 makes of the first k rows depends on them alone: so every step's forecast comes from the same few products.
+    """
+    w, inv, out = w.copy(), inv.copy(), np.empty(max(0, last - first))
+    start = min(max(first, r), max(first, last))
+    out[: start - first] = phi[first:start] @ w
+    for a in range(start, last, TOGETHER):
+        b = min(a + TOGETHER, last)
+        past, now = phi[a - r : b - r], phi[a:b]
+        moved = past @ inv
+        back = np.linalg.inv(np.linalg.cholesky(moved @ past.T + np.eye(b - a)))
+        e, y = back @ (values[a:b] - past @ w), back @ moved
+        out[a - first : b - first] = now @ w + (np.triu(y @ now.T) * e[:, None]).sum(0)
+        w += y.T @ e
+        inv -= y.T @ y
+    return out, w, inv
 
 
 def online_pass(values: np.ndarray, phi: np.ndarray, ahead: np.ndarray, w: np.ndarray, inv: np.ndarray, first: int, last: int):
     """Steps first..last - 1 of one series: every readout r of ``ahead`` is updated with (phi[t - r], values[t]), then forecasts from phi[t].
 
     w is (readouts, F), inv (readouts, F, F). Narrow readouts move all at once, wide ones (whose inverse is the work) one after
-    the other. Returns the forecasts (steps, readouts) and the last w and inv.
+    the other, in blocks of steps. Returns the forecasts (steps, readouts) and the last w and inv.
     """
     w, inv, out = w.copy(), inv.copy(), np.empty((max(0, last - first), len(ahead)))
     if w.shape[1] >= WIDE:

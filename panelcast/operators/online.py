@@ -182,6 +182,12 @@ def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins:
     return phi, ahead, np.array(w), np.array(inv)
 
 
+def _spread(panel: DataFrame) -> DataFrame:
+    """Whole series dealt over all shuffle partitions: their bytes are few for the work they make, so they must not be put together by size."""
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panel.select("series_id", "t", "value").repartition(n, "series_id").groupBy("series_id")
+
+
 def _has_rows(train_end: int, horizon: int, lookback: int) -> None:
     if train_end - horizon < lookback:
         raise ValueError("the train rows hold no window with a target for every step ahead")
@@ -202,8 +208,7 @@ def fit_series(panel: DataFrame, train_end: int, horizon: int, lookback: int, ca
         _, ahead, w, inv = got
         return pd.DataFrame({"series_id": g["series_id"].iloc[0], "r": ahead, "w": list(w), "a_inv": list(inv.reshape(len(inv), -1))})
 
-    train = panel.where(F.col("t") < train_end).select("series_id", "t", "value")
-    return train.groupBy("series_id").applyInPandas(run, "series_id string, r int, w array<double>, a_inv array<double>")
+    return _spread(panel.where(F.col("t") < train_end)).applyInPandas(run, "series_id string, r int, w array<double>, a_inv array<double>")
 
 
 def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, online: bool = True, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
@@ -219,20 +224,50 @@ def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int
     _has_rows(train_end, horizon, lookback)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        from panelcast.functions import kernels
-
         x = g.sort_values("t")["value"].to_numpy(dtype=float)
-        got = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
-        if got is None or len(x) <= first:
+        got = _swept(x, train_end, first, steps, horizon, lookback, cadence, bins, lam, online, bank)
+        if got is None:
             return unknown_forecasts(g["series_id"].iloc[0], first, steps, horizon)
-        phi, ahead, w, inv = got
-        if online:
-            yhat = kernels.online_pass(x[lookback - 1 :], phi, ahead, w, inv, first - lookback + 1, min(steps - lookback, len(phi)))[0]
-        else:
-            yhat = phi[first - lookback + 1 : steps - lookback] @ w.T
-        return long_forecasts(g["series_id"].iloc[0], first, ahead, yhat, steps)
-
-    return panel.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, "series_id string, t long, r int, yhat double")
+        return long_forecasts(g["series_id"].iloc[0], first, *got, steps)
+
+    return _spread(panel).applyInPandas(run, "series_id string, t long, r int, yhat double")
+
+
+def _swept(x, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int, lam: float, online: bool, bank):
+    """Steps ahead and forecasts (origins from ``first``, steps ahead) of one series; None if it is too short."""
+    from panelcast.functions import kernels
+
+    got = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
+    if got is None or len(x) <= first:
+        return None
+    phi, ahead, w, inv = got
+    last = min(steps - lookback, len(phi))
+    if online:
+        return ahead, kernels.online_pass(x[lookback - 1 :], phi, ahead, w, inv, first - lookback + 1, last)[0]
+    return ahead, phi[first - lookback + 1 : last] @ w.T
+
+
+def sweep_scores(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, online: bool = True, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """(r, mse, mae, n) per step ahead: the scores of ``sweep`` for long horizons, whose forecasts stay in the tasks; a series leaves ``horizon`` rows of sums. A task holds a series' features and, at a time, one of its ``horizon`` passes' working matrices beside all weights and inverses."""
+    import pandas as pd
+
+    _has_rows(train_end, horizon, lookback)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        x = g.sort_values("t")["value"].to_numpy(dtype=float)
+        got = _swept(x, train_end, first, steps, horizon, lookback, cadence, bins, lam, online, bank)
+        rows = []
+        for r, yhat in zip(got[0], got[1].T, strict=True) if got is not None else ():
+            n = max(0, min(len(yhat), min(steps, len(x)) - r - first))
+            e = yhat[:n] - x[first + r : first + r + n]
+            rows.append((int(r), float(e @ e), float(np.abs(e).sum()), n))
+        return pd.DataFrame(rows, columns=["r", "sq", "ab", "n"]).astype({"r": "int32", "n": "int64"})
+
+    sums = _spread(panel).applyInPandas(run, "r int, sq double, ab double, n long")
+    n = F.sum("n")
+    return sums.groupBy("r").agg((F.sum("sq") / n).alias("mse"), (F.sum("ab") / n).alias("mae"), n.alias("n"))
 
 
 def free_run(panel: DataFrame, weights: DataFrame, order: int, start: int, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.functions import kernels as K
-from panelcast.operators import features, linear, online
+from panelcast.operators import evaluate, features, linear, online
 from panelcast.streaming.online import error_sums, online_stream, running_score
 from panelcast.streaming.panels import windowed_panel
 from panelcast.streaming.runs import read_stream, run_appended, run_partials
@@ -150,3 +150,13 @@ def test_short_series_are_not_lost(spark, series):
     assert max(r["t"] for r in got if r["series_id"] == "s1") == 129 and all(r["yhat"] is not None for r in got if r["series_id"] == "s1")
     with pytest.raises(ValueError, match="no window"):
         online.sweep(cut, L, 110, 160, 2, L, CADENCE, BINS, LAM).collect()
+
+
+@pytest.mark.parametrize("update", [False, True])
+def test_scores_are_those_of_the_forecasts(spark, series, update):
+    p = panel_of(spark, series)
+    want = {r["r"]: r for r in evaluate.step_scores(evaluate.errors(online.sweep(p, 100, 110, 160, 5, L, CADENCE, BINS, LAM, update), p)).collect()}
+    got = {r["r"]: r for r in online.sweep_scores(p, 100, 110, 160, 5, L, CADENCE, BINS, LAM, update).collect()}
+    assert got.keys() == want.keys()
+    for r in got:
+        assert got[r]["n"] == want[r]["n"] and got[r]["mse"] == pytest.approx(want[r]["mse"]) and got[r]["mae"] == pytest.approx(want[r]["mae"])
