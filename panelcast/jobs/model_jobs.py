@@ -302,12 +302,13 @@ def e6(spark, d, svd=False):
 
 
 def e8(spark, d):
-    rows = vectors(spark, d).select(F.col("id").alias("row"), F.slice("x", 1, 2).alias("v"))
-    return wide(H.gram_schmidt(rows, 2), "v", "q1", "q2")
+    rows = vectors(spark, d).select(F.col("id").alias("row"), F.col("x").alias("v"))
+    return rounded(H.gram_schmidt(rows, S.DIMS).select("row", F.posexplode("v").alias("i", "q")), "q", digits=5)
 
 
 def e1(spark, d):
-    """One update of two readouts sharing an inverse, gamma 0.5, from [1, x] of each vector; the identity and zero weights before."""
+    """One update of as many readouts as y has entries, sharing an inverse, gamma 0.5, from [1, x] of each vector; the identity and zero weights before. Per
+    feature: the inverse's diagonal and its part in the first column, and the readouts' weights summed and of the last one."""
     import numpy as np
     import pandas as pd
 
@@ -315,14 +316,11 @@ def e1(spark, d):
 
     def run(batches):
         for g in batches:
-            out = []
-            for x, y in zip(g["x"], g["y"], strict=True):
-                inv, w = kernels.rls_step(np.eye(2), np.zeros((2, 2)), np.array([1.0, x[0]]), np.array(y[:2]), 0.5)
-                out.append((inv[0, 0], inv[0, 1], inv[1, 1], *w.ravel()))
-            yield pd.DataFrame(out, columns=["i11", "i12", "i22", "w11", "w12", "w21", "w22"]).assign(id=g["id"].to_numpy())
+            for name, x, y in zip(g["id"], g["x"], g["y"], strict=True):
+                inv, w = kernels.rls_step(np.eye(len(x) + 1), np.zeros((len(x) + 1, len(y))), np.array([1.0, *x]), np.array(y), 0.5)
+                yield pd.DataFrame({"id": name, "i": range(len(w)), "diagonal": inv.diagonal(), "first": inv[:, 0], "total": w.sum(1), "last": w[:, -1]})
 
-    names = ["i11", "i12", "i22", "w11", "w12", "w21", "w22"]
-    return rounded(vectors(spark, d).mapInPandas(run, ", ".join(f"{c} double" for c in names) + ", id long"), *names)
+    return rounded(vectors(spark, d).mapInPandas(run, "id long, i int, diagonal double, first double, total double, last double"), "diagonal", "first", "total", "last")
 
 
 _score = "round(avg(err * err), 5) AS mse, round(avg(abs(err)), 5) AS mae, count(*) AS n"
@@ -333,6 +331,15 @@ _entries = "SELECT id, (i - 1)::INTEGER AS i, round(x[i], 6) AS v FROM (SELECT i
 _sum = lambda column, by: f"[{', '.join(f'sum(mask * {column}[{i + 1}] * {by})' for i in range(S.DIMS))}]"
 
 
+def _orthonormal(n: int) -> str:
+    """Column after column of lists v0: scaled to length 1, and taken off all later ones; ends with v<n>."""
+    out = []
+    for j in range(1, n + 1):
+        out.append(f"d{j} AS MATERIALIZED (SELECT sqrt(sum(v[{j}] * v[{j}])) AS len, [{', '.join(f'sum(v[{j}] * v[{k}])' for k in range(1, n + 1))}] AS s FROM v{j - 1})")
+        out.append(f"v{j} AS MATERIALIZED (SELECT id, list_transform(v, lambda e, k: CASE WHEN k < {j} THEN e WHEN k = {j} THEN e / len ELSE e - v[{j}] * s[k] / (len * len) END) AS v FROM v{j - 1}, d{j})")
+    return ", ".join(out)
+
+
 def _gha(of_x: str, of_y: str) -> str:
     """One step from u (equal entries) and v (alternating signs): pulled along sums of x times ``of_x`` and of y times ``of_y``."""
     step = lambda a, e: f"{e} + 0.5::DOUBLE * (a.{a} - {e} * sum(a.{a} * {e}) OVER ())"
@@ -401,8 +408,9 @@ SELECT round((y1 * c - xy1 * sx) / (a * c - sx * sx), 6) AS w00, round((y2 * c -
     "d14_static_forecast": (lambda s, d: rounded(L.forecast((x := fitted(s, d))[0], x[2], x[1][1], x[1][2]), "yhat"), f"WITH {S.STATIC} SELECT series_id, t, r::INTEGER AS r, round(yhat, 6) AS yhat FROM forecast"),
     "e1_rls_update": (
         e1,
-        f"""WITH {S.VECTORS}, k AS (SELECT id, x[1] AS x, y[1] AS y1, y[2] AS y2, 1 + 0.5::DOUBLE * (1 + x[1] * x[1]) AS g FROM vec)
-SELECT id, round(1 - 0.5::DOUBLE / g, 6) AS i11, round(-0.5::DOUBLE * x / g, 6) AS i12, round(1 - 0.5::DOUBLE * x * x / g, 6) AS i22, round(y1 / g, 6) AS w11, round(y2 / g, 6) AS w12, round(x * y1 / g, 6) AS w21, round(x * y2 / g, 6) AS w22 FROM k""",
+        f"""WITH {S.VECTORS}, k AS (SELECT id, list_prepend(1.0::DOUBLE, x) AS p, list_sum(y) AS total, y[{S.DIMS}] AS last, 1 + 0.5::DOUBLE * (1 + list_dot_product(x, x)) AS g FROM vec),
+e AS (SELECT *, unnest(p) AS v, unnest(range({S.DIMS + 1})) AS i FROM k)
+SELECT id, i::INTEGER AS i, round(1 - 0.5::DOUBLE * v * v / g, 6) AS diagonal, round(CASE WHEN i = 0 THEN 1 ELSE 0 END - 0.5::DOUBLE * v / g, 6) AS first, round(v * total / g, 6) AS total, round(v * last / g, 6) AS last FROM e""",
     ),
     "e2_online_forecast": (lambda s, d: rounded(O.online_forecast((x := fitted(s, d))[0], x[2], x[1][1], x[1][2]), "yhat"), f"WITH {S.ONLINE} SELECT series_id, t, r::INTEGER AS r, round(yhat, 6) AS yhat FROM forecast"),
     "e3_delayed_pairs": (e3, f"WITH {S.FIT} SELECT series_id, t + r AS t, r::INTEGER AS r, round(x, 6) AS x_then, round(y, 6) AS observed FROM pairs"),
@@ -413,8 +421,7 @@ SELECT id, round(1 - 0.5::DOUBLE / g, 6) AS i11, round(-0.5::DOUBLE * x / g, 6)
     "e7_svd_gha_step": (lambda s, d: e6(s, d, True), f"WITH {S.VECTORS}, {_gha('yv', 'xu')}"),
     "e8_gram_schmidt": (
         e8,
-        f"""WITH {S.VECTORS}, a AS (SELECT id, x[1] / sqrt(sum(x[1] * x[1]) OVER ()) AS q1, x[2] AS b FROM vec), c AS (SELECT id, q1, b - q1 * sum(q1 * b) OVER () AS r FROM a)
-SELECT id AS row, round(q1, 6) AS q1, round(r / sqrt(sum(r * r) OVER ()), 6) AS q2 FROM c""",
+        f"WITH {S.VECTORS}, v0 AS (SELECT id, x AS v FROM vec), {_orthonormal(S.DIMS)} SELECT id AS row, (i - 1)::INTEGER AS i, round(v[i], 5) AS q FROM (SELECT id, v, unnest(range(1, {S.DIMS + 1})) AS i FROM v{S.DIMS})",
     ),
     "e9_free_run": (
         e9,

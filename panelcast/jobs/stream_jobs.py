@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.jobs import sql as S
-from panelcast.jobs.model_jobs import HORIZON, two, vectors
+from panelcast.jobs.model_jobs import JOBS as MODELS
+from panelcast.jobs.model_jobs import HORIZON, two, vectors, wide
 from panelcast.jobs.panel_jobs import BANK, CADENCE, _flat, _osc, cuts, rounded
+from panelcast.operators import linear as L
+from panelcast.operators import maintained as M
 from panelcast.operators import retrieval as H
 from panelcast.sources.storage import shared_path, table
 from panelcast.streaming import series
 from panelcast.streaming.online import error_sums, online_stream, running_score
 from panelcast.streaming.panels import windowed_panel
-from panelcast.streaming.runs import latest, read_stream, run_appended, run_partials, run_versions
+from panelcast.streaming.runs import latest, read_stream, run_appended, run_partials, run_sums, run_versions
 
 LAM, PARTS = 1.0, 2
 HOUR, DELAY = 3_600_000, "2 hours"
@@ -92,6 +95,19 @@ def e6(spark, d, svd=False):
     return rounded(latest(out).select("i", F.get("u", 0).alias("u"), F.get("v", 0).alias("v")), "u", "v")
 
 
+def d1(spark, d):
+    """Block sums of vectors that arrive in ``STEPS`` parts, compacted on the way, and the weights they give."""
+    v = vectors(spark, d)
+    path, folder, out = shared_path(spark, "vectors"), shared_path(spark, "summed"), None
+    sums = M.SumTable(spark, f"{folder}-table", ("block_id",), ("a", "b"), ("m",))
+    for k in range(STEPS):
+        v.where(F.col("id") % STEPS == k).write.mode("append").parquet(path)
+        out = run_sums(read_stream(spark, path, v.schema), lambda batch: L.block_sums(batch, 2), sums, "summed", folder)
+        if k == 1:
+            sums.compact()
+    return wide(L.solve_blocks(L.finalise(out, 2), 2), "w", "w0", "w1", "w2", "w3")
+
+
 def _gha_steps(of_x: str, of_y: str) -> str:
     """The steps one after the other: bases b0, b1, ... as lists."""
     out = [f"b0 AS (SELECT list_transform(range({S.DIMS}), lambda i: 1 / sqrt({S.DIMS})) AS u, list_transform(range({S.DIMS}), lambda i: (-1) ** i / sqrt({S.DIMS})) AS v)"]
@@ -121,6 +137,7 @@ WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) -
     "x2_stream_forecast": (x2_e2, f"WITH {S.ONLINE.replace(S.Z, S.CLOSED)} SELECT series_id, t, r::INTEGER AS r, round(yhat, 5) AS yhat, round(err, 5) AS err FROM forecast"),
     "e2_stream_sweep": (e2_full, None),
     "c10_stream_oscillators": (c10, f"WITH {S.CLOSED}, {_osc} {_flat('osc', 'c', 5)}"),
+    "d1_stream_sums": (d1, MODELS["d6_block_solve"][1]),
     "e6_stream_steps": (e6, _gha_steps("xu", "yv")),
     "e7_stream_steps": (lambda s, d: e6(s, d, True), _gha_steps("yv", "xu")),
     "e2_stream_forecast": (e2, f"{_stream} SELECT series_id, t, r::INTEGER AS r, round(yhat, 6) AS yhat, round(yhat - y, 6) AS err FROM forecast"),

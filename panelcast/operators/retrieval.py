@@ -206,22 +206,35 @@ def _cross(rows: DataFrame, f, sx, sy):
     return np.array(r["a"]).reshape(sx), np.array(r["b"]).reshape(sy), r["n"]
 
 
-def _at(j: int, f):
-    """Change entry j of an array."""
-    return lambda x, i: F.when(i == j, f(x)).otherwise(x)
+def gram_schmidt(columns: DataFrame, rank: int) -> DataFrame:
+    """Orthonormalise the columns of a tall table (row, v ARRAY), whatever its rows: two passes.
 
+    With the sums V'V = R'R (Cholesky), V R^-1 is what Gram-Schmidt makes of V; the second pass removes what rounding has left, as
+    does going over each column twice. rank^2 numbers leave a task. Columns that depend on each other are an error.
+    """
+    import numpy as np
+    import pandas as pd
 
-def gram_schmidt(columns: DataFrame, rank: int) -> DataFrame:
-    """Orthonormalise the columns of a tall table (row, v ARRAY): one pass of sums a column, twice."""
-
-    now = columns
-    for j in range(rank):
-        for _ in range(2):
-            sums = now.agg(*[F.sum(F.get("v", i) * F.get("v", j)).alias(f"_s{i}") for i in range(j)]) if j else None
-            if sums is not None:
-                now = now.join(F.broadcast(sums))
-                proj = sum((F.get("v", i) * F.col(f"_s{i}") for i in range(j)), F.lit(0.0))
-                now = now.select("row", F.transform("v", _at(j, lambda x: x - proj)).alias("v"))
-        norm = now.agg(F.sqrt(F.sum(F.get("v", j) * F.get("v", j))).alias("_n"))
-        now = now.join(F.broadcast(norm)).select("row", F.transform("v", _at(j, lambda x: x / (F.col("_n") + 1e-12))).alias("v"))
+    from panelcast.operators.linear import added
+
+    def products(batches):
+        for g in batches:
+            v = np.array(g["v"].tolist(), dtype=float)
+            yield pd.DataFrame({"g": [(v.T @ v).ravel()]})
+
+    now = columns.select("row", "v")
+    for _ in range(2):
+        sums = added(now.select("v").mapInPandas(products, "g array<double>"), (), ("g",)).first()
+        if sums is None:
+            return now
+        try:
+            turned = np.linalg.inv(np.linalg.cholesky(np.array(sums["g"]).reshape(rank, rank)).T)
+        except np.linalg.LinAlgError as e:
+            raise ValueError("the columns depend on each other") from e
+
+        def turn(batches, turned=turned):
+            for g in batches:
+                yield g.assign(v=list(np.array(g["v"].tolist(), dtype=float) @ turned))
+
+        now = now.mapInPandas(turn, now.schema)
     return now

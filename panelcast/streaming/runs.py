@@ -111,6 +111,14 @@ def run_versions(stream: DataFrame, start: DataFrame, step, name: str, folder: s
     return spark.read.parquet(out)
 
 
+def run_sums(stream: DataFrame, summed, sums, name: str, folder: str | None = None) -> DataFrame:
+    """Record what ``summed(batch)`` gives for each micro-batch in a ``maintained.SumTable``, each once under its number, and give the sums of all that is there."""
+    progress = f"{folder or shared_path(stream.sparkSession, name)}-progress"
+    query = stream.writeStream.foreachBatch(lambda batch, n: sums.record(summed(batch), f"stream-{n}")).option("checkpointLocation", progress)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return sums.current()
+
+
 def latest(versions: DataFrame) -> DataFrame:
     """The rows of the newest version."""
     newest = versions.agg(F.max("version").alias("_v")).first()["_v"]
