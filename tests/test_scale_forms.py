@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.functions import kernels
 from panelcast.operators import linear, maintained, quantiles, retrieval, spectra
 from panelcast.sources import storage
 from panelcast.sources.storage import shared_path
+from panelcast.streaming import runs
 
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "wide", "tiny", "huge", "one"])
@@ -162,3 +164,36 @@ def test_kept_tables_follow_their_files(spark, tmp_path):
     assert storage.kept(spark, str(tmp_path), "t", make) is first
     spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
     assert storage.kept(spark, str(tmp_path), "t", make).count() == 5
+
+
+def test_tall_columns_are_orthonormalised(spark):
+    """Nearly dependent columns too: orthonormal to the last digits, and the same spans in order as column by column."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(300, 6))
+    v[:, 3] = v[:, 2] + 1e-5 * v[:, 3]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "row long, v array<double>").repartition(4)
+    q = np.array([r["v"] for r in retrieval.gram_schmidt(rows, 6).orderBy("row").collect()])
+    np.testing.assert_allclose(q.T @ q, np.eye(6), atol=1e-10)
+    np.testing.assert_allclose(q, kernels.orthonormal(v), atol=1e-5)
+    with pytest.raises(ValueError, match="depend"):
+        retrieval.gram_schmidt(rows.selectExpr("row", "transform(v, (x, i) -> IF(i = 1, v[0], x)) AS v"), 6)
+
+
+def test_sums_of_a_stream(spark):
+    """Micro-batches over two runs, one of them run again after its progress was lost, and a compaction in between."""
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(60, 4)), rng.normal(size=(60, 4))
+    schema = "id long, x array<double>, y array<double>, mask double"
+    path, folder = shared_path(spark, "rows"), shared_path(spark, "sums")
+    table = maintained.SumTable(spark, f"{folder}-table", ("block_id",), ("a", "b"), ("m",))
+    for k in range(3):
+        spark.createDataFrame([(i, x[i].tolist(), y[i].tolist(), 1.0) for i in range(20 * k, 20 * k + 20)], schema).write.mode("append").parquet(path)
+        out = runs.run_sums(runs.read_stream(spark, path, schema), lambda b: linear.block_sums(b, 2), table, "sums", folder)
+        if k == 1:
+            table.compact()
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}-progress/commits/1")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    for r in out.collect():
+        p = x[:, 2 * r["block_id"] : 2 * r["block_id"] + 2]
+        np.testing.assert_allclose(r["a"], (p.T @ p).ravel(), atol=1e-10)
+        assert r["m"] == pytest.approx(60)
