@@ -6,12 +6,12 @@ of fewer lines than a window is one window. What is deleted in one stretch must
 
 1. Winnowing: in every window the least hash (the last of equal ones) is a fingerprint, so both copies of a run have the same ones; long
    lines are fingerprints of their own. Fingerprints that stand at one place only leave here.
-2. Positions of the others are joined by their extension: the match is extended both ways over the windows in which the line is the
-   fingerprint. The windows of a run follow one another, so their union is the whole run.
-3. Each extension's first place stays; at every later place its lines are deleted.
+2. Positions are joined: each place of a fingerprint with the first place at which it stands in an equal window, for every window
+   that it is the fingerprint of. Pairs of the same two texts at the same distance are one match.
+3. A match is extended both ways, line by line, from each of its fingerprints to where the two texts part; the later text loses the run.
 
-A hot line costs one row per map task and extension in the search for first places; the joins back
-are ordinary equi-joins that adaptive execution can split, and no group is gathered. Null and empty texts have no lines and are returned empty;
+A hot line costs one row per map task and window in the search for first places; the joins back
+are ordinary equi-joins that adaptive execution can split, and no group is gathered but the fingerprints of one text. Null and empty texts have no lines and are returned empty;
 texts of any length are one row each; of equal lines at one place (rows equal in id and text, which count as one row and are treated alike) none is later; a null id
 sorts first; an empty table gives an empty result; further columns, whatever their names, are ignored by ``dedup_lines`` and kept by ``drop_repeated``.
 """
@@ -43,7 +43,7 @@ def winnowed(hashes: list[int], window: int) -> dict[int, list[tuple[int, int]]]
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc_id, key, hash, at, spans): a fingerprint, its place among the lines and its extensions, each with its first and last line and a hash of all its lines."""
+    """(doc_id, key, h, f): the hashes of a text's lines, and its fingerprints: a hash, and the windows that it stands for, first and last line and a hash of all lines."""
 
     def make():
         import hashlib
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
             return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
         def run(batch):
-            out = []
+            lines, out = [], []
             for text in batch:
                 kept = [s for x in text.split("\n") if (s := x.strip(SPACES))]
                 h = [number(s.encode("utf-8", "surrogatepass")) for s in kept]
@@ -63,27 +63,67 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
                 row = []
                 for i, found in spans.items():
                     each = {(a, z): number(b"".join(v.to_bytes(8, "little", signed=True) for v in h[a:z])) if z > a + 1 else h[a] for a, z in found}
-                    row.append({"hash": h[i], "at": i, "spans": [{"a": a, "b": z - 1, "run": v} for (a, z), v in each.items()]})
+                    row.append({"hash": h[i], "spans": [{"a": a, "b": z - 1, "run": v} for (a, z), v in each.items()]})
+                lines.append(h)
                 out.append(row)
-            return {"f": out}
+            return {"h": lines, "f": out}
 
         return run
 
-    found = per_text(docs, make, "f array<struct<hash:bigint,at:int,spans:array<struct<a:int,b:int,run:bigint>>>>", ("key",))
-    return found.select("doc_id", "key", F.explode("f").alias("f")).select("doc_id", "key", "f.*")
+    return per_text(docs, make, "h array<bigint>, f array<struct<hash:bigint,spans:array<struct<a:int,b:int,run:bigint>>>>", ("key",))
+
+
+def extended(own, other, distance: int, seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """Runs of lines (first, last) of ``own`` that equal those ``distance`` lines before in ``other``, as far both ways as they do from each seed (first, last). A run that
+    stays shorter than a window is its seed alone."""
+    import numpy as np
+
+    lo, hi = max(0, distance), min(len(own), len(other) + distance)
+    parts = np.flatnonzero(own[lo:hi] != other[lo - distance : hi - distance]) + lo  # where the texts part
+    edges = np.concatenate([[lo - 1], parts, [hi]])
+    out = set()
+    for a, b in seeds:
+        k = np.searchsorted(edges, a)  # the first parting after a
+        first, last = int(edges[k - 1]) + 1, int(edges[k]) - 1
+        out.add((first, last) if last - first + 1 >= window else (a, b))
+    return sorted(out)
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """(key, runs): per document the stretches of lines, first and last, that also stand at an earlier place."""
-    prints = written(fingerprints(docs, window, long_words), "fingerprints")
+    import pyarrow as pa
+
+    lined = written(fingerprints(docs, window, long_words), "fingerprints")
+    prints = lined.select("doc_id", "key", F.explode("f").alias("f")).select("doc_id", "key", "f.*")
     # Tables that are joined back are written first: both sides of the join are then dealt by it, and a hot line can be split.
     shared = written(prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "shared-lines")
     spans = prints.join(shared, "hash", "left_semi").select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", "s.*")
-    spans = written(spans, "extensions")
+    spans = written(spans, "windows")
     place = F.struct("doc_id", "key", "a")
     first = spans.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
     later = spans.join(written(first, "first-places"), "run").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"))  # at most twice as many as a document's lines
+    seeds = later.groupBy("key", F.col("first.key").alias("first_key"), (F.col("a") - F.col("first.a")).alias("distance"))
+    matches = written(seeds.agg(F.collect_set(F.struct("a", "b")).alias("seeds")), "matches")  # at most twice as many as a document's lines
+    needed = matches.select("key").union(matches.select("first_key")).distinct()
+    once = written(lined.select("key", "h").join(needed, "key", "left_semi").groupBy("key").agg(F.first("h").alias("h")), "lines")  # rows of one id and text once
+    own, other = once.select("key", F.col("h").alias("own")), once.select(F.col("key").alias("first_key"), F.col("h").alias("other"))
+    met = matches.join(other, "first_key").join(own, "key").select("key", "own", "other", "distance", "seeds")
+
+    def run(batches):
+        import numpy as np
+
+        def arrays(column):
+            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+        for b in batches:
+            key, own_, other_, distance, seeds = (b.column(i) for i in range(5))
+            found = [extended(np.asarray(x), np.asarray(y), d, [(s["a"], s["b"]) for s in z], window) for x, y, d, z in zip(arrays(own_), arrays(other_), distance.to_pylist(), seeds.to_pylist(), strict=True)]
+            rows = pa.array([[{"a": p, "b": q} for p, q in f] for f in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            yield pa.RecordBatch.from_pydict({"key": key, "runs": rows})
+
+    found = met.mapInArrow(run, "key long, runs array<struct<a:int,b:int>>")
+    return found.select("key", F.explode("runs").alias("r")).groupBy("key").agg(F.collect_set("r").alias("runs"))
 
 
 def cut_text(text: str, runs: list[tuple[int, int]], min_words: int, most: float | None = None) -> tuple[str, int, int]:
@@ -163,12 +203,12 @@ l AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS p, count(*) O
              trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS h,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
       FROM r WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-w AS (SELECT doc_id, rid, p AS a, least(p + 2, n_lines) AS b, run
-      FROM (SELECT *, concat_ws(chr(10), h, lead(h) OVER v, lead(h, 2) OVER v) AS run FROM l WINDOW v AS (PARTITION BY rid ORDER BY p))
-      WHERE p = 1 OR p + 2 <= n_lines
-      UNION SELECT doc_id, rid, p, p, h FROM l WHERE n >= 10),
-o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS k FROM w),
-g AS (SELECT DISTINCT rid, unnest(range(a, b + 1)) AS p FROM o WHERE k > 1),
+e AS (SELECT x.rid, x.p, x.n, x.n_lines, y.rid AS other, y.n_lines AS other_lines, x.p - y.p AS distance FROM l x JOIN l y ON x.h = y.h
+      AND (y.doc_id < x.doc_id OR (y.rid = x.rid AND y.p < x.p))),
+m AS (SELECT *, p - row_number() OVER (PARTITION BY rid, other, distance ORDER BY p) AS island FROM e),
+k AS (SELECT *, count(*) OVER (PARTITION BY rid, other, distance, island) AS lines FROM m),
+g AS (SELECT DISTINCT rid, p FROM k
+      WHERE lines >= 3 OR n >= 10 OR (lines = n_lines AND n_lines = other_lines)),
 s AS (SELECT l.rid, l.p, l.i, l.n, l.p - row_number() OVER (PARTITION BY l.rid ORDER BY l.p) AS island FROM g JOIN l USING (rid, p)),
 gone AS (SELECT rid, i FROM (SELECT *, sum(n) OVER (PARTITION BY rid, island) AS total FROM s) WHERE total >= 5),
 kept AS (SELECT r.rid, string_agg(r.line, chr(10) ORDER BY r.i) AS text FROM r ANTI JOIN gone USING (rid, i) GROUP BY r.rid)
