@@ -40,15 +40,20 @@ def slot_sizes(rows: DataFrame) -> DataFrame:
 
 
 def build_map(sizes: list[tuple[int, int, int]], n_shards: int, version: int = 1, n_slots: int = N_SLOTS) -> list[tuple]:
-    """Rows of the map from (slot, bytes, rows), a row for every one of the slots: largest slot first, each to the shard with the fewest bytes, then slots; so empty slots are dealt evenly."""
+    """Rows of the map from (slot, bytes, rows), a row for every one of the slots: largest slot first, each to the shard with the fewest bytes; then the empty ones, each to the shard with the fewest slots."""
     known = {slot: (size, n) for slot, size, n in sizes}
-    heap = [(0, 0, s) for s in range(n_shards)]
-    out = []
-    for slot in sorted(range(n_slots), key=lambda x: (-known.get(x, (0, 0))[0], x)):
-        size, n = known.get(slot, (0, 0))
-        load, count, shard = heapq.heappop(heap)
+    loads, counts, out = [(0, s) for s in range(n_shards)], [0] * n_shards, []
+    for slot, (size, n) in sorted(known.items(), key=lambda x: (-x[1][0], x[0])):
+        load, shard = heapq.heappop(loads)
         out.append((version, slot, shard, size, n))
-        heapq.heappush(heap, (load + size, count + 1, shard))
+        counts[shard] += 1
+        heapq.heappush(loads, (load + size, shard))
+    fewest = [(n, s) for s, n in enumerate(counts)]
+    heapq.heapify(fewest)
+    for slot in (s for s in range(n_slots) if s not in known):
+        n, shard = heapq.heappop(fewest)
+        out.append((version, slot, shard, 0, 0))
+        heapq.heappush(fewest, (n + 1, shard))
     return out
 
 
