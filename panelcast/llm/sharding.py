@@ -107,8 +107,8 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     here = slot_map.select("virtual_slot", "shard").join(rows.groupBy("virtual_slot").agg(F.count("*").alias("_n")), "virtual_slot", "left")
     starts = here.select("virtual_slot", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1
-    missing = F.raise_error(F.concat(F.lit("the map has no slot "), F.col("virtual_slot").cast("string"))).cast("int")
-    placed = rows.join(F.broadcast(starts), "virtual_slot", "left").withColumn("shard", F.when(F.col("shard").isNull(), missing).otherwise(F.col("shard")))
+    missing = F.raise_error(F.concat(F.lit("the map has no slot "), F.col("virtual_slot").cast("string"))).cast("boolean")
+    placed = rows.join(F.broadcast(starts), "virtual_slot", "left").where(F.when(F.col("shard").isNull(), missing).otherwise(F.lit(True)))
     return placed.select(*rows.columns, "shard", (F.col("_start") + rank).cast("long").alias("slot"))
 
 
