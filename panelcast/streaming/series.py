@@ -163,7 +163,10 @@ class Steps(StatefulProcessor):
         import numpy as np
         import pandas as pd
 
-        t, silent, _, last, windows, held = self._load()
+        loaded = self._load()
+        if loaded is None:  # the series was forgotten
+            return
+        t, silent, _, last, windows, held = loaded
         upto = (timerValues.getCurrentWatermarkInMs() - self.grid.origin) // self.grid.width
         if self.grid.forget and not windows and silent >= self.grid.idle:
             self.state.clear()
