@@ -408,25 +408,6 @@ def test_stored_map_takes_any_rows(spark, tmp_path):
         sharding.assign(sharding.slotted(docs, 8192), sharding.load_map(spark, path)).count()
 
 
-def test_matches_are_extended_line_by_line():
-    rng = random.Random(6)
-    for _ in range(400):
-        own, other = (np.array([rng.randrange(3) for _ in range(rng.randint(1, 25))]) for _ in range(2))
-        distance = rng.randint(1 - len(other), len(own) - 1)
-        same = [0 <= i - distance < len(other) and own[i] == other[i - distance] for i in range(len(own))]
-        seeds = [(a, b) for a in range(len(own)) for b in (a, a + 2) if b < len(own) and all(same[a : b + 1])]
-        want = set()
-        for a, b in seeds:
-            lo, hi = a, a
-            while lo and same[lo - 1]:
-                lo -= 1
-            while hi + 1 < len(own) and same[hi + 1]:
-                hi += 1
-            want.add((lo, hi) if hi - lo >= 2 else (a, b))
-        if seeds:
-            assert lines.extended(own, other, distance, seeds, 3) == sorted(want)
-
-
 def test_long_runs_go_whole_and_only_later(spark):
     """A run of ten short lines in other surroundings, one line of it also alone elsewhere before; and copies of one row."""
     run = [f"line {k} of run" for k in range(10)]
