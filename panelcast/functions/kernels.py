@@ -116,10 +116,30 @@ def orthonormal(a: np.ndarray) -> np.ndarray:
     return q
 
 
+def softmax_sums(r: np.ndarray, keys: np.ndarray, values: np.ndarray, beta: float, copies: np.ndarray | None = None, rows: int = 1024, queries: int = 256):
+    """For each query (row of r) the largest exponent m over the keys, z = sum exp(s - m) and v = sum exp(s - m) values, each key counted ``copies`` times.
+
+    ``queries`` queries meet ``rows`` keys at a time, and what these give is merged (log-sum-exp): the working matrix has that size, however many there are.
+    """
+    m, z, v = np.full(len(r), -np.inf), np.zeros(len(r)), np.zeros((len(r), values.shape[1]))
+    for i in range(0, len(r), queries):
+        at = slice(i, i + queries)
+        scaled = beta * r[at]
+        for j in range(0, len(keys), rows):
+            s = scaled @ keys[j : j + rows].T
+            if copies is not None:
+                s += np.log(copies[j : j + rows])
+            top = np.maximum(m[at], s.max(1))
+            s -= top[:, None]
+            np.exp(s, out=s)
+            before = np.exp(m[at] - top)
+            m[at], z[at], v[at] = top, z[at] * before + s.sum(1), v[at] * before[:, None] + s @ values[j : j + rows]
+    return m, z, v
+
+
 def softmax_step(r: np.ndarray, keys: np.ndarray, values: np.ndarray, beta: float) -> np.ndarray:
-    s = beta * (r @ keys.T)
-    e = np.exp(s - s.max(1, keepdims=True))
-    return (e / e.sum(1, keepdims=True)) @ values
+    _, z, v = softmax_sums(r, keys, values, beta)
+    return v / z[:, None]
 
 
 class OnlineSeries:

@@ -197,3 +197,18 @@ def test_sums_of_a_stream(spark):
         p = x[:, 2 * r["block_id"] : 2 * r["block_id"] + 2]
         np.testing.assert_allclose(r["a"], (p.T @ p).ravel(), atol=1e-10)
         assert r["m"] == pytest.approx(60)
+
+
+def test_softmax_holds_a_tile():
+    """The working matrix of a batch of queries is a tile, not queries x keys (320 MB here, several times over)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    x, k = rng.normal(size=(2000, 4)), rng.normal(size=(20_000, 4))
+    tracemalloc.start()
+    got = kernels.softmax_step(x, k, k, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    w = np.exp(0.5 * x[:5] @ k.T)
+    np.testing.assert_allclose(got[:5], w / w.sum(1, keepdims=True) @ k, atol=1e-12)
