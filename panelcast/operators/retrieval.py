@@ -9,6 +9,7 @@ from panelcast.functions import kernels
 
 BANK_BYTES = 1 << 26
 BLOCK_BYTES = 1 << 24
+MET = 256  # queries that are copied to all blocks they need at a time
 
 
 def refine(queries: DataFrame, bank: DataFrame, beta: float = 0.1, steps: int = 1) -> DataFrame:
@@ -39,39 +40,42 @@ def refine(queries: DataFrame, bank: DataFrame, beta: float = 0.1, steps: int =
     return queries.select("id", "x").mapInPandas(run, "id long, out array<double>")
 
 
-def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, rows: int | None = None) -> DataFrame:
-    """One step over a bank of any size: blocks of queries meet blocks of the bank, both of counted rows, and each query leaves a maximum, a sum and a weighted vector a block."""
-    first = bank.first()
-    rows = rows or max(1, BLOCK_BYTES // (8 * max(1, len(first["key"]) + len(first["value"])) if first else 1))
-    n_queries, n_bank = (max(1, -(-df.count() // rows)) for df in (queries, bank))
+def _by_slices(queries: DataFrame, bank: DataFrame, beta: float, rows: int = 1024, n: int | None = None) -> DataFrame:
+    """One step over a bank of any size: blocks of queries meet blocks of the bank, and each query leaves a maximum, a sum and a weighted vector a block. Inside a task ``rows`` keys are met at a time."""
+    spread, parts = _blocks(queries, bank, n)
+    return _merged(spread.groupBy("q", "s").cogroup(parts.groupBy("q", "s")).applyInPandas(_block_softmax(beta, rows), PARTIAL))
+
+
+def _blocks(queries: DataFrame, bank: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries (id, x, q, s) and the bank (key, value, copies, s, q), dealt into blocks of about ``BLOCK_BYTES``: a block of queries is copied once a block of the bank, and the other way round, so rows of both travel and not pairs of rows. Equal rows of the bank travel as one."""
+    rows = _block_rows(bank)
+    n_queries, n_bank = (max(1, -(-k // rows)) for k in (queries.count() if n is None else n, bank.count()))
     deal = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.lit(n))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    # A block of queries is copied once a block of the bank, and the other way round: rows of both, not pairs of rows, travel.
     spread = queries.select("id", "x", deal(n_queries, "id").cast("long").alias("q")).select("id", "x", "q", numbers(n_bank).alias("s"))
-    parts = bank.select("key", "value", deal(n_bank, "key", "value").cast("long").alias("s")).select("key", "value", "s", numbers(n_queries).alias("q"))
+    different = bank.groupBy("key", "value").agg(F.count("*").alias("copies"))
+    return spread, different.select("key", "value", "copies", deal(n_bank, "key", "value").cast("long").alias("s")).select("key", "value", "copies", "s", numbers(n_queries).alias("q"))
 
-    return _merged(spread.groupBy("q", "s").cogroup(parts.groupBy("q", "s")).applyInPandas(_block_softmax(beta), PARTIAL))
+
+def _block_rows(bank: DataFrame) -> int:
+    first = bank.first()
+    return max(1, BLOCK_BYTES // (8 * max(1, len(first["key"]) + len(first["value"])) if first else 1))
 
 
 PARTIAL = "id long, m double, z double, v array<double>"
 
 
-def _block_softmax(beta: float):
-    """The maximum, the sum and the weighted vector that a block of the bank (key, value) adds for each query (id, x) of a block."""
+def _block_softmax(beta: float, rows: int = 1024):
+    """The maximum, the sum and the weighted vector that a block of the bank (key, value, copies) adds for each query (id, x) of a block."""
     import numpy as np
     import pandas as pd
 
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "m": pd.Series([], dtype=float), "z": pd.Series([], dtype=float), "v": pd.Series([], dtype=object)})
-        keys, values = (np.array(b[c].tolist(), dtype=float) for c in ("key", "value"))
-        out = []
-        for i in range(0, len(q), 1024):
-            s = beta * np.array(q["x"].iloc[i : i + 1024].tolist(), dtype=float) @ keys.T
-            m = s.max(1)
-            e = np.exp(s - m[:, None])
-            out.append(pd.DataFrame({"id": q["id"].iloc[i : i + 1024], "m": m, "z": e.sum(1), "v": list(e @ values)}))
-        return pd.concat(out)
+        x, keys, values = (np.array(c.tolist(), dtype=float) for c in (q["x"], b["key"], b["value"]))
+        m, z, v = kernels.softmax_sums(x, keys, values, beta, b["copies"].to_numpy(dtype=float), rows)
+        return pd.DataFrame({"id": q["id"], "m": m, "z": z, "v": list(v)})
 
     return run
 
@@ -111,9 +115,11 @@ class BallBank:
                 yield g.assign(block=((p * p).sum(1)[None, :] - 2 * k @ p.T).argmin(1).astype("int32"))
 
         vector = "array<double>"
-        self.rows = stored(bank.select("key", "value").mapInPandas(nearest, f"key {vector}, value {vector}, block int"), "bank")
-        sums = added(self.rows.select("block", "key", F.lit(1).cast("long").alias("n")), ("block",), ("key",), ("n",))
-        centres = sums.select("block", "n", F.transform("key", lambda x: x / F.col("n")).alias("centre"))
+        different = bank.groupBy("key", "value").agg(F.count("*").alias("copies"))  # equal rows travel as one
+        self.rows = stored(different.mapInPandas(nearest, f"key {vector}, value {vector}, copies long, block int"), "bank")
+        weighed = self.rows.select("block", F.transform("key", lambda x: x * F.col("copies")).alias("key"), F.col("copies").alias("n"), F.lit(1).cast("long").alias("different"))
+        sums = added(weighed, ("block",), ("key",), ("n", "different"))
+        centres = sums.select("block", "n", "different", F.transform("key", lambda x: x / F.col("n")).alias("centre"))
         off = F.sqrt(F.aggregate(F.zip_with("key", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
         radii = self.rows.join(F.broadcast(centres), "block").groupBy("block").agg(F.max(off).alias("radius"))  # ``blocks`` rows
         self.blocks: pd.DataFrame = centres.join(radii, "block").toPandas()
@@ -128,7 +134,7 @@ class BallBank:
             import pandas as pd
 
             block, n, centre, radius = sent.value
-            for g in batches:
+            for g in (b.iloc[i : i + MET] for b in batches for i in range(0, len(b), MET)):
                 x = np.array(g["x"].tolist(), dtype=float)
                 low = beta * x @ centre.T + np.log(n)
                 # A hair more than the radius, for the rounding of the sums above.
@@ -144,15 +150,16 @@ class BallBank:
 
         return queries.select("id", "x").mapInPandas(run, "id long, x array<double>, block int")
 
-    def refine(self, queries: DataFrame, beta: float, error: float = 1e-9, rows: int = 4096) -> DataFrame:
-        """(id, out): one step of ``refine``, with blocks left out as far as ``error`` allows. Blocks and the queries that need them meet in parts of about ``rows`` rows each."""
+    def refine(self, queries: DataFrame, beta: float, error: float = 1e-9, rows: int | None = None) -> DataFrame:
+        """(id, out): one step of ``refine``, with blocks left out as far as ``error`` allows. Blocks and the queries that need them meet in parts of about ``rows`` rows each (``BLOCK_BYTES`` unless given)."""
+        rows = rows or _block_rows(self.rows)
         met = self.needed(queries, beta, error)
-        sizes = self.rows.sparkSession.createDataFrame(self.blocks[["block", "n"]]).select(F.col("block").cast("int"), F.ceil(F.col("n") / rows).cast("int").alias("parts"))
+        sizes = self.rows.sparkSession.createDataFrame(self.blocks[["block", "different"]]).select(F.col("block").cast("int"), F.ceil(F.col("different") / rows).cast("int").alias("parts"))
         n_queries = max(1, -(-queries.count() // rows))
         deal = lambda n, *columns: F.pmod(F.xxhash64(*columns), n).cast("int")
         numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         sent = met.join(F.broadcast(sizes), "block").select("id", "x", "block", deal(F.lit(n_queries), "id").alias("q"), numbers(F.col("parts")).alias("part"))  # sizes: a row a block
-        kept = self.rows.join(F.broadcast(sizes), "block").select("key", "value", "block", deal(F.col("parts"), "key", "value").alias("part"), numbers(F.lit(n_queries)).alias("q"))
+        kept = self.rows.join(F.broadcast(sizes), "block").select("key", "value", "copies", "block", deal(F.col("parts"), "key", "value").alias("part"), numbers(F.lit(n_queries)).alias("q"))
         by = ["block", "part", "q"]
         return _merged(sent.groupBy(*by).cogroup(kept.groupBy(*by)).applyInPandas(_block_softmax(beta), PARTIAL))
 

@@ -199,6 +199,20 @@ def test_sums_of_a_stream(spark):
         assert r["m"] == pytest.approx(60)
 
 
+def test_retrieval_copies_blocks_of_counted_bytes(spark):
+    """Small slices are met inside a task: they don't make more copies travel. Equal rows of the bank travel as one, and count as many."""
+    rng = np.random.default_rng(11)
+    bank = [(v := rng.normal(size=3).tolist(), v) for _ in range(30)] * 4
+    x = rng.normal(size=(50, 3))
+    b = spark.createDataFrame(bank, "key array<double>, value array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    spread, parts = retrieval._blocks(q, b)
+    assert (spread.count(), parts.count()) == (50, 30)
+    k = np.array([v for v, _ in bank])
+    for got in (retrieval._by_slices(q, b, 0.7, 2), retrieval.BallBank(b, 5).refine(q, 0.7, 1e-13, rows=3)):
+        np.testing.assert_allclose([r["out"] for r in got.orderBy("id").collect()], kernels.softmax_step(x, k, k, 0.7), atol=1e-12)
+
+
 def test_softmax_holds_a_tile():
     """The working matrix of a batch of queries is a tile, not queries x keys (320 MB here, several times over)."""
     import tracemalloc
