@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import kernels
 
-BANK_BYTES = 1 << 26
+BANK_BYTES = 1 << 23
 BLOCK_BYTES = 1 << 24
 MET = 256  # queries that are copied to all blocks they need at a time
 
@@ -21,8 +21,9 @@ def refine(queries: DataFrame, bank: DataFrame, beta: float = 0.1, steps: int =
     import pandas as pd
 
     if (bank.agg(F.sum(F.size("key") + F.size("value"))).first()[0] or 0) * 8 > BANK_BYTES:
+        n = queries.count()
         for _ in range(steps):
-            queries = _by_slices(queries, bank, beta).withColumnRenamed("out", "x")
+            queries = _by_slices(queries, bank, beta, n=n).withColumnRenamed("out", "x")
         return queries.withColumnRenamed("x", "out")
     import numpy as np
 

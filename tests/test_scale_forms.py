@@ -213,6 +213,15 @@ def test_retrieval_copies_blocks_of_counted_bytes(spark):
         np.testing.assert_allclose([r["out"] for r in got.orderBy("id").collect()], kernels.softmax_step(x, k, k, 0.7), atol=1e-12)
 
 
+def test_a_large_bank_goes_to_no_driver(spark):
+    """A step over more than ``BANK_BYTES`` is dealt into blocks, and two steps count the queries once."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40_000, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    plan = retrieval.refine(v.where("id < 3"), v.selectExpr("x AS key", "x AS value"), 0.5, 2)._jdf.queryExecution().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") >= 2
+
+
 def test_softmax_holds_a_tile():
     """The working matrix of a batch of queries is a tile, not queries x keys (320 MB here, several times over)."""
     import tracemalloc
