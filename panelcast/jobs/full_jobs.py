@@ -23,7 +23,7 @@ def daily(spark, d):
     """The scaled daily panel per supplier (many series), and its cuts."""
 
     def make():
-        p = panels.supplier_daily(spark, d)
+        p = stored(panels.supplier_daily(spark, d), "dense")  # read for its length, its statistics and its values
         return B.zscore(p, cuts(p)[0])
 
     p = kept(spark, d, "suppliers", make)

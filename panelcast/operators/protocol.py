@@ -64,7 +64,8 @@ def train_stats(panel: DataFrame, train_end: int) -> DataFrame:
 def zscore(panel: DataFrame, train_end: int, eps: float | None = None) -> DataFrame:
     """Scale by train statistics. ``eps``: divide by std + eps instead of guarding constant series."""
     by = (F.col("value") - F.col("mean")) / (F.col("raw_std") + eps if eps else F.col("std"))
-    return panel.join(train_stats(panel, train_end), "series_id").select("series_id", "t", by.alias("value"))
+    stats = train_stats(panel, train_end).hint("shuffle_hash")  # a row a series: the panel need not be sorted to meet it
+    return panel.join(stats, "series_id").select("series_id", "t", by.alias("value"))
 
 
 def _capped(panel: DataFrame, train_end: int, factor: float) -> DataFrame:

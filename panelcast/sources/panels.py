@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.sources.storage import stored, table
 
 
 def dense_panel(facts: DataFrame, step: str = "day") -> DataFrame:
-    """From (series_id, at, amount) rows: the sum per series and step (to 4 decimals), 0 where there is none, with t counted from the first step of all."""
+    """From (series_id, at, amount) rows: the sum per series and step (to 4 decimals), 0 where there is none, with t counted from the first step of all.
+
+    Only the sums are shuffled and sorted; each makes the empty steps since the one before where it is, and a last row a series those up to the end.
+    """
     unit = F.date_trunc(step, F.col("at").cast("timestamp"))
     sums = stored(facts.groupBy("series_id", unit.alias("at")).agg(F.round(F.sum("amount"), 4).alias("value")), "sums")  # read three times below
     span = sums.agg(F.unix_micros(F.min("at")).alias("lo"), F.unix_micros(F.max("at")).alias("hi")).first()  # one row
-    series = sums.select("series_id").distinct().withColumns({c: F.timestamp_micros(F.lit(span[c]).cast("long")) for c in ("lo", "hi")})
-    grid = series.select("series_id", F.posexplode(F.expr(f"sequence(lo, hi, interval 1 {step})")).alias("t", "at"))
-    return grid.join(sums, ["series_id", "at"], "left").select("series_id", F.col("t").cast("long"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    lo, hi = (F.timestamp_micros(F.lit(span[c]).cast("long")) for c in ("lo", "hi"))
+    grid = sums.sparkSession.range(1).select(lo.alias("lo"), hi.alias("hi")).select(F.posexplode(F.expr(f"sequence(lo, hi, interval 1 {step})")).alias("t", "at"))  # a row a step
+    n = grid.count()
+    known = sums.where("series_id IS NOT NULL").join(F.broadcast(grid), "at").select("series_id", F.col("t").cast("long"), "value")
+    ends = sums.select("series_id").distinct().select("series_id", F.lit(n).cast("long").alias("t"), F.lit(None).cast("double").alias("value"))
+    before = F.coalesce(F.lag("t").over(Window.partitionBy("series_id").orderBy("t")), F.lit(-1).cast("long"))
+    last = F.least("at", F.lit(n - 1))
+    rows = known.unionByName(ends).select("series_id", F.col("t").alias("at"), "value", before.alias("before")).where(F.col("before") < last)
+    filled = rows.select("series_id", "at", "value", F.explode(F.sequence(F.col("before") + 1, last)).alias("t"))
+    return filled.select("series_id", "t", F.when(F.col("t") == F.col("at"), F.coalesce("value", F.lit(0.0))).otherwise(0.0).alias("value"))
 
 
 def nation_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import kernels
 from panelcast.operators import linear, maintained, quantiles, retrieval, spectra
-from panelcast.sources import storage
+from panelcast.sources import panels, storage
 from panelcast.sources.storage import shared_path
 from panelcast.streaming import runs
 
@@ -235,3 +235,18 @@ def test_softmax_holds_a_tile():
     assert peak < 20_000_000
     w = np.exp(0.5 * x[:5] @ k.T)
     np.testing.assert_allclose(got[:5], w / w.sum(1, keepdims=True) @ k, atol=1e-12)
+
+
+def test_dense_panels_are_not_joined_with_their_grid(spark):
+    """Empty steps are made where the sums are: no join carries a row a series and step. Gaps, a series without a step or an id, and one step."""
+    at = lambda day: f"2020-01-{day:02d} 12:00:00"
+    rows = [("a", at(3), 1.0), ("a", at(3), 2.0), ("a", at(6), 4.0), ("b", at(1), 1.5), ("b", at(9), 2.5), ("c", None, 7.0), ("d", at(5), None), (None, at(4), 3.0)]
+    facts = spark.createDataFrame(rows, "series_id string, at string, amount double")
+    got = panels.dense_panel(facts)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and "Join LeftOuter" not in got._jdf.queryExecution().toString()
+    want = {(s, t): 0.0 for s in ("a", "b", "c", "d", None) for t in range(9)} | {("a", 2): 3.0, ("a", 5): 4.0, ("b", 0): 1.5, ("b", 8): 2.5}
+    held = [((r["series_id"], r["t"]), r["value"]) for r in got.collect()]
+    assert len(held) == len(want) and dict(held) == want
+    one = panels.dense_panel(facts.where("series_id = 'a' AND amount = 4"))
+    assert [tuple(r) for r in one.collect()] == [("a", 0, 4.0)]
+    assert panels.dense_panel(facts.limit(0)).count() == 0
