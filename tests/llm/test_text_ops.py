@@ -423,3 +423,10 @@ def test_long_runs_go_whole_and_only_later(spark):
     got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     want = [(1, docs[0][1], 0), (2, docs[1][1], 0), (3, "e x y z\nf", 10), (4, "\n".join(["g", *run[7:9]]), 4), (5, docs[4][1], 0), (6, "", 12), (6, "", 12)]
     assert got == sorted(want)
+
+
+def test_line_dedup_deals_its_joins_at_every_size(spark):
+    """Fingerprints and extensions are shuffled over few rows too: what is written must grow with the rows, not jump once a table is too large to broadcast."""
+    docs = spark.createDataFrame([(i, "one two three\nfour five six\nseven eight nine", i) for i in range(4)], "doc_id long, text string, key long")
+    plan = lines.repeated_runs(docs)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
