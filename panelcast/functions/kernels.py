@@ -106,6 +106,53 @@ def online_pass(values: np.ndarray, phi: np.ndarray, ahead: np.ndarray, w: np.nd
     return out, w, (inv + inv.swapaxes(1, 2)) / 2
 
 
+FEW, SHARED, SEGMENT = 6, 24, 120  # steps ahead from which on, and up to which, one pass of all pays
+
+
+def shared_pass(values: np.ndarray, phi: np.ndarray, readouts: int, most: int, lam: float, first: int, last: int) -> np.ndarray:
+    """The forecasts (steps, readouts) of ``online_pass`` for the steps ahead 1..readouts together, fits on the train rows included: phi[i] meets values[i + r], and
+    the r-th fit has the first ``most`` + 1 - r rows and a relative ridge of ``lam``. ``first`` is ``most`` + 1 and ``readouts`` at least.
+
+    Rows are met in segments. Those that all readouts have met before one make one sum phi phi', and with its eigenvectors the inverse is known under every
+    readout's own ridge. With Z a segment's rows scaled by that inverse's root, after those rows that only some readouts have met (at the train end, at the first
+    step), and I + Z Z' = L L', a step's forecast moves by its row of L times L^-1 of the residuals, over the rows whose targets it has seen. The residuals, put below
+    I + Z Z' as its last row, come out of the same factorisation as L^-1 of them.
+    """
+    f = phi.shape[1]
+    out, least = np.empty((max(0, last - first), readouts)), most + 1 - readouts
+    squares = np.concatenate([[0.0], np.cumsum((phi[:most] ** 2).sum(1))])
+    ridge = lam * squares[most + 1 - np.arange(1, readouts + 1)] / f
+    padded = np.concatenate([values[:last], np.zeros(readouts)])
+    after = np.lib.stride_tricks.sliding_window_view(padded[1:], readouts)  # row i: what the steps ahead of phi[i] turn out to be
+    a, b, met = 0.0, 0.0, slice(0, least)
+    lower = np.tril(np.ones((SEGMENT + readouts, SEGMENT + readouts)))
+    for begin in range(first - 1, last - 1, SEGMENT):
+        a, b = a + phi[met].T @ phi[met], b + phi[met].T @ after[met]
+        met = slice(begin, begin + SEGMENT)
+        scale, turn = np.linalg.eigh(a)
+        at_end, at_start, own, moved = phi[least:most] @ turn, phi[first - readouts : first - 1] @ turn, phi[begin : begin + SEGMENT + readouts] @ turn, turn.T @ b
+        for r in range(1, (readouts if begin == first - 1 else min(readouts, last - 1 - begin)) + 1):
+            few, seen, end = readouts - r, min(begin + SEGMENT, last - r), min(begin + SEGMENT + r, last)
+            n, m = readouts - 1 + end - begin, readouts - 1 + seen - begin
+            c = 1 / np.sqrt(scale + ridge[r - 1])
+            z = np.zeros((n + 1, f))
+            np.multiply(at_end[:few], c, out=z[:few])
+            np.multiply(at_start[few:], c, out=z[few : readouts - 1])
+            np.multiply(own[: end - begin], c, out=z[readouts - 1 : n])
+            base = z[:n] @ (moved[:, r - 1] * c)
+            known = (padded[first : seen + r],) if begin == first - 1 else (padded[first : first + r - 1], padded[begin + r : seen + r])
+            rest = np.concatenate([padded[least + r : most + 1], *known]) - base[:m]
+            k = z @ z.T
+            k.flat[:: n + 2] += 1
+            k[n, :m], k[n, n] = rest, rest @ rest + 1
+            root = np.linalg.cholesky(k)
+            # From ``cut`` on rows are in order of time, and each step sees one more.
+            start, cut = (first, few) if begin == first - 1 else (begin + r, readouts - 1)
+            steps, e = root[readouts - 1 + start - begin : n, :m], root[n, :m]
+            out[start - first : end - first, r - 1] = base[n - end + start :] + steps[:, :cut] @ e[:cut] + (steps[:, cut:] * lower[: end - start, : m - cut]) @ e[cut:]
+    return out
+
+
 def orthonormal(a: np.ndarray) -> np.ndarray:
     """Gram-Schmidt, twice over each column."""
     q = np.array(a, dtype=float)

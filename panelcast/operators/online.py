@@ -158,8 +158,8 @@ def online_by_chunk(features: DataFrame, train_end: int, lam: float, horizon: in
     return both_rows.groupBy("series_id", "chunk").cogroup(starts.groupBy("series_id", "chunk")).applyInPandas(run, "series_id string, t long, r int, yhat double")
 
 
-def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins: int, lam: float, bank):
-    """None for a series that ends before the train rows do; else one series' features (row i is step i + lookback - 1), steps ahead, weights and inverses of the ridge on its train rows."""
+def _features(x, train_end: int, lookback: int, cadence: int, bins: int, bank):
+    """One series' features (row i is step i + lookback - 1); None for a series that ends before the train rows do."""
     import numpy as np
 
     from panelcast.functions import kernels
@@ -171,7 +171,16 @@ def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins:
         turns = np.array([r * np.exp(1j * a) for r, a, _ in bank])
         h = kernels.recurred(x[:, None] * np.array([b for _, _, b in bank]), turns)[lookback - 1 :]
         phi = np.concatenate([phi, h.real, h.imag], axis=1)
-    ahead, w, inv = np.arange(1, horizon + 1), [], []
+    return phi
+
+
+def _fits(x, phi, train_end: int, ahead, lookback: int, lam: float):
+    """Weights and inverses of the ridge on the train rows for every step ahead."""
+    import numpy as np
+
+    from panelcast.functions import kernels
+
+    w, inv = [], []
     most = train_end - lookback  # origins whose next step is a train row; a step further ahead lacks the last few
     whole = phi[:most].T @ phi[:most]
     for r in ahead:
@@ -179,7 +188,7 @@ def _fitted(x, train_end: int, horizon: int, lookback: int, cadence: int, bins:
         got = kernels.relative_ridge(whole - phi[n:most].T @ phi[n:most], phi[:n].T @ x[lookback - 1 + r : lookback - 1 + r + n], lam)
         w.append(got[0])
         inv.append(got[1])
-    return phi, ahead, np.array(w), np.array(inv)
+    return np.array(w), np.array(inv)
 
 
 def _spread(panel: DataFrame) -> DataFrame:
@@ -201,11 +210,12 @@ def fit_series(panel: DataFrame, train_end: int, horizon: int, lookback: int, ca
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("t")["value"].to_numpy(dtype=float)
-        got = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
-        if got is None:
+        phi = _features(x, train_end, lookback, cadence, bins, bank)
+        if phi is None:
             none = pd.Series([None] * horizon, dtype=object)
             return pd.DataFrame({"series_id": g["series_id"].iloc[0], "r": range(1, horizon + 1), "w": none, "a_inv": none})
-        _, ahead, w, inv = got
+        ahead = range(1, horizon + 1)
+        w, inv = _fits(x, phi, train_end, ahead, lookback, lam)
         return pd.DataFrame({"series_id": g["series_id"].iloc[0], "r": ahead, "w": list(w), "a_inv": list(inv.reshape(len(inv), -1))})
 
     return _spread(panel.where(F.col("t") < train_end)).applyInPandas(run, "series_id string, r int, w array<double>, a_inv array<double>")
@@ -235,20 +245,26 @@ def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int
 
 def _swept(x, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int, lam: float, online: bool, bank):
     """Steps ahead and forecasts (origins from ``first``, steps ahead) of one series; None if it is too short."""
+    import numpy as np
+
     from panelcast.functions import kernels
 
-    got = _fitted(x, train_end, horizon, lookback, cadence, bins, lam, bank)
-    if got is None or len(x) <= first:
+    phi = _features(x, train_end, lookback, cadence, bins, bank)
+    if phi is None or len(x) <= first:
         return None
-    phi, ahead, w, inv = got
-    last = min(steps - lookback, len(phi))
-    if online:
-        return ahead, kernels.online_pass(x[lookback - 1 :], phi, ahead, w, inv, first - lookback + 1, last)[0]
-    return ahead, phi[first - lookback + 1 : last] @ w.T
+    ahead, values, begin, last = np.arange(1, horizon + 1), x[lookback - 1 :], first - lookback + 1, min(steps - lookback, len(phi))
+    together = min(horizon, kernels.SHARED)
+    if not (online and together >= kernels.FEW and phi.shape[1] >= kernels.WIDE and first >= train_end and lam >= 1e-9):
+        together = 0
+    made = [kernels.shared_pass(values, phi, together, train_end - lookback, lam, begin, last)] if together else []
+    if together < horizon:
+        w, inv = _fits(x, phi, train_end, ahead[together:], lookback, lam)
+        made.append(kernels.online_pass(values, phi, ahead[together:], w, inv, begin, last)[0] if online else phi[begin:last] @ w.T)
+    return ahead, np.concatenate(made, axis=1)
 
 
 def sweep_scores(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, online: bool = True, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
-    """(r, mse, mae, n) per step ahead: the scores of ``sweep`` for long horizons, whose forecasts stay in the tasks; a series leaves ``horizon`` rows of sums. A task holds a series' features and, at a time, one of its ``horizon`` passes' working matrices beside all weights and inverses."""
+    """(r, mse, mae, n) per step ahead: the scores of ``sweep`` for long horizons, whose forecasts stay in the tasks; a series leaves ``horizon`` rows of sums. Wide features: the first 24 steps ahead are passed together (``kernels.shared_pass``), others one by one."""
     import pandas as pd
 
     _has_rows(train_end, horizon, lookback)

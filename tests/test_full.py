@@ -160,3 +160,33 @@ def test_scores_are_those_of_the_forecasts(spark, series, update):
     assert got.keys() == want.keys()
     for r in got:
         assert got[r]["n"] == want[r]["n"] and got[r]["mse"] == pytest.approx(want[r]["mse"]) and got[r]["mae"] == pytest.approx(want[r]["mae"])
+
+
+@pytest.mark.parametrize("first,steps,horizon", [(100, 300, 24), (112, 260, 7), (130, 131, 10), (110, 118, 24)])
+def test_steps_ahead_share_a_pass(monkeypatch, first, steps, horizon):
+    """Up to 24 steps ahead of a wide model come from one pass, with no pass of their own, and are dense ridge solved anew at every origin."""
+    x, train, lookback = np.random.default_rng(5).normal(size=steps).cumsum() / 4, 100, 28
+    monkeypatch.setattr(K, "SEGMENT", 50)
+    monkeypatch.setattr(K, "online_pass", None)
+    ahead, got = online._swept(x, train, first, steps, horizon, lookback, CADENCE, BINS, LAM, True, None)
+    phi = K.window_features(x, lookback, CADENCE, 0, BINS)
+    assert list(ahead) == list(range(1, horizon + 1)) and phi.shape[1] >= K.WIDE and got.shape == (steps - first - 1 if steps == len(x) else steps - first, horizon)
+    at = lambda t: phi[t - lookback + 1]
+    for r in ahead:
+        known = list(range(lookback - 1, train - r))
+        a = np.array([at(t) for t in known]).T @ np.array([at(t) for t in known])
+        a += LAM * np.trace(a) / len(a) * np.eye(len(a))
+        b = sum(at(t) * x[t + r] for t in known)
+        for k, t in enumerate(range(first, first + len(got))):
+            a, b = a + np.outer(at(t - r), at(t - r)), b + at(t - r) * x[t]
+            if k % 13 == 0 or k > len(got) - 3:
+                assert got[k, r - 1] == pytest.approx(at(t) @ np.linalg.solve(a, b), abs=1e-7)
+
+
+def test_steps_ahead_beyond_the_shared_pass(spark):
+    """26 steps ahead: 24 in one pass, two by their own, all as the forms by chunk make them."""
+    x = np.random.default_rng(6).normal(size=(230, 1)).cumsum(0) / 4
+    p = panel_of(spark, x)
+    f = features.feature_blocks(p, 24, CADENCE, BINS, chunk=60)
+    model = linear.solve_relative(linear.gram(linear.train_pairs(f, 120, 26, 24), 26), LAM)
+    close(as_dict(online.sweep(p, 120, 140, 230, 26, 24, CADENCE, BINS, LAM)), as_dict(online.online_forecast(f, model, 140, 230)))
