@@ -81,6 +81,34 @@ def _block_softmax(beta: float, rows: int = 1024):
     return run
 
 
+def _matrix(column):
+    """An Arrow column of equally long arrays as a matrix, without an object a row."""
+    import pyarrow as pa
+
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+
+def _arrays(matrix):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype="int32")), pa.array(matrix.ravel()))
+
+
+def _table_softmax(beta: float, rows: int = 1024):
+    """``_block_softmax`` on Arrow tables: a block of both sides is held once, with no object a row."""
+    import pyarrow as pa
+
+    def run(q: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(q) or not len(b):
+            return pa.table({"id": pa.array([], pa.int64()), "m": pa.array([], pa.float64()), "z": pa.array([], pa.float64()), "v": pa.array([], pa.list_(pa.float64()))})
+        m, z, v = kernels.softmax_sums(_matrix(q["x"]), _matrix(b["key"]), _matrix(b["value"]), beta, b["copies"].to_numpy().astype(float), rows)
+        return pa.table({"id": q["id"], "m": m, "z": z, "v": _arrays(v)})
+
+    return run
+
+
 def _merged(got: DataFrame) -> DataFrame:
     """(id, out) from ``PARTIAL`` rows, exactly (log-sum-exp)."""
     all_ = got.groupBy("id").agg(F.collect_list(F.struct("m", "z", "v")).alias("p"))  # one entry a block of the bank
@@ -162,7 +190,7 @@ class BallBank:
         sent = met.join(F.broadcast(sizes), "block").select("id", "x", "block", deal(F.lit(n_queries), "id").alias("q"), numbers(F.col("parts")).alias("part"))  # sizes: a row a block
         kept = self.rows.join(F.broadcast(sizes), "block").select("key", "value", "copies", "block", deal(F.col("parts"), "key", "value").alias("part"), numbers(F.lit(n_queries)).alias("q"))
         by = ["block", "part", "q"]
-        return _merged(sent.groupBy(*by).cogroup(kept.groupBy(*by)).applyInPandas(_block_softmax(beta), PARTIAL))
+        return _merged(sent.groupBy(*by).cogroup(kept.groupBy(*by)).applyInArrow(_table_softmax(beta), PARTIAL))
 
 
 def stepped(u, pull, lr: float):

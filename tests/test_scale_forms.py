@@ -250,3 +250,23 @@ def test_dense_panels_are_not_joined_with_their_grid(spark):
     one = panels.dense_panel(facts.where("series_id = 'a' AND amount = 4"))
     assert [tuple(r) for r in one.collect()] == [("a", 0, 4.0)]
     assert panels.dense_panel(facts.limit(0)).count() == 0
+
+
+def test_blocks_of_a_pruned_bank_make_no_object_a_row():
+    """Queries and keys of a block stay Arrow buffers: what is made beside them is the result and a tile, and slices and chunks are read right."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    x, k = rng.normal(size=(30_000, 4)), rng.normal(size=(500, 4))
+    lists = lambda a: pa.chunked_array([retrieval._arrays(a[:7]), retrieval._arrays(np.concatenate([a[:3], a[7:]])).slice(3)])
+    q = pa.table({"id": np.arange(len(x)), "x": lists(x)})
+    b = pa.table({"key": lists(k), "value": lists(2 * k), "copies": np.ones(len(k), dtype="int64")})
+    tracemalloc.start()
+    got = retrieval._table_softmax(0.5)(q, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(retrieval._matrix(got["v"]) / got["z"].to_numpy()[:, None], kernels.softmax_step(x, k, 2 * k, 0.5), atol=1e-12)
+    assert peak < 8 << 20  # an array object a query alone takes 3 MB, a list of its numbers 5 MB more
+    assert len(retrieval._table_softmax(0.5)(q.slice(0, 0), b)) == 0 == len(retrieval._table_softmax(0.5)(q, b.slice(0, 0)))
