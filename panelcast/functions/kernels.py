@@ -9,12 +9,30 @@ import numpy as np
 
 def window_features(values: np.ndarray, lookback: int, cadence: int, first: int = 0, bins: int = 8) -> np.ndarray:
     """Rows of features, in the order of ``feature_rows``, for the steps with a whole window: from step ``first + lookback - 1`` of values that start at step ``first``."""
-    windows = np.lib.stride_tricks.sliding_window_view(values, lookback)
-    moves = np.diff(windows, axis=1)
-    power = np.abs((np.fft.rfft if bins <= lookback // 2 else np.fft.fft)(windows)[:, 1 : bins + 1])
-    turn = 2 * math.pi / cadence * np.mod(first + lookback - 1 + np.arange(len(windows)), cadence)
-    level = (windows.mean(1), windows.std(1), windows.min(1), windows.max(1), np.abs(moves).mean(1), moves[:, -1])
-    return np.column_stack((*level, windows, power / (power.sum(1)[:, None] + 1e-9), np.sin(turn), np.cos(turn)))
+    n = len(values) - lookback + 1
+    out = np.empty((n, 6 + lookback + bins + 2))
+    windows, moves = out[:, 6 : 6 + lookback], np.diff(values)
+    windows[:] = np.lib.stride_tricks.sliding_window_view(values, lookback)
+    transform = np.fft.rfft if bins <= lookback // 2 else np.fft.fft
+    turn = 2 * math.pi / cadence * np.mod(first + lookback - 1 + np.arange(n), cadence)
+    steps = np.lib.stride_tricks.sliding_window_view(np.abs(moves), lookback - 1)
+    for i in range(0, n, 128):  # what a few rows need beside them stays in the cache
+        at = slice(i, i + 128)
+        power = np.abs(transform(windows[at])[:, 1 : bins + 1])
+        out[at, -2 - bins : -2] = power / (power.sum(1)[:, None] + 1e-9)
+        out[at, 0], out[at, 1], out[at, 4] = windows[at].mean(1), windows[at].std(1), steps[at].mean(1)
+    out[:, 2], out[:, 3], out[:, 5] = extremes(values, lookback, np.minimum), extremes(values, lookback, np.maximum), moves[lookback - 2 :]
+    out[:, -2], out[:, -1] = np.sin(turn), np.cos(turn)
+    return out
+
+
+def extremes(values: np.ndarray, lookback: int, of) -> np.ndarray:
+    """``of`` (a minimum or maximum) over every window, from those over windows half as long."""
+    width = 1
+    while 2 * width <= lookback:
+        values, width = of(values[:-width], values[width:]), 2 * width
+    rest = lookback - width
+    return of(values[: len(values) - rest], values[rest:]) if rest else values
 
 
 def recurred(x: np.ndarray, lam: np.ndarray, start: np.ndarray | None = None, block: int = 32) -> np.ndarray:
@@ -70,13 +88,22 @@ def _wide_pass(values: np.ndarray, phi: np.ndarray, r: int, w: np.ndarray, inv:
     w, inv, out = w.copy(), inv.copy(), np.empty(max(0, last - first))
     start = min(max(first, r), max(first, last))
     out[: start - first] = phi[first:start] @ w
+    lower = np.tril(np.ones((TOGETHER, TOGETHER)))
     for a in range(start, last, TOGETHER):
         b = min(a + TOGETHER, last)
-        past, now = phi[a - r : b - r], phi[a:b]
+        n, past, now = b - a, phi[a - r : b - r], phi[a:b]
         moved = past @ inv
-        back = np.linalg.inv(np.linalg.cholesky(moved @ past.T + np.eye(b - a)))
+        k = moved @ past.T
+        k.flat[:: n + 1] += 1
+        root = np.linalg.cholesky(k)
+        back = np.linalg.inv(root)
         e, y = back @ (values[a:b] - past @ w), back @ moved
-        out[a - first : b - first] = now @ w + (np.triu(y @ now.T) * e[:, None]).sum(0)
+        # A step's own row of L, if it is among the block's past rows, is y times its features already.
+        own = max(0, n - r)
+        made = now @ w
+        made[:own] += (root[r:, :own] * lower[:own, :own]) @ e[:own] if own else 0.0
+        made[own:] += ((now[own:] @ y.T) * lower[own:n, :n]) @ e
+        out[a - first : b - first] = made
         w += y.T @ e
         inv -= y.T @ y
     return out, w, inv

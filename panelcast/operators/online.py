@@ -24,13 +24,6 @@ def no_forecasts():
     return pd.DataFrame({"series_id": pd.Series([], dtype=object), "t": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="int32"), "yhat": pd.Series([], dtype="float64")})
 
 
-def unknown_forecasts(series_id, first: int, steps: int, horizon: int):
-    """Null forecasts for every origin and step ahead: what a series too short to fit gives, so that it is not lost without a word."""
-    import numpy as np
-
-    return long_forecasts(series_id, first, np.arange(1, horizon + 1), np.full((max(0, steps - first), horizon), np.nan), steps)
-
-
 def stacked(model):
     """Rows (r, w, a_inv) of a series' model -> arrays r, w (r, F) and a_inv (r, F, F)."""
     import numpy as np
@@ -39,12 +32,25 @@ def stacked(model):
     return model["r"].to_numpy(dtype=int), w, np.array(model["a_inv"].tolist(), dtype=float).reshape(len(w), w.shape[1], w.shape[1])
 
 
+def _before(first: int, r, n: int, steps: int):
+    """Of n origins from ``first`` and the steps ahead r, the pairs whose target lies before ``steps``."""
+    import numpy as np
+
+    return np.nonzero(first + np.arange(n)[:, None] + r[None, :] < steps)
+
+
+def _in_order(g):
+    """The values of an Arrow table (t, value) in order of t; nulls are NaN."""
+    import numpy as np
+
+    return g["value"].to_numpy().astype(float)[np.argsort(g["t"].to_numpy(), kind="stable")]
+
+
 def long_forecasts(series_id, first: int, r, yhat, steps: int):
     """Forecasts (origins, r) -> rows (series_id, t, r, yhat) whose target lies before ``steps``."""
-    import numpy as np
     import pandas as pd
 
-    i, j = np.nonzero(first + np.arange(len(yhat))[:, None] + r[None, :] < steps)
+    i, j = _before(first, r, len(yhat), steps)
     return pd.DataFrame({"series_id": pd.Series([series_id] * len(i), dtype=object), "t": first + i, "r": r[j], "yhat": yhat[i, j]})
 
 
@@ -229,18 +235,19 @@ def sweep(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int
     gets null forecasts, one that ends early forecasts as far as it goes. For few very long series use
     ``feature_blocks``, ``fit_ridge`` and ``forecast`` or ``online_by_chunk``, which cut them into chunks.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     _has_rows(train_end, horizon, lookback)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("t")["value"].to_numpy(dtype=float)
-        got = _swept(x, train_end, first, steps, horizon, lookback, cadence, bins, lam, online, bank)
-        if got is None:
-            return unknown_forecasts(g["series_id"].iloc[0], first, steps, horizon)
-        return long_forecasts(g["series_id"].iloc[0], first, *got, steps)
+    def run(g: pa.Table) -> pa.Table:
+        import numpy as np
+
+        got = _swept(_in_order(g), train_end, first, steps, horizon, lookback, cadence, bins, lam, online, bank)
+        ahead, yhat = (np.arange(1, horizon + 1), np.full((max(0, steps - first), horizon), np.nan)) if got is None else got
+        i, j = _before(first, ahead, len(yhat), steps)
+        return pa.table({"series_id": pa.repeat(g["series_id"][0], len(i)), "t": first + i, "r": ahead[j].astype("int32"), "yhat": pa.array(yhat[i, j], from_pandas=True)})
 
-    return _spread(panel).applyInPandas(run, "series_id string, t long, r int, yhat double")
+    return _spread(panel).applyInArrow(run, "series_id string, t long, r int, yhat double")
 
 
 def _swept(x, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int, lam: float, online: bool, bank):
@@ -265,23 +272,23 @@ def _swept(x, train_end: int, first: int, steps: int, horizon: int, lookback: in
 
 def sweep_scores(panel: DataFrame, train_end: int, first: int, steps: int, horizon: int, lookback: int, cadence: int, bins: int = 8, lam: float = 1e-3, online: bool = True, bank: list[tuple[float, float, float]] | None = None) -> DataFrame:
     """(r, mse, mae, n) per step ahead: the scores of ``sweep`` for long horizons, whose forecasts stay in the tasks; a series leaves ``horizon`` rows of sums. Wide features: the first 24 steps ahead are passed together (``kernels.shared_pass``), others one by one."""
-    import pandas as pd
+    import pyarrow as pa
 
     _has_rows(train_end, horizon, lookback)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(g: pa.Table) -> pa.Table:
         import numpy as np
 
-        x = g.sort_values("t")["value"].to_numpy(dtype=float)
+        x = _in_order(g)
         got = _swept(x, train_end, first, steps, horizon, lookback, cadence, bins, lam, online, bank)
         rows = []
         for r, yhat in zip(got[0], got[1].T, strict=True) if got is not None else ():
             n = max(0, min(len(yhat), min(steps, len(x)) - r - first))
             e = yhat[:n] - x[first + r : first + r + n]
-            rows.append((int(r), float(e @ e), float(np.abs(e).sum()), n))
-        return pd.DataFrame(rows, columns=["r", "sq", "ab", "n"]).astype({"r": "int32", "n": "int64"})
+            rows.append({"r": int(r), "sq": float(e @ e), "ab": float(np.abs(e).sum()), "n": n})
+        return pa.Table.from_pylist(rows, pa.schema([("r", pa.int32()), ("sq", pa.float64()), ("ab", pa.float64()), ("n", pa.int64())]))
 
-    sums = _spread(panel).applyInPandas(run, "r int, sq double, ab double, n long")
+    sums = _spread(panel).applyInArrow(run, "r int, sq double, ab double, n long")
     n = F.sum("n")
     return sums.groupBy("r").agg((F.sum("sq") / n).alias("mse"), (F.sum("ab") / n).alias("mae"), n.alias("n"))
 

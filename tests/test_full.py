@@ -190,3 +190,30 @@ def test_steps_ahead_beyond_the_shared_pass(spark):
     f = features.feature_blocks(p, 24, CADENCE, BINS, chunk=60)
     model = linear.solve_relative(linear.gram(linear.train_pairs(f, 120, 26, 24), 26), LAM)
     close(as_dict(online.sweep(p, 120, 140, 230, 26, 24, CADENCE, BINS, LAM)), as_dict(online.online_forecast(f, model, 140, 230)))
+
+
+def test_features_hold_little_beside_them():
+    """Window features are those of every window by itself, and no second matrix of all windows is made on the way."""
+    import tracemalloc
+
+    x, lookback, bins = np.random.default_rng(7).normal(size=3000), 96, 8
+    tracemalloc.start()
+    got = K.window_features(x, lookback, CADENCE, 5, bins)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * got.nbytes
+    for t in (0, 1, 127, 128, 2000, len(got) - 1):
+        w, angle = x[t : t + lookback], 2 * np.pi * ((5 + lookback - 1 + t) % CADENCE) / CADENCE
+        mag = np.abs(np.fft.fft(w)[1 : bins + 1])
+        want = [w.mean(), w.std(), w.min(), w.max(), np.abs(np.diff(w)).mean(), w[-1] - w[-2], *w, *(mag / (mag.sum() + 1e-9)), np.sin(angle), np.cos(angle)]
+        np.testing.assert_allclose(got[t], want, atol=1e-12)
+
+
+def test_sweeps_take_arrow_tables(spark, series):
+    """No pandas object a row on the way in or out, rows in any order, and a null value makes no forecast up."""
+    p = panel_of(spark, series)
+    plan = online.sweep(p, 100, 110, 160, 2, L, CADENCE, BINS, LAM)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    got = online.sweep(p.orderBy(F.desc("t")).withColumn("value", F.when(F.col("t") < 155, F.col("value"))), 100, 110, 160, 2, L, CADENCE, BINS, LAM, False)
+    assert {r["t"] for r in got.where("yhat IS NULL").collect()} == set(range(155, 159))
+    close({k: v for k, v in as_dict(got).items() if k[1] < 155}, {k: v for k, v in expected(series, 2, 100, 110, False, None).items() if k[1] < 155})
