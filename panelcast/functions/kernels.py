@@ -133,51 +133,105 @@ def online_pass(values: np.ndarray, phi: np.ndarray, ahead: np.ndarray, w: np.nd
     return out, w, (inv + inv.swapaxes(1, 2)) / 2
 
 
-FEW, SHARED, SEGMENT = 6, 24, 120  # steps ahead from which on, and up to which, one pass of all pays
+FEW, SHARED, SEGMENT, GROUP = 6, 24, 64, 8  # steps ahead from which on, and up to which, one pass of all pays; its steps and steps ahead at a time
+
+
+def near_ridges(ridge: np.ndarray, within: float = 1e-9, most: int = 9) -> tuple[float, np.ndarray | None]:
+    """A ridge ``mid`` amid the others and c (terms, ridges): (A + ridge I)^-1 is the sum of c_k Q^(k + 1) with Q = mid (A + mid I)^-1, whatever A >= 0 is.
+
+    The sum interpolates 1 / (1 + (ridge / mid - 1) q) at Chebyshev nodes; its relative error is at most ``within`` in every direction. None if the ridges are so
+    far apart that this takes more than ``most`` terms.
+    """
+    mid = np.sqrt(ridge.min() * ridge.max())
+    apart = np.sqrt(ridge.max() / mid)
+    rate = (apart - 1) / (apart + 1)
+    if not 2 * rate**most <= within:
+        return mid, None
+    terms = next(k for k in range(1, most + 1) if 2 * rate**k <= within)
+    q = (1 + np.cos(np.pi * (np.arange(terms) + 0.5) / terms)) / 2
+    return mid, np.linalg.solve(np.vander(q, increasing=True), 1 / (1 + np.multiply.outer(q, ridge / mid - 1))) / mid
+
+
+def slid(x: np.ndarray, down: int, across: int, shape: tuple[int, int]) -> np.ndarray:
+    """A view of the matrices x: the block of the k-th starts k * ``down`` rows and k * ``across`` columns further on than that of the first, which starts at its corner."""
+    s = x.strides
+    return np.lib.stride_tricks.as_strided(x, (len(x), *shape), (s[0] + down * s[1] + across * s[2], s[1], s[2]))
 
 
 def shared_pass(values: np.ndarray, phi: np.ndarray, readouts: int, most: int, lam: float, first: int, last: int) -> np.ndarray:
     """The forecasts (steps, readouts) of ``online_pass`` for the steps ahead 1..readouts together, fits on the train rows included: phi[i] meets values[i + r], and
     the r-th fit has the first ``most`` + 1 - r rows and a relative ridge of ``lam``. ``first`` is ``most`` + 1 and ``readouts`` at least.
 
-    Rows are met in segments. Those that all readouts have met before one make one sum phi phi', and with its eigenvectors the inverse is known under every
-    readout's own ridge. With Z a segment's rows scaled by that inverse's root, after those rows that only some readouts have met (at the train end, at the first
-    step), and I + Z Z' = L L', a step's forecast moves by its row of L times L^-1 of the residuals, over the rows whose targets it has seen. The residuals, put below
-    I + Z Z' as its last row, come out of the same factorisation as L^-1 of them.
+    Rows are met in segments. Those that all readouts have met before one make one sum phi phi'. With R a segment's rows after those that only some readouts have met
+    (at the train end, before the first step), and P_r the sum's inverse under the r-th ridge, K_r = I + R P_r R' = L L' says it all: a step's forecast moves by its
+    row of L times L^-1 of the residuals, over the rows whose targets it has seen. The residuals, put below K_r as its last row, come out of the same factorisation
+    as L^-1 of them. The ridges are near each other, so the K_r are sums of a few products that all readouts share (``near_ridges``); if not, each is a product of its own.
     """
-    f = phi.shape[1]
-    out, least = np.empty((max(0, last - first), readouts)), most + 1 - readouts
+    f, extra, least, begin = phi.shape[1], readouts - 1, most + 1 - readouts, first - readouts
+    if last <= first:
+        return np.empty((0, readouts))
     squares = np.concatenate([[0.0], np.cumsum((phi[:most] ** 2).sum(1))])
     ridge = lam * squares[most + 1 - np.arange(1, readouts + 1)] / f
-    padded = np.concatenate([values[:last], np.zeros(readouts)])
+    mid, terms = near_ridges(ridge)
+    size = max(SEGMENT, readouts)
+    own, wide = 2 * extra, size + readouts  # where a segment's rows start, and how many they are with those of the last steps ahead
+    padded = np.concatenate([values[:last], np.zeros(size + 2 * readouts)])
     after = np.lib.stride_tricks.sliding_window_view(padded[1:], readouts)  # row i: what the steps ahead of phi[i] turn out to be
-    a, b, met = 0.0, 0.0, slice(0, least)
-    lower = np.tril(np.ones((SEGMENT + readouts, SEGMENT + readouts)))
-    for begin in range(first - 1, last - 1, SEGMENT):
+    a, b, met = np.zeros((f, f)), np.zeros((f, readouts)), slice(0, least)
+    rows, target = np.zeros((own + wide, f)), np.zeros((own + wide, readouts))
+    rows[extra:own], target[extra:own] = phi[least:most], after[least:most]
+    lower = np.tril(np.ones((size, size)))
+    made = np.empty((readouts, -(-(last - 1 - begin) // size) * size))  # column i: the forecast that the row ``first - readouts + i`` was the last to be met before
+    for done in range(0, made.shape[1], size):
         a, b = a + phi[met].T @ phi[met], b + phi[met].T @ after[met]
-        met = slice(begin, begin + SEGMENT)
-        scale, turn = np.linalg.eigh(a)
-        at_end, at_start, own, moved = phi[least:most] @ turn, phi[first - readouts : first - 1] @ turn, phi[begin : begin + SEGMENT + readouts] @ turn, turn.T @ b
-        for r in range(1, (readouts if begin == first - 1 else min(readouts, last - 1 - begin)) + 1):
-            few, seen, end = readouts - r, min(begin + SEGMENT, last - r), min(begin + SEGMENT + r, last)
-            n, m = readouts - 1 + end - begin, readouts - 1 + seen - begin
-            c = 1 / np.sqrt(scale + ridge[r - 1])
-            z = np.zeros((n + 1, f))
-            np.multiply(at_end[:few], c, out=z[:few])
-            np.multiply(at_start[few:], c, out=z[few : readouts - 1])
-            np.multiply(own[: end - begin], c, out=z[readouts - 1 : n])
-            base = z[:n] @ (moved[:, r - 1] * c)
-            known = (padded[first : seen + r],) if begin == first - 1 else (padded[first : first + r - 1], padded[begin + r : seen + r])
-            rest = np.concatenate([padded[least + r : most + 1], *known]) - base[:m]
-            k = z @ z.T
-            k.flat[:: n + 2] += 1
-            k[n, :m], k[n, n] = rest, rest @ rest + 1
-            root = np.linalg.cholesky(k)
-            # From ``cut`` on rows are in order of time, and each step sees one more.
-            start, cut = (first, few) if begin == first - 1 else (begin + r, readouts - 1)
-            steps, e = root[readouts - 1 + start - begin : n, :m], root[n, :m]
-            out[start - first : end - first, r - 1] = base[n - end + start :] + steps[:, :cut] @ e[:cut] + (steps[:, cut:] * lower[: end - start, : m - cut]) @ e[cut:]
-    return out
+        met = slice(begin if done else first - 1, begin + size)
+        if done == size:  # until then they are the segment's own
+            rows[:extra], target[:extra] = phi[first - readouts : first - 1], after[first - readouts : first - 1]
+        here = phi[begin : min(begin + wide, last)]
+        rows[own : own + len(here)], rows[own + len(here) :], target[own : own + size] = here, 0.0, after[begin : begin + size]
+        if terms is None:
+            scale, turn = np.linalg.eigh(a)
+            c = 1 / np.sqrt(scale + ridge[:, None])
+            z, w = (rows @ turn) * c[:, None, :], turn @ ((turn.T @ b) * (c**2).T)
+            inner, outer = z @ z[:, own:].swapaxes(1, 2), z[:, :own] @ z[:, :own].swapaxes(1, 2)
+        else:
+            q = mid * np.linalg.inv(a + mid * np.eye(f))
+            powers, w, x = [rows], 0.0, b
+            for c in terms:
+                x = q @ x
+                w = w + c * x
+            for _ in range((len(terms) + 1) // 2):
+                powers.append(powers[-1] @ q)
+            pairs = [(powers[k - k // 2], powers[k // 2]) for k in range(1, len(terms) + 1)]
+            inner, outer = np.array([i @ j[own:].T for i, j in pairs]), np.array([i[:own] @ j[:own].T for i, j in pairs])
+        base = np.ascontiguousarray((rows @ w).T)
+        rest = target.T - base
+        above = 1 + (rest**2).sum(1).max()
+        for lo in range(0, readouts, GROUP):
+            hi, few = min(lo + GROUP, readouts), readouts - 1 - lo
+            h, n = hi - lo, extra + size + hi
+            if terms is None:
+                now, known = inner[lo:hi], outer[lo:hi]
+            else:
+                now = (terms[:, lo:hi].T @ inner[:, : own + size + hi].reshape(len(terms), -1)).reshape(h, -1, wide)
+                known = (terms[:, lo:hi].T @ outer.reshape(len(terms), -1)).reshape(h, own, own)
+            # Of the rows that only some have met, the r-th readout takes ``extra`` from its own place on; the upper triangle is filled, and handed over as the lower.
+            k = np.empty((h, n + 1, n + 1))
+            k[:, :extra, :extra], k[:, :extra, extra:n] = slid(known[:, few:, few:], -1, -1, (extra, extra)), slid(now[:, few:], -1, 0, (extra, n - extra))
+            k[:, extra:n, extra:n] = now[:, own : own + n - extra, : n - extra]
+            k[:, :extra, n], k[:, extra : extra + size, n] = slid(rest[lo:hi, None, few:], 0, -1, (1, extra))[:, 0], rest[lo:hi, own : own + size]
+            k[:, extra + size : n, n] = 0.0
+            for r in range(lo + 1, hi + 1) if not done else ():  # rows before the first that the readout meets
+                gone = slice(extra, extra + readouts - r)
+                k[r - 1 - lo, gone, :], k[r - 1 - lo, :, gone] = 0.0, 0.0
+            k.reshape(h, -1)[:, :: n + 2] += 1
+            k[:, n, n] = above
+            root = np.linalg.cholesky(k.swapaxes(1, 2))
+            e, steps = root[:, n, : extra + size, None].copy(), slid(root[:, extra + 1 + lo :], 1, 0, (size, extra + size))
+            steps[:, :, extra:] *= lower  # each step sees one more row
+            made[lo:hi, done : done + size] = (slid(base[lo:hi, None, own + 1 + lo :], 0, 1, (1, size))[:, 0] + (steps @ e)[:, :, 0])
+        begin += size
+    return np.stack([made[r - 1, readouts - r : readouts - r + last - first] for r in range(1, readouts + 1)], axis=1)
 
 
 def orthonormal(a: np.ndarray) -> np.ndarray:

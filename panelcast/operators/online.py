@@ -198,8 +198,8 @@ def _fits(x, phi, train_end: int, ahead, lookback: int, lam: float):
 
 
 def _spread(panel: DataFrame) -> DataFrame:
-    """Whole series dealt over all shuffle partitions: their bytes are few for the work they make, so they must not be put together by size."""
-    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Whole series dealt over all shuffle partitions, and 8 a core at least: their bytes are few for the work they make, so they must not be put together by size, nor may all wait for the slowest core."""
+    n = max(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * panel.sparkSession.sparkContext.defaultParallelism)
     return panel.select("series_id", "t", "value").repartition(n, "series_id").groupBy("series_id")
 
 

@@ -183,6 +183,35 @@ def test_steps_ahead_share_a_pass(monkeypatch, first, steps, horizon):
                 assert got[k, r - 1] == pytest.approx(at(t) @ np.linalg.solve(a, b), abs=1e-7)
 
 
+@pytest.mark.parametrize("quiet,near", [(0, True), (60, False)])
+def test_near_ridges_share_their_products(monkeypatch, quiet, near):
+    """Every step ahead as by its own pass, without eigenvectors where the ridges are near each other; where a series wakes up at the train end they are not."""
+    lookback, train, first, steps = 28, 100 if quiet else 400, 431, 700
+    x = np.random.default_rng(8).normal(size=steps).cumsum() / 4
+    x[:quiet] *= 1e-3
+    phi = K.window_features(x, lookback, CADENCE, 0, BINS)
+    ridge = np.cumsum((phi[: train - lookback] ** 2).sum(1))[train - lookback - np.arange(1, 25)]
+    assert (K.near_ridges(ridge)[1] is not None) == near
+    w, inv = online._fits(x, phi, train, range(1, 25), lookback, LAM)
+    want = K.online_pass(x[lookback - 1 :], phi, np.arange(1, 25), w, inv, first - lookback + 1, steps - lookback)[0]
+    monkeypatch.setattr(K, "online_pass", None)
+    if near:
+        monkeypatch.setattr(np.linalg, "eigh", None)
+    ahead, got = online._swept(x, train, first, steps, 24, lookback, CADENCE, BINS, LAM, True, None)
+    np.testing.assert_allclose(got, want, atol=1e-7)
+
+
+def test_near_ridges_in_every_direction():
+    """The sum of products is the inverse under each ridge, whatever the eigenvalue; ridges too far apart get none."""
+    for apart in (1.0, 1.06, 1.5, 2.0):
+        ridge = np.geomspace(0.4, 0.4 * apart, 24)
+        mid, terms = K.near_ridges(ridge)
+        scale = np.concatenate([[0.0], np.geomspace(1e-6, 1e6, 200)])
+        q = mid / (scale + mid)
+        np.testing.assert_allclose(sum(np.multiply.outer(q ** (k + 1), c) for k, c in enumerate(terms)), 1 / (scale[:, None] + ridge), rtol=2e-9)
+    assert K.near_ridges(np.array([0.01, 1.0]))[1] is None
+
+
 def test_steps_ahead_beyond_the_shared_pass(spark):
     """26 steps ahead: 24 in one pass, two by their own, all as the forms by chunk make them."""
     x = np.random.default_rng(6).normal(size=(230, 1)).cumsum(0) / 4
