@@ -133,7 +133,8 @@ def online_pass(values: np.ndarray, phi: np.ndarray, ahead: np.ndarray, w: np.nd
     return out, w, (inv + inv.swapaxes(1, 2)) / 2
 
 
-FEW, SHARED, SEGMENT, GROUP = 6, 24, 64, 8  # steps ahead from which on, and up to which, one pass of all pays; its steps and steps ahead at a time
+FEW, SHARED = 6, 24  # steps ahead from which on, and up to which, one pass of all pays
+SEGMENT, GROUP, FRESH = 64, 8, 8  # its steps and steps ahead at a time, and the segments from one inverse made anew to the next
 
 
 def near_ridges(ridge: np.ndarray, within: float = 1e-9, most: int = 9) -> tuple[float, np.ndarray | None]:
@@ -180,6 +181,9 @@ def shared_pass(values: np.ndarray, phi: np.ndarray, readouts: int, most: int, l
     a, b, met = np.zeros((f, f)), np.zeros((f, readouts)), slice(0, least)
     rows, target = np.zeros((own + wide, f)), np.zeros((own + wide, readouts))
     rows[extra:own], target[extra:own] = phi[least:most], after[least:most]
+    room = np.empty(GROUP * (extra + wide + 1) ** 2)  # large arrays are made once
+    if terms is not None:
+        inner, outer, sums = np.empty((len(terms), own + wide, wide)), np.empty((len(terms), own, own)), np.empty((GROUP, (own + wide) * wide))
     lower = np.tril(np.ones((size, size)))
     made = np.empty((readouts, -(-(last - 1 - begin) // size) * size))  # column i: the forecast that the row ``first - readouts + i`` was the last to be met before
     for done in range(0, made.shape[1], size):
@@ -195,15 +199,21 @@ def shared_pass(values: np.ndarray, phi: np.ndarray, readouts: int, most: int, l
             z, w = (rows @ turn) * c[:, None, :], turn @ ((turn.T @ b) * (c**2).T)
             inner, outer = z @ z[:, own:].swapaxes(1, 2), z[:, :own] @ z[:, :own].swapaxes(1, 2)
         else:
-            q = mid * np.linalg.inv(a + mid * np.eye(f))
+            if done // size % FRESH < 2:  # the second segment's sum has rows before it that the first did not meet as its own
+                q = mid * np.linalg.inv(a + mid * np.eye(f))
+            else:
+                last_met = powers[1][own : own + size]
+                q = q - last_met.T @ np.linalg.solve(inner[0, own : own + size, :size] + mid * np.eye(size), last_met)
             powers, w, x = [rows], 0.0, b
             for c in terms:
                 x = q @ x
                 w = w + c * x
             for _ in range((len(terms) + 1) // 2):
                 powers.append(powers[-1] @ q)
-            pairs = [(powers[k - k // 2], powers[k // 2]) for k in range(1, len(terms) + 1)]
-            inner, outer = np.array([i @ j[own:].T for i, j in pairs]), np.array([i[:own] @ j[:own].T for i, j in pairs])
+            for k in range(len(terms)):  # the (k + 1)-th powers
+                i, j = powers[k // 2 + 1], powers[(k + 1) // 2]
+                np.matmul(i, j[own:].T, out=inner[k])
+                np.matmul(i[:own], j[:own].T, out=outer[k])
         base = np.ascontiguousarray((rows @ w).T)
         rest = target.T - base
         above = 1 + (rest**2).sum(1).max()
@@ -213,10 +223,10 @@ def shared_pass(values: np.ndarray, phi: np.ndarray, readouts: int, most: int, l
             if terms is None:
                 now, known = inner[lo:hi], outer[lo:hi]
             else:
-                now = (terms[:, lo:hi].T @ inner[:, : own + size + hi].reshape(len(terms), -1)).reshape(h, -1, wide)
+                now = np.matmul(terms[:, lo:hi].T, inner.reshape(len(terms), -1), out=sums[:h]).reshape(h, -1, wide)
                 known = (terms[:, lo:hi].T @ outer.reshape(len(terms), -1)).reshape(h, own, own)
             # Of the rows that only some have met, the r-th readout takes ``extra`` from its own place on; the upper triangle is filled, and handed over as the lower.
-            k = np.empty((h, n + 1, n + 1))
+            k = room[: h * (n + 1) ** 2].reshape(h, n + 1, n + 1)
             k[:, :extra, :extra], k[:, :extra, extra:n] = slid(known[:, few:, few:], -1, -1, (extra, extra)), slid(now[:, few:], -1, 0, (extra, n - extra))
             k[:, extra:n, extra:n] = now[:, own : own + n - extra, : n - extra]
             k[:, :extra, n], k[:, extra : extra + size, n] = slid(rest[lo:hi, None, few:], 0, -1, (1, extra))[:, 0], rest[lo:hi, own : own + size]
